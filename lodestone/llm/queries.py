@@ -10,6 +10,18 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import table
 
 
+def op1_piece_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm import piece_langid
+
+    return piece_langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op2_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm import toxicity_cnn
+
+    return toxicity_cnn.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm import chat_format
 
@@ -19,12 +31,36 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.read_back(chat_format.format_conversations(turns.unionByName(own))))
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm import url_filter
+
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+def op6_impact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm import impact_search
+
+    return impact_search.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op9_itq_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm import itq_links
+
+    return itq_links.links(table(spark, sf_dir, "embeddings"))
+
+
 def op5_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm import dart_minhash
 
     return dart_minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_block_labeller(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm import block_labeller
+
+    return block_labeller.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm import source_mix
 
@@ -37,7 +73,7 @@ def op10_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary_packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_chat_format, op5_dart_minhash, op8_source_mix, op10_binary_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_piece_langid, op2_toxicity_cnn, op3_chat_format, op4_url_filter, op5_dart_minhash, op6_impact_search, op7_block_labeller, op8_source_mix, op9_itq_links, op10_binary_packing)}
 
 SQL: dict[str, str] = {
     "op3_chat_format": r"""
@@ -52,4 +88,26 @@ SELECT conv_id, count(*) AS n_turns,
   sum(4 + length(role) + length(regexp_replace(role, '[^\\#<:]', '', 'g'))
     + 2 + length(text) + length(regexp_replace(text, '[^\\#<:]', '', 'g')) + 8)::BIGINT AS formatted_chars
 FROM t GROUP BY conv_id""",
+    "op6_impact_search": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda c: floor(c::DOUBLE * 256)::BIGINT) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.x::DOUBLE[], c.x::DOUBLE[])::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op9_itq_links": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, list_transform(embedding, lambda c: c::DOUBLE) AS x FROM embeddings),
+w AS (
+  SELECT vec_id, x FROM v WHERE x IS NOT NULL AND len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(x, lambda c: c <> 0)) > 0),
+l AS (
+  SELECT a.vec_id AS u, b.vec_id AS v FROM w a JOIN w b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.x, b.x) >= 0.9),
+reach AS (
+  SELECT vec_id AS node, vec_id AS seen FROM v
+  UNION SELECT reach.node, l.v FROM reach JOIN l ON l.u = reach.seen),
+c AS (SELECT node, min(seen) AS component_id FROM reach GROUP BY node)
+SELECT v.vec_id, (SELECT count(*) FROM l WHERE l.u = v.vec_id) AS n_links, c.component_id, v.vec_id = c.component_id AS kept
+FROM v JOIN c ON c.node = v.vec_id""",
 }
