@@ -39,33 +39,77 @@ def pieces(n: int, sequence: int = SEQUENCE) -> list[tuple[int, int]]:
     return out
 
 
+class ChunkIds:
+    """Token ids of chunks without white space, as little-endian bytes; chunks and their words are remembered up to a bound."""
+
+    def __init__(self, path: str, limit: int = 150_000):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks are the parallelism
+        from tokenizers import Tokenizer
+
+        self.tok, self.limit = Tokenizer.from_file(path), limit
+        self.chunks: dict[str, bytes] = {"": b""}
+        self.words: dict[str, bytes] = {}
+
+    def encode(self, text: str) -> bytes:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def learn(self, words: list[str]) -> None:
+        """Words of letters only are one pre-token each, so many are encoded as one text and cut apart by pre-token."""
+        for lo in range(0, len(words), 2000):
+            some = words[lo : lo + 2000]
+            e = self.tok.encode(" ".join(some), add_special_tokens=False)
+            ids, at = np.array(e.ids, dtype="<u4"), np.array(e.word_ids)
+            cut = np.flatnonzero(np.r_[True, at[1:] != at[:-1], True])
+            if len(cut) != len(some) + 1:
+                self.words.update((w, self.encode(w)) for w in some)
+            else:
+                raw = ids.tobytes()
+                self.words.update((w, raw[4 * i : 4 * j]) for w, i, j in zip(some, cut[:-1].tolist(), cut[1:].tolist(), strict=True))
+
+    def __call__(self, chunks: list[str]) -> bytes:
+        new = {c for c in chunks if c not in self.chunks}
+        if new:
+            if len(self.chunks) > self.limit:
+                self.chunks = {"": b""}
+                new = set(chunks) - {""}
+            if len(self.words) > self.limit:
+                self.words.clear()
+            parts = {}
+            for c in new:
+                # the tokenizer lower-cases and takes letters and a full stop or comma after them apart
+                word = c[:-1] if c[-1] in ".," else c
+                parts[c] = (word.lower(), c[len(word) :]) if word.isalpha() and "İ" not in word and "Σ" not in word else (None, c)
+            self.learn(list({w for w, _ in parts.values() if w is not None} - self.words.keys()))
+            for c, (word, rest) in parts.items():
+                if word is None:
+                    self.chunks[c] = self.encode(c)
+                else:
+                    if rest and rest not in self.words:
+                        self.words[rest] = self.encode(rest)
+                    self.chunks[c] = self.words[word] + self.words[rest] if rest else self.words[word]
+        return b"".join(map(self.chunks.__getitem__, chunks))
+
+
 def token_pieces(text: Column, path: str | None = None, end: int = 1, sequence: int = SEQUENCE) -> Column:
     """ARRAY<STRUCT<start, length, ids_crc32, doc_tokens>> of a text's ids and the end id.
 
     The tokenizer drops white space and joins nothing across it, so a text's ids are those of its
-    chunks between blanks, tabs and line ends; each chunk is encoded once and remembered.  Null counts as empty.
+    chunks between blanks, tabs and line ends.  Null counts as empty.
     """
     path = path or tokenizer_path()
     kind = "array<struct<start: bigint, length: bigint, ids_crc32: bigint, doc_tokens: bigint>>"
+    last = np.array([end], dtype="<u4").tobytes()
 
     @F.pandas_udf(kind)
     def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        from tokenizers import Tokenizer
-
-        tok = Tokenizer.from_file(path)
-        known: dict[str, bytes] = {}
+        encode = ChunkIds(path)
         for batch in batches:
             out = []
             for text in batch:
                 chunks = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if text else []
-                new = list({c for c in chunks if c not in known})
-                if new:
-                    if len(known) > 500_000:
-                        known.clear()
-                        new = list(set(chunks))
-                    for c, e in zip(new, tok.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                        known[c] = np.array(e.ids, dtype="<u4").tobytes()
-                ids = b"".join([*map(known.__getitem__, chunks), np.array([end], dtype="<u4").tobytes()])
+                ids = encode(chunks) + last
                 n = len(ids) // 4
                 out.append([{"start": s, "length": m, "ids_crc32": zlib.crc32(ids[4 * s : 4 * (s + m)]), "doc_tokens": n} for s, m in pieces(n, sequence)])
             yield pd.Series(out)
