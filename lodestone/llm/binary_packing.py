@@ -8,6 +8,7 @@ to shorter sequences whose lengths are powers of two again, so nothing is padded
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -55,19 +56,6 @@ class ChunkIds:
     def encode(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def learn(self, words: list[str]) -> None:
-        """Words of letters only are one pre-token each, so many are encoded as one text and cut apart by pre-token."""
-        for lo in range(0, len(words), 2000):
-            some = words[lo : lo + 2000]
-            e = self.tok.encode(" ".join(some), add_special_tokens=False)
-            ids, at = np.array(e.ids, dtype="<u4"), np.array(e.word_ids)
-            cut = np.flatnonzero(np.r_[True, at[1:] != at[:-1], True])
-            if len(cut) != len(some) + 1:
-                self.words.update((w, self.encode(w)) for w in some)
-            else:
-                raw = ids.tobytes()
-                self.words.update((w, raw[4 * i : 4 * j]) for w, i, j in zip(some, cut[:-1].tolist(), cut[1:].tolist(), strict=True))
-
     def __call__(self, chunks: list[str]) -> bytes:
         new = {c for c in chunks if c not in self.chunks}
         if new:
@@ -80,8 +68,10 @@ class ChunkIds:
             for c in new:
                 # the tokenizer lower-cases and takes letters and a full stop or comma after them apart
                 word = c[:-1] if c[-1] in ".," else c
-                parts[c] = (word.lower(), c[len(word) :]) if word.isalpha() and "İ" not in word and "Σ" not in word else (None, c)
-            self.learn(list({w for w, _ in parts.values() if w is not None} - self.words.keys()))
+                parts[c] = (word.lower(), c[len(word) :]) if word.isalpha() and "İ" not in word and "Σ" not in word and unicodedata.is_normalized("NFC", word) else (None, c)
+            for word in {w for w, _ in parts.values() if w is not None}:
+                if word not in self.words:  # a word of letters is one pre-token, which the model cuts
+                    self.words[word] = np.array([t.id for t in self.tok.model.tokenize(word)], dtype="<u4").tobytes()
             for c, (word, rest) in parts.items():
                 if word is None:
                     self.chunks[c] = self.encode(c)
