@@ -52,6 +52,13 @@ class ChunkIds:
         self.tok, self.limit = Tokenizer.from_file(path), limit
         self.chunks: dict[str, bytes] = {"": b""}
         self.words: dict[str, bytes] = {}
+        self.letters: dict[str, str] = {}
+
+    def letter(self, c: str) -> str:
+        """A letter as the model spells its bytes."""
+        if c not in self.letters:
+            self.letters[c] = "".join(piece for piece, _ in self.tok.pre_tokenizer.pre_tokenize_str(c))
+        return self.letters[c]
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -71,7 +78,8 @@ class ChunkIds:
                 parts[c] = (word.lower(), c[len(word) :]) if word.isalpha() and "İ" not in word and "Σ" not in word and unicodedata.is_normalized("NFC", word) else (None, c)
             for word in {w for w, _ in parts.values() if w is not None}:
                 if word not in self.words:  # a word of letters is one pre-token, which the model cuts
-                    self.words[word] = np.array([t.id for t in self.tok.model.tokenize(word)], dtype="<u4").tobytes()
+                    spelt = word if word.isascii() else "".join(map(self.letter, word))
+                    self.words[word] = np.array([t.id for t in self.tok.model.tokenize(spelt)], dtype="<u4").tobytes()
             for c, (word, rest) in parts.items():
                 if word is None:
                     self.chunks[c] = self.encode(c)
