@@ -1,19 +1,444 @@
-"""The queries for the policy-knowledge operators, by name, with their SQL."""
+"""The queries for the policy-knowledge operators, by name, with their SQL.
+
+Cases, requests, observations and releases are read from the given star schema: line items are cases
+of a rule (the order date is the contract's, the ship date the event's), orders are versions and
+requests, events are observations and ledger records.  Money is made whole units once, at the scan.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestone.functions import rules as R
+from lodestone.functions import text as X
+from lodestone.operators import checks, graph, history, links, usage
+from lodestone.streaming import streams
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def cases(spark, sf_dir):
+    """Line items as cases: contract and event day, amount in whole units; the event day is unknown for flag N."""
+    o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.to_date("o_orderdate").cast("string").alias("contract"))
+    li = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", F.when(F.col("l_returnflag") != "N", F.to_date("l_shipdate").cast("string")).alias("event"), F.to_date("l_shipdate").alias("ship"), F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("amount"), F.col("l_quantity").cast("bigint").alias("qty"))
+    return li.join(o, "l_orderkey")
+
+
+CASES = """SELECT l_orderkey, l_linenumber, l_returnflag, CAST(o_orderdate AS DATE) AS contract, CAST(l_shipdate AS DATE) AS ship,
+  CASE WHEN l_returnflag <> 'N' THEN CAST(l_shipdate AS DATE) END AS event, CAST(round(l_extendedprice * 100) AS BIGINT) AS amount, CAST(l_quantity AS BIGINT) AS qty
+  FROM lineitem JOIN orders ON o_orderkey = l_orderkey"""
+
+
+@query(f"""WITH c AS ({CASES}), e AS (
+  SELECT *, event >= contract AND event >= contract + 90 AS ok, CASE WHEN event < contract + 180 THEN amount // 2 ELSE amount END AS pay FROM c),
+r AS (SELECT CASE WHEN event IS NULL THEN 'undetermined' WHEN ok THEN 'payable' ELSE 'not_payable' END AS kind, CASE WHEN event IS NULL THEN 'event' ELSE '' END AS missing, CASE WHEN ok THEN pay END AS pay, l_returnflag FROM e)
+SELECT l_returnflag, kind, missing, count(*) AS n, CAST(sum(pay) AS BIGINT) AS paid FROM r GROUP BY ALL""")
+def rule_payout(spark, sf_dir):
+    """A waiting-period rule over all cases: nothing in the first 90 days, half below 180 days."""
+    contract, event, amount = R.given("contract", "date"), R.given("event", "date"), R.given_amount("amount")
+    eligible = R.all_of(R.compare("gte", event, contract), R.compare("gte", event, R.date_add(contract, 90, "day")))
+    paid = R.choose_amount(R.compare("lt", event, R.date_add(contract, 180, "day")), R.multiply_rate(amount, 1, 2, "floor"), amount)
+    done = cases(spark, sf_dir).select("l_returnflag", R.payout(eligible, paid, "terminate").alias("p"))
+    return done.groupBy("l_returnflag", F.col("p.kind").alias("kind"), F.array_join("p.missing", ",").alias("missing")).agg(F.count("*").alias("n"), F.sum("p.min_krw").alias("paid"))
+
+
+@query(f"""WITH c AS ({CASES}), p AS (SELECT l_returnflag, CAST(amount AS HUGEINT) * 3 AS n, CAST(7000 AS HUGEINT) AS d FROM c)
+SELECT l_returnflag, CAST(sum(n // d * 1000) AS BIGINT) AS floored, CAST(sum((n // d + CASE WHEN n % d > 0 THEN 1 ELSE 0 END) * 1000) AS BIGINT) AS ceiled,
+ CAST(sum((n // d + CASE WHEN 2 * (n % d) >= d THEN 1 ELSE 0 END) * 1000) AS BIGINT) AS half_up,
+ CAST(sum((n // d + CASE WHEN 2 * (n % d) > d OR (2 * (n % d) = d AND (n // d) % 2 = 1) THEN 1 ELSE 0 END) * 1000) AS BIGINT) AS half_even,
+ CAST(sum(CASE WHEN n % d > 0 THEN 1000 ELSE 0 END) AS BIGINT) AS open_width FROM p GROUP BY 1""")
+def rule_rounding(spark, sf_dir):
+    """amount * 3/7 to whole thousands in every rounding mode, summed."""
+    a = R.given_amount("amount")
+    by = {m: R.multiply_rate(a, 3, 7, m, 1000) for m in ("floor", "ceil", "half_up", "half_even", "unspecified")}
+    return cases(spark, sf_dir).groupBy("l_returnflag").agg(F.sum(by["floor"].lo).alias("floored"), F.sum(by["ceil"].lo).alias("ceiled"), F.sum(by["half_up"].lo).alias("half_up"), F.sum(by["half_even"].lo).alias("half_even"), F.sum(by["unspecified"].hi - by["unspecified"].lo).alias("open_width"))
+
+
+@query(f"""WITH c AS ({CASES}), v AS (SELECT event >= contract + 30 AS a, qty > 25 AS b FROM c)
+SELECT a AND b AS both_hold, a OR b AS one_holds, CASE WHEN a IS NULL AND b THEN 'event' ELSE '' END AS both_missing, CASE WHEN a IS NULL AND NOT b THEN 'event' ELSE '' END AS one_missing, count(*) AS n FROM v GROUP BY ALL""")
+def rule_kleene(spark, sf_dir):
+    """A decisive child absorbs an unknown one; otherwise the unknown names its input."""
+    a = R.compare("gte", R.given("event", "date"), R.date_add(R.given("contract", "date"), 30, "day"))
+    b = R.compare("gt", R.given("qty", "bigint"), R.lit(25))
+    both, one = R.all_of(a, b), R.any_of(a, b)
+    return cases(spark, sf_dir).select(both.value.alias("both_hold"), one.value.alias("one_holds"), F.array_join(both.missing, ",").alias("both_missing"), F.array_join(one.missing, ",").alias("one_missing")).groupBy("both_hold", "one_holds", "both_missing", "one_missing").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH c AS ({CASES}), d AS (SELECT *, ship - contract AS days FROM c WHERE ship >= contract)
+SELECT l_returnflag, count(*) AS n, CAST(sum(greatest(days - 1, 0)) AS BIGINT) AS between_days, CAST(sum(CAST(amount AS HUGEINT) * least(days, 365) // 365) AS BIGINT) AS pro_rata,
+ CAST(sum(CASE WHEN qty > 0 THEN amount // qty END) AS BIGINT) AS per_unit FROM d GROUP BY 1""")
+def rule_proportions(spark, sf_dir):
+    """Days between, pro rata by days of a year, and division by a count; reversed dates drop out as errors."""
+    days = R.days_between(R.given("contract", "date"), R.Val(F.col("ship"), R.no_causes(), R.none()))
+    part = R.Val(F.least(F.datediff("ship", F.col("contract").cast("date")), F.lit(365)).cast("bigint"), R.no_causes(), R.none())
+    a = R.given_amount("amount")
+    pro, per = R.pro_rata(a, part, R.lit(365)), R.divide_count(a, R.given("qty", "bigint"))
+    rows = cases(spark, sf_dir).select("l_returnflag", days.value.alias("d"), days.error.alias("e"), pro.lo.alias("p"), per.lo.alias("u")).where("e is null")
+    return rows.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.sum("d").alias("between_days"), F.sum("p").alias("pro_rata"), F.sum("u").alias("per_unit"))
+
+
+@query(f"""WITH c AS ({CASES}), y AS (SELECT contract, ship, year(ship) - year(contract) AS k FROM c WHERE ship >= contract),
+z AS (SELECT CASE WHEN CAST(contract + to_months(CAST(12 * k AS INTEGER)) AS DATE) <= ship THEN k ELSE k - 1 END AS years FROM y)
+SELECT CASE WHEN years >= 5 THEN 100 WHEN years >= 2 THEN 50 WHEN years >= 1 THEN 20 ELSE 0 END AS band, count(*) AS n FROM z GROUP BY 1""")
+def rule_anniversary_band(spark, sf_dir):
+    """The band of completed years from contract to event."""
+    band = R.anniversary_band(R.given("contract", "date"), R.Val(F.col("ship"), R.no_causes(), R.none()), [(0, 0), (1, 20), (2, 50), (5, 100)])
+    return cases(spark, sf_dir).select(band.value.alias("band"), band.error.alias("e")).where("e is null").groupBy("band").agg(F.count("*").alias("n"))
+
+
+@query("""WITH i AS (SELECT l_orderkey, l_returnflag AS class, CAST(round(l_extendedprice * 100) AS BIGINT) AS krw FROM lineitem), m AS (SELECT l_orderkey, class, max(krw) AS top FROM i GROUP BY 1, 2)
+SELECT l_orderkey, CAST(sum(top) AS BIGINT) AS total FROM m GROUP BY 1""")
+def rule_max_over(spark, sf_dir):
+    """Per order the sum over classes of the class's greatest amount."""
+    items = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("l_returnflag").alias("class"), F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("krw"))).alias("items"))
+    return items.select("l_orderkey", R.max_over(F.col("items")).alias("total"))
+
+
+@query(f"""WITH c AS ({CASES}), w AS (SELECT CASE WHEN ship BETWEEN contract + 1 AND CAST(contract + INTERVAL 3 MONTH AS DATE) THEN 'within' ELSE 'outside' END AS w3, CASE WHEN ship BETWEEN contract AND contract + 29 THEN 'within' ELSE 'outside' END AS w30 FROM c)
+SELECT w3, w30, count(*) AS n FROM w GROUP BY ALL""")
+def judge_time(spark, sf_dir):
+    """Whether the event lies in three calendar months not counting the anchor, and in 30 days counting it."""
+    contract = F.col("contract").cast("date")
+    say = lambda w: F.when(w["within"], "within").otherwise("outside")
+    return cases(spark, sf_dir).select(say(R.time_window(contract, 3, "calendar_month", None, F.col("ship"))).alias("w3"), say(R.time_window(contract, 30, "day", True, F.col("ship"))).alias("w30")).groupBy("w3", "w30").agg(F.count("*").alias("n"))
+
+
+def versions(spark, sf_dir):
+    """Orders as the versions of their customer's record."""
+    from pyspark.sql import Window
+
+    by = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    return read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.row_number().over(by).alias("version"), F.lag("o_orderkey").over(by).alias("supersedes"), "o_orderstatus")
+
+
+VERSIONS = "SELECT o_custkey, o_orderkey, row_number() OVER w AS version, lag(o_orderkey) OVER w AS supersedes, o_orderstatus FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)"
+
+
+@query(f"WITH v AS ({VERSIONS}) SELECT o_custkey, o_orderkey, CAST(version AS INTEGER) AS version FROM v QUALIFY version = max(version) OVER (PARTITION BY o_custkey)")
+def tip_versions(spark, sf_dir):
+    return history.tip_versions(versions(spark, sf_dir), "o_custkey", "version").select("o_custkey", "o_orderkey", "version")
+
+
+@query(f"WITH v AS ({VERSIONS}) SELECT o_custkey, o_orderkey FROM v WHERE o_orderkey NOT IN (SELECT supersedes FROM v WHERE supersedes IS NOT NULL)")
+def current_rows(spark, sf_dir):
+    return history.current(versions(spark, sf_dir), "o_orderkey", "supersedes").select("o_custkey", "o_orderkey")
+
+
+@query(f"""WITH v AS (SELECT * FROM ({VERSIONS}) WHERE o_orderkey % 7 <> 3), s AS (SELECT *, lag(o_orderkey) OVER w AS i, lag(version) OVER w AS p FROM v WINDOW w AS (PARTITION BY o_custkey ORDER BY version))
+SELECT o_custkey, o_orderkey FROM s WHERE CASE WHEN p IS NULL THEN version <> 1 OR supersedes IS NOT NULL ELSE version <> p + 1 OR supersedes IS DISTINCT FROM i END""")
+def correction_chain_breaks(spark, sf_dir):
+    """Chains in which every seventh order was lost."""
+    return history.chain_breaks(versions(spark, sf_dir).where("o_orderkey % 7 <> 3"), "o_custkey", "version", "o_orderkey", "supersedes").select("o_custkey", "o_orderkey")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_custkey IS NOT NULL)")
+def reference_integrity(spark, sf_dir):
+    """Customers that no finished order refers back to."""
+    return links.orphans(read(spark, sf_dir, "customer"), read(spark, sf_dir, "orders").where("o_orderstatus = 'F'"), "c_custkey", "o_custkey").select("c_custkey")
+
+
+@query("""WITH a AS (SELECT p_partkey AS config, DATE '1993-01-01' + CAST(p_partkey * 13 % 2500 AS INTEGER) AS f, DATE '1993-01-01' + CAST(p_partkey * 13 % 2500 + p_size * 40 AS INTEGER) AS t FROM part),
+h AS (SELECT l_orderkey AS request, count(DISTINCT config) AS n, min(config) AS one FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN a ON config = l_partkey WHERE CAST(o_orderdate AS DATE) BETWEEN f AND CASE WHEN config % 5 = 0 THEN DATE '9999-12-31' ELSE t END GROUP BY 1)
+SELECT o_orderkey AS request, coalesce(n, 0) AS n_in_force, CASE WHEN n = 1 THEN one END AS config, CASE WHEN n = 1 THEN 'selected' WHEN n > 1 THEN 'multiple_candidates' ELSE 'no_uses_edition' END AS outcome FROM orders LEFT JOIN h ON request = o_orderkey""")
+def select_config(spark, sf_dir):
+    """Orders as requests on their date; their parts are candidates with a validity of their own, every fifth open-ended."""
+    requests = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("request"), F.to_date("o_orderdate").alias("day"))
+    candidates = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("request"), F.col("l_partkey").alias("config"))
+    start = F.date_add(F.lit("1993-01-01").cast("date"), (F.col("p_partkey") * 13 % 2500).cast("int"))
+    end = F.when(F.col("p_partkey") % 5 != 0, F.date_add(start, (F.col("p_size") * 40).cast("int")))
+    return links.select_config(requests, candidates, read(spark, sf_dir, "part").select(F.col("p_partkey").alias("config"), start.alias("valid_from"), end.alias("valid_to")))
+
+
+RANGES = "SELECT n_regionkey AS category, n_nationkey, chr(CAST(65 + n_nationkey % 26 AS INTEGER)) AS lo_letter, n_nationkey * 3 % 60 AS lo_major, chr(CAST(65 + least(25, n_nationkey % 26 + n_regionkey % 3) AS INTEGER)) AS hi_letter, n_nationkey * 3 % 60 + 30 AS hi_major, CASE WHEN n_nationkey % 4 = 3 THEN 'exclude' ELSE 'include' END AS role, n_nationkey % 6 <> 5 AS accepted FROM nation"
+CODES = "SELECT DISTINCT chr(CAST(65 + p_partkey % 26 AS INTEGER)) AS letter, CAST(p_size AS INTEGER) AS major FROM part"
+
+
+def code_hits(spark, sf_dir):
+    k, r = F.col("n_nationkey"), F.col("n_regionkey")
+    ranges = read(spark, sf_dir, "nation").select(F.struct(r.alias("category"), F.when(k % 4 == 3, "exclude").otherwise("include").alias("role"), (k % 6 != 5).alias("accepted")).alias("category"), F.char(65 + k % 26).alias("lo_letter"), (k * 3 % 60).alias("lo_major"), F.char(F.least(F.lit(90), 65 + k % 26 + r % 3)).alias("hi_letter"), (k * 3 % 60 + 30).alias("hi_major"))
+    codes = read(spark, sf_dir, "part").select(F.char(65 + F.col("p_partkey") % 26).alias("letter"), F.col("p_size").alias("major")).distinct().withColumn("code", F.concat("letter", F.lpad(F.col("major").cast("string"), 2, "0")))
+    return codes, links.codes_in_ranges(codes, ranges).select("code", "category.*")
+
+
+@query(f"""WITH r AS ({RANGES}), c AS (SELECT *, letter || lpad(CAST(major AS VARCHAR), 2, '0') AS code FROM ({CODES})),
+h AS (SELECT code, category, bool_or(role = 'exclude' AND accepted) AS o, bool_or(role = 'include' AND accepted) AS i, bool_or(NOT accepted) AS u FROM c JOIN r ON (letter, major) >= (lo_letter, lo_major) AND (letter, major) <= (hi_letter, hi_major) GROUP BY 1, 2)
+SELECT code, r_regionkey AS category, CASE WHEN o THEN 'false' WHEN u THEN 'unknown' WHEN i THEN 'true' ELSE 'false' END AS answer FROM c CROSS JOIN region LEFT JOIN h USING (code) WHERE h.category = r_regionkey
+UNION ALL SELECT code, r_regionkey, 'false' FROM c CROSS JOIN region WHERE (code, r_regionkey) NOT IN (SELECT code, category FROM h)""")
+def membership(spark, sf_dir):
+    """Which regions' code sets hold a code; nations are the claims, with ranges across letters."""
+    codes, hits = code_hits(spark, sf_dir)
+    asked = codes.select("code", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("category"))
+    return links.membership(hits, asked, F.lit(True)).withColumn("category", F.col("category").cast("int"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT s_suppkey AS src, s_suppkey // 3 AS dst FROM supplier WHERE s_suppkey > 0),
+t AS (SELECT src AS root, src AS node, 0 AS depth FROM e UNION SELECT 0, 0, 0 UNION SELECT root, dst, depth + 1 FROM t JOIN e ON node = src) SELECT root, node, depth FROM t""")
+def category_closure(spark, sf_dir):
+    """All ancestors of every supplier in a tree of three branches."""
+    edges = read(spark, sf_dir, "supplier").where("s_suppkey > 0").select(F.col("s_suppkey").alias("src"), F.expr("s_suppkey div 3").alias("dst"))
+    return graph.closure(edges)
+
+
+@query("""WITH RECURSIVE e AS (SELECT s_suppkey AS src, (s_suppkey * 7 + 3) % (SELECT count(*) FROM supplier) AS dst FROM supplier WHERE s_suppkey % 5 <> 0),
+t AS (SELECT src AS root, dst AS node FROM e UNION SELECT root, dst FROM t JOIN e ON node = src) SELECT root AS node FROM t WHERE root = node""")
+def scope_cycles(spark, sf_dir):
+    """Suppliers on a cycle of a graph with one edge each."""
+    s = read(spark, sf_dir, "supplier")
+    n = s.agg(F.count("*").alias("n"))
+    edges = s.where("s_suppkey % 5 <> 0").join(F.broadcast(n)).select(F.col("s_suppkey").alias("src"), ((F.col("s_suppkey") * 7 + 3) % F.col("n")).alias("dst"))
+    return graph.on_cycles(edges)
+
+
+DOC = "sha256(coalesce(text, chr(0)) || '|' || coalesce(lang, chr(0)))"
+
+
+def doc_hash():
+    return F.sha2(F.concat(F.coalesce("text", F.lit("\x00")), F.lit("|"), F.coalesce("lang", F.lit("\x00"))), 256)
+
+
+@query("""WITH e AS (SELECT source, doc_id, sha256(coalesce(text, chr(0)) || '|' || coalesce(lang, chr(0))) AS d FROM documents)
+SELECT source, count(*) AS members, min(d) AS least, max(d) AS most FROM e GROUP BY 1""")
+def release_members(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("source", doc_hash().alias("d")).groupBy("source").agg(F.count("*").alias("members"), F.min("d").alias("least"), F.max("d").alias("most"))
+
+
+@query()
+def release_freeze(spark, sf_dir):
+    """A content hash for every source as a release of its documents."""
+    return links.freeze(read(spark, sf_dir, "documents"), "source", "doc_id", doc_hash())
+
+
+def snapshots(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select("doc_id", doc_hash().alias("digest"))
+    return d.where("doc_id % 10 <> 0"), d.where("doc_id % 7 <> 0").withColumn("digest", F.when(F.col("doc_id") % 11 == 0, F.concat(F.lit("x"), "digest")).otherwise(F.col("digest")))
+
+
+SNAPS = f"WITH d AS (SELECT doc_id, {DOC} AS digest FROM documents), a AS (SELECT * FROM d WHERE doc_id % 10 <> 0), b AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'x' || digest ELSE digest END AS digest FROM d WHERE doc_id % 7 <> 0)"
+
+
+@query(SNAPS + " SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN a.doc_id IS NULL THEN 'added' WHEN b.doc_id IS NULL THEN 'removed' ELSE 'corrected' END AS change FROM a FULL JOIN b ON a.doc_id = b.doc_id WHERE a.digest IS DISTINCT FROM b.digest")
+def release_diff(spark, sf_dir):
+    return links.diff(*snapshots(spark, sf_dir), "doc_id", "digest")
+
+
+@query(SNAPS + " SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN a.doc_id IS NULL THEN 'extra' WHEN b.doc_id IS NULL THEN 'missing' WHEN a.digest = b.digest THEN 'byte_identical' ELSE 'hash_mismatch' END AS status FROM a FULL JOIN b ON a.doc_id = b.doc_id")
+def verify_copy(spark, sf_dir):
+    return links.verify_copy(*snapshots(spark, sf_dir), "doc_id", "digest")
+
+
+@query("""WITH n AS (SELECT 'note-' || p_brand AS notice, p_partkey AS c FROM part WHERE p_size % 9 = 0), h AS (SELECT l_orderkey AS request, list_sort(list(DISTINCT notice)) AS notices FROM lineitem JOIN n ON c = l_partkey GROUP BY 1)
+SELECT o_orderkey AS request, array_to_string(notices, ',') AS notices, notices IS NULL AS allowed FROM orders LEFT JOIN h ON request = o_orderkey""")
+def service_allowed(spark, sf_dir):
+    """Orders whose parts are named by an open notice of their brand."""
+    notices = read(spark, sf_dir, "part").where("p_size % 9 = 0").groupBy("p_brand").agg(F.collect_list("p_partkey").alias("affects")).select(F.concat(F.lit("note-"), "p_brand").alias("notice"), "affects", F.lit(True).alias("open"))
+    asked = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("request"), F.col("l_partkey").alias("coverage"))
+    requests = asked.unionByName(read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("request"), F.lit(None).cast("bigint").alias("coverage")))
+    done = links.notices_for(requests, notices)
+    return done.select("request", F.array_join("notices", ",").alias("notices"), "allowed").distinct()
+
+
+def observations(spark, sf_dir):
+    """Events as fetches of (user, event type): every fourth fails, every ninth is not modified."""
+    e = read(spark, sf_dir, "events")
+    status = F.when(F.col("event_id") % 4 == 0, F.lit(None).cast("int")).when(F.col("event_id") % 9 == 0, 304).otherwise(200)
+    return e.select("event_id", "ts", "user_id", "event_type", status.alias("status"), (F.floor("value") % 5).cast("string").alias("digest"))
+
+
+OBS = "SELECT event_id, ts, user_id, event_type, CASE WHEN event_id % 4 = 0 THEN NULL WHEN event_id % 9 = 0 THEN 304 ELSE 200 END AS status, CAST(CAST(floor(value) AS BIGINT) % 5 AS VARCHAR) AS digest FROM events"
+
+
+@query(f"""WITH o AS ({OBS}), b AS (SELECT *, last_value(CASE WHEN status = 200 THEN digest END IGNORE NULLS) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM o)
+SELECT event_id, CASE WHEN status = 304 AND p IS NOT NULL THEN 'unchanged' WHEN status IS NULL OR status <> 200 THEN 'invalid' WHEN p IS NULL THEN 'new' WHEN p = digest THEN 'unchanged_same_hash' ELSE 'changed' END AS decision FROM b""")
+def change_decisions(spark, sf_dir):
+    return history.change_decisions(observations(spark, sf_dir), ["user_id", "event_type"], ["ts", "event_id"], "status", "digest").select("event_id", "decision")
+
+
+FAILS = f"""WITH o AS (SELECT *, event_type IN ('error', 'signup', 'view') AS f FROM ({OBS})), i AS (SELECT *, sum(CASE WHEN f THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM o),
+r AS (SELECT event_id, f, CAST(sum(CASE WHEN f THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, g ORDER BY ts, event_id) AS BIGINT) AS failures FROM i)"""
+
+
+@query(FAILS + " SELECT event_id, failures FROM r")
+def consecutive_failures(spark, sf_dir):
+    return history.failure_runs(observations(spark, sf_dir), ["user_id"], ["ts", "event_id"], F.col("event_type").isin("error", "signup", "view")).select("event_id", "failures")
+
+
+@query(FAILS + " SELECT event_id FROM r WHERE f AND failures = 3")
+def third_failure_alerts(spark, sf_dir):
+    return history.failure_runs(observations(spark, sf_dir), ["user_id"], ["ts", "event_id"], F.col("event_type").isin("error", "signup", "view")).where("alert").select("event_id")
+
+
+STATE = f"SELECT user_id, event_type, arg_max(digest, event_id) FILTER (status = 200) AS digest, max(event_id) FILTER (status IN (200, 304)) AS verified, max(event_id) AS seen FROM ({OBS}) GROUP BY 1, 2"
+
+
+@query(STATE)
+def crawl_state(spark, sf_dir):
+    return history.crawl_state(observations(spark, sf_dir), ["user_id", "event_type"], F.col("event_id"), "status", "digest")
+
+
+@query(STATE)
+def crawl_state_stream(spark, sf_dir):
+    """The same state kept by a stateful stream over the event files."""
+    return streams.crawl_state(spark, sf_dir)
+
+
+@query("SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS used FROM events GROUP BY 1, 2")
+def usage_stream(spark, sf_dir):
+    """Daily totals per user kept by a windowed stream."""
+    return streams.daily_usage(spark, sf_dir)
+
+
+@query("SELECT user_id, max(ts) FILTER (event_type <> 'error') AS last_success, max(ts) FILTER (event_type = 'error') AS last_failure, count(*) AS n FROM events GROUP BY 1")
+def source_status(spark, sf_dir):
+    bad = F.col("event_type") == "error"
+    return read(spark, sf_dir, "events").groupBy("user_id").agg(F.max(F.when(~bad, F.col("ts"))).alias("last_success"), F.max(F.when(bad, F.col("ts"))).alias("last_failure"), F.count("*").alias("n"))
+
+
+LEDGER = "SELECT event_id AS seq, CASE WHEN event_id % 3 = 0 THEN 'reservation' WHEN event_id % 3 = 1 THEN 'settlement' ELSE 'pre_ledger_usage' END AS kind, CASE WHEN event_id % 3 = 1 AND event_id % 5 <> 0 THEN event_id - 1 END AS reservation_seq, CAST(round(value * 100) AS BIGINT) AS amount, user_id, CAST(ts AS DATE) AS day FROM events"
+
+
+def ledger(spark, sf_dir):
+    """Events as ledger records in threes: a reservation, usually its settlement, and usage from before the ledger."""
+    i = F.col("event_id")
+    return read(spark, sf_dir, "events").select(i.alias("seq"), F.when(i % 3 == 0, "reservation").when(i % 3 == 1, "settlement").otherwise("pre_ledger_usage").alias("kind"), F.when((i % 3 == 1) & (i % 5 != 0), i - 1).alias("reservation_seq"), F.round(F.col("value") * 100).cast("bigint").alias("amount"), "user_id", F.to_date("ts").alias("day"))
+
+
+USAGE = f"""WITH l AS ({LEDGER}), s AS (SELECT reservation_seq AS seq, max(amount) AS settled FROM l WHERE kind = 'settlement' GROUP BY 1),
+u AS (SELECT user_id, day, least(amount, coalesce(settled, amount)) AS used, CASE WHEN settled IS NULL THEN 1 ELSE 0 END AS open FROM l LEFT JOIN s USING (seq) WHERE kind = 'reservation' UNION ALL SELECT user_id, day, amount, 0 FROM l WHERE kind = 'pre_ledger_usage')
+SELECT user_id, day, CAST(sum(used) AS BIGINT) AS used, count(*) AS n, CAST(sum(open) AS BIGINT) AS open FROM u GROUP BY 1, 2"""
+
+
+@query(USAGE)
+def usage_totals(spark, sf_dir):
+    return usage.usage(ledger(spark, sf_dir), ["user_id", "day"])
+
+
+@query(USAGE)
+def usage_checkpoint(spark, sf_dir):
+    """A checkpoint of the older records merged with the newer; equal to the full totals."""
+    rows = ledger(spark, sf_dir)
+    third = F.floor(F.col("seq") / 3) % 2 == 0  # a reservation and its settlement fall on one side
+    by = ["user_id", "day"]
+    return usage.merge_totals(usage.usage(rows.where(third), by), usage.usage(rows.where(~third), by), by)
+
+
+@query("""WITH c AS (SELECT event_id, user_id, coalesce(sum(CAST(round(value * 100) AS BIGINT)) OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM events)
+SELECT event_id, CAST(before AS BIGINT) AS spent_before, before >= 5000 AS cap_reached FROM c""")
+def cap_before_call(spark, sf_dir):
+    e = read(spark, sf_dir, "events").withColumn("day", F.to_date("ts")).withColumn("cost", F.round(F.col("value") * 100).cast("bigint"))
+    return history.running_before(e, ["user_id", "day"], ["ts", "event_id"], "cost", "spent_before").select("event_id", F.col("spent_before").cast("bigint").alias("spent_before"), (F.col("spent_before") >= 5000).alias("cap_reached"))
+
+
+@query("""WITH a AS (SELECT event_id, user_id, ts, max(ts) OVER (PARTITION BY user_id ORDER BY event_id * 7919 % 10007, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM events)
+SELECT event_id FROM a WHERE ts <= before""")
+def out_of_order(spark, sf_dir):
+    """Events that arrive, in a shuffled order, after a later one of their user."""
+    e = read(spark, sf_dir, "events").withColumn("arrived", F.struct(F.col("event_id") * 7919 % 10007, F.col("event_id")))
+    return history.out_of_order(e, ["user_id"], "arrived", "ts").select("event_id")
+
+
+@query("SELECT l_returnflag AS layer, l_linestatus AS org, count(*) FILTER (l_discount > 0.03) AS acquired, count(*) AS denominator FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag))")
+def coverage_layers(spark, sf_dir):
+    """Counts per layer and organisation and per layer, never averaged ratios."""
+    li = read(spark, sf_dir, "lineitem")
+    return li.groupingSets([[F.col("l_returnflag"), F.col("l_linestatus")], [F.col("l_returnflag")]], F.col("l_returnflag"), F.col("l_linestatus")).agg(F.count(F.when(F.col("l_discount") > 0.03, 1)).alias("acquired"), F.count("*").alias("denominator")).withColumnsRenamed({"l_returnflag": "layer", "l_linestatus": "org"})
+
+
+@query("""SELECT p_partkey, p_brand, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY CAST(round(p_retailprice * 100) AS BIGINT), p_partkey) AS INTEGER) AS place, NULL AS reason FROM part WHERE p_size % 4 <> 0
+UNION ALL SELECT p_partkey, p_brand, NULL, 'not_comparable' FROM part WHERE p_size % 4 = 0""")
+def price_order(spark, sf_dir):
+    """Prices in order within one comparison basis; rows that cannot be compared stay, with a reason."""
+    from pyspark.sql import Window
+
+    p = read(spark, sf_dir, "part")
+    ok = F.col("p_size") % 4 != 0
+    placed = p.where(ok).withColumn("place", F.row_number().over(Window.partitionBy("p_brand").orderBy(F.round(F.col("p_retailprice") * 100).cast("bigint"), "p_partkey")))
+    return placed.select("p_partkey", "p_brand", "place", F.lit(None).cast("string").alias("reason")).union(p.where(~ok).select("p_partkey", "p_brand", F.lit(None).cast("int"), F.lit("not_comparable")))
+
+
+@query("""WITH k AS (SELECT event_id, event_type, unnest(json_keys(props)) AS f FROM events)
+SELECT event_id, string_agg(v, ',' ORDER BY v) AS violations FROM (
+ SELECT event_id, 'unknown_event' AS v FROM events WHERE event_type = 'signup' UNION ALL
+ SELECT event_id, 'not_allowed:' || f FROM k WHERE event_type = 'error' UNION ALL
+ SELECT event_id, 'missing:price' FROM events WHERE event_type = 'purchase') GROUP BY 1""")
+def check_events(spark, sf_dir):
+    """Event fields against an allow list that lacks signups, forbids k in errors and asks purchases for a price."""
+    allowed = spark.createDataFrame([("view", "k", True), ("click", "k", False), ("purchase", "k", False), ("purchase", "price", True), ("error", "code", False)], "kind string, field string, required boolean")
+    e = read(spark, sf_dir, "events").withColumn("fields", F.from_json("props", "map<string,string>"))
+    return checks.check_events(e, allowed).where("size(violations) > 0").select("event_id", F.array_join("violations", ",").alias("violations"))
+
+
+@query("""WITH v AS (SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN ',balance' ELSE '' END || CASE WHEN NOT regexp_matches(c_name, '^Customer#[0-9]*[02468]$') THEN ',name' ELSE '' END || CASE WHEN c_mktsegment NOT IN ('BUILDING', 'MACHINERY') THEN ',segment' ELSE '' END AS v FROM customer)
+SELECT c_custkey, substr(v, 2) AS violations FROM v WHERE v <> ''""")
+def table_constraints(spark, sf_dir):
+    c = read(spark, sf_dir, "customer")
+    found = checks.violations(balance=F.col("c_acctbal") >= 0, name=F.col("c_name").rlike(r"\ACustomer#[0-9]*[02468]\z"), segment=F.col("c_mktsegment").isin("BUILDING", "MACHINERY"))
+    return c.select("c_custkey", F.array_join(found, ",").alias("violations")).where("violations <> ''")
+
+
+@query("SELECT conv_id, turn FROM conversations WHERE regexp_matches(text, '(^|[^a-z0-9_])(contract|person|upload|del|consent|assume):', 'i') UNION ALL SELECT doc_id, NULL FROM documents WHERE regexp_matches('x person:' || text, '(^|[^a-z0-9_])(contract|person|upload|del|consent|assume):', 'i') AND doc_id % 50 = 0")
+def private_id_scan(spark, sf_dir):
+    """Turns with a private id, and documents of a sample that one was written into."""
+    t = read(spark, sf_dir, "conversations").where(X.has_private_id(F.col("text"))).select("conv_id", "turn")
+    d = read(spark, sf_dir, "documents").where("doc_id % 50 = 0").where(X.has_private_id(F.concat(F.lit("x person:"), "text")))
+    return t.union(d.select("doc_id", F.lit(None).cast("bigint")))
+
+
+@query("""WITH p AS (SELECT page_id, regexp_replace(url, '#.*$', '') AS u FROM pages), q AS (SELECT page_id, split_part(u, '?', 1) AS b, list_filter(string_split(split_part(u, '?', 2), '&'), lambda x: x <> '' AND lower(split_part(x, '=', 1)) NOT IN ('utm_source', 'utm_medium', 'ref', 'jsessionid', 'phpsessid', 'sid')) AS k FROM p)
+SELECT page_id, CASE WHEN len(k) = 0 THEN b ELSE b || '?' || array_to_string(k, '&') END AS url FROM q""")
+def clean_links(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", X.clean_link(F.col("url")).alias("url"))
+
+
+@query("WITH d AS (SELECT sha256(text) AS h, doc_id FROM documents WHERE text IS NOT NULL) SELECT h AS digest, count(*) AS n, min(doc_id) AS first_id FROM d GROUP BY 1 HAVING count(*) > 1")
+def duplicate_rows(spark, sf_dir):
+    return read(spark, sf_dir, "documents").where("text is not null").groupBy(F.sha2("text", 256).alias("digest")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
+
+
+@query("""WITH a AS (SELECT o_custkey AS k, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1), b AS (SELECT o_custkey AS k, count(*) AS n FROM orders WHERE o_orderstatus = 'O' GROUP BY 1)
+SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NULL THEN 'added' WHEN b.k IS NULL THEN 'removed' WHEN b.n < a.n THEN 'reduced' WHEN b.n > a.n THEN 'increased' ELSE 'unchanged' END AS item FROM a FULL JOIN b ON a.k = b.k""")
+def plan_diff(spark, sf_dir):
+    """The current and the proposed items side by side; losses always show."""
+    o = read(spark, sf_dir, "orders")
+    a, b = (o.where(F.col("o_orderstatus") == s).groupBy(F.col("o_custkey").alias("k")).agg(F.count("*").alias(n)) for s, n in (("F", "a"), ("O", "b")))
+    item = F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").when(F.col("b") < F.col("a"), "reduced").when(F.col("b") > F.col("a"), "increased").otherwise("unchanged")
+    return a.join(b, "k", "full_outer").select("k", item.alias("item"))
+
+
+@query("""WITH c AS (SELECT o_orderkey, o_orderstatus = 'F' AS linked, count(DISTINCT l_suppkey) AS e, bool_or(l_discount > 0.08) AS d, max(l_quantity) AS q FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2)
+SELECT o_orderkey, CASE WHEN e = 0 THEN 'no_uses_edition' WHEN e > 6 THEN 'competing_editions' WHEN NOT linked THEN 'link_unapproved' WHEN d THEN 'edition_identity_unconfirmed' WHEN q < 20 THEN 'no_rule' ELSE 'linked' END AS outcome FROM c""")
+def resolve_chain(spark, sf_dir):
+    """Requests that are linked, or the first of the ordered reasons why not, whatever the order of their rows."""
+    li = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count_distinct("l_suppkey").alias("e"), F.bool_or(F.col("l_discount") > 0.08).alias("d"), F.max("l_quantity").alias("q"))
+    c = read(spark, sf_dir, "orders").join(li, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    why = links.first_reason(("no_uses_edition", F.col("e").isNull()), ("competing_editions", F.col("e") > 6), ("link_unapproved", F.col("o_orderstatus") != "F"), ("edition_identity_unconfirmed", F.col("d")), ("no_rule", F.col("q") < 20))
+    return c.select("o_orderkey", why.alias("outcome"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return _QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return _SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return next(iter(queries().values()))(spark, sf_dir)
+    return rule_payout(spark, sf_dir)
