@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,7 +44,7 @@ def pieces(n: int, sequence: int = SEQUENCE) -> list[tuple[int, int]]:
 class ChunkIds:
     """Token ids of chunks without white space, as little-endian bytes; chunks and their words are remembered up to a bound."""
 
-    def __init__(self, path: str, limit: int = 150_000):
+    def __init__(self, path: str, limit: int = 400_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks are the parallelism
@@ -61,7 +62,7 @@ class ChunkIds:
         return self.letters[c]
 
     def encode(self, text: str) -> bytes:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __call__(self, chunks: list[str]) -> bytes:
         new = {c for c in chunks if c not in self.chunks}
@@ -79,7 +80,7 @@ class ChunkIds:
             for word in {w for w, _ in parts.values() if w is not None}:
                 if word not in self.words:  # a word of letters is one pre-token, which the model cuts
                     spelt = word if word.isascii() else "".join(map(self.letter, word))
-                    self.words[word] = np.array([t.id for t in self.tok.model.tokenize(spelt)], dtype="<u4").tobytes()
+                    self.words[word] = array("I", [t.id for t in self.tok.model.tokenize(spelt)]).tobytes()
             for c, (word, rest) in parts.items():
                 if word is None:
                     self.chunks[c] = self.encode(c)
