@@ -50,10 +50,8 @@ class Shard:
         err = np.zeros(self.d, dtype=np.int64)
         np.maximum.at(err, self.dim, slack)
         order = np.argsort(-gain, kind="stable")
-        left = np.zeros((len(order) // every + 2, self.d), dtype=np.int64)
         acc = np.zeros(self.n, dtype=np.int64)  # upper bound of what the processed dimensions give over their floors
         alive = np.flatnonzero(self.ids != own) if own is not None else np.arange(self.n)
-        done = 0
         for done in range(0, len(order), every):
             for s in order[done : done + every]:
                 acc[self.rows[s]] += gain[s]
@@ -68,7 +66,6 @@ class Shard:
             alive = alive[acc[alive] + best.sum() >= kth]
             if len(alive) <= 4 * k:
                 break
-        del left
         score = self.x[alive] @ q.astype(np.int64)
         top = np.lexsort((self.ids[alive], -score))[:k]
         return [(int(self.ids[alive[i]]), int(score[i])) for i in top]
@@ -98,6 +95,8 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, shard: int = 8192, qu
 
     def run(key, g: pd.DataFrame) -> pd.DataFrame:
         cand, ask = g[~g["asks"]].sort_values("vec"), g[g["asks"]]
+        if cand.empty or ask.empty:
+            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
         x = np.array(cand["x"].tolist(), dtype=np.int64).reshape(len(cand), -1)
         index = Shard(cand["vec"].to_numpy(), x)
         out = [(v, r, s) for v, y in zip(ask["vec"], ask["x"], strict=True) for r, s in index.search(np.asarray(y, dtype=np.int64), k, v)]
