@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import materialize
+from lodestone.llm.common import materialize, trimmed
 
 SEQUENCE = 2048
 
@@ -102,6 +102,7 @@ def token_pieces(text: Column, path: str | None = None, end: int = 1, sequence:
     last = np.array([end], dtype="<u4").tobytes()
 
     @F.pandas_udf(kind)
+    @trimmed
     def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encode = ChunkIds(path)
         for batch in batches:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import components, materialize, mix64, unit
+from lodestone.llm.common import components, materialize, mix64, trimmed, unit
 
 WORDS, THRESHOLD, BANDS, ROWS = 5, 0.8, 18, 5
 _WORD = re.compile(r"\w+")
@@ -43,7 +43,7 @@ def shingle_sets(texts: list[str], words: int, cache: dict[str, int]) -> tuple[n
             found = [text.strip()] if text and text.strip() else []
         if not found:
             continue
-        if len(cache) > 1_000_000:
+        if len(cache) > 300_000:
             cache.clear()
         for w in found:
             if w not in cache:
@@ -122,6 +122,7 @@ def signatures(docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: in
     """
     k = bands * rows
 
+    @trimmed
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache: dict[str, int] = {}
         for part in parts:
@@ -150,6 +151,7 @@ def signatures(docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: in
 def _sets(docs: DataFrame, words: int) -> DataFrame:
     """(doc, hashes): the sorted shingle hashes and counts of each text, as bytes."""
 
+    @trimmed
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache: dict[str, int] = {}
         for part in parts:
@@ -206,6 +208,7 @@ def _compare(bands: int, rows: int, threshold: float, weighting: str):
     k = bands * rows
     least = (threshold - 5.0 * (threshold * (1.0 - threshold) / k) ** 0.5) * k
 
+    @trimmed
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for g in _groups(parts, ["key", "part"]):
             g = g.sort_values("doc")

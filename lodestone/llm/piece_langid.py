@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import crc_mod
+from lodestone.llm.common import crc_mod, trimmed
 
 _WORD = re.compile(r"[^\W\d_]+")
 MARK, CHUNK, LONGEST, SCALE = "▁", 32, 8, 64.0
@@ -72,8 +72,8 @@ class PieceModel:
                 piece = w[a : a + CHUNK]
                 by.setdefault(len(piece), []).append((k, piece))
         for n, found in by.items():
-            for lo in range(0, len(found), 20_000):
-                some = found[lo : lo + 20_000]
+            for lo in range(0, len(found), 5_000):
+                some = found[lo : lo + 5_000]
                 spans, rows = self.lattice([w for _, w in some])
                 z = self.forward(spans, rows, n)[:, n]
                 np.add.at(out, [k for k, _ in some], np.log(z) - n * np.log(SCALE))
@@ -137,6 +137,7 @@ def predict(text: Column, model: PieceModel | None) -> Column:
         return F.struct(F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
 
     @F.pandas_udf(kind)
+    @trimmed
     def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         known: dict[str, int] = {}
         table = np.zeros((0, len(model.langs)))
@@ -144,7 +145,7 @@ def predict(text: Column, model: PieceModel | None) -> Column:
             pred, score = [], []
             for lo in range(0, len(batch), 500):
                 found = [_WORD.findall(t.lower()) if t else [] for t in batch.iloc[lo : lo + 500]]
-                if len(known) > 500_000:
+                if len(known) > 200_000:
                     known, table = {}, table[:0]
                 new = list({w for ws in found for w in ws if w not in known})
                 if new:
