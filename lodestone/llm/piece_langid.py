@@ -163,7 +163,8 @@ def predict(text: Column, model: PieceModel | None) -> Column:
                     score.append(float(1.0 / np.exp(ll - ll[best]).sum()))
             yield pd.DataFrame({"lang_pred": pred, "score": score})
 
-    return judge(text)
+    # so marked, a filter on the answer is not pushed below it, which would judge every text twice in twice the workers
+    return judge.asNondeterministic()(text)
 
 
 def identify(docs: DataFrame, sample: int = 400, path: str | None = None, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> DataFrame:
