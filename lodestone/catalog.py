@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import rules as R
 from lodestone.functions import text as X
-from lodestone.operators import checks, graph, history, links, usage
+from lodestone.operators import checks, graph, history, links, registry, usage
 from lodestone.streaming import streams
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -432,6 +432,108 @@ def resolve_chain(spark, sf_dir):
     return c.select("o_orderkey", why.alias("outcome"))
 
 
+@query("""WITH l AS (SELECT o_custkey, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) AS found FROM orders GROUP BY 1), e AS (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'F' WHEN 1 THEN 'O' ELSE 'P' END AS stated FROM customer)
+SELECT c_custkey, stated, found FROM e LEFT JOIN l ON o_custkey = c_custkey WHERE stated IS DISTINCT FROM found""")
+def latest_access_mismatches(spark, sf_dir):
+    """Customers whose stated status is not that of their latest order."""
+    k = F.col("c_custkey")
+    stated = F.when(k % 3 == 0, "F").when(k % 3 == 1, "O").otherwise("P")
+    log = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderdate", "o_orderkey", F.col("o_orderstatus").alias("found"))
+    return registry.latest_access_mismatches(read(spark, sf_dir, "customer").select(k, stated.alias("stated")), log, "c_custkey", ["o_orderdate", "o_orderkey"], "stated", "found")
+
+
+@query("SELECT p_partkey, s_suppkey FROM part JOIN supplier ON s_suppkey = p_partkey % (SELECT count(*) FROM supplier) WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_suppkey = s_suppkey)")
+def source_without_observation(spark, sf_dir):
+    """Part and supplier pairs of a register that no line item backs."""
+    n = read(spark, sf_dir, "supplier").agg(F.count("*").alias("n"))
+    pairs = read(spark, sf_dir, "part").join(F.broadcast(n)).select("p_partkey", (F.col("p_partkey") % F.col("n")).alias("s_suppkey"))
+    real = pairs.join(read(spark, sf_dir, "supplier").select("s_suppkey"), "s_suppkey", "left_semi")
+    log = read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("p_partkey"), F.col("l_suppkey").alias("s_suppkey"))
+    return registry.without_observation(real, log, ["p_partkey", "s_suppkey"]).select("p_partkey", "s_suppkey")
+
+
+@query("""WITH a AS (SELECT o_custkey AS k, count(*) AS times, bool_or(o_orderpriority = '1-URGENT') AS x FROM orders WHERE o_orderkey % 9 = 0 GROUP BY 1), r AS (SELECT c_custkey AS k FROM customer WHERE c_custkey % 4 <> 1)
+SELECT coalesce(a.k, r.k) AS k, coalesce(times, 0) AS times, CASE WHEN a.k IS NULL THEN 'unlisted' WHEN x THEN 'excluded' WHEN times > 1 THEN 'duplicate' WHEN r.k IS NOT NULL THEN 'matched' ELSE 'missing' END AS outcome FROM a FULL JOIN r ON a.k = r.k""")
+def authority_crosscheck(spark, sf_dir):
+    """Customers listed by their orders against a register that lacks every fourth."""
+    listed = read(spark, sf_dir, "orders").where("o_orderkey % 9 = 0").select(F.col("o_custkey").alias("k"), "o_orderpriority")
+    return registry.crosscheck(listed, read(spark, sf_dir, "customer").where("c_custkey % 4 <> 1").select(F.col("c_custkey").alias("k")), "k", F.col("o_orderpriority") == "1-URGENT")
+
+
+@query("""WITH u AS (SELECT user_id, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS used FROM events GROUP BY 1), c AS (SELECT u.*, CASE WHEN user_id % 6 = 5 THEN 0 ELSE 20000 + user_id * 300 END AS cap FROM u)
+SELECT user_id, used, CAST(cap - used AS BIGINT) AS headroom, used > cap AS over, used * 5 >= cap * 4 AS near FROM c""")
+def headroom(spark, sf_dir):
+    """What every user has left of a cap of their own; every sixth has no cap."""
+    e = read(spark, sf_dir, "events")
+    used = e.groupBy("user_id").agg(F.sum(F.round(F.col("value") * 100).cast("bigint")).alias("used"))
+    caps = e.select("user_id").distinct().where("user_id % 6 <> 5").withColumn("cap", 20000 + F.col("user_id") * 300)
+    return registry.headroom(used, caps, "user_id")
+
+
+@query("""SELECT date_trunc('month', ts)::DATE AS month, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cost, count(*) FILTER (event_type = 'error') AS failed, count(*) AS calls, sum(CAST(round(value * 100) AS BIGINT)) >= 1000000 AS cap_reached FROM events GROUP BY 1""")
+def call_cost(spark, sf_dir):
+    """Cost, failures and calls by month, and whether the month's cap is reached."""
+    cost = F.sum(F.round(F.col("value") * 100).cast("bigint"))
+    rows = read(spark, sf_dir, "events").groupBy(F.trunc("ts", "month").alias("month"))
+    return rows.agg(cost.alias("cost"), F.count(F.when(F.col("event_type") == "error", 1)).alias("failed"), F.count("*").alias("calls"), (cost >= 1000000).alias("cap_reached"))
+
+
+@query("""WITH h AS (SELECT user_id, event_id, sha256(event_id::VARCHAR || event_type) AS d, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq FROM events), g AS (SELECT *, CASE WHEN event_id % 13 = 0 THEN 'x' ELSE lag(d) OVER (PARTITION BY user_id ORDER BY seq) END AS prev FROM h),
+k AS (SELECT * FROM g WHERE event_id % 17 <> 0), l AS (SELECT *, lag(seq) OVER w AS ls, lag(d) OVER w AS ld FROM k WINDOW w AS (PARTITION BY user_id ORDER BY seq))
+SELECT event_id, CASE WHEN ls IS NOT NULL AND seq <> ls + 1 THEN 'sequence_gap' ELSE 'hash_differs' END AS reason FROM l WHERE (ls IS NOT NULL AND seq <> ls + 1) OR prev IS DISTINCT FROM ld""")
+def ledger_chain_breaks(spark, sf_dir):
+    """A hash chain of each user's events in which every 13th was altered and every 17th lost."""
+    from pyspark.sql import Window
+
+    by = Window.partitionBy("user_id").orderBy("event_id")
+    rows = read(spark, sf_dir, "events").select("user_id", "event_id", F.sha2(F.concat(F.col("event_id").cast("string"), "event_type"), 256).alias("d"), F.row_number().over(by).alias("seq"))
+    rows = rows.withColumn("prev", F.when(F.col("event_id") % 13 == 0, "x").otherwise(F.lag("d").over(by))).where("event_id % 17 <> 0")
+    return registry.chain_breaks(rows, ["user_id"], "seq", "d", "prev").select("event_id", "reason")
+
+
+@query("SELECT o_orderkey // 10 AS target, array_to_string(list_sort(list(DISTINCT o_orderkey)), ',') AS successors FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1 HAVING count(DISTINCT o_orderkey) > 1")
+def supersedes_forks(spark, sf_dir):
+    """Targets superseded by several orders."""
+    rows = read(spark, sf_dir, "orders").where("o_orderkey % 3 = 0").select("o_orderkey", F.expr("o_orderkey div 10").alias("target"))
+    return registry.forks(rows, "target", "o_orderkey").select("target", F.array_join(F.col("successors").cast("array<string>"), ",").alias("successors"))
+
+
+@query("SELECT c_custkey, c_mktsegment FROM customer WHERE c_mktsegment NOT IN (SELECT DISTINCT upper(p) FROM (SELECT unnest(['building', 'machinery', 'household']) AS p))")
+def vocabulary_check(spark, sf_dir):
+    """Customers of a segment that the code table lacks."""
+    codes = spark.createDataFrame([("BUILDING",), ("MACHINERY",), ("HOUSEHOLD",)], "code string")
+    return registry.outside_vocabulary(read(spark, sf_dir, "customer"), "c_mktsegment", codes, "code").select("c_custkey", "c_mktsegment")
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey > 100 ORDER BY o_orderkey LIMIT 50")
+def keyset_page(spark, sf_dir):
+    """The fifty orders after a cursor."""
+    return registry.page_after(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_orderkey", 100, 50)
+
+
+@query("""WITH c AS (SELECT conv_id, turn, text, length(text) AS n FROM conversations WHERE text IS NOT NULL)
+SELECT conv_id, turn, regexp_matches(text || ' ' || n || '.', '(?:^|[^0-9,.])(?:' || n || '|' || format('{:,}', n) || ')(?:$|[^0-9,.]|[,.](?:$|[^0-9]))') AS stated, regexp_matches(text || ' ' || n || '5', '(?:^|[^0-9,.])(?:' || n || '|' || format('{:,}', n) || ')(?:$|[^0-9,.]|[,.](?:$|[^0-9]))') AS longer FROM c""")
+def amount_in_passage(spark, sf_dir):
+    """Turns with their length written behind them: as a number of its own, and as the start of a longer one."""
+    c = read(spark, sf_dir, "conversations").where("text is not null").withColumn("n", F.length("text"))
+    own, long = F.concat("text", F.lit(" "), "n", F.lit(".")), F.concat("text", F.lit(" "), "n", F.lit("5"))
+    return c.select("conv_id", "turn", registry.has_amount(own, F.col("n")).alias("stated"), registry.has_amount(long, F.col("n")).alias("longer"))
+
+
+@query("SELECT DISTINCT l_orderkey FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size < 4")
+def affected_conclusions(spark, sf_dir):
+    """Orders that rest on a changed part."""
+    orders = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_partkey").alias("parts"))
+    return registry.dependents(read(spark, sf_dir, "part").where("p_size < 4"), orders, "p_partkey", "parts")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '2-HIGH')")
+def release_view(spark, sf_dir):
+    """The customers that a release, its members kept in arrays, lists."""
+    manifest = read(spark, sf_dir, "orders").where("o_orderpriority = '2-HIGH'").groupBy((F.col("o_orderkey") % 64).alias("part")).agg(F.collect_set("o_custkey").alias("members"))
+    return registry.release_view(read(spark, sf_dir, "customer"), manifest, "c_custkey", "members").select("c_custkey", "c_name")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return _QUERIES
 
