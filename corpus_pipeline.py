@@ -35,7 +35,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The words that the schedule takes: a document once for each round it is in, cut where a source's share ends within it."""
     rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()))
-    taken = source_mix.mix(rows, doc_id="__row").select(F.col("doc_id").alias("__row"), F.col("size").alias("__size"), F.explode(F.array("first", "second")).alias("__n")).where("__n > 0")
+    taken = source_mix.mix(rows, doc_id="__row", shuffle_by=docs.columns).select(F.col("doc_id").alias("__row"), F.col("size").alias("__size"), F.explode(F.array("first", "second")).alias("__n")).where("__n > 0")
     both = rows.join(taken, "__row")
     # the first n words: as many characters as the first n words and the white space between them have
     spans = F.expr(r"array_join(slice(regexp_extract_all(text, '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+', 0), 1, int(__n)), '')")

@@ -54,16 +54,18 @@ def _running(df: DataFrame, key: list[str], part: str, order: list, value: str,
     return done.withColumn(out, (F.col("_before") + F.col("_in")).cast("long")).drop("_in", "_before", "_part", *[f"_{k}" for k in key])
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, limit: float = LIMIT, seed: int = 17, text: str = "text", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, limit: float = LIMIT, seed: int = 17, text: str = "text", source: str = "source", doc_id: str = "doc_id", shuffle_by: list[str] | None = None) -> DataFrame:
     """doc_id, size, source_size, target, taken, first, second: one row per row of docs.
 
     size is the row's words, target its source's words to take, taken the words the schedule takes of
     the row; first and second are its words in the first and the second round through the source
     (taken = first + second).  Blocks hold total words / 50,000, but 16 to 1024 words.  A source's
     slots stop at `limit` rounds.  Null texts have size 0 and are never taken; a null source is a
-    source, last in order.  Repeated rows are shuffled like any other.  Reruns agree.
+    source, last in order.  Repeated rows are shuffled like any other.  Reruns agree: rows are shuffled
+    by the hash of their text and of the columns shuffle_by (doc_id if None), so where doc_id differs
+    from run to run, naming the other columns makes the mix the same up to equal rows.
     """
-    sized = materialize(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), words(F.col(text)).alias("size"), F.xxhash64(F.lit(seed), F.col(doc_id), F.xxhash64(F.col(text))).alias("h")))
+    sized = materialize(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), words(F.col(text)).alias("size"), F.xxhash64(F.lit(seed), *[F.col(c) for c in shuffle_by or [doc_id]], F.xxhash64(F.col(text))).alias("h")))
     by_source = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, limit)
     plan = materialize(by_source)
     total, wanted, n = plan.agg(F.sum("source_size"), F.sum("target"), F.count("*")).first()
