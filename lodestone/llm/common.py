@@ -39,16 +39,21 @@ def crc_mod(column: str, n: int):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n
 
 
+def give_back() -> None:
+    """Return freed memory to the system."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
+
+
 def trimmed(run):
     """run, a generator over batches, giving freed memory back to the system when it ends: Python workers live on between tasks."""
 
     @functools.wraps(run)
     def out(batches):
         yield from run(batches)
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (AttributeError, OSError):
-            pass  # another C library
+        give_back()
 
     return out
 
