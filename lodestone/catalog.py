@@ -534,6 +534,43 @@ def release_view(spark, sf_dir):
     return registry.release_view(read(spark, sf_dir, "customer"), manifest, "c_custkey", "members").select("c_custkey", "c_name")
 
 
+@query(f"""WITH m AS ({_SQL["membership"]}),
+p AS (SELECT a.r_regionkey AS a, b.r_regionkey AS b FROM region a JOIN region b ON a.r_regionkey <> b.r_regionkey),
+s AS (SELECT p.a, p.b, bool_or(x.answer = 'unknown' OR y.answer = 'unknown') AS u, count(*) FILTER (x.answer = 'true' AND y.answer = 'true') AS both_in, count(*) FILTER (x.answer = 'true' AND y.answer <> 'true') AS only_a, count(*) FILTER (y.answer = 'true' AND x.answer <> 'true') AS only_b
+ FROM p JOIN m x ON x.category = p.a JOIN m y ON y.category = p.b AND y.code = x.code GROUP BY 1, 2)
+SELECT p.a, p.b, CASE WHEN coalesce(u, true) THEN 'not_comparable' WHEN only_a = 0 AND only_b = 0 THEN 'same_scope' WHEN only_a = 0 THEN 'narrower' WHEN only_b = 0 THEN 'broader' WHEN both_in > 0 THEN 'overlaps' ELSE 'disjoint' END AS relation FROM p LEFT JOIN s USING (a, b)""")
+def scope_relation(spark, sf_dir):
+    """How the code sets of every two regions lie to each other, over all codes in use."""
+    r = read(spark, sf_dir, "region").select(F.col("r_regionkey").alias("a"))
+    pairs = r.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(4)))).where("a <> b")
+    return links.scope_relation(pairs, membership(spark, sf_dir))
+
+
+@query(f"SELECT status, count(*) AS n FROM ({_SQL['verify_copy']}) GROUP BY 1")
+def verify_counts(spark, sf_dir):
+    return links.status_counts(verify_copy(spark, sf_dir))
+
+
+@query(f"""WITH o AS ({OBS}), a AS (SELECT DISTINCT user_id, t.event_type FROM events CROSS JOIN (SELECT DISTINCT event_type FROM events) t),
+s AS (SELECT user_id, event_type, bool_or(status = 200) AS stored, max(ts) FILTER (status IN (200, 304)) AS verified FROM o GROUP BY 1, 2), n AS (SELECT max(ts) AS now FROM events)
+SELECT a.user_id, a.event_type, NOT coalesce(stored, false) OR a.user_id % 11 = 5 OR verified IS NULL OR epoch_us(now) - epoch_us(verified) >= 864000000000 AS due FROM a LEFT JOIN s USING (user_id, event_type), n""")
+def full_check_due(spark, sf_dir):
+    """Which (user, event type) must be fetched whole again, ten days after the last verification at the latest."""
+    e = read(spark, sf_dir, "events")
+    now, kinds = e.agg(F.max("ts").cast("timestamp"), F.collect_set("event_type")).first()
+    asked = e.select("user_id").distinct().withColumn("event_type", F.explode(F.lit(kinds)))
+    obs = observations(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    state = history.crawl_state(obs, ["user_id", "event_type"], F.col("ts"), "status", "digest").withColumn("retained", F.col("user_id") % 11 != 5)
+    return history.full_check_due(asked, state, ["user_id", "event_type"], F.lit(now), 864_000)
+
+
+@query(f"SELECT user_id, count(*) AS total, count(*) FILTER (event_id % 3 <> 0) AS new FROM ({OBS}) WHERE status IS NULL GROUP BY 1")
+def gap_summary(spark, sf_dir):
+    """Gaps of every user, and those since the counts last published, which held every third."""
+    gaps = observations(spark, sf_dir).where("status IS NULL")
+    return history.gap_summary(gaps, gaps.where("event_id % 3 = 0").groupBy("user_id").count(), "user_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return _QUERIES
 

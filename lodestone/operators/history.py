@@ -64,3 +64,21 @@ def out_of_order(obs: DataFrame, key: list[str], arrived: str, at: str) -> DataF
     """Observations that are not later than the latest one that arrived before."""
     before = F.max(at).over(Window.partitionBy(*key).orderBy(arrived).rowsBetween(Window.unboundedPreceding, -1))
     return obs.withColumn("latest_before", before).where(F.col(at) <= F.col("latest_before"))
+
+
+def full_check_due(asked: DataFrame, state: DataFrame, key: list[str], now: Column, every_s: int) -> DataFrame:
+    """asked with `due`: no state, no stored hash, the original not retained, never verified, or verified every_s seconds ago or more.
+
+    state (key, digest, retained, verified), one row per key.
+    """
+    age = F.unix_micros(now) - F.unix_micros("verified")
+    due = F.col("digest").isNull() | ~F.coalesce("retained", F.lit(False)) | F.col("verified").isNull() | (age >= every_s * 1_000_000)
+    return asked.join(state, key, "left").select(*key, due.alias("due"))
+
+
+def gap_summary(gaps: DataFrame, published: DataFrame, key: str) -> DataFrame:
+    """(key, total, new): all gaps of a key, and those beyond the count last published (key, count); fewer than published is an error."""
+    have = gaps.groupBy(key).agg(F.count("*").alias("_n"))
+    total, before = F.coalesce("_n", F.lit(0)), F.coalesce("count", F.lit(0))
+    new = F.when(total < before, F.raise_error(F.lit("gap log is behind the published count")).cast("bigint")).otherwise(total - before)
+    return have.join(published, key, "full_outer").select(key, total.alias("total"), new.alias("new"))

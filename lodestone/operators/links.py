@@ -87,3 +87,21 @@ def freeze(rows: DataFrame, release: str, member: str, digest: Column, buckets:
     each = rows.select(release, member, digest.alias("_d"), F.pmod(F.crc32(F.col(member).cast("string").cast("binary")), F.lit(buckets)).alias("_b"))
     part = each.groupBy(release, "_b").agg(F.count("*").alias("_n"), F.sha2(F.array_join(F.array_sort(F.collect_list("_d")), ""), 256).alias("_h"))
     return part.groupBy(release).agg(F.sum("_n").alias("members"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_b", "_h"))), lambda x: x["_h"]), ""), 256).alias("content_sha256"))
+
+
+def scope_relation(pairs: DataFrame, answers: DataFrame) -> DataFrame:
+    """(a, b, relation) of pairs of categories, from the answers (code, category, answer) over all codes.
+
+    Any unknown answer, or no code at all, makes a pair not comparable; two empty scopes are the same.
+    """
+    side = lambda name, out: answers.select(F.col("category").alias(name), "code", F.col("answer").alias(out))
+    x, y = F.col("_x") == "true", F.col("_y") == "true"
+    seen = pairs.join(side("a", "_x"), "a").join(side("b", "_y"), ["b", "code"]).groupBy("a", "b")
+    seen = seen.agg(F.bool_or((F.col("_x") == "unknown") | (F.col("_y") == "unknown")).alias("_unknown"), F.count_if(x & y).alias("_both"), F.count_if(x & ~y).alias("_a"), F.count_if(y & ~x).alias("_b"))
+    none_a, none_b = F.col("_a") == 0, F.col("_b") == 0
+    relation = F.when(F.coalesce("_unknown", F.lit(True)), "not_comparable").when(none_a & none_b, "same_scope").when(none_a, "narrower").when(none_b, "broader").when(F.col("_both") > 0, "overlaps").otherwise("disjoint")
+    return pairs.join(seen, ["a", "b"], "left").select("a", "b", relation.alias("relation"))
+
+
+def status_counts(report: DataFrame, status: str = "status") -> DataFrame:
+    return report.groupBy(status).agg(F.count("*").alias("n"))
