@@ -401,6 +401,15 @@ def private_id_scan(spark, sf_dir):
     return t.union(d.select("doc_id", F.lit(None).cast("bigint")))
 
 
+@query("SELECT conv_id, turn, NULL::BIGINT AS doc_id FROM conversations WHERE regexp_matches(text, '(^|[^a-z0-9_])(contract|person|upload|del|consent|assume):', 'i') UNION ALL SELECT NULL, NULL, doc_id FROM documents WHERE regexp_matches(text, '(^|[^a-z0-9_])(contract|person|upload|del|consent|assume):', 'i')")
+def private_id_scan_all(spark, sf_dir):
+    """Every turn and every document whose own text holds a private id."""
+    none = F.lit(None).cast("bigint")
+    t = read(spark, sf_dir, "conversations").where(X.has_private_id(F.col("text"))).select("conv_id", "turn", none.alias("doc_id"))
+    d = read(spark, sf_dir, "documents").where(X.has_private_id(F.col("text")))
+    return t.union(d.select(none, none, "doc_id"))
+
+
 @query("""WITH p AS (SELECT page_id, regexp_replace(url, '#.*$', '') AS u FROM pages), q AS (SELECT page_id, split_part(u, '?', 1) AS b, list_filter(string_split(split_part(u, '?', 2), '&'), lambda x: x <> '' AND lower(split_part(x, '=', 1)) NOT IN ('utm_source', 'utm_medium', 'ref', 'jsessionid', 'phpsessid', 'sid')) AS k FROM p)
 SELECT page_id, CASE WHEN len(k) = 0 THEN b ELSE b || '?' || array_to_string(k, '&') END AS url FROM q""")
 def clean_links(spark, sf_dir):
@@ -460,6 +469,14 @@ def authority_crosscheck(spark, sf_dir):
     return registry.crosscheck(listed, read(spark, sf_dir, "customer").where("c_custkey % 4 <> 1").select(F.col("c_custkey").alias("k")), "k", F.col("o_orderpriority") == "1-URGENT")
 
 
+@query("""WITH a AS (SELECT o_custkey AS k, count(*) AS times, bool_or(o_orderpriority = '1-URGENT') AS x FROM orders GROUP BY 1), r AS (SELECT c_custkey AS k FROM customer WHERE c_custkey % 4 <> 1)
+SELECT coalesce(a.k, r.k) AS k, coalesce(times, 0) AS times, CASE WHEN a.k IS NULL THEN 'unlisted' WHEN x THEN 'excluded' WHEN times > 1 THEN 'duplicate' WHEN r.k IS NOT NULL THEN 'matched' ELSE 'missing' END AS outcome FROM a FULL JOIN r ON a.k = r.k""")
+def authority_crosscheck_all(spark, sf_dir):
+    """Customers listed by all their orders against the same register."""
+    listed = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), "o_orderpriority")
+    return registry.crosscheck(listed, read(spark, sf_dir, "customer").where("c_custkey % 4 <> 1").select(F.col("c_custkey").alias("k")), "k", F.col("o_orderpriority") == "1-URGENT")
+
+
 @query("""WITH u AS (SELECT user_id, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS used FROM events GROUP BY 1), c AS (SELECT u.*, CASE WHEN user_id % 6 = 5 THEN 0 ELSE 20000 + user_id * 300 END AS cap FROM u)
 SELECT user_id, used, CAST(cap - used AS BIGINT) AS headroom, used > cap AS over, used * 5 >= cap * 4 AS near FROM c""")
 def headroom(spark, sf_dir):
@@ -498,6 +515,13 @@ def supersedes_forks(spark, sf_dir):
     return registry.forks(rows, "target", "o_orderkey").select("target", F.array_join(F.col("successors").cast("array<string>"), ",").alias("successors"))
 
 
+@query("SELECT o_orderkey // 10 AS target, array_to_string(list_sort(list(DISTINCT o_orderkey)), ',') AS successors FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderkey) > 1")
+def supersedes_forks_all(spark, sf_dir):
+    """Targets superseded by several of all orders."""
+    rows = read(spark, sf_dir, "orders").select("o_orderkey", F.expr("o_orderkey div 10").alias("target"))
+    return registry.forks(rows, "target", "o_orderkey").select("target", F.array_join(F.col("successors").cast("array<string>"), ",").alias("successors"))
+
+
 @query("SELECT c_custkey, c_mktsegment FROM customer WHERE c_mktsegment NOT IN (SELECT DISTINCT upper(p) FROM (SELECT unnest(['building', 'machinery', 'household']) AS p))")
 def vocabulary_check(spark, sf_dir):
     """Customers of a segment that the code table lacks."""
