@@ -78,7 +78,7 @@ def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected edges (u, v): (node, component), component the smallest member.
 
     Alternates the large-star and small-star steps (Kiveris et al. 2014) on tables in the shared
-    folder until every edge points at a root, so rounds grow with the logarithm of the size and no
+    folder until every node points at one root alone, so rounds grow with the logarithm of the size and no
     node's neighbourhood is gathered in one place.  Self links, repeats and nulls add nothing; an
     empty input gives an empty result.
     """
@@ -92,7 +92,8 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
         e = materialize(small.where("u > v").distinct())
-        if e.join(e.select(F.col("u").alias("v")).distinct(), "v", "left_semi").isEmpty():
+        several = e.groupBy("u").count().where("count > 1")
+        if several.isEmpty() and e.join(e.select(F.col("u").alias("v")).distinct(), "v", "left_semi").isEmpty():
             break
     roots = e.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
