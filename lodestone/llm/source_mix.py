@@ -1,7 +1,8 @@
 """Mixing sources to target weights with a low-discrepancy schedule.
 
-The mix is a sequence of slots of equally many words.  Slot n draws its source by sending the n-th
-golden-ratio point through the cumulative shares of the targets; the r-th slot of a source takes the
+The mix is a sequence of slots, of one source each and of equally many words within a source.  Slot n
+draws its source by sending the n-th golden-ratio point through the cumulative shares of the slots
+that the targets come to; the r-th slot of a source takes the
 r-th block of that source's documents in shuffled order, beginning again after the last block.
 Ranks and running sums are taken in two steps (within small ranges, then over their totals), so no
 source, however large, is ordered in one task.
@@ -9,12 +10,16 @@ source, however large, is ordered in one task.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import materialize
 
 WEIGHTS, SHARE, LIMIT = (5, 2, 1), 1.5, 2
+#: A source's size and target each come to at least so many slots, down to a word a slot.
+LEAST_SLOTS = 64
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -59,8 +64,9 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, limit: float = L
 
     size is the row's words, target its source's words to take, taken the words the schedule takes of
     the row; first and second are its words in the first and the second round through the source
-    (taken = first + second).  Blocks hold total words / 50,000, but 16 to 1024 words.  A source's
-    slots stop at `limit` rounds.  Null texts have size 0 and are never taken; a null source is a
+    (taken = first + second).  Blocks hold total words / 50,000, but 16 to 1024 words; those of a
+    source whose size or target is below 64 of them hold a 64th of it, a word at least, so that a small
+    source comes near its target in any corpus.  A source's slots stop at `limit` rounds.  Null texts have size 0 and are never taken; a null source is a
     source, last in order.  Repeated rows are shuffled like any other.  Reruns agree: rows are shuffled
     by the hash of their text and of the columns shuffle_by (doc_id if None), so where doc_id differs
     from run to run, naming the other columns makes the mix the same up to equal rows.
@@ -68,30 +74,34 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, limit: float = L
     sized = materialize(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), words(F.col(text)).alias("size"), F.xxhash64(F.lit(seed), *[F.col(c) for c in shuffle_by or [doc_id]], F.xxhash64(F.col(text))).alias("h")))
     by_source = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, limit)
     plan = materialize(by_source)
-    total, wanted, n = plan.agg(F.sum("source_size"), F.sum("target"), F.count("*")).first()
-    total, wanted = int(total or 0), float(wanted or 0.0)
-    block = min(1024, max(16, total // 50_000))
-    slots = -int(-wanted // block)
+    total = int(plan.agg(F.sum("source_size")).first()[0] or 0)
+    common = min(1024, max(16, total // 50_000))
+    own = F.floor(F.least(F.col("source_size").cast("double"), "target") / LEAST_SLOTS)
+    plan = plan.withColumn("block", F.greatest(F.lit(1), F.least(F.lit(common), own)).cast("long")).withColumn("slots", F.col("target") / F.col("block"))
+    wanted = float(plan.agg(F.sum("slots")).first()[0] or 0.0)
+    slots = math.ceil(wanted)
 
     # cumulative shares of the sources on [0, 2^32)
     up = Window.orderBy(F.col("source").asc_nulls_last())
     edge = lambda x: F.round(x / max(wanted, 1e-300) * float(2**32)).cast("long")
-    shares = plan.withColumn("hi", edge(F.sum("target").over(up.rowsBetween(Window.unboundedPreceding, 0)))).withColumn("lo", edge(F.coalesce(F.sum("target").over(up.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))).where("hi > lo")
+    shares = plan.withColumn("hi", edge(F.sum("slots").over(up.rowsBetween(Window.unboundedPreceding, 0)))).withColumn("lo", edge(F.coalesce(F.sum("slots").over(up.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))).where("hi > lo")
     # a point meets its source through a grid of cells, so the number of sources is not bounded by a broadcast
     cell = 2**22
-    shares = shares.select("source", "source_size", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / cell), F.floor((F.col("hi") - 1) / cell))).alias("cell"))
+    shares = shares.select("source", "source_size", F.col("block").alias("words"), "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / cell), F.floor((F.col("hi") - 1) / cell))).alias("cell"))
     point = F.pmod(F.pmod(F.col("id"), F.lit(2**31)) * F.lit(2654435769), F.lit(2**32))
     drawn = docs.sparkSession.range(slots).withColumn("p", point).withColumn("cell", F.floor(F.col("p") / cell))
-    drawn = drawn.join(shares, "cell").where("p >= lo and p < hi").select("source", "source_size", "id", F.floor(F.col("id") / 8192).alias("chunk"), F.lit(1).alias("one"))
+    drawn = drawn.join(shares, "cell").where("p >= lo and p < hi").select("source", "source_size", "words", "id", F.floor(F.col("id") / 8192).alias("chunk"), F.lit(1).alias("one"))
     ranked = _running(drawn, ["source"], "chunk", ["id"], "one", "rank")
-    blocks = F.ceil(F.col("source_size") / block)
+    blocks = F.ceil(F.col("source_size") / F.col("words"))
     rounds = ranked.where(F.col("rank") < blocks * limit).select("source", F.pmod("rank", blocks).cast("long").alias("block")).groupBy("source", "block").agg(F.count("*").alias("times"))
 
     parts = max(1, sized.count() // 5000)
     live = sized.where("size > 0").withColumn("part", F.pmod(F.shiftrightunsigned("h", 8), F.lit(parts)).cast("int"))
     placed = _running(live, ["source"], "part", ["h", "doc_id"], "size", "at")
-    pieces = placed.select("source", "doc_id", "h", "size", "at", F.explode(F.sequence(F.floor(F.col("at") / block), F.floor((F.col("at") + F.col("size") - 1) / block))).alias("block"))
-    covered = F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * block) - F.greatest("at", F.col("block") * block)
+    length = plan.select(F.col("source").alias("_s"), F.col("block").alias("words"))
+    pieces = placed.join(length, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    pieces = pieces.select("source", "doc_id", "h", "size", "at", "words", F.explode(F.sequence(F.floor(F.col("at") / F.col("words")), F.floor((F.col("at") + F.col("size") - 1) / F.col("words")))).alias("block"))
+    covered = F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * F.col("words")) - F.greatest("at", F.col("block") * F.col("words"))
     rounds = rounds.select(F.col("source").alias("_s"), F.col("block").alias("_b"), "times")
     got = pieces.withColumn("covered", covered).join(rounds, F.col("source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b")))
     taken = got.groupBy("source", "at", "doc_id", "size").agg(F.sum(F.when(F.col("times") >= 1, F.col("covered")).otherwise(0)).alias("first"), F.sum((F.col("times") - 1) * F.col("covered")).alias("second"))
