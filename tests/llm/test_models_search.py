@@ -30,15 +30,25 @@ def test_top_k_against_brute_force(spark):
     rows += [(5000, rows[0][1], 0), (5050, rows[50][1], 0)]
     df = spark.createDataFrame([*rows, *ODD, rows[7]], VEC).selectExpr("*", "1 AS vec", "2 AS x", "3 AS len")
     got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in impact_search.top_k(df, shard=100).collect()}
-    live = {i: [math.floor(256 * x) for x in v] for i, v, _ in [*rows, ODD[3]]}
+    live = {i: [math.floor(256 * x) for x in v] for i, v, _ in [*rows, ODD[3], ODD[5]]}
     want = {}
     for q in (i for i in live if i % 50 == 0):
-        best = sorted((-sum(a * b for a, b in zip(live[q], live[c], strict=True)), c) for c in live if c != q)[:5]
+        best = sorted((-sum(a * b for a, b in zip(live[q], live[c], strict=True)), c) for c in live if c != q and len(live[c]) == len(live[q]))[:5]
         want |= {(q, k + 1): (c, -s) for k, (s, c) in enumerate(best)}
-    assert {k: v for k, v in got.items() if k[0] != 9250} == want
+    assert got == want
     assert impact_search.top_k(spark.createDataFrame([], VEC)).count() == 0
 
 
+def test_top_k_of_small_and_equal_and_large_vectors(spark):
+    rows = [(i, [0.5, -0.25], 0) for i in range(130)] + [(500, [1.0, 0.0], 0)]
+    got = [(r.query_id, r.vec_id) for r in impact_search.top_k(spark.createDataFrame(rows, VEC), shard=40).orderBy("query_id", "rank").collect()]
+    assert got == [(0, 500), (0, 1), (0, 2), (0, 3), (0, 4), (50, 500), (50, 0), (50, 1), (50, 2), (50, 3), (100, 500), (100, 0), (100, 1), (100, 2), (100, 3), (500, 0), (500, 1), (500, 2), (500, 3), (500, 4)]
+    assert [(r.rank, r.vec_id) for r in impact_search.top_k(spark.createDataFrame([(0, [1.0], 0), (1, [2.0], 0)], VEC)).collect()] == [(1, 1)]
+    for huge in (1e18, 1e12):
+        with pytest.raises(Exception, match="64 bits"):
+            impact_search.top_k(spark.createDataFrame([(0, [huge], 0), (1, [huge], 0)], VEC)).collect()
+
+
 def test_links_against_brute_force(spark):
     rows = vectors(300, seed=2)
     rows += [(5000 + i, rows[0][1], 0) for i in range(20)] + [(6000, [2 * x for x in rows[3][1]], 0)]
