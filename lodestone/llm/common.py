@@ -13,14 +13,29 @@ from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the given tables.  Its texts are large, so workers get them in small Arrow batches."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    """One of the given tables.  Its texts are large, so workers get them in small Arrow batches, unless the session says otherwise."""
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(size) == "10000":  # Spark's default
+        spark.conf.set(size, "1000")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores in front until no column of df has it in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a folder of our own only where none is named, as in tests."""
+    """The cluster's shared folder; a folder of our own only on one machine that names none, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
     if not found:
         found = tempfile.mkdtemp(prefix="lodestone-")
         spark.sparkContext.setCheckpointDir(found)
@@ -31,9 +46,27 @@ def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage: write df as Parquet to the shared folder and read it back."""
     path = f"{scratch_dir(df.sparkSession).rstrip('/')}/lodestone-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Scratch tables of this process that are still there.
+_WRITTEN: list[str] = []
+
+
+def drop(spark: SparkSession, paths: list[str]) -> None:
+    """Delete some of the scratch tables."""
+    for name in list(paths):
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _WRITTEN.remove(name)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete every scratch table of this process; to be called when no result over them is needed any more."""
+    drop(spark, _WRITTEN)
+
+
 def crc_mod(column: str, n: int):
     """crc32 of the value as text, modulo n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n
@@ -92,6 +125,7 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
         e = materialize(small.where("u > v").distinct())
+        drop(edges.sparkSession, _WRITTEN[-3:-1])  # what the round began with and its middle
         several = e.groupBy("u").count().where("count > 1")
         if several.isEmpty() and e.join(e.select(F.col("u").alias("v")).distinct(), "v", "left_semi").isEmpty():
             break
