@@ -3,7 +3,8 @@
 Every language has a probability for each piece of a fixed public vocabulary.  A text's likelihood in
 a language is the product over its words of the sum over all ways to cut the word into pieces, which
 a forward pass computes; expectation maximisation with the matching backward pass learns the piece
-probabilities from labelled text.  Words are scored once per task and remembered.
+probabilities from labelled text.  Forward values are rescaled as they go, so words may have any length.
+Words are scored once per task and remembered.
 """
 
 from __future__ import annotations
@@ -19,11 +20,23 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import crc_mod, trimmed
 
 _WORD = re.compile(r"[^\W\d_]+")
-MARK, CHUNK, LONGEST, SCALE = "▁", 32, 8, 64.0
+MARK = "▁"
+#: Positions between two rescalings of the forward values, and word cells worked on at once.
+STEP, CELLS = 16, 400_000
+_K = np.uint64(0x9E3779B97F4A7C15)
+
+
+def words_of(text: str | None) -> list[str]:
+    """The runs of letters (Unicode category L) of the lower-cased text."""
+    found = _WORD.findall(text.lower()) if text else []
+    if all(map(str.isalpha, found)):
+        return found
+    # the pattern also takes numeric characters such as one half, which are no letters
+    return [part for w in found for part in ("".join(c if c.isalpha() else " " for c in w)).split()]
 
 
 def vocabulary(path: str | None = None) -> list[str]:
-    """The pieces of a public sentencepiece vocabulary that can occur in lower-cased words, at most LONGEST characters."""
+    """All pieces of a public sentencepiece vocabulary but control, unknown and byte pieces; sorted."""
     import sentencepiece
 
     if path is None:
@@ -31,94 +44,169 @@ def vocabulary(path: str | None = None) -> list[str]:
 
         path = public_tokenizers.path("piece_bpe_32k.model")
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
-    pieces = {sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))}
-    return sorted(p for p in pieces if 0 < len(p) <= LONGEST and p == p.lower() and MARK not in p[1:])
+    return sorted({sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))})
+
+
+def _codes(words: list[str]) -> np.ndarray:
+    """Code points of words, one row each, followed by zeros up to the longest."""
+    n = np.array([len(w) for w in words])
+    out = np.zeros((len(words), int(n.max())), np.uint64)
+    out[np.arange(out.shape[1]) < n[:, None]] = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+    return out
 
 
 class PieceModel:
-    """Piece probabilities by language: row 0 stands for no piece, row 1 for a character outside the vocabulary."""
+    """Piece probabilities by language: row 0 stands for no piece, row 1 for a character outside the vocabulary.
+
+    Pieces are found by a hash of their characters in an open table; distinct pieces have distinct hashes.
+    """
 
     def __init__(self, pieces: list[str], langs: list[str]):
         self.langs = langs
-        self.index = {p: i + 2 for i, p in enumerate(pieces)}
-        self.scale = np.array([0.0, SCALE, *(SCALE ** len(p) for p in pieces)])[:, None]
-        self.single = np.array([False, True, *(len(p) == 1 for p in pieces)])
+        self._index(pieces)
         self.prob = np.full((len(pieces) + 2, len(langs)), 1.0 / (len(pieces) + 2))
         self.prob[0] = 0.0
 
-    def lattice(self, words: list[str]) -> tuple[list[tuple[int, int]], np.ndarray]:
-        """Spans (i, j) of words of one length, and the row of each word's piece there."""
-        n, get = len(words[0]), self.index.get
-        spans = [(i, j) for i in range(n) for j in range(i + 1, min(n, i + LONGEST) + 1)]
-        rows = np.array([[get(w[i:j], 1 if j == i + 1 else 0) for i, j in spans] for w in words], dtype=np.int32)
-        return spans, rows
-
-    def forward(self, spans, rows, n: int) -> np.ndarray:
-        """alpha[word, position, language], each character scaled by SCALE."""
-        p = self.prob * self.scale
-        alpha = np.zeros((len(rows), n + 1, len(self.langs)))
+    def _index(self, pieces: list[str]) -> None:
+        self.pieces = pieces
+        self.index = {p: i + 2 for i, p in enumerate(pieces)}
+        self.longest = max(map(len, pieces), default=1)
+        self.step = max(STEP, self.longest)  # a piece spans one rescaling at most
+        self.single = np.array([False, True, *(len(p) == 1 for p in pieces)])
+        self.bits = max(12, (8 * len(pieces)).bit_length())
+        self.keys, self.place = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
+        self.probes = 1
+        h = [self._hash(c) for c in (np.frombuffer(p.encode("utf-32-le", "surrogatepass"), np.uint32) for p in pieces)]
+        if len(set(h)) < len(h):
+            raise ValueError("two pieces have one hash")
+        for i, x in enumerate(h):
+            at, n = int(x >> np.uint64(64 - self.bits)), 1
+            while self.place[at]:
+                at, n = (at + 1) % (1 << self.bits), n + 1
+            self.keys[at], self.place[at] = x, i + 2
+            self.probes = max(self.probes, n)
+
+    @staticmethod
+    def _hash(codes) -> np.uint64:
+        h = np.zeros(1, np.uint64)
+        for c in codes:
+            h = (h ^ np.uint64(c)) * _K
+            h ^= h >> np.uint64(29)
+        return h[0]
+
+    def _found(self, h: np.ndarray) -> np.ndarray:
+        """The row of the piece with each hash, 0 for none."""
+        at = (h >> np.uint64(64 - self.bits)).astype(np.int64)
+        rows = np.where(self.keys[at] == h, self.place[at], 0)
+        for n in range(1, self.probes):
+            open_ = np.flatnonzero((rows == 0) & (self.place[at] != 0))
+            if not len(open_):
+                break
+            more = (at[open_] + n) % (1 << self.bits)
+            rows[open_] = np.where(self.keys[more] == h[open_], self.place[more], 0)
+        return rows
+
+    def spans(self, codes: np.ndarray, sizes: np.ndarray):
+        """(i, j, words, rows): for every start and end the words that have a piece there, and its row; starts ascend."""
+        n = codes.shape[1]
+        for i in range(n):
+            h = np.zeros(len(codes), np.uint64)
+            live = np.flatnonzero(sizes > i)
+            h, c = h[live], codes[live]
+            for j in range(i + 1, min(n, i + self.longest) + 1):
+                h = (h ^ c[:, j - 1]) * _K
+                h ^= h >> np.uint64(29)
+                rows = self._found(h)
+                if j == i + 1:
+                    rows[rows == 0] = 1
+                hit = np.flatnonzero(rows)
+                if len(hit):
+                    yield i, j, live[hit], rows[hit]
+
+    def forward(self, codes: np.ndarray, sizes: np.ndarray, keep: list | None = None):
+        """(alpha[word, position, language], log scale of the last position, factors by position); keep collects the spans."""
+        n = codes.shape[1]
+        alpha = np.zeros((len(codes), n + 1, len(self.langs)))
         alpha[:, 0] = 1.0
-        for s, (i, j) in sorted(enumerate(spans), key=lambda x: x[1][1]):
-            alpha[:, j] += alpha[:, i] * p[rows[:, s]]
-        return alpha
+        log, factor, done = np.zeros((len(codes), len(self.langs))), {}, 0
+        for i, j, words, rows in self.spans(codes, sizes):
+            if i >= done + self.step:
+                done = i - i % self.step
+                f = np.where((sizes >= done)[:, None], alpha[:, done], 1.0)
+                alpha[:, done : done + self.longest + 1] /= f[:, None]
+                log += np.log(f)
+                factor[done] = f
+            alpha[words, j] += alpha[words, i] * self.prob[rows]
+            if keep is not None:
+                keep.append((i, j, words, rows))
+        return alpha, log, factor
+
+    def _batches(self, words: list[str]):
+        """Indices of words of like length, marked, with their codes and sizes."""
+        order, lo = sorted(range(len(words)), key=lambda k: len(words[k])), 0
+        while lo < len(order):
+            hi = lo + 1
+            while hi < len(order) and len(words[order[hi]]) <= max(len(words[order[lo]]) * 1.25, 4) and (hi - lo + 1) * (len(words[order[hi]]) + 1) <= CELLS:
+                hi += 1
+            some = order[lo:hi]
+            marked = [MARK + words[k] for k in some]
+            yield np.array(some), _codes(marked), np.array([len(w) for w in marked])
+            lo = hi
 
     def score(self, words: list[str]) -> np.ndarray:
-        """Log-likelihood of every word in every language."""
+        """Log-likelihood of every word in every language, summed over all ways to cut it."""
         out = np.zeros((len(words), len(self.langs)))
-        by: dict[int, list[tuple[int, str]]] = {}
-        for k, w in enumerate(words):
-            w = MARK + w
-            for a in range(0, len(w), CHUNK):
-                piece = w[a : a + CHUNK]
-                by.setdefault(len(piece), []).append((k, piece))
-        for n, found in by.items():
-            for lo in range(0, len(found), 5_000):
-                some = found[lo : lo + 5_000]
-                spans, rows = self.lattice([w for _, w in some])
-                z = self.forward(spans, rows, n)[:, n]
-                np.add.at(out, [k for k, _ in some], np.log(z) - n * np.log(SCALE))
+        for k, codes, sizes in self._batches(words):
+            alpha, log, _ = self.forward(codes, sizes)
+            out[k] = np.log(alpha[np.arange(len(k)), sizes]) + log
         return out
 
     def train(self, words: list[str], freq: np.ndarray, turns: int = 4, prior: float = 300.0) -> None:
         """EM over word counts by language; pieces that a language lacks keep a share of the pooled probability."""
-        by: dict[int, list[int]] = {}
-        cut = [(MARK + w)[:CHUNK] for w in words]
-        for k, w in enumerate(cut):
-            by.setdefault(len(w), []).append(k)
-        parts = [(n, np.array(k), *self.lattice([cut[i] for i in k])) for n, k in by.items()]
         for _ in range(turns):
-            count, p = np.zeros_like(self.prob), self.prob * self.scale
-            for n, k, spans, rows in parts:
-                alpha = self.forward(spans, rows, n)
+            count = np.zeros_like(self.prob)
+            for k, codes, sizes in self._batches(words):
+                spans: list = []
+                alpha, _, factor = self.forward(codes, sizes, spans)
                 beta = np.zeros_like(alpha)
-                beta[:, n] = 1.0
-                for s, (i, j) in sorted(enumerate(spans), key=lambda x: -x[1][0]):
-                    beta[:, i] += beta[:, j] * p[rows[:, s]]
-                share = freq[k] / alpha[:, n]
-                for s, (i, j) in enumerate(spans):
-                    np.add.at(count, rows[:, s], alpha[:, i] * p[rows[:, s]] * beta[:, j] * share)
+                beta[np.arange(len(k)), sizes] = 1.0 / alpha[np.arange(len(k)), sizes]
+                for i, j, at, rows in reversed(spans):
+                    step = beta[at, j] * self.prob[rows]
+                    crossed = j - j % self.step
+                    if crossed > i and crossed in factor:
+                        step /= factor[crossed][at]
+                    beta[at, i] += step
+                    np.add.at(count, rows, alpha[at, i] * step * freq[k[at]])
             count[0] = 0.0
             pooled = count.sum(axis=1, keepdims=True) + 1e-3 * self.single[:, None]
             pooled /= pooled.sum()
             self.prob = (count + prior * pooled) / (count.sum(axis=0, keepdims=True) + prior)
-        keep = np.flatnonzero((self.prob.max(axis=1) > 1e-12) | self.single)
-        names = {i: p for p, i in self.index.items()}
-        keep = [0, 1, *(i for i in keep if i > 1)]
-        self.index = {names[i]: k for k, i in enumerate(keep) if i > 1}
-        self.prob, self.scale, self.single = self.prob[keep], self.scale[keep], self.single[keep]
+        kept = [i for i in range(2, len(self.prob)) if self.prob[i].max() > 1e-12 or self.single[i]]
+        prob = self.prob[[0, 1, *kept]]
+        self._index([self.pieces[i - 2] for i in kept])
+        self.prob = prob
+
+
+def chosen(docs: DataFrame, sample: int, lang: str, doc_id: str, parts: int = 256) -> DataFrame:
+    """(i, l): at most `sample` rows of each language, first by the hash of their id; ranked within parts of a language, then over their best."""
+    known = docs.where(F.col(lang).isNotNull()).select(F.col(doc_id).alias("i"), F.col(lang).alias("l"), F.xxhash64(doc_id).alias("h"))
+    first = F.row_number().over(Window.partitionBy("l", F.pmod("h", F.lit(parts))).orderBy("h", "i"))
+    some = known.withColumn("r", first).where(F.col("r") <= sample)
+    rank = F.row_number().over(Window.partitionBy("l").orderBy("h", "i"))
+    return some.withColumn("r", rank).where(F.col("r") <= sample).select("i", "l").distinct()
 
 
-def train(docs: DataFrame, sample: int = 400, path: str | None = None, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> PieceModel | None:
+def train(docs: DataFrame, sample: int = 400, word_limit: int = 200_000, path: str | None = None, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> PieceModel | None:
     """A model from at most `sample` documents of each language, first by the hash of their id; None without labelled text.
 
-    Rows with a null lang are left out.  The words are counted by Spark; their counts, bounded by the sample, reach the driver.
+    Rows with a null lang are left out.  The words are counted by Spark; of each language the `word_limit`
+    most frequent, ties by the word, reach the driver, so its memory is bounded however long the texts are.
     """
-    known = docs.where(F.col(lang).isNotNull()).select(F.col(doc_id).alias("i"), F.col(lang).alias("l"), F.xxhash64(doc_id).alias("h"))
-    rank = F.row_number().over(Window.partitionBy("l").orderBy("h", "i"))
-    chosen = known.withColumn("r", rank).where(F.col("r") <= sample).select("i", "l").distinct()
-    own = docs.select(F.col(doc_id).alias("i"), F.col(lang).alias("l"), F.col(text).alias("t")).join(chosen, ["i", "l"], "left_semi")
+    own = docs.select(F.col(doc_id).alias("i"), F.col(lang).alias("l"), F.col(text).alias("t")).join(F.broadcast(chosen(docs, sample, lang, doc_id)), ["i", "l"], "left_semi")
     words = own.select("l", F.explode(F.regexp_extract_all(F.lower("t"), F.lit(r"\p{L}+"), F.lit(0))).alias("w"))
-    seen = words.groupBy("l", "w").agg(F.count("*").cast("double").alias("n")).toPandas()
+    counts = words.groupBy("l", "w").agg(F.count("*").cast("double").alias("n"))
+    often = F.row_number().over(Window.partitionBy("l").orderBy(F.desc("n"), "w"))
+    seen = counts.withColumn("r", often).where(F.col("r") <= word_limit).drop("r").toPandas()
     if seen.empty:
         return None
     table = seen.pivot(index="w", columns="l", values="n").fillna(0.0).sort_index()
@@ -144,7 +232,7 @@ def predict(text: Column, model: PieceModel | None) -> Column:
         for batch in batches:
             pred, score = [], []
             for lo in range(0, len(batch), 500):
-                found = [_WORD.findall(t.lower()) if t else [] for t in batch.iloc[lo : lo + 500]]
+                found = [words_of(t) for t in batch.iloc[lo : lo + 500]]
                 if len(known) > 200_000:
                     known, table = {}, table[:0]
                 new = list({w for ws in found for w in ws if w not in known})
@@ -171,7 +259,10 @@ def identify(docs: DataFrame, sample: int = 400, path: str | None = None, text:
     """doc_id, held_out, lang_pred, score: one row per row of docs.
 
     Learned from documents whose crc32 of the id as text is not 1 modulo 3; held_out marks the others.
-    Repeated rows get the same answer.  An empty table gives no rows.
+    Null texts and texts without a letter are `und` with score 0.  Words of any length are summed over
+    all their segmentations, so very long texts and scripts without blanks are read whole.  Repeated
+    rows get the same answer, equally likely languages the first by name.  An empty table gives no rows;
+    other columns of the table, whatever their names, are ignored.
     """
-    model = train(docs.where(crc_mod(doc_id, 3) != 1), sample, path, text, lang, doc_id)
+    model = train(docs.where(crc_mod(doc_id, 3) != 1), sample, path=path, text=text, lang=lang, doc_id=doc_id)
     return docs.select(F.col(doc_id).alias("doc_id"), (crc_mod(doc_id, 3) == 1).alias("held_out"), predict(F.col(text), model).alias("p")).select("doc_id", "held_out", "p.lang_pred", "p.score")
