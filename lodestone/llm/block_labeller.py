@@ -20,7 +20,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]{0,5000}+\"|'[^']{0,5000}+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>", re.S)
+_OPEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_STOP = re.compile(r"[>\"']")
 _NAMED = re.compile(r"(?:^|\s)(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"\w+")
 BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html label legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split())
@@ -35,6 +36,49 @@ FURNITURE = frozenset("ad ads adv advert advertisement banner sponsored promo na
 PATHS, WORDS = 1 << 10, 1 << 11
 
 
+def tags(html: str):
+    """(start, end, closing, name, attributes) of every tag, comment (no name) and declaration, in order.
+
+    A quoted attribute value ends at its quote however far that is; a quote without an end is an
+    ordinary character.  There is at most one such of each kind, so the scan is linear.  What follows
+    a tag without `>` is text.
+    """
+    at, dead = 0, set()
+    while (at := html.find("<", at)) >= 0:
+        m = _OPEN.match(html, at)
+        if html.startswith("<!--", at):
+            end = html.find("-->", at + 4)
+            end = len(html) if end < 0 else end + 3
+            yield at, end, "", "", ""
+        elif m:
+            pos, end = m.end(), -1
+            while end < 0:
+                stop = _STOP.search(html, pos)
+                if not stop:
+                    return
+                pos = stop.end()
+                if stop[0] == ">":
+                    end = pos
+                elif stop.start() not in dead:
+                    close = html.find(stop[0], pos)
+                    if close < 0:  # the last quote of its kind; read the tag again without it
+                        dead.add(stop.start())
+                        pos = m.end()
+                    else:
+                        pos = close + 1
+            found = yield at, end, m[1], m[2].lower(), html[m.end() : end - 1]
+            end = end if found is None else found
+        elif html.startswith(("<!", "<?"), at):
+            end = html.find(">", at)
+            if end < 0:
+                return
+            end += 1
+            yield at, end, "", "", ""
+        else:
+            end = at + 1
+        at = end
+
+
 def blocks(html: str | None) -> list[tuple[str, tuple[str, ...], int]]:
     """(text, path tokens, characters inside links) of every non-empty leaf block, in page order."""
     out: list[tuple[str, tuple[str, ...], int]] = []
@@ -42,14 +86,13 @@ def blocks(html: str | None) -> list[tuple[str, tuple[str, ...], int]]:
         return out
     stack: list[tuple[str, tuple[str, ...]]] = []
     parts: list[str] = []
-    silent = link = linked = at = 0
-    path: tuple[str, ...] = ()
+    silent = link = linked = at = depth = 0  # depth: how much of the stack the block's path has
 
     def flush():
         nonlocal linked
         text = " ".join("".join(parts).split())
         if text:
-            out.append((text, path, min(linked, len(text))))
+            out.append((text, tuple(t for _, ts in stack[:depth] for t in ts), min(linked, len(text))))
         parts.clear()
         linked = 0
 
@@ -67,17 +110,18 @@ def blocks(html: str | None) -> list[tuple[str, tuple[str, ...], int]]:
             link -= name == "a"
         del stack[n:]
 
+    scan, skip = tags(html), None
     while True:
-        m = _TAG.search(html, at)
-        if not m:
+        try:
+            start, end, closing, name, attrs = scan.send(skip)
+        except StopIteration:
             say(html[at:])
             break
-        say(html[at : m.start()])
-        at = m.end()
-        name = (m[2] or m[5] or "").lower()
+        skip = None
+        say(html[at:start])
+        at = end
         if not name:
             continue
-        closing, attrs = (m[1] if m[2] else m[4]), (m[3] if m[2] else m[6]) or ""
         block = name in BLOCKS
         if name == "br":
             parts.append("\n")
@@ -124,11 +168,9 @@ def blocks(html: str | None) -> list[tuple[str, tuple[str, ...], int]]:
             link += name == "a"
             if name in RAW:
                 end = re.compile(rf"</{name}\s*>|</{name}(?=[\s/>])", re.I).search(html, at)
-                at = end.start() if end else len(html)
-        if block or closing:
-            path = tuple(t for _, ts in stack for t in ts)
-        elif not parts:
-            path = tuple(t for _, ts in stack for t in ts)
+                at = skip = end.start() if end else len(html)
+        if block or closing or not parts:
+            depth = len(stack)
     flush()
     return out
 
@@ -290,6 +332,10 @@ AROUND = ("article", "main", "div class=content", "div id=content", "div class=p
 AMONG = ("nav", "header", "footer", "aside", "form", "div class=ad", "div class=ads", "div class=advert", "div class=sidebar", "div id=sidebar", "div class=menu", "ul class=menu", "div class=comments", "section class=comments", "div id=comments", "div class=comment", "ol class=comment", "div class=notice", "div class=cookie", "div class=banner", "div class=promo", "div class=related", "div class=share", "div class=newsletter", "div class=footer", "div class=header", "div class=breadcrumb", "section class=reply", "div class=popup", "div class=widget", "p class=notice", "div class=login", "form class=search", "div class=pagination", "header class=masthead")
 
 
+#: Elements whose name tells what they are for.
+TELLING = frozenset("article main nav header footer aside section form".split())
+
+
 def _tokens(container: str) -> tuple[str, ...]:
     name, _, attrs = container.partition(" ")
     key, _, words = attrs.partition("=")
@@ -297,7 +343,11 @@ def _tokens(container: str) -> tuple[str, ...]:
 
 
 def varied(page, pool, rng: random.Random):
-    """A training page: the same blocks, often in another container, with furniture from a pool of texts mixed in; and its labels."""
+    """A training page: the same blocks, often in another container, with furniture from a pool of texts mixed in; and its labels.
+
+    On some pages class and id words are replaced by meaningless ones, and on some of those the telling
+    elements by plain div, so that the labeller also learns from words, links, lengths and neighbours.
+    """
     around = _tokens(rng.choice(AROUND)) if rng.random() < 0.6 else None
     out = []
     for text, path, linked in page:
@@ -318,13 +368,21 @@ def varied(page, pool, rng: random.Random):
         many = rng.choice([1, 1, 3])
         at = rng.randint(0, len(out))
         out[at:at] = [(text, path, len(text) if rng.random() < 0.4 else 0, 0)] * many
+    if rng.random() < 0.4:
+        salt, bare = rng.randrange(10**6), rng.random() < 0.5
+        hide = lambda t: f"class=x{zlib.crc32(f'{salt} {t}'.encode('utf-8', 'replace')) % 10**6}" if "=" in t else "div" if bare and t in TELLING else t
+        out = [(text, tuple(map(hide, path)), linked, y) for text, path, linked, y in out]
     return [b[:3] for b in out], [b[3] for b in out]
 
 
-def train(pages: DataFrame, sample: int = 300, epochs: int = 12, window: int = 40, html: str = "html", page_id: str = "page_id", seed: int = 9) -> Labeller:
-    """A labeller from at most `sample` pages, first by the hash of their id, each cut into windows of `window` blocks."""
+def train(pages: DataFrame, sample: int = 300, epochs: int = 16, window: int = 40, longest: int = 200_000, html: str = "html", page_id: str = "page_id", seed: int = 9) -> Labeller:
+    """A labeller from at most `sample` pages, of at most `longest` characters, first by the hash of their id, each cut into windows of `window` blocks.
+
+    Of rows that share an id the least html is used.
+    """
+    pages = pages.select(page_id, html).where(F.length(html) <= longest)
     chosen = pages.where(F.col(page_id).isNotNull() & F.col(html).isNotNull()).select(F.col(page_id).alias("i")).distinct().orderBy(F.xxhash64("i"), "i").limit(sample)
-    rows = pages.select(F.col(page_id).alias("i"), F.col(html).alias("t")).join(F.broadcast(chosen), "i").dropDuplicates(["i"]).orderBy("i").toPandas()
+    rows = pages.select(F.col(page_id).alias("i"), F.col(html).alias("t")).join(F.broadcast(chosen), "i").groupBy("i").agg(F.min("t").alias("t")).orderBy("i").toPandas()
     read = [b for b in map(blocks, rows["t"]) if b]
     model, rng, features = Labeller(), random.Random(seed), Features()
     pool = [b[0] for p in read for b in p] or ["menu"]
@@ -364,8 +422,10 @@ def main_text(html: Column, model: Labeller) -> Column:
 def extract(pages: DataFrame, sample: int = 300, html: str = "html", page_id: str = "page_id", url: str = "url") -> DataFrame:
     """page_id, url, text, n_chars: one row per row of pages.
 
-    Null and empty pages give an empty text, pages without markup one block.  Repeated rows are read
-    alike; an empty table gives no rows.
+    Null and empty pages give an empty text, pages without markup one block.  Pages and attributes of any
+    length are read whole, in time linear in the page.  Repeated rows are read alike; a block is main
+    text when its two labels tie; an empty table gives no rows; other columns, whatever their names,
+    are ignored.
     """
     model = train(pages, sample, html=html, page_id=page_id)
     done = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), main_text(F.col(html), model).alias("text"))
