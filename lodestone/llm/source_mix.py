@@ -48,6 +48,19 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, limit: floa
     return s.withColumn("rest", rest).select("source", "source_size", F.when(F.col("full") | F.col("rest").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("rest") * F.col("w"))).alias("target"))
 
 
+#: The golden ratio's fraction times 2^62, to an odd whole number: its low and high 31 bits.
+GOLDEN = int(0.6180339887498949 * 2**62) | 1
+
+
+def golden_point(n: Column) -> Column:
+    """The n-th golden-ratio point on [0, 2^32): the top bits of n * GOLDEN modulo 2^62, which repeats after 2^62 points."""
+    half = 2**31
+    g0, g1 = F.lit(GOLDEN % half), F.lit(GOLDEN // half)
+    n0, n1 = F.pmod(n, F.lit(half)), F.floor(n / half).cast("long")
+    middle = F.pmod(n0 * g1 + n1 * g0, F.lit(half))
+    return F.shiftright((n0 * g0 + middle * F.lit(half)).bitwiseAND(F.lit(half * half - 1)), 30)
+
+
 def _running(df: DataFrame, key: list[str], part: str, order: list, value: str, out: str) -> DataFrame:
     """Sum of value over the rows of the key before a row, ordered by part, then order."""
     sums = df.groupBy(*key, part).agg(F.sum(value).alias("_s"))
@@ -59,25 +72,25 @@ def _running(df: DataFrame, key: list[str], part: str, order: list, value: str,
     return done.withColumn(out, (F.col("_before") + F.col("_in")).cast("long")).drop("_in", "_before", "_part", *[f"_{k}" for k in key])
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, limit: float = LIMIT, seed: int = 17, text: str = "text", source: str = "source", doc_id: str = "doc_id", shuffle_by: list[str] | None = None) -> DataFrame:
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, limit: float = LIMIT, seed: int = 17, text: str = "text", source: str = "source", doc_id: str = "doc_id", shuffle_by: list[str] | None = None, block: int = 256) -> DataFrame:
     """doc_id, size, source_size, target, taken, first, second: one row per row of docs.
 
     size is the row's words, target its source's words to take, taken the words the schedule takes of
     the row; first and second are its words in the first and the second round through the source
-    (taken = first + second).  Blocks hold total words / 50,000, but 16 to 1024 words; those of a
-    source whose size or target is below 64 of them hold a 64th of it, a word at least, so that a small
-    source comes near its target in any corpus.  A source's slots stop at `limit` rounds.  Null texts have size 0 and are never taken; a null source is a
+    (taken = first + second).  Blocks hold `block` words; those of a source whose size or target is
+    below 64 of them hold a 64th of it, a word at least, so that a small source comes near its target
+    in any corpus.  A source's slots stop at `limit` rounds.  Null texts have size 0 and are never taken; a null source is a
     source, last in order.  Repeated rows are shuffled like any other.  Reruns agree: rows are shuffled
     by the hash of their text and of the columns shuffle_by (doc_id if None), so where doc_id differs
-    from run to run, naming the other columns makes the mix the same up to equal rows.
+    from run to run, naming the other columns makes the mix the same up to equal rows.  Rows that tie in
+    hash and id stand in either order.  An empty table gives no rows; other columns are ignored.
+    Sources are ranked in one task, so they, not rows, must be few enough for it (millions).
     """
     sized = materialize(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), words(F.col(text)).alias("size"), F.xxhash64(F.lit(seed), *[F.col(c) for c in shuffle_by or [doc_id]], F.xxhash64(F.col(text))).alias("h")))
     by_source = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, limit)
     plan = materialize(by_source)
-    total = int(plan.agg(F.sum("source_size")).first()[0] or 0)
-    common = min(1024, max(16, total // 50_000))
     own = F.floor(F.least(F.col("source_size").cast("double"), "target") / LEAST_SLOTS)
-    plan = plan.withColumn("block", F.greatest(F.lit(1), F.least(F.lit(common), own)).cast("long")).withColumn("slots", F.col("target") / F.col("block"))
+    plan = plan.withColumn("block", F.greatest(F.lit(1), F.least(F.lit(block), own)).cast("long")).withColumn("slots", F.col("target") / F.col("block"))
     wanted = float(plan.agg(F.sum("slots")).first()[0] or 0.0)
     slots = math.ceil(wanted)
 
@@ -88,8 +101,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, limit: float = L
     # a point meets its source through a grid of cells, so the number of sources is not bounded by a broadcast
     cell = 2**22
     shares = shares.select("source", "source_size", F.col("block").alias("words"), "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / cell), F.floor((F.col("hi") - 1) / cell))).alias("cell"))
-    point = F.pmod(F.pmod(F.col("id"), F.lit(2**31)) * F.lit(2654435769), F.lit(2**32))
-    drawn = docs.sparkSession.range(slots).withColumn("p", point).withColumn("cell", F.floor(F.col("p") / cell))
+    drawn = docs.sparkSession.range(slots).withColumn("p", golden_point(F.col("id"))).withColumn("cell", F.floor(F.col("p") / cell))
     drawn = drawn.join(shares, "cell").where("p >= lo and p < hi").select("source", "source_size", "words", "id", F.floor(F.col("id") / 8192).alias("chunk"), F.lit(1).alias("one"))
     ranked = _running(drawn, ["source"], "chunk", ["id"], "one", "rank")
     blocks = F.ceil(F.col("source_size") / F.col("words"))
