@@ -9,6 +9,8 @@ original vectors in double precision.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -32,16 +34,26 @@ def fit_rotations(x: np.ndarray, bits: int, turns: int = 25, seed: int = 5) -> t
     return mean, np.concatenate(parts, axis=1)[:, :bits]
 
 
-def links(vectors: DataFrame, threshold: float = 0.9, tables: int = 16, width: int = 6, sample: int = 4000, block: int = 2048, vector: str = "embedding", vec_id: str = "vec_id") -> DataFrame:
+def plan(n: int, threshold: float, miss: float, bucket: int = 256):
+    """(width, tables of a width) for n rows: a bit of two vectors at the threshold agrees with probability 1 - angle / pi."""
+    agree = 1.0 - math.acos(threshold) / math.pi
+    width = min(30, max(4, math.ceil(math.log2(max(1, n) / bucket))))
+    return width, lambda w: math.ceil(math.log(miss) / math.log1p(-(agree**w)))
+
+
+def links(vectors: DataFrame, threshold: float = 0.9, tables: int | None = None, width: int | None = None, miss: float = 5e-4, sample: int = 4000, block: int = 2048, vector: str = "embedding", vec_id: str = "vec_id") -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept.
 
     Two vectors are linked when a table brings them together and their cosine is at least the
-    threshold.  With 16 tables of 6 bits a pair of cosine 0.9 is found with probability 0.9997.
+    threshold.  Substrings are as wide as keeps a bucket at a few hundred rows (log2 of the rows less 8
+    bits, 4 at least), and so many tables are kept that a pair at the threshold is missed with
+    probability `miss` at most; `plan` gives both, so the work of a row hardly grows with the table.
     Equal vectors are one class that is looked up once; its members are linked with one another and
     share its links.  Buckets are split into blocks, a task holds two blocks, and a pair counts in
     the first table that brings it together, so links are counted without being written out.
     Vectors that are null, zero, or hold null or non-finite values link with nothing; vectors of
-    different lengths neither.  Repeated ids are one row, by their least vector.
+    different lengths neither.  Repeated ids are one row, by their least vector.  Rows with a null id are
+    left out; an empty table gives no rows; other columns, whatever their names, are ignored.
     """
     v = F.col(vector)
     parts = F.transform(v, lambda c: c.cast("double"))
@@ -49,6 +61,9 @@ def links(vectors: DataFrame, threshold: float = 0.9, tables: int = 16, width: i
     rows = vectors.where(F.col(vec_id).isNotNull()).groupBy(F.col(vec_id).cast("long").alias("vec")).agg(F.min(F.when(fit_for, parts)).alias("x"))
     rows = materialize(rows)
     classes = materialize(rows.where("x is not null").groupBy("x").agg(F.min("vec").alias("class"), F.count("*").alias("m")))
+    wide, many = plan(classes.count(), threshold, miss)
+    width = width or wide
+    tables = tables or many(width)
     bits = tables * width
     models = {}
     for (d,) in classes.select(F.size("x")).distinct().collect():  # a handful of vector lengths
@@ -59,12 +74,14 @@ def links(vectors: DataFrame, threshold: float = 0.9, tables: int = 16, width: i
 
     def code(batches):
         for part in batches:
-            keys = []
-            for x in part["x"]:
-                mean, turn = models[len(x)]
-                y = np.asarray(x) / np.linalg.norm(x)
-                keys.append((((y - mean) @ turn >= 0).reshape(tables, width) @ place).astype(np.int32))
-            yield pd.DataFrame({"class": part["class"], "m": part["m"], "x": part["x"], "keys": keys})
+            for d, g in part.groupby(part["x"].map(len)):
+                mean, turn = models[d]
+                for lo in range(0, len(g), 512):
+                    some = g.iloc[lo : lo + 512]
+                    y = np.array(some["x"].tolist(), dtype=np.float64)
+                    y /= np.linalg.norm(y, axis=1, keepdims=True)
+                    keys = (((y - mean) @ turn >= 0).reshape(len(some), tables, width) @ place).astype(np.int32)
+                    yield pd.DataFrame({"class": some["class"], "m": some["m"], "x": some["x"], "keys": list(keys)})
 
     coded = materialize(classes.mapInPandas(code, "class long, m long, x array<double>, keys array<int>"))
     posted = coded.select(F.size("x").alias("d"), F.posexplode("keys").alias("t", "key"), "class")
