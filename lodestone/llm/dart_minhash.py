@@ -136,20 +136,26 @@ def signatures(docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: in
                 for r in range(rows):
                     acc = mix64(acc ^ sig[:, r::rows][:, :bands])
                 acc = mix64(acc ^ np.arange(bands, dtype=np.uint64))
-                at = np.flatnonzero(np.r_[True, o[1:] != o[:-1]]) if len(o) else np.empty(0, np.int64)
-                size, f1, f2 = np.zeros(n, np.int64), np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-                if len(at):
-                    own, each = o[at], mix64(h ^ mix64(w.astype(np.uint64)))
-                    size[own] = np.diff(np.r_[at, len(o)])
-                    f1[own] = np.add.reduceat(each, at)
-                    f2[own] = np.add.reduceat(mix64(each), at)
-                yield pd.DataFrame({"doc": some["doc"].to_numpy(), "fp1": f1.view(np.int64), "fp2": f2.view(np.int64), "n": size, "bands": [list(b) if m else [] for b, m in zip(acc.view(np.int64), size, strict=True)], "coords": [c.tobytes() for c in (sig >> np.uint64(48)).astype(np.uint16)]})
+                size, f1, f2 = _fingerprints(h, o, w, n)
+                yield pd.DataFrame({"doc": some["doc"].to_numpy(), "fp1": f1, "fp2": f2, "n": size, "bands": [list(b) if m else [] for b, m in zip(acc.view(np.int64), size, strict=True)], "coords": [c.tobytes() for c in (sig >> np.uint64(48)).astype(np.uint16)]})
 
     return docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text")).mapInPandas(run, "doc long, fp1 long, fp2 long, n long, bands array<long>, coords binary")
 
 
-def _sets(docs: DataFrame, words: int) -> DataFrame:
-    """(doc, hashes): the sorted shingle hashes and counts of each text, as bytes."""
+def _fingerprints(h: np.ndarray, owner: np.ndarray, weight: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of elements, two 64-bit sums over hashed elements) of each of n sets."""
+    size, f1, f2 = np.zeros(n, np.int64), np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+    at = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else np.empty(0, np.int64)
+    if len(at):
+        own, each = owner[at], mix64(h ^ mix64(weight.astype(np.uint64)))
+        size[own] = np.diff(np.r_[at, len(owner)])
+        f1[own] = np.add.reduceat(each, at)
+        f2[own] = np.add.reduceat(mix64(each), at)
+    return size, f1.view(np.int64), f2.view(np.int64)
+
+
+def _sets(docs: DataFrame, words: int, weighting: str) -> DataFrame:
+    """(doc, fp1, fp2, hashes, counts): the sorted shingle hashes and counts of each text, as bytes."""
 
     @trimmed
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -159,9 +165,10 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
                 some = part.iloc[lo : lo + 200]
                 h, o, w = shingle_sets(some["text"].tolist(), words, cache)
                 cut = np.searchsorted(o, np.arange(len(some) + 1))
-                yield pd.DataFrame({"doc": some["doc"].to_numpy(), "hashes": [h[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], "counts": [w[a:b].astype(np.int32).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]})
+                _, f1, f2 = _fingerprints(h, o, w if weighting == "count" else np.ones_like(w), len(some))
+                yield pd.DataFrame({"doc": some["doc"].to_numpy(), "fp1": f1, "fp2": f2, "hashes": [h[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], "counts": [w[a:b].astype(np.int32).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]})
 
-    return docs.mapInPandas(run, "doc long, hashes binary, counts binary")
+    return docs.mapInPandas(run, "doc long, fp1 long, fp2 long, hashes binary, counts binary")
 
 
 def _overlap(x: bytes, y: bytes, cx: bytes, cy: bytes, weighting: str) -> float:
@@ -246,7 +253,7 @@ def _compare(bands: int, rows: int, threshold: float, weighting: str):
     return run
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, weighting: str = "set", block: int = 2000, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, weighting: str = "set", block: int = 2000, salts: int = 16, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per document: doc_id, class_id, component_id, kept.
 
     Documents with equal shingle sets form one class (class_id, its smallest id), and only a class's
@@ -260,18 +267,31 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRE
     unless its signature lies five standard deviations below the threshold.
 
     Null and blank texts are alone in their class.  Rows with the same id are one document, compared
-    by any one of its texts.  Rows with a null id are left out.  An empty table gives no rows.
+    by the one of its texts with the largest shingle set, ties to the least fingerprint.  Rows with a
+    null id are left out.  Texts are read whole, however long.  An empty table gives no rows; other
+    columns, whatever their names, are ignored.
     """
-    sig = materialize(signatures(docs, words, bands, rows, weighting, text, doc_id).dropDuplicates(["doc"]))
+    own = F.struct("n", (-F.col("fp1").cast("decimal(20,0)")).alias("f"), "fp1", "fp2", "bands", "coords")
+    sig = materialize(signatures(docs, words, bands, rows, weighting, text, doc_id))
+    again = sig.groupBy("doc").agg(F.count("*").alias("k")).where("k > 1").select("doc")
+    if not again.isEmpty():  # ids that repeat, of which one row is chosen
+        again = materialize(again)
+        one = sig.join(again, "doc", "left_semi").groupBy("doc").agg(F.max(own).alias("o")).select("doc", "o.fp1", "o.fp2", "o.n", "o.bands", "o.coords")
+        sig = materialize(sig.join(again, "doc", "left_anti").unionByName(one))
     some = sig.where("n > 0")
-    classes = some.groupBy("fp1", "fp2").agg(F.min("doc").alias("class_id"))
-    member = sig.where("n = 0").select("doc", F.col("doc").alias("class_id")).union(some.join(classes, ["fp1", "fp2"]).select("doc", "class_id"))
+    classes = materialize(some.groupBy("fp1", "fp2").agg(F.min("doc").alias("class_id"), F.count("*").alias("m")))
+    # classes of several members, once for each salt, so that a large one is not joined in one task
+    shared = classes.where("m > 1").select("fp1", "fp2", "class_id", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    salted = some.select("doc", "fp1", "fp2", F.pmod(F.xxhash64("doc"), F.lit(salts)).cast("int").alias("salt"))
+    member = sig.where("n = 0").select("doc", F.col("doc").alias("class_id")).union(salted.join(shared, ["fp1", "fp2", "salt"], "left").select("doc", F.coalesce("class_id", "doc")))
     reps = sig.join(classes.select(F.col("class_id").alias("doc")), "doc", "left_semi")
     keyed = reps.select("doc", F.explode("bands").alias("key"))
     crowded = keyed.groupBy("key").agg(F.count("*").alias("m"), F.min("doc").alias("leader")).where("m > 1")
     buckets = materialize(keyed.join(crowded, "key"))
     texts = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text")).join(buckets.select("doc").distinct(), "doc", "left_semi")
-    sets = materialize(_sets(texts.dropDuplicates(["doc"]), words))
+    # of an id that repeats, the text whose signature was taken
+    sets = _sets(texts, words, weighting).join(reps.select("doc", "fp1", "fp2"), ["doc", "fp1", "fp2"], "left_semi")
+    sets = materialize(sets.groupBy("doc").agg(F.min(F.struct("hashes", "counts")).alias("s")).select("doc", "s.hashes", "s.counts"))
 
     star = buckets.where("doc <> leader").select(F.col("leader").alias("u"), F.col("doc").alias("v")).distinct()
     side = lambda d, h, c: sets.select(F.col("doc").alias(d), F.col("hashes").alias(h), F.col("counts").alias(c))
