@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import materialize, trimmed
 
 SEQUENCE = 2048
+#: Texts on which encoding by chunks is compared with the tokenizer itself.
+PROBES = ("The quick, brown  fox.", "Élan naïve Straße\tÜber\nGARÇON, été.", "a1b2 c-d it's (x) \"y\" 3.14 Ünïcode… 的 ﬁ İi Σς e\u0301", " leading and trailing ", "HELLO hello Hello, hello. x,y .z")
 
 
 def tokenizer_path() -> str:
@@ -51,9 +53,19 @@ class ChunkIds:
         from tokenizers import Tokenizer
 
         self.tok, self.limit = Tokenizer.from_file(path), limit
+        self.apart = True
         self.chunks: dict[str, bytes] = {"": b""}
         self.words: dict[str, bytes] = {}
         self.letters: dict[str, str] = {}
+        # what is taken for granted of the tokenizer holds for it, or else texts are encoded whole
+        self.apart = all(self.text(t) == self.encode(t) for t in PROBES)
+        self.chunks, self.words = {"": b""}, {}
+
+    def text(self, text: str) -> bytes:
+        """The ids of a whole text."""
+        if not self.apart:
+            return self.encode(text)
+        return self(text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))
 
     def letter(self, c: str) -> str:
         """A letter as the model spells its bytes."""
@@ -108,8 +120,7 @@ def token_pieces(text: Column, path: str | None = None, end: int = 1, sequence:
         for batch in batches:
             out = []
             for text in batch:
-                chunks = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if text else []
-                ids = encode(chunks) + last
+                ids = encode.text(text or "") + last
                 n = len(ids) // 4
                 out.append([{"start": s, "length": m, "ids_crc32": zlib.crc32(ids[4 * s : 4 * (s + m)]), "doc_tokens": n} for s, m in pieces(n, sequence)])
             yield pd.Series(out)
@@ -120,14 +131,15 @@ def token_pieces(text: Column, path: str | None = None, end: int = 1, sequence:
 def pack(docs: DataFrame, path: str | None = None, sequence: int = SEQUENCE, group: int = 4000, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    Documents are dealt by the hash of their id into groups of about `group` rows; sequences are
-    filled within a group, so no length is ordered in one task and reruns agree.  Null and empty
-    texts are one piece, the end id.  Repeated rows are packed one by one.
+    Pieces are dealt by the hash of their id, start and ids into groups of about `group` documents' pieces;
+    sequences are filled within a group, so no length and no id is ordered in one task and reruns agree.
+    Null and empty texts are one piece, the end id.  Repeated rows are packed one by one.  Texts are
+    encoded whole, however long.  An empty table gives no rows; other columns are ignored.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.explode(token_pieces(F.col(text), path, sequence=sequence)).alias("p")).select("doc_id", "p.*")
     rows = materialize(rows)
     groups = max(1, rows.where("start = 0").count() // group)
-    rows = rows.withColumn("g", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int"))
+    rows = rows.withColumn("g", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)).cast("int"))
     key = Window.partitionBy("g", "length")
     i = (F.row_number().over(key.orderBy("doc_id", "start", "ids_crc32", "doc_tokens")) - 1).cast("long")
     rows = rows.withColumn("i", i).withColumn("n", F.count("*").over(key)).withColumn("per", (F.lit(sequence) / F.col("length")).cast("long"))
