@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.llm import block_labeller, impact_search, itq_links, piece_langid, toxicity_cnn, url_filter
 
@@ -82,6 +83,56 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(model.score(["abab", "ba"]), np.log([every("▁abab"), every("▁ba")]))
 
 
+def test_words_of_any_length_and_letters_only(spark):
+    model = piece_langid.PieceModel(["a", "b", "ab", "▁", "▁a", "▁ab"], ["x", "y"])
+    model.prob[2:] = np.random.default_rng(1).uniform(0.1, 0.2, (6, 2))
+
+    def forward(w):
+        w = "▁" + w
+        alpha = [np.ones(2)] + [np.zeros(2) for _ in w]
+        for j in range(1, len(w) + 1):
+            for i in range(j):
+                alpha[j] = alpha[j] + alpha[i] * model.prob[model.index.get(w[i:j], 1 if j == i + 1 else 0)]
+        return np.log(alpha[-1])
+
+    words = ["abab", "a" * 80, "ab" * 60 + "cb", "a" * 15, "a" * 16, "a" * 17, "c"]
+    assert np.allclose(model.score(words), [forward(w) for w in words])
+    assert piece_langid.words_of("½ ² ①") == [] and piece_langid.words_of("a½b Cd") == ["a", "b", "cd"]
+
+
+def test_expectation_step_by_enumeration():
+    words, freq = ["ab", "ba" * 9, "c"], np.array([[2.0, 1.0], [1.0, 0.0], [0.0, 3.0]])
+    model = piece_langid.PieceModel(["a", "b", "ab", "▁", "▁a", "c"], ["x", "y"])
+    p = np.full((8, 2), 1 / 8)
+    count = np.zeros((8, 2))
+
+    def cuts(s):
+        if not s:
+            yield []
+        for n in (1, 2):
+            if len(s) >= n and (n == 1 or s[:n] in model.index):
+                for rest in cuts(s[n:]):
+                    yield [model.index.get(s[:n], 1), *rest]
+
+    for w, f in zip(words, freq, strict=True):
+        every = list(cuts("▁" + w))
+        weight = np.array([np.prod(p[c], axis=0) for c in every])
+        for c, g in zip(every, weight / weight.sum(axis=0), strict=True):
+            np.add.at(count, c, g * f)
+    model.train(words, freq, turns=1, prior=1.0)
+    single = np.array([0, 1, 1, 1, 0, 1, 0, 1.0])
+    pooled = count.sum(axis=1) + 1e-3 * single
+    pooled /= pooled.sum()
+    want = (count + pooled[:, None]) / (count.sum(axis=0) + 1.0)
+    assert np.allclose(model.prob, want)
+
+
+def test_language_sample_is_bounded_by_language(spark):
+    rows = [(i, "x", "en" if i % 7 else "de") for i in range(500)] + [(3, "x", "en")] * 5
+    got = Counter(r.l for r in piece_langid.chosen(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 40, "lang", "doc_id").collect())
+    assert got["en"] in range(35, 41) and got["de"] == 40
+
+
 def test_language_on_held_out(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     odd = spark.createDataFrame([(10**6, None, None, None, 0), (10**6 + 1, "12 !?", "en", "s", 0), (10**6 + 2, "", "en", "s", 0), (10**6 + 3, "the " * 100_000, None, "s", 0)], docs.schema)
@@ -124,7 +175,7 @@ def test_toxicity_on_held_out(spark):
 def test_url_rules(spark, url, want):
     seed = [(1000 + i, f"http://h{i}.com/{'de' if i % 2 else 'fr'}/{i}", None) for i in range(60)]
     df = spark.createDataFrame([(1, url, "h"), *seed], "page_id long, url string, host string")
-    row = url_filter.judge(df, rounds=2).where("page_id = 1").first()
+    row = url_filter.judge(df, rounds=2, depth=2).where("page_id = 1").first()
     assert (row.host, row.path, row.rule) == want[:3] and row.verdict == (want[3] or row.verdict) and row.verdict in ("allow", "block")
 
 
@@ -137,6 +188,53 @@ def test_url_trees_learn(spark):
     assert url_filter.judge(pages.limit(0)).count() == 0
 
 
+def test_url_trees_against_brute_force(spark):
+    rng = random.Random(5)
+    rows = [(f"http://h{rng.randint(0, 9)}.{rng.choice(['com', 'net'])}/{'x' * rng.randint(0, 30)}/{rng.randint(0, 99)}", rng.randint(0, 1)) for _ in range(200)]
+    rows = [(u, int(y or len(u) > 40)) for u, y in rows]
+    df = spark.createDataFrame(rows, "url string, label int")
+    model = url_filter.fit(df, rounds=2, depth=2, rate=0.5)
+    named = url_filter.encoded(url_filter.parsed(df), 1 / (1 + math.exp(-model.prior)))
+    data = named.select("label", *[v.alias(k) for k, v in model.bins().items()]).collect()
+    y, x = np.array([r.label for r in data]), np.array([[r[k] for k in model.names] for r in data])
+    margin = np.full(len(y), model.prior)
+
+    def grow(at, depth, own):
+        q = 1 / (1 + np.exp(-margin))
+        g, h = q - y, q * (1 - q)
+        best, gain = None, 1e-6
+        for f in range(x.shape[1]) if depth else ():
+            for b in sorted(set(x[at, f]))[:-1]:
+                left = at & (x[:, f] <= b)
+                right = at & ~left
+                value = g[left].sum() ** 2 / (h[left].sum() + 1) + g[right].sum() ** 2 / (h[right].sum() + 1) - g[at].sum() ** 2 / (h[at].sum() + 1)
+                if value > gain + 1e-9:
+                    best, gain = (f, b, left, right, -g[left].sum() / (h[left].sum() + 1), -g[right].sum() / (h[right].sum() + 1)), value
+        if not best:
+            return np.where(at, 0.5 * own, 0.0)
+        return grow(best[2], depth - 1, best[4]) + grow(best[3], depth - 1, best[5])
+
+    for _ in range(2):
+        margin = margin + grow(np.ones(len(y), bool), 2, 0.0)
+    got = [r.s for r in named.select("*", *[v.alias(f"b_{k}") for k, v in model.bins().items()]).select(model.score("b_").alias("s")).collect()]
+    assert np.allclose(sorted(got), sorted(margin), atol=1e-6)
+
+
+def test_url_trees_on_held_out_urls(spark):
+    pages = url_filter.parsed(spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("url"))
+    ruled = pages.withColumn("r", url_filter.rule_of(F.col("host"), F.col("path"))).where("r is not null")
+    got = url_filter.quality(ruled.select("url", F.when(F.col("r.verdict") == "block", 1).otherwise(0).alias("label")))
+    assert got["precision"] >= 0.9 and got["recall"] >= 0.7 and got["n"] > 100
+
+
+def test_url_features_read_the_query_and_nothing_else(spark):
+    urls = ["http://a.b/c/d?x=1&y=2#z?q&r", "http://a.b/c#x?y=1", None, "http://" + "a" * 50_000 + "/"]
+    df = url_filter.parsed(spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "i int, url string"))
+    f = url_filter.lexical(F.col("url"), F.col("host"), F.col("path"))
+    got = [r.params for r in df.orderBy("i").select(f["params"].alias("params")).collect()]
+    assert got == [2.0, 0.0, 0.0, 0.0]
+
+
 PAGE = """<html><head><title>T</title><style>p{}</style></head><body><nav><a href=x>Menu</a></nav>
 <div class="ad">Buy now</div><article><h1>A &amp; B</h1><p>One <b>two</b>three<br>four<p>Five &lt;x&gt;</p><aside>Side</aside>
 <script>var t="</p>";</script><!-- <p>gone</p> --><ul><li>Six<li>Seven</ul></article><section class="comments"><p>Me first</p></section><footer>&copy; x</footer>"""
@@ -149,6 +247,38 @@ def test_blocks():
     assert len(block_labeller.blocks("<p a=\"" * 2000 + "<div>" * 3000 + "x")) >= 0
 
 
+def test_attributes_of_any_length():
+    assert [b[0] for b in block_labeller.blocks(f'<article><p data-x="{"a" * 6000} > LEAK">text</p>')] == ["text"]
+    assert [b[0] for b in block_labeller.blocks("<p title='it\"s > x'>one</p><p a=\"x>two</p>")] == ["one", "two"]
+    assert block_labeller.blocks("<div>" * 30_000 + "x")[0][0] == "x"
+    assert len(block_labeller.blocks('<p a="' * 200_000 + "x")) >= 0
+
+
+def hidden_page(i, rng):
+    """A page whose classes say nothing, and its main text."""
+    say = lambda n: " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "river", "stone", "cloud", "walks", "reads", "under"]) for _ in range(n)) + "."
+    body = [say(rng.randint(25, 60)) for _ in range(rng.randint(3, 7))]
+    links = "".join(f"<li><a href=/{k}>{rng.choice(['Home', 'News', 'Help', 'About', 'Contact'])}</a></li>" for k in range(5))
+    page = f"<html><body><div class=q{i}><ul>{links}</ul></div><div class=z{i}><h1>{say(4)[:-1]}</h1>{''.join(f'<p>{b}</p>' for b in body)}</div><div class=k{i}><a href=x>Terms</a> <a href=y>Privacy</a></div></body></html>"
+    return page, body
+
+
+def test_main_text_of_pages_whose_classes_say_nothing(spark):
+    rng = random.Random(11)
+    model = block_labeller.train(spark.read.parquet("/root/testdata/sf0.1/pages.parquet"))
+    hit = found = real = 0
+    for i in range(60):
+        page, body = hidden_page(i, rng)
+        read = block_labeller.blocks(page)
+        features = block_labeller.Features()
+        keep = model.label([[features.block(b, k, len(read)) for k, b in enumerate(read)]])[0]
+        got = [b[0] for b, k in zip(read, keep, strict=True) if k and len(b[0].split()) > 4]
+        hit += len(set(got) & set(body))
+        found += sum(bool(k) for k in keep)
+        real += len(body)
+    assert hit >= 0.8 * real and hit >= 0.7 * found, (hit, found, real)
+
+
 def test_gradient_of_the_labeller():
     model = block_labeller.Labeller()
     features = block_labeller.Features()

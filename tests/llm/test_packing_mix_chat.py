@@ -1,3 +1,5 @@
+import hashlib
+import math
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -5,6 +7,8 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from lodestone.llm import binary_packing, chat_format, source_mix
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size string, h int"
@@ -100,18 +104,89 @@ def test_chat_round_trip(spark):
     rows += [(None, 0, "assistant", "null id"), (3, None, "user", "no turn"), (3, None, "user", "no turn"), (99, 0, "assistant", "x" * 200_000)]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 AS stream", "2 AS turns", "3 AS examples")
     formatted = chat_format.format_conversations(turns).cache()
-    got = {r.conv_id: r for r in chat_format.read_back(formatted).collect()}
+    got = defaultdict(list)
+    for r in sorted(chat_format.read_back(formatted).collect(), key=lambda r: r.example):
+        got[r.conv_id].append(r)
     want = defaultdict(list)
     for c, t, r, x in rows:
         want[c].append((-1 if t is None else t, r or "", x or ""))
     assert set(got) == set(want)
-    for c, r in got.items():
-        assert [(t.role, t.text) for t in r.turns] == [x[1:] for x in sorted(want[c])]
-        assert list(r.losses) == [x for _, role, x in sorted(want[c]) if role == "assistant"]
-    streams = {r.conv_id: r.stream for r in formatted.collect()}
-    for e in chat_format.expand(formatted).collect():
+    for c, rs in got.items():
+        assert [(t.role, t.text) for r in rs for t in r.turns] == [x[1:] for x in sorted(want[c])]
+        said = [x for _, role, x in sorted(want[c]) if role == "assistant"]
+        assert [r.loss for r in rs][: len(said)] == said and all(r.loss == "" for r in rs[len(said) :]) and len(rs) <= len(said) + 1
+    streams = defaultdict(str)
+    for r in sorted(formatted.collect(), key=lambda r: r.example):
+        assert r.part_start == len(streams[r.conv_id]) and r.context_end == r.part_start + len(r.part)
+        streams[r.conv_id] += r.part
+    full = chat_format.expand(formatted).collect()
+    assert len(full) == sum(role == "assistant" for x in want.values() for _, role, _ in x)
+    for e in full:
         assert streams[e.conv_id].startswith(e.text) and e.text.endswith("</turn>\n")
         assert e.loss_start + e.loss_length + 8 == len(e.text)
+    for r in chat_format.digests(chat_format.read_back(formatted)).collect():
+        turns_ = [x[1:] for x in sorted(want[r.conv_id])]
+        said = "".join(x for role, x in turns_ if role == "assistant")
+        assert r.turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in turns_).encode()).hexdigest()
+        assert (r.n_turns, r.loss_chars, r.loss_sha256, r.formatted_chars) == (len(turns_), len(said), hashlib.sha256(said.encode()).hexdigest(), len(streams[r.conv_id]))
+
+
+def test_mix_against_a_schedule_by_hand(spark):
+    rng = random.Random(8)
+    rows = [(i, " ".join(["w"] * rng.randint(0, 90)), rng.choice(["a", "a", "a", "b", None])) for i in range(400)]
+    df = docs(spark, rows)
+    order = {r.doc_id: r.h for r in df.select("doc_id", F.xxhash64(F.lit(17), "doc_id", F.xxhash64("text")).alias("h")).collect()}
+    got = {r.doc_id: r for r in source_mix.mix(df, block=8).collect()}
+    of, size = {i: s for i, _, s in rows}, {i: len(t.split()) for i, t, _ in rows}
+    sources = sorted({s for s in of.values() if s is not None}) + [None]
+    total = {s: sum(size[i] for i in of if of[i] == s) for s in sources}
+    target = {s: next(r.target for i, r in got.items() if of[i] == s) for s in sources}
+    block = {s: max(1, min(8, math.floor(min(total[s], target[s]) / 64))) for s in sources}
+    slots = {s: target[s] / block[s] for s in sources}
+    whole, parts = sum(slots.values()), max(1, len(rows) // 5000)
+    edges, at = [], 0.0
+    for s in sources:
+        edges.append((round(at / whole * 2**32), round((at + slots[s]) / whole * 2**32), s))
+        at += slots[s]
+    taken, seen = Counter(), Counter()
+    line = {s: [i for i in sorted((i for i in of if of[i] == s and size[i]), key=lambda i: (((order[i] % 2**64) >> 8) % parts, order[i], i)) for _ in range(size[i])] for s in sources}
+    for n in range(math.ceil(whole)):
+        p = (n * source_mix.GOLDEN % 2**62) >> 30
+        s = next((s for lo, hi, s in edges if lo <= p < hi), 0)
+        if s == 0:
+            continue
+        blocks = math.ceil(total[s] / block[s])
+        if seen[s] < 2 * blocks:
+            k = seen[s] % blocks
+            taken.update(line[s][k * block[s] : (k + 1) * block[s]])
+        seen[s] += 1
+    assert {i: r.taken for i, r in got.items()} == {i: taken[i] for i in of}
+
+
+def test_golden_points_do_not_repeat_early(spark):
+    ns = [0, 1, 2, 12345, 2**31, 2**31 + 1, 2**40 + 7, 2**61 + 3]
+    got = [r.p for r in spark.createDataFrame([(n,) for n in ns], "n long").select(source_mix.golden_point(F.col("n")).alias("p")).collect()]
+    assert got == [(n * source_mix.GOLDEN % 2**62) >> 30 for n in ns] and got[1] != got[5]
+
+
+def test_packing_of_repeated_and_null_ids_and_other_tokenizers(spark):
+    import public_tokenizers
+
+    rows = [(None, f"text {i}", "s") for i in range(50)] + [(7, "same", "s")] * 20
+    got = binary_packing.pack(docs(spark, rows), group=5).collect()
+    assert Counter((r.doc_id, r.start) for r in got if r.start == 0) == {(None, 0): 50, (7, 0): 20}
+    assert binary_packing.ChunkIds(binary_packing.tokenizer_path()).apart
+    for path in public_tokenizers_files(public_tokenizers):
+        ids = binary_packing.ChunkIds(path)
+        for text in ("Hello  world.\n x", "Ünï", ""):
+            assert ids.text(text) == ids.encode(text)
+
+
+def public_tokenizers_files(module):
+    import glob
+    import os
+
+    return sorted(glob.glob(os.path.join(os.path.dirname(module.path("word_bpe_49k.json")), "*.json")))[:4]
 
 
 def test_chat_empty(spark):

@@ -43,7 +43,44 @@ def test_near_duplicates_keep_one_of_each_group(spark):
     made += [(100 + i, t, "en", "b", len(t)) for i, t in enumerate(base[:5])] + [(None, base[0], "en", "a", 1)]
     made += [(200, " ".join([*base[7].split(" ")[:-1], "other"]), "en", "a", 1)]
     got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(made, DOCS), "").collect()
-    assert sorted((r.doc_id for r in got), key=str) == sorted([*range(20), None], key=str)
+    assert sorted(r.doc_id for r in got) == list(range(20))
+
+
+def test_near_duplicates_of_ids_that_repeat(spark):
+    rng = random.Random(6)
+    say = lambda: " ".join(str(rng.randint(0, 10**6)) for _ in range(60))
+    one, two, three = say(), say(), say()
+    made = [(1, one, "en", "a", 1), (1, two, "en", "a", 1), (2, two, "en", "a", 1), (3, three, "en", "b", 1), (3, three, "en", "b", 1), (3, three, "en", "a", 1), (4, None, None, None, None), (4, None, None, None, None), (5, "", "en", "a", 0), (6, "", "en", "a", 0)]
+    docs = spark.createDataFrame(made, DOCS).selectExpr("*", "1 AS node", "2 AS digest", "3 AS first", "4 AS many", "5 AS __gone")
+    got = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns
+    rows_ = got.collect()
+    assert Counter(r.text for r in rows_) == Counter([one, two, three, None, "", ""])
+    assert {r.doc_id for r in rows_ if r.text == two} <= {1, 2} and next(r.source for r in rows_ if r.text == three) == "a"
+
+
+def test_stages_take_odd_rows_and_clashing_names(spark, tmp_path):
+    spark.createDataFrame([(i, 1, i % 2) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    words = [["lovely", "day"], ["nasty", "slur"]]
+    made = [(i, " ".join(words[i % 2] * 5) + f" the number {i}", "en" if i % 3 else "de", "a", 1) for i in range(40)]
+    made += [(100, None, None, None, None), (101, "", "en", "b", 0), (102, "123 !?", "en", None, 6), (103, "the " * 30_000, "en", "b", 1), made[2], made[2]]
+    docs = spark.createDataFrame(made, DOCS).selectExpr("*", "1 AS score", "2 AS p", "3 AS row", "4 AS size", "5 AS n", "'x' AS __row", "7 AS start", "8 AS sequence_id")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        rows = out.collect()
+        if name == "packing":
+            assert {r.doc_id for r in rows} == {r[0] for r in made}
+            continue
+        assert out.columns == docs.columns and all(r.score == 1 and r["__row"] == "x" for r in rows)
+        ids = Counter(r.doc_id for r in rows)
+        if name == "toxicity":
+            assert ids[100] == ids[101] == 1 and ids[2] in (0, 3)
+        if name == "language":
+            assert not ids[100] and not ids[101] and not ids[102] and ids[103] == 1
+        if name == "near_duplicates":
+            assert ids[2] == 1 and ids[100] == ids[101] == 1
+        if name == "mix":
+            assert not ids[100] and not ids[101] and all(r.n_chars == len(r.text) for r in rows)
 
 
 def test_stages_take_empty_tables(spark, tmp_path):
