@@ -53,10 +53,17 @@ r AS (SELECT CASE WHEN event IS NULL THEN 'undetermined' WHEN ok THEN 'payable'
 SELECT l_returnflag, kind, missing, count(*) AS n, CAST(sum(pay) AS BIGINT) AS paid FROM r GROUP BY ALL""")
 def rule_payout(spark, sf_dir):
     """A waiting-period rule over all cases: nothing in the first 90 days, half below 180 days."""
-    contract, event, amount = R.given("contract", "date"), R.given("event", "date"), R.given_amount("amount")
-    eligible = R.all_of(R.compare("gte", event, contract), R.compare("gte", event, R.date_add(contract, 90, "day")))
-    paid = R.choose_amount(R.compare("lt", event, R.date_add(contract, 180, "day")), R.multiply_rate(amount, 1, 2, "floor"), amount)
-    done = cases(spark, sf_dir).select("l_returnflag", R.payout(eligible, paid, "terminate").alias("p"))
+    df = cases(spark, sf_dir)
+    df, contract = R.keep(df, "c", R.given("contract", "date"))
+    df, event = R.keep(df, "e", R.given("event", "date"))
+    df, amount = R.keep(df, "a", R.given_amount("amount"))
+    df, waited = R.keep(df, "w", R.compare("gte", event, R.date_add(contract, 90, "day")))
+    df, after = R.keep(df, "s", R.compare("gte", event, contract))
+    df, early = R.keep(df, "x", R.compare("lt", event, R.date_add(contract, 180, "day")))
+    df, half = R.keep(df, "h", R.multiply_rate(amount, 1, 2, "floor"))
+    df, eligible = R.keep(df, "ok", R.all_of(after, waited))
+    df, paid = R.keep(df, "p", R.choose_amount(early, half, amount))
+    done = df.select("l_returnflag", R.payout(eligible, paid, "terminate").alias("p"))
     return done.groupBy("l_returnflag", F.col("p.kind").alias("kind"), F.array_join("p.missing", ",").alias("missing")).agg(F.count("*").alias("n"), F.sum("p.min_krw").alias("paid"))
 
 
@@ -67,9 +74,11 @@ SELECT l_returnflag, CAST(sum(n // d * 1000) AS BIGINT) AS floored, CAST(sum((n
  CAST(sum(CASE WHEN n % d > 0 THEN 1000 ELSE 0 END) AS BIGINT) AS open_width FROM p GROUP BY 1""")
 def rule_rounding(spark, sf_dir):
     """amount * 3/7 to whole thousands in every rounding mode, summed."""
-    a = R.given_amount("amount")
-    by = {m: R.multiply_rate(a, 3, 7, m, 1000) for m in ("floor", "ceil", "half_up", "half_even", "unspecified")}
-    return cases(spark, sf_dir).groupBy("l_returnflag").agg(F.sum(by["floor"].lo).alias("floored"), F.sum(by["ceil"].lo).alias("ceiled"), F.sum(by["half_up"].lo).alias("half_up"), F.sum(by["half_even"].lo).alias("half_even"), F.sum(by["unspecified"].hi - by["unspecified"].lo).alias("open_width"))
+    df, a = R.keep(cases(spark, sf_dir), "a", R.given_amount("amount"))
+    a.hi, by = a.lo, {}  # exact amounts
+    for m in ("floor", "ceil", "half_up", "half_even", "unspecified"):
+        df, by[m] = R.keep(df, m, R.multiply_rate(a, 3, 7, m, 1000))
+    return df.groupBy("l_returnflag").agg(F.sum(by["floor"].lo).alias("floored"), F.sum(by["ceil"].lo).alias("ceiled"), F.sum(by["half_up"].lo).alias("half_up"), F.sum(by["half_even"].lo).alias("half_even"), F.sum(by["unspecified"].hi - by["unspecified"].lo).alias("open_width"))
 
 
 @query(f"""WITH c AS ({CASES}), v AS (SELECT event >= contract + 30 AS a, qty > 25 AS b FROM c)
@@ -108,8 +117,8 @@ def rule_anniversary_band(spark, sf_dir):
 SELECT l_orderkey, CAST(sum(top) AS BIGINT) AS total FROM m GROUP BY 1""")
 def rule_max_over(spark, sf_dir):
     """Per order the sum over classes of the class's greatest amount."""
-    items = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("l_returnflag").alias("class"), F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("krw"))).alias("items"))
-    return items.select("l_orderkey", R.max_over(F.col("items")).alias("total"))
+    items = read(spark, sf_dir, "lineitem").withColumn("krw", F.round(F.col("l_extendedprice") * 100).cast("bigint"))
+    return R.max_over_rows(items, "l_orderkey", "l_returnflag", "krw")
 
 
 @query(f"""WITH c AS ({CASES}), w AS (SELECT CASE WHEN ship BETWEEN contract + 1 AND CAST(contract + INTERVAL 3 MONTH AS DATE) THEN 'within' ELSE 'outside' END AS w3, CASE WHEN ship BETWEEN contract AND contract + 29 THEN 'within' ELSE 'outside' END AS w30 FROM c)

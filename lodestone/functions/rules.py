@@ -7,10 +7,10 @@ named missing inputs; a non-NULL error tells why no value exists.  Amounts are i
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WIDE = "decimal(38,0)"
@@ -98,6 +98,18 @@ def compare(op: str, a: Val, b: Val) -> Val:
     return Val(F.when(error.isNull(), value), F.when(error.isNull() & value.isNull(), union(a.missing, b.missing)).otherwise(no_causes()), error)
 
 
+def exact(a: Amount) -> Val:
+    """An amount as a value to compare; a true range has no order, so comparing it is an error."""
+    return Val(F.when(a.lo == a.hi, a.lo), a.missing, F.coalesce(a.error, F.when(a.lo != a.hi, F.lit("range_compared"))))
+
+
+def compare_rates(op: str, a_num: Column, a_den: Column, b_num: Column, b_den: Column) -> Column:
+    """Two fractions of positive denominators by their cross products, exactly."""
+    wide = lambda x: x.cast("decimal(19,0)")
+    x, y = wide(a_num) * wide(b_den), wide(b_num) * wide(a_den)
+    return {"eq": x == y, "ne": x != y, "lt": x < y, "lte": x <= y, "gt": x > y, "gte": x >= y}[op]
+
+
 def choose(cond: Val, then: Val, other: Val) -> Val:
     """The branch of a known condition; of an unknown one the common value of both branches, else unknown with all causes."""
     same = cond.value.isNull() & cond.error.isNull() & then.error.isNull() & other.error.isNull() & (then.value == other.value)
@@ -108,60 +120,88 @@ def choose(cond: Val, then: Val, other: Val) -> Val:
     return Val(value, blame, error)
 
 
-def _ranged(lo: Column, hi: Column, parts: list, extra_issue: Column | None = None) -> Amount:
+def keep(df: DataFrame, name: str, v: Val | Amount) -> tuple[DataFrame, Val | Amount]:
+    """df with the parts of a step as columns of that name, and the step as a reference to them.
+
+    A rule of many steps keeps each, so that the next one names its operands instead of repeating them
+    and the plan grows with the rule's length.
+    """
+    parts = {f.name: f"{name}__{f.name}" for f in fields(v)}
+    df = df.withColumns({column: getattr(v, k) for k, column in parts.items()})
+    return df, type(v)(**{k: F.col(column) for k, column in parts.items()})
+
+
+def _ranged(lo: Column, hi: Column, parts: list, issue: Column | None = None, domain: Column | None = None) -> Amount:
+    """The amount lo..hi of known operands.  An operand's error comes first; `issue` then makes it unknown; a domain error counts when all are known."""
     error = F.coalesce(*[p.error for p in parts])
     known = reduce(lambda a, b: a & b, [(p.lo if isinstance(p, Amount) else p.value).isNotNull() for p in parts])
-    overflow = F.when(error.isNull() & known & (lo.isNull() | hi.isNull()), F.lit("overflow"))
-    if extra_issue is not None:
-        overflow = F.when(extra_issue.isNull(), overflow)
-    error = F.coalesce(error, overflow)
-    issues = [p.issues for p in parts if isinstance(p, Amount)] + ([F.when(extra_issue.isNotNull(), F.array(extra_issue)).otherwise(no_causes())] if extra_issue is not None else [])
-    dead = error.isNotNull() | ~known | (extra_issue.isNotNull() if extra_issue is not None else F.lit(False))
+    if domain is not None:
+        error = F.coalesce(error, F.when(known, domain))
+    stopped = F.lit(False) if issue is None else issue.isNotNull()
+    error = F.coalesce(error, F.when(known & ~stopped & (lo.isNull() | hi.isNull()), F.lit("overflow")))
+    unknown = error.isNull() & (~known | stopped)
     null = F.lit(None).cast("bigint")
-    unknown = error.isNull() & dead
-    missing = F.when(unknown & (extra_issue.isNull() if extra_issue is not None else F.lit(True)), union(*[p.missing for p in parts])).otherwise(no_causes())
-    return Amount(F.when(~dead, lo).otherwise(null), F.when(~dead, hi).otherwise(null), missing, F.when(unknown, union(*issues)).otherwise(no_causes()), error)
-
-
-def rounded(product: Column, den: Column, mode: str, unit: int) -> tuple[Column, Column]:
-    """product / den to a whole multiple of the unit, as (lo, hi); exact over DECIMAL(38,0), NULL beyond BIGINT."""
-    n, d = product.cast(WIDE), (den.cast("decimal(19,0)") * F.lit(unit).cast("decimal(4,0)")).cast(WIDE)
-    d = F.when(d > 0, d)
-    rest = n % d
-    floor = F.try_divide(n - rest, d).cast(WIDE)
-    up = floor + F.when(rest > 0, F.lit(1)).otherwise(F.lit(0)).cast("decimal(1,0)")
-    twice = rest * F.lit(2).cast("decimal(1,0)")
-    half_up = floor + F.when(twice >= d, F.lit(1)).otherwise(F.lit(0)).cast("decimal(1,0)")
-    half_even = floor + F.when((twice > d) | ((twice == d) & (floor % 2 == 1)), F.lit(1)).otherwise(F.lit(0)).cast("decimal(1,0)")
-    lo, hi = {"floor": (floor, floor), "ceil": (up, up), "half_up": (half_up, half_up), "half_even": (half_even, half_even), "unspecified": (floor, up)}[mode]
-    back = lambda x: F.try_multiply(x.cast(WIDE).try_cast("bigint"), F.lit(unit).cast("bigint"))
-    return back(lo), back(hi)
+    live = error.isNull() & ~unknown
+    missing = F.when(unknown & ~stopped, union(*[p.missing for p in parts])).otherwise(no_causes())
+    causes = [p.issues for p in parts if isinstance(p, Amount)]
+    issues = F.when(unknown & stopped, F.array(issue)).when(unknown, union(*causes)).otherwise(no_causes()) if issue is not None else F.when(unknown, union(*causes)).otherwise(no_causes())
+    return Amount(F.when(live, lo).otherwise(null), F.when(live, hi).otherwise(null), missing, issues, error)
+
+
+def rounded(x: Column, num: Column, den: Column, mode: str, unit: int) -> tuple[Column, Column]:
+    """x * num / den to a whole multiple of the unit, as (lo, hi); NULL beyond BIGINT.
+
+    Whole 64-bit numbers where the product fits them, DECIMAL(38,0) otherwise.
+    """
+
+    def pick(q, r, d, one):
+        up = q + F.when(r > 0, one).otherwise(one - one)
+        half_up = q + F.when(r >= d - r, one).otherwise(one - one)
+        half_even = q + F.when((r > d - r) | ((r == d - r) & (q % 2 == 1)), one).otherwise(one - one)
+        return {"floor": (q, q), "ceil": (up, up), "half_up": (half_up, half_up), "half_even": (half_even, half_even), "unspecified": (q, up)}[mode]
+
+    d = F.when(den > 0, F.try_multiply(den.cast("bigint"), F.lit(unit).cast("bigint")))
+    p = F.try_multiply(x, num.cast("bigint"))
+    small = pick(F.call_function("div", p, d), p % d, d, F.lit(1).cast("bigint"))
+    wd = F.when(den > 0, (den.cast("decimal(19,0)") * F.lit(unit).cast("decimal(4,0)")).cast(WIDE))
+    wp = (x.cast("decimal(19,0)") * num.cast("decimal(18,0)")).cast(WIDE)
+    rest = wp % wd
+    wide = pick(F.try_divide(wp - rest, wd).cast(WIDE), rest, wd, F.lit(1).cast("decimal(1,0)"))
+    back = lambda s, w: F.try_multiply(F.coalesce(s, w.cast(WIDE).try_cast("bigint")), F.lit(unit).cast("bigint"))
+    lo = back(small[0], wide[0])
+    return lo, (lo if mode != "unspecified" else back(small[1], wide[1]))
+
+
+def _scaled(a: Amount, num: Column, den: Column, mode: str, unit: int) -> tuple[Column, Column]:
+    lo, up = rounded(a.lo, num, den, mode, unit)
+    return lo, (up if a.hi is a.lo else rounded(a.hi, num, den, mode, unit)[1])
 
 
 def multiply_rate(a: Amount, num: int, den: int, mode: str = "floor", unit: int = 1) -> Amount:
-    n = F.lit(num).cast("decimal(18,0)")
-    times = lambda x: x.cast("decimal(19,0)") * n
-    return _ranged(rounded(times(a.lo), F.lit(den), mode, unit)[0], rounded(times(a.hi), F.lit(den), mode, unit)[1], [a])
+    return _ranged(*_scaled(a, F.lit(num).cast("bigint"), F.lit(den).cast("bigint"), mode, unit), [a])
 
 
 def pro_rata(a: Amount, part: Val, whole: Val, mode: str = "floor", unit: int = 1) -> Amount:
-    """amount * part / whole; a whole of 0 is an issue, a negative part or a part over the whole an error."""
-    zero = F.when((whole.value == 0) & whole.error.isNull(), F.lit("zero_denominator"))
-    bad = F.when((part.value < 0) | (whole.value < 0) | (part.value > whole.value), F.lit("bad_proportion"))
-    checked = Val(part.value, part.missing, F.coalesce(part.error, F.when(zero.isNull(), bad)))
-    times = lambda x: x.cast("decimal(19,0)") * part.value.cast("decimal(18,0)")
-    return _ranged(rounded(times(a.lo), whole.value, mode, unit)[0], rounded(times(a.hi), whole.value, mode, unit)[1], [a, checked, whole], zero)
+    """amount * part / whole.
+
+    Of known operands a negative part or whole is an error, then a whole of 0 an issue, then a part over
+    the whole an error.  A known whole of 0 is the issue whatever else is unknown.
+    """
+    negative = (part.value < 0) | (whole.value < 0)
+    known = a.lo.isNotNull() & part.value.isNotNull()
+    zero = F.when((whole.value == 0) & ~F.coalesce(known & negative, F.lit(False)), F.lit("zero_denominator"))
+    bad = F.when(negative | ((whole.value != 0) & (part.value > whole.value)), F.lit("bad_proportion"))
+    return _ranged(*_scaled(a, part.value, whole.value, mode, unit), [a, part, whole], zero, bad)
 
 
 def divide_count(a: Amount, n: Val, mode: str = "floor", unit: int = 1) -> Amount:
-    zero = F.when((n.value == 0) & n.error.isNull(), F.lit("zero_denominator"))
-    checked = Val(n.value, n.missing, F.coalesce(n.error, F.when(n.value < 0, F.lit("negative_count"))))
-    return _ranged(rounded(a.lo.cast("decimal(19,0)"), n.value, mode, unit)[0], rounded(a.hi.cast("decimal(19,0)"), n.value, mode, unit)[1], [a, checked], zero)
+    """amount / n; a known 0 is an issue whatever the amount, a negative count of a known amount an error."""
+    zero = F.when(n.value == 0, F.lit("zero_denominator"))
+    return _ranged(*_scaled(a, F.lit(1).cast("bigint"), n.value, mode, unit), [a, n], zero, F.when(n.value < 0, F.lit("negative_count")))
 
 
 def multiply_count(a: Amount, n: Val) -> Amount:
-    checked = Val(n.value, n.missing, F.coalesce(n.error, F.when(n.value < 0, F.lit("negative_count"))))
-    return _ranged(F.try_multiply(a.lo, n.value.cast("bigint")), F.try_multiply(a.hi, n.value.cast("bigint")), [a, checked])
+    return _ranged(F.try_multiply(a.lo, n.value.cast("bigint")), F.try_multiply(a.hi, n.value.cast("bigint")), [a, n], domain=F.when(n.value < 0, F.lit("negative_count")))
 
 
 def add(a: Amount, b: Amount) -> Amount:
@@ -233,13 +273,24 @@ def anniversary_band(start: Val, at: Val, bands: list[tuple[int, int]], boundary
 
 
 def max_over(items: Column) -> Column:
-    """Sum over classes of the class's greatest amount in ARRAY<STRUCT<class, krw>>; NULL if any amount is unknown."""
-    classes = F.array_distinct(F.transform(items, lambda x: x["class"]))
-    top = F.transform(classes, lambda c: F.array_max(F.transform(F.filter(items, lambda x: x["class"] == c), lambda x: x["krw"])))
-    total = F.aggregate(top, F.lit(0).cast("bigint"), lambda acc, x: F.try_add(acc, x.cast("bigint")))
+    """Sum over classes of the class's greatest amount in ARRAY<STRUCT<class, krw>>; NULL if any amount is unknown.
+
+    One pass: the greatest amount so far of every class is kept in a map.  For rows that are not
+    gathered yet, `max_over_rows` needs no array.
+    """
+    first = F.expr("cast(map() as map<string, bigint>)")
+    put = lambda acc, x: F.map_concat(F.map_filter(acc, lambda k, _: k != x["class"]), F.create_map(x["class"], F.greatest(x["krw"].cast("bigint"), F.try_element_at(acc, x["class"]))))
+    top = F.map_values(F.aggregate(items, first, put))
+    total = F.aggregate(top, F.lit(0).cast("bigint"), F.try_add)
     return F.when(~F.exists(items, lambda x: x["krw"].isNull()), total)
 
 
+def max_over_rows(rows: DataFrame, case: str, kind: str, krw: str) -> DataFrame:
+    """(case, total): max_over of rows (case, class, amount) by two aggregates, each combined before its shuffle."""
+    best = rows.groupBy(case, kind).agg(F.max(krw).alias("_top"), F.count_if(F.col(krw).isNull()).alias("_open"))
+    return best.groupBy(case).agg(F.when(F.sum("_open") == 0, F.try_sum("_top")).alias("total"))
+
+
 def payout(eligible: Val, amount: Amount, effect: str = "none") -> Column:
     """STRUCT<eligibility, kind, min_krw, max_krw, effect, missing, issues, error> of a rule for a case."""
     kind = F.when(eligible.error.isNotNull(), F.lit("error")).when(~eligible.value, F.lit("not_payable")).when(eligible.value & amount.error.isNotNull(), F.lit("error")).when(eligible.value & amount.lo.isNotNull(), F.lit("payable")).otherwise(F.lit("undetermined"))
@@ -258,11 +309,15 @@ def payout(eligible: Val, amount: Amount, effect: str = "none") -> Column:
 
 
 def time_window(anchor: Column, n: int, unit: str, counted: bool | None, at: Column) -> Column:
-    """STRUCT<first, last, within>: the window of a duration from an anchor; None counts as not counted."""
+    """STRUCT<first, last, within, assumptions>: the window of a duration from an anchor.
+
+    Whether the anchor is counted may be left open: it then is not, and that is listed as assumed, as is
+    an end that was moved to the last day of a shorter month.
+    """
     end = F.date_add(anchor, n) if unit == "day" else F.add_months(anchor, n * (12 if unit == "calendar_year" else 1))
     first, last = (anchor, F.date_sub(end, 1)) if counted else (F.date_add(anchor, 1), end)
     ok = in_calendar(end)
-    return F.struct(F.when(ok, first).alias("first"), F.when(ok, last).alias("last"), F.when(ok, (at >= first) & (at <= last)).alias("within"))
+    return F.struct(F.when(ok, first).alias("first"), F.when(ok, last).alias("last"), F.when(ok, (at >= first) & (at <= last)).alias("within"), F.array_compact(F.array(F.lit("anchor_not_counted" if counted is None else None), F.when(F.lit(unit != "day") & (F.day(end) != F.day(anchor)), F.lit("month_end")))).alias("assumptions"))
 
 
 def row_hash(**columns: Column) -> Column:
