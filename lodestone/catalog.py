@@ -176,26 +176,38 @@ def select_config(spark, sf_dir):
     return links.select_config(requests, candidates, read(spark, sf_dir, "part").select(F.col("p_partkey").alias("config"), start.alias("valid_from"), end.alias("valid_to")))
 
 
-RANGES = "SELECT n_regionkey AS category, n_nationkey, chr(CAST(65 + n_nationkey % 26 AS INTEGER)) AS lo_letter, n_nationkey * 3 % 60 AS lo_major, chr(CAST(65 + least(25, n_nationkey % 26 + n_regionkey % 3) AS INTEGER)) AS hi_letter, n_nationkey * 3 % 60 + 30 AS hi_major, CASE WHEN n_nationkey % 4 = 3 THEN 'exclude' ELSE 'include' END AS role, n_nationkey % 6 <> 5 AS accepted FROM nation"
-CODES = "SELECT DISTINCT chr(CAST(65 + p_partkey % 26 AS INTEGER)) AS letter, CAST(p_size AS INTEGER) AS major FROM part"
-
-
-def code_hits(spark, sf_dir):
+CLAIMED = """WITH claim AS (SELECT n_regionkey AS category, CASE WHEN n_nationkey % 4 = 3 THEN 'exclude' ELSE 'include' END AS role, n_nationkey % 11 <> 5 AS accepted, n_nationkey AS s, CASE WHEN n_nationkey % 7 = 6 OR n_nationkey % 25 = 24 THEN (n_regionkey + CASE WHEN n_nationkey % 25 = 24 THEN 4 ELSE 1 END) % 5 END AS inner_ FROM nation),
+ rng AS (SELECT n_nationkey AS s, n_nationkey % 26 AS l0, n_nationkey * 3 % 60 AS m0, least(25, n_nationkey % 26 + n_regionkey % 3) AS l1, n_nationkey * 3 % 60 + 30 AS m1 FROM nation),
+ code AS (SELECT DISTINCT chr(CAST(65 + p_partkey % 26 AS INT)) || lpad(CAST(p_size AS VARCHAR), 2, '0') AS code, p_partkey % 26 AS l, p_size AS m FROM part),
+ hit AS (SELECT s, code FROM code JOIN rng ON (l, m) >= (l0, m0) AND (l, m) <= (l1, m1)),
+ p0 AS (SELECT list_value(r_regionkey) AS path, r_regionkey AS node FROM region)"""
+
+
+def _unfold(depth: int) -> str:
+    """The levels of paths downwards and their answers upwards, written out as deep as there are categories."""
+    down = "".join(f""",
+ p{d} AS (SELECT list_append(path, inner_) AS path, inner_ AS node FROM p{d - 1} JOIN claim ON category = node WHERE accepted AND inner_ IS NOT NULL AND NOT list_contains(path, inner_))""" for d in range(1, depth))
+    up = ""
+    for d in range(depth - 1, -1, -1):
+        child = f"(SELECT w.v FROM w{d + 1} w WHERE w.path = list_append(p.path, c.inner_) AND w.code = k.code)" if d < depth - 1 else "NULL"
+        up += f""",
+ t{d} AS (SELECT p.path, k.code, c.role, CASE WHEN NOT c.accepted THEN NULL WHEN c.inner_ IS NULL THEN EXISTS (SELECT 1 FROM hit h WHERE h.s = c.s AND h.code = k.code) WHEN list_contains(p.path, c.inner_) THEN NULL ELSE {child} END AS v, c.accepted FROM p{d} p CROSS JOIN code k LEFT JOIN claim c ON c.category = p.node),
+ w{d} AS (SELECT path, code, CASE WHEN count(*) FILTER (role = 'include') = 0 THEN NULL WHEN coalesce(bool_or(role = 'exclude' AND v), FALSE) THEN FALSE WHEN bool_or(v IS NULL) THEN NULL ELSE bool_or(role = 'include' AND v) END AS v FROM t{d} GROUP BY 1, 2)"""
+    return down + up
+
+
+@query(f"{CLAIMED}{_unfold(5)} SELECT code, path[1] AS category, CASE v WHEN TRUE THEN 'true' WHEN FALSE THEN 'false' ELSE 'unknown' END AS answer FROM w0")
+def membership(spark, sf_dir):
+    """Which regions' categories hold a code: nations are claims on ranges across letters, or on another region's category, some in circles."""
     k, r = F.col("n_nationkey"), F.col("n_regionkey")
-    ranges = read(spark, sf_dir, "nation").select(F.struct(r.alias("category"), F.when(k % 4 == 3, "exclude").otherwise("include").alias("role"), (k % 6 != 5).alias("accepted")).alias("category"), F.char(65 + k % 26).alias("lo_letter"), (k * 3 % 60).alias("lo_major"), F.char(F.least(F.lit(90), 65 + k % 26 + r % 3)).alias("hi_letter"), (k * 3 % 60 + 30).alias("hi_major"))
+    nation = read(spark, sf_dir, "nation")
+    name = lambda kind, i: F.concat(F.lit(kind), i.cast("string"))
+    other = F.when(k % 25 == 24, (r + 4) % 5).when(k % 7 == 6, (r + 1) % 5)
+    claims = nation.select(name("cat:", r).alias("category"), F.when(k % 4 == 3, "exclude").otherwise("include").alias("role"), F.coalesce(name("cat:", other), name("set:", k)).alias("target"), (k % 11 != 5).alias("accepted"))
+    ranges = nation.select(name("set:", k).alias("target"), F.char(65 + k % 26).alias("lo_letter"), (k * 3 % 60).alias("lo_major"), F.char(F.least(F.lit(90), 65 + k % 26 + r % 3)).alias("hi_letter"), (k * 3 % 60 + 30).alias("hi_major"))
     codes = read(spark, sf_dir, "part").select(F.char(65 + F.col("p_partkey") % 26).alias("letter"), F.col("p_size").alias("major")).distinct().withColumn("code", F.concat("letter", F.lpad(F.col("major").cast("string"), 2, "0")))
-    return codes, links.codes_in_ranges(codes, ranges).select("code", "category.*")
-
-
-@query(f"""WITH r AS ({RANGES}), c AS (SELECT *, letter || lpad(CAST(major AS VARCHAR), 2, '0') AS code FROM ({CODES})),
-h AS (SELECT code, category, bool_or(role = 'exclude' AND accepted) AS o, bool_or(role = 'include' AND accepted) AS i, bool_or(NOT accepted) AS u FROM c JOIN r ON (letter, major) >= (lo_letter, lo_major) AND (letter, major) <= (hi_letter, hi_major) GROUP BY 1, 2)
-SELECT code, r_regionkey AS category, CASE WHEN o THEN 'false' WHEN u THEN 'unknown' WHEN i THEN 'true' ELSE 'false' END AS answer FROM c CROSS JOIN region LEFT JOIN h USING (code) WHERE h.category = r_regionkey
-UNION ALL SELECT code, r_regionkey, 'false' FROM c CROSS JOIN region WHERE (code, r_regionkey) NOT IN (SELECT code, category FROM h)""")
-def membership(spark, sf_dir):
-    """Which regions' code sets hold a code; nations are the claims, with ranges across letters."""
-    codes, hits = code_hits(spark, sf_dir)
-    asked = codes.select("code", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("category"))
-    return links.membership(hits, asked, F.lit(True)).withColumn("category", F.col("category").cast("int"))
+    asked = read(spark, sf_dir, "region").select(name("cat:", F.col("r_regionkey")).alias("category"))
+    return links.membership(codes, asked, claims, ranges).select("code", F.substring("category", 5, 9).cast("int").alias("category"), "answer")
 
 
 @query("""WITH RECURSIVE e AS (SELECT s_suppkey AS src, s_suppkey // 3 AS dst FROM supplier WHERE s_suppkey > 0),
@@ -229,7 +241,8 @@ def release_members(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("source", doc_hash().alias("d")).groupBy("source").agg(F.count("*").alias("members"), F.min("d").alias("least"), F.max("d").alias("most"))
 
 
-@query()
+@query("""WITH e AS (SELECT source, doc_id::VARCHAR AS i, sha256(coalesce(text, chr(0)) || '|' || coalesce(lang, chr(0))) AS d FROM documents), b AS (SELECT source, substr(sha256(i), 1, 2) AS b, count(*) AS n, sha256(string_agg(i || chr(31) || d, chr(30) ORDER BY i || chr(31) || d)) AS h FROM e GROUP BY 1, 2)
+SELECT source, CAST(sum(n) AS BIGINT) AS members, sha256(string_agg(b || h, chr(30) ORDER BY b)) AS content_sha256 FROM b GROUP BY 1""")
 def release_freeze(spark, sf_dir):
     """A content hash for every source as a release of its documents."""
     return links.freeze(read(spark, sf_dir, "documents"), "source", "doc_id", doc_hash())
@@ -274,10 +287,11 @@ def observations(spark, sf_dir):
 OBS = "SELECT event_id, ts, user_id, event_type, CASE WHEN event_id % 4 = 0 THEN NULL WHEN event_id % 9 = 0 THEN 304 ELSE 200 END AS status, CAST(CAST(floor(value) AS BIGINT) % 5 AS VARCHAR) AS digest FROM events"
 
 
-@query(f"""WITH o AS ({OBS}), b AS (SELECT *, last_value(CASE WHEN status = 200 THEN digest END IGNORE NULLS) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM o)
-SELECT event_id, CASE WHEN status = 304 AND p IS NOT NULL THEN 'unchanged' WHEN status IS NULL OR status <> 200 THEN 'invalid' WHEN p IS NULL THEN 'new' WHEN p = digest THEN 'unchanged_same_hash' ELSE 'changed' END AS decision FROM b""")
+@query(f"""WITH o AS ({OBS}), b AS (SELECT *, last_value(CASE WHEN status = 200 THEN digest END IGNORE NULLS) OVER w AS p, last_value(CASE WHEN status = 200 THEN event_id % 3 <> 1 END IGNORE NULLS) OVER w AS kept FROM o WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT event_id, CASE WHEN status = 304 AND p IS NOT NULL AND kept THEN 'unchanged' WHEN status IS NULL OR status <> 200 THEN 'invalid' WHEN p IS NULL THEN 'new' WHEN p = digest THEN 'unchanged_same_hash' ELSE 'changed' END AS decision FROM b""")
 def change_decisions(spark, sf_dir):
-    return history.change_decisions(observations(spark, sf_dir), ["user_id", "event_type"], ["ts", "event_id"], "status", "digest").select("event_id", "decision")
+    obs = observations(spark, sf_dir).withColumn("retained", F.col("event_id") % 3 != 1)
+    return history.change_decisions(obs, ["user_id", "event_type"], ["ts", "event_id"], "status", "digest", "retained").select("event_id", "decision")
 
 
 FAILS = f"""WITH o AS (SELECT *, event_type IN ('error', 'signup', 'view') AS f FROM ({OBS})), i AS (SELECT *, sum(CASE WHEN f THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM o),
@@ -320,32 +334,38 @@ def source_status(spark, sf_dir):
     return read(spark, sf_dir, "events").groupBy("user_id").agg(F.max(F.when(~bad, F.col("ts"))).alias("last_success"), F.max(F.when(bad, F.col("ts"))).alias("last_failure"), F.count("*").alias("n"))
 
 
-LEDGER = "SELECT event_id AS seq, CASE WHEN event_id % 3 = 0 THEN 'reservation' WHEN event_id % 3 = 1 THEN 'settlement' ELSE 'pre_ledger_usage' END AS kind, CASE WHEN event_id % 3 = 1 AND event_id % 5 <> 0 THEN event_id - 1 END AS reservation_seq, CAST(round(value * 100) AS BIGINT) AS amount, user_id, CAST(ts AS DATE) AS day FROM events"
+DIMS = ["up", "down"]
+LEDGER = "SELECT event_id AS seq, CASE WHEN event_id % 3 = 0 THEN 'reservation' WHEN event_id % 3 = 1 THEN 'settlement' ELSE 'pre_ledger_usage' END AS kind, CASE WHEN event_id % 3 = 1 AND event_id % 5 <> 0 THEN event_id - 1 END AS reservation_seq, CASE WHEN event_id % 3 = 1 AND event_id % 7 <> 0 THEN event_id - 1 ELSE event_id END AS run, CAST(round(value * 100) AS BIGINT) AS up, event_id % 50 AS down, user_id, CAST(ts AS DATE) AS day FROM events"
 
 
 def ledger(spark, sf_dir):
-    """Events as ledger records in threes: a reservation, usually its settlement, and usage from before the ledger."""
+    """Events as ledger records in threes: a reservation, usually its settlement, at times by another run, and usage from before the ledger."""
     i = F.col("event_id")
-    return read(spark, sf_dir, "events").select(i.alias("seq"), F.when(i % 3 == 0, "reservation").when(i % 3 == 1, "settlement").otherwise("pre_ledger_usage").alias("kind"), F.when((i % 3 == 1) & (i % 5 != 0), i - 1).alias("reservation_seq"), F.round(F.col("value") * 100).cast("bigint").alias("amount"), "user_id", F.to_date("ts").alias("day"))
+    return read(spark, sf_dir, "events").select(i.alias("seq"), F.when(i % 3 == 0, "reservation").when(i % 3 == 1, "settlement").otherwise("pre_ledger_usage").alias("kind"), F.when((i % 3 == 1) & (i % 5 != 0), i - 1).alias("reservation_seq"), F.when((i % 3 == 1) & (i % 7 != 0), i - 1).otherwise(i).alias("run"), F.round(F.col("value") * 100).cast("bigint").alias("up"), (i % 50).alias("down"), "user_id", F.to_date("ts").alias("day"))
 
 
-USAGE = f"""WITH l AS ({LEDGER}), s AS (SELECT reservation_seq AS seq, max(amount) AS settled FROM l WHERE kind = 'settlement' GROUP BY 1),
-u AS (SELECT user_id, day, least(amount, coalesce(settled, amount)) AS used, CASE WHEN settled IS NULL THEN 1 ELSE 0 END AS open FROM l LEFT JOIN s USING (seq) WHERE kind = 'reservation' UNION ALL SELECT user_id, day, amount, 0 FROM l WHERE kind = 'pre_ledger_usage')
-SELECT user_id, day, CAST(sum(used) AS BIGINT) AS used, count(*) AS n, CAST(sum(open) AS BIGINT) AS open FROM u GROUP BY 1, 2"""
+def _usage(admissions: str = "") -> str:
+    return f"""WITH l AS ({LEDGER}), s AS (SELECT reservation_seq AS seq, run, max(up) AS u, max(down) AS d FROM l WHERE kind = 'settlement' GROUP BY 1, 2),
+    x AS (SELECT user_id, day, least(up, coalesce(u, up)) AS up, least(down, coalesce(d, down)) AS down, CASE WHEN u IS NULL THEN 1 ELSE 0 END AS open, 1 AS n FROM l LEFT JOIN s USING (seq, run) WHERE kind = 'reservation' UNION ALL SELECT user_id, day, up, down, 0, 1 FROM l WHERE kind = 'pre_ledger_usage' {admissions})
+    SELECT user_id, day, CAST(sum(up) AS BIGINT) AS up, CAST(sum(down) AS BIGINT) AS down, CAST(sum(n) AS BIGINT) AS n, CAST(sum(open) AS BIGINT) AS open FROM x GROUP BY 1, 2"""
 
 
-@query(USAGE)
+@query(_usage("UNION ALL SELECT user_id, day, 700, 9, 0, 0 FROM l WHERE seq % 4 = 0 AND seq NOT IN (SELECT run FROM l WHERE kind = 'settlement')"))
 def usage_totals(spark, sf_dir):
-    return usage.usage(ledger(spark, sf_dir), ["user_id", "day"])
+    """Per user and day in two dimensions; every fourth record's run was admitted, and counts at the limits if it settled nothing."""
+    rows = ledger(spark, sf_dir)
+    admitted = rows.where("seq % 4 = 0").select(F.col("seq").alias("run"), "user_id", "day")
+    return usage.usage(rows, ["user_id", "day"], DIMS, admitted, {"up": 700, "down": 9})
 
 
-@query(USAGE)
+@query(_usage())
 def usage_checkpoint(spark, sf_dir):
-    """A checkpoint of the older records merged with the newer; equal to the full totals."""
-    rows = ledger(spark, sf_dir)
-    third = F.floor(F.col("seq") / 3) % 2 == 0  # a reservation and its settlement fall on one side
-    by = ["user_id", "day"]
-    return usage.merge_totals(usage.usage(rows.where(third), by), usage.usage(rows.where(~third), by), by)
+    """A checkpoint of the older half of the ledger, resumed with the newer; reservations that were open are settled after it."""
+    rows, by = ledger(spark, sf_dir), ["user_id", "day"]
+    half = F.col("seq") % 6 < 4  # some settlements come later than their reservations' checkpoint
+    totals, opened = usage.checkpoint(rows.where(half & ((F.col("kind") != "settlement") | (F.col("seq") % 4 < 2))), by, DIMS)
+    late = rows.where(~(half & ((F.col("kind") != "settlement") | (F.col("seq") % 4 < 2))))
+    return usage.resume(totals, opened, late, by, DIMS)
 
 
 @query("""WITH c AS (SELECT event_id, user_id, coalesce(sum(CAST(round(value * 100) AS BIGINT)) OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM events)
@@ -402,12 +422,11 @@ def table_constraints(spark, sf_dir):
     return c.select("c_custkey", F.array_join(found, ",").alias("violations")).where("violations <> ''")
 
 
-@query("SELECT conv_id, turn FROM conversations WHERE regexp_matches(text, '(^|[^a-z0-9_])(contract|person|upload|del|consent|assume):', 'i') UNION ALL SELECT doc_id, NULL FROM documents WHERE regexp_matches('x person:' || text, '(^|[^a-z0-9_])(contract|person|upload|del|consent|assume):', 'i') AND doc_id % 50 = 0")
+@query("SELECT conv_id, turn FROM conversations WHERE regexp_matches(text, '(^|[^a-z0-9_])(contract|person|upload|del|consent|assume):', 'i') UNION ALL SELECT doc_id, NULL FROM documents WHERE regexp_matches(text, '(^|[^a-z0-9_])(contract|person|upload|del|consent|assume):', 'i')")
 def private_id_scan(spark, sf_dir):
-    """Turns with a private id, and documents of a sample that one was written into."""
+    """Turns and documents that hold a private id."""
     t = read(spark, sf_dir, "conversations").where(X.has_private_id(F.col("text"))).select("conv_id", "turn")
-    d = read(spark, sf_dir, "documents").where("doc_id % 50 = 0").where(X.has_private_id(F.concat(F.lit("x person:"), "text")))
-    return t.union(d.select("doc_id", F.lit(None).cast("bigint")))
+    return t.union(read(spark, sf_dir, "documents").where(X.has_private_id(F.col("text"))).select("doc_id", F.lit(None).cast("bigint")))
 
 
 @query("SELECT conv_id, turn, NULL::BIGINT AS doc_id FROM conversations WHERE regexp_matches(text, '(^|[^a-z0-9_])(contract|person|upload|del|consent|assume):', 'i') UNION ALL SELECT NULL, NULL, doc_id FROM documents WHERE regexp_matches(text, '(^|[^a-z0-9_])(contract|person|upload|del|consent|assume):', 'i')")
@@ -419,10 +438,17 @@ def private_id_scan_all(spark, sf_dir):
     return t.union(d.select(none, none, "doc_id"))
 
 
-@query("""WITH p AS (SELECT page_id, regexp_replace(url, '#.*$', '') AS u FROM pages), q AS (SELECT page_id, split_part(u, '?', 1) AS b, list_filter(string_split(split_part(u, '?', 2), '&'), lambda x: x <> '' AND lower(split_part(x, '=', 1)) NOT IN ('utm_source', 'utm_medium', 'ref', 'jsessionid', 'phpsessid', 'sid')) AS k FROM p)
-SELECT page_id, CASE WHEN len(k) = 0 THEN b ELSE b || '?' || array_to_string(k, '&') END AS url FROM q""")
+@query("""WITH p AS (SELECT page_id, split_part(url, '#', 1) AS u, CASE WHEN contains(url, '#') THEN '#' || regexp_extract(url, '#(.*)$', 1) ELSE '' END AS f FROM pages),
+q AS (SELECT page_id, f, split_part(u, '?', 1) AS b, list_filter(string_split(CASE WHEN contains(u, '?') THEN substr(u, strpos(u, '?') + 1) || '&' ELSE '' END || 'sid=7&PHPSESSID=x&a=b%20c&' || CASE WHEN page_id % 2 = 0 THEN '_t=1' ELSE 'JSessionId=2' END, '&'), lambda x: x <> '') AS k FROM p),
+r AS (SELECT page_id, f, b, list_transform(list_filter(k, lambda x: lower(split_part(x, '=', 1)) NOT IN ('jsessionid', 'sessionid', 'phpsessid')), lambda x: replace(x, '%20', '+')) AS k FROM q)
+SELECT page_id, b || '?' || array_to_string(k, '&') || f AS url FROM r""")
 def clean_links(spark, sf_dir):
-    return read(spark, sf_dir, "pages").select("page_id", X.clean_link(F.col("url")).alias("url"))
+    """Every page's URL with session parameters written in; sid and _t are none on these hosts and stay, as does the fragment."""
+    u = F.col("url")
+    base, mark = F.regexp_extract(u, r"(?s)\A([^#]*)", 1), F.regexp_extract(u, r"(?s)(#.*)\z", 1)
+    more = F.concat(F.lit("sid=7&PHPSESSID=x&a=b%20c&"), F.when(F.col("page_id") % 2 == 0, "_t=1").otherwise("JSessionId=2"))
+    full = F.concat(base, F.when(base.contains("?"), "&").otherwise("?"), more, mark)
+    return read(spark, sf_dir, "pages").select("page_id", X.clean_link(full).alias("url"))
 
 
 @query("WITH d AS (SELECT sha256(text) AS h, doc_id FROM documents WHERE text IS NOT NULL) SELECT h AS digest, count(*) AS n, min(doc_id) AS first_id FROM d GROUP BY 1 HAVING count(*) > 1")
@@ -470,11 +496,11 @@ def source_without_observation(spark, sf_dir):
     return registry.without_observation(real, log, ["p_partkey", "s_suppkey"]).select("p_partkey", "s_suppkey")
 
 
-@query("""WITH a AS (SELECT o_custkey AS k, count(*) AS times, bool_or(o_orderpriority = '1-URGENT') AS x FROM orders WHERE o_orderkey % 9 = 0 GROUP BY 1), r AS (SELECT c_custkey AS k FROM customer WHERE c_custkey % 4 <> 1)
+@query("""WITH a AS (SELECT o_custkey AS k, count(*) AS times, bool_or(o_orderpriority = '1-URGENT') AS x FROM orders GROUP BY 1), r AS (SELECT c_custkey AS k FROM customer WHERE c_custkey % 4 <> 1)
 SELECT coalesce(a.k, r.k) AS k, coalesce(times, 0) AS times, CASE WHEN a.k IS NULL THEN 'unlisted' WHEN x THEN 'excluded' WHEN times > 1 THEN 'duplicate' WHEN r.k IS NOT NULL THEN 'matched' ELSE 'missing' END AS outcome FROM a FULL JOIN r ON a.k = r.k""")
 def authority_crosscheck(spark, sf_dir):
     """Customers listed by their orders against a register that lacks every fourth."""
-    listed = read(spark, sf_dir, "orders").where("o_orderkey % 9 = 0").select(F.col("o_custkey").alias("k"), "o_orderpriority")
+    listed = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), "o_orderpriority")
     return registry.crosscheck(listed, read(spark, sf_dir, "customer").where("c_custkey % 4 <> 1").select(F.col("c_custkey").alias("k")), "k", F.col("o_orderpriority") == "1-URGENT")
 
 
@@ -517,10 +543,10 @@ def ledger_chain_breaks(spark, sf_dir):
     return registry.chain_breaks(rows, ["user_id"], "seq", "d", "prev").select("event_id", "reason")
 
 
-@query("SELECT o_orderkey // 10 AS target, array_to_string(list_sort(list(DISTINCT o_orderkey)), ',') AS successors FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1 HAVING count(DISTINCT o_orderkey) > 1")
+@query("SELECT o_orderkey // 10 AS target, array_to_string(list_sort(list(DISTINCT o_orderkey)), ',') AS successors FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderkey) > 1")
 def supersedes_forks(spark, sf_dir):
     """Targets superseded by several orders."""
-    rows = read(spark, sf_dir, "orders").where("o_orderkey % 3 = 0").select("o_orderkey", F.expr("o_orderkey div 10").alias("target"))
+    rows = read(spark, sf_dir, "orders").select("o_orderkey", F.expr("o_orderkey div 10").alias("target"))
     return registry.forks(rows, "target", "o_orderkey").select("target", F.array_join(F.col("successors").cast("array<string>"), ",").alias("successors"))
 
 
@@ -544,13 +570,12 @@ def keyset_page(spark, sf_dir):
     return registry.page_after(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_orderkey", 100, 50)
 
 
-@query("""WITH c AS (SELECT conv_id, turn, text, length(text) AS n FROM conversations WHERE text IS NOT NULL)
-SELECT conv_id, turn, regexp_matches(text || ' ' || n || '.', '(?:^|[^0-9,.])(?:' || n || '|' || format('{:,}', n) || ')(?:$|[^0-9,.]|[,.](?:$|[^0-9]))') AS stated, regexp_matches(text || ' ' || n || '5', '(?:^|[^0-9,.])(?:' || n || '|' || format('{:,}', n) || ')(?:$|[^0-9,.]|[,.](?:$|[^0-9]))') AS longer FROM c""")
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_quantity <> 7 AND l_linenumber NOT IN (3, 5) AND CAST(round(l_extendedprice) AS BIGINT) < 1000 OR l_quantity <> 7 AND l_linenumber NOT IN (3, 5, 6) AS stated FROM lineitem")
 def amount_in_passage(spark, sf_dir):
-    """Turns with their length written behind them: as a number of its own, and as the start of a longer one."""
-    c = read(spark, sf_dir, "conversations").where("text is not null").withColumn("n", F.length("text"))
-    own, long = F.concat("text", F.lit(" "), "n", F.lit(".")), F.concat("text", F.lit(" "), "n", F.lit("5"))
-    return c.select("conv_id", "turn", registry.has_amount(own, F.col("n")).alias("stated"), registry.has_amount(long, F.col("n")).alias("longer"))
+    """Prices against passages that give them whole, another price, with a further digit, before a full stop, or without separators."""
+    n = F.round("l_extendedprice").cast("bigint")
+    said = F.when(F.col("l_quantity") == 7, F.format_number(n + 1, 0)).when(F.col("l_linenumber") == 3, F.concat(F.format_number(n, 0), F.lit("5"))).when(F.col("l_linenumber") == 5, F.concat(F.format_number(n, 0), F.lit("."))).when(F.col("l_linenumber") == 6, n.cast("string")).otherwise(F.concat(F.format_number(n, 0), F.lit("won")))
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", registry.has_amount(F.concat(F.lit("costs "), said, F.lit(" a month")), n).alias("stated"))
 
 
 @query("SELECT DISTINCT l_orderkey FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size < 4")
@@ -575,10 +600,20 @@ SELECT p.a, p.b, CASE WHEN coalesce(u, true) THEN 'not_comparable' WHEN only_a =
 def scope_relation(spark, sf_dir):
     """How the code sets of every two regions lie to each other, over all codes in use."""
     r = read(spark, sf_dir, "region").select(F.col("r_regionkey").alias("a"))
-    pairs = r.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(4)))).where("a <> b")
+    pairs = r.join(r.withColumnRenamed("a", "b"), F.col("a") != F.col("b"))
     return links.scope_relation(pairs, membership(spark, sf_dir))
 
 
+@query("""WITH v AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS version, o_orderpriority AS reason FROM orders), a AS (SELECT o_custkey, arg_max(o_orderkey, version) AS before FROM v WHERE version < 4 AND o_custkey % 9 <> 1 GROUP BY 1), b AS (SELECT o_custkey, arg_max(o_orderkey, version) AS after FROM v WHERE o_custkey % 7 <> 2 GROUP BY 1)
+SELECT coalesce(a.o_custkey, b.o_custkey) AS o_custkey, CASE WHEN before IS NULL THEN 'added' WHEN after IS NULL THEN 'removed' ELSE 'corrected' END AS change, before, after, CASE WHEN before <> after THEN (SELECT any_value(reason) FROM v WHERE o_orderkey = after) END AS reason FROM a FULL JOIN b ON a.o_custkey = b.o_custkey WHERE before IS DISTINCT FROM after""")
+def release_changes(spark, sf_dir):
+    """Two releases of customers' versions, with the ids before and after and the reason of a correction."""
+    v = versions(spark, sf_dir)
+    tip = lambda rows: history.tip_versions(rows, "o_custkey", "version")
+    reasons = read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("reason"))
+    return links.release_changes(tip(v.where("version < 4 AND o_custkey % 9 <> 1")), tip(v.where("o_custkey % 7 <> 2")), "o_custkey", "o_orderkey", reasons)
+
+
 @query(f"SELECT status, count(*) AS n FROM ({_SQL['verify_copy']}) GROUP BY 1")
 def verify_counts(spark, sf_dir):
     return links.status_counts(verify_copy(spark, sf_dir))
@@ -590,11 +625,12 @@ SELECT a.user_id, a.event_type, NOT coalesce(stored, false) OR a.user_id % 11 =
 def full_check_due(spark, sf_dir):
     """Which (user, event type) must be fetched whole again, ten days after the last verification at the latest."""
     e = read(spark, sf_dir, "events")
-    now, kinds = e.agg(F.max("ts").cast("timestamp"), F.collect_set("event_type")).first()
-    asked = e.select("user_id").distinct().withColumn("event_type", F.explode(F.lit(kinds)))
+    # the kinds of events are a handful, so every user meets them through one array
+    kinds = e.agg(F.collect_set("event_type").alias("kinds"), F.max("ts").cast("timestamp").alias("now"))
+    asked = e.select("user_id").distinct().join(F.broadcast(kinds)).select("user_id", F.explode("kinds").alias("event_type"), "now")
     obs = observations(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
     state = history.crawl_state(obs, ["user_id", "event_type"], F.col("ts"), "status", "digest").withColumn("retained", F.col("user_id") % 11 != 5)
-    return history.full_check_due(asked, state, ["user_id", "event_type"], F.lit(now), 864_000)
+    return history.full_check_due(asked, state, ["user_id", "event_type"], F.col("now"), 864_000)
 
 
 @query(f"SELECT user_id, count(*) AS total, count(*) FILTER (event_id % 3 <> 0) AS new FROM ({OBS}) WHERE status IS NULL GROUP BY 1")
@@ -614,3 +650,7 @@ def oracle_sql() -> dict[str, str]:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_payout(spark, sf_dir)
+
+
+# further queries, which register themselves
+from lodestone.plans import knowledge, rows, texts  # noqa: E402, F401

@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the shared folder; a folder of our own only where the session names none."""
+    """A checkpoint in the shared folder; a folder of our own only on one machine that names none."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestone-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lodestone-"))
     return df.checkpoint()
 
 
@@ -34,7 +37,30 @@ def closure(edges: DataFrame, roots: DataFrame | None = None) -> DataFrame:
 
 
 def on_cycles(edges: DataFrame) -> DataFrame:
-    """(node): the nodes that reach themselves over at least one edge."""
-    reach = closure(edges)
-    back = edges.select(F.col("dst").alias("root"), F.col("src").alias("node")).distinct()
+    """(node): the nodes that reach themselves over at least one edge.
+
+    Nodes without an edge in or without an edge out are peeled off until none is left, so only cycles and
+    what lies between them remain; among these alone reachability is computed.
+    """
+    left = cut(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
+    while True:
+        n = left.count()
+        inner = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
+        left = cut(inner.join(inner.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+        if left.count() == n:
+            break
+    if not n:
+        return left.select(F.col("src").alias("node"))
+    # where a node has one edge in and one out, its cycle is all there is to it
+    busy = left.groupBy("src").count().where("count > 1").select("src").union(left.groupBy("dst").count().where("count > 1").select("dst"))
+    if busy.isEmpty():
+        return left.select(F.col("src").alias("node")).distinct()
+    reach = closure(left)
+    back = left.select(F.col("dst").alias("root"), F.col("src").alias("node"))
     return reach.join(back, ["root", "node"], "left_semi").select(F.col("node")).distinct()
+
+
+def undirected(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(root, node, depth): what a change of the roots may touch over links in either direction."""
+    both = edges.select("src", "dst").union(edges.select("dst", "src"))
+    return closure(both, roots)

@@ -29,11 +29,13 @@ def chain_breaks(rows: DataFrame, key: str, version: str, id_: str, supersedes:
     return seen.where(bad).drop("_id", "_v")
 
 
-def change_decisions(obs: DataFrame, key: list[str], order: list[str], status: str, digest: str) -> DataFrame:
-    """new, changed, unchanged_same_hash, unchanged (304) or invalid, against the last hash stored before."""
+def change_decisions(obs: DataFrame, key: list[str], order: list[str], status: str, digest: str, retained: str | None = None) -> DataFrame:
+    """new, changed, unchanged_same_hash, unchanged (304) or invalid, against the last hash stored before; a 304 needs its original retained."""
     good = F.when(F.col(status) == 200, F.col(digest))
-    before = F.last(good, ignorenulls=True).over(Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-    what = F.when((F.col(status) == 304) & before.isNotNull(), "unchanged").when((F.col(status) != 200) | F.col(status).isNull() | F.col(digest).isNull(), "invalid").when(before.isNull(), "new").when(before == F.col(digest), "unchanged_same_hash").otherwise("changed")
+    by = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.last(good, ignorenulls=True).over(by)
+    there = F.lit(True) if retained is None else F.coalesce(F.last(F.when(F.col(status) == 200, F.col(retained)), ignorenulls=True).over(by), F.lit(False))
+    what = F.when((F.col(status) == 304) & before.isNotNull() & there, "unchanged").when((F.col(status) != 200) | F.col(status).isNull() | F.col(digest).isNull(), "invalid").when(before.isNull(), "new").when(before == F.col(digest), "unchanged_same_hash").otherwise("changed")
     return obs.withColumn("decision", what)
 
 

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.operators.graph import cut
 from lodestone.operators.history import valid_on
 
 
@@ -25,30 +26,57 @@ def select_config(requests: DataFrame, candidates: DataFrame, assertions: DataFr
 def codes_in_ranges(codes: DataFrame, ranges: DataFrame) -> DataFrame:
     """Codes (code, letter, major) joined to the ranges (category, lo_letter, lo_major, hi_letter, hi_major) that hold them.
 
-    A range is cut into one row per letter, so the join is on the letter and its majors.
+    A range is cut into one row per letter and major, so the join is an equality.
     """
     letters = F.transform(F.sequence(F.ascii("lo_letter"), F.ascii("hi_letter")), lambda c: F.char(c))
-    cut = ranges.where((F.col("lo_letter") < F.col("hi_letter")) | ((F.col("lo_letter") == F.col("hi_letter")) & (F.col("lo_major") <= F.col("hi_major"))))
-    cut = cut.withColumn("letter", F.explode(letters))
+    rows = ranges.where((F.col("lo_letter") < F.col("hi_letter")) | ((F.col("lo_letter") == F.col("hi_letter")) & (F.col("lo_major") <= F.col("hi_major"))))
+    rows = rows.withColumn("letter", F.explode(letters))
     lo, hi = F.when(F.col("letter") == F.col("lo_letter"), F.col("lo_major")).otherwise(0), F.when(F.col("letter") == F.col("hi_letter"), F.col("hi_major")).otherwise(99)
-    cut = cut.select("category", "letter", lo.alias("_lo"), hi.alias("_hi"))
-    return codes.join(cut, "letter").where(F.col("major").between(F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
+    rows = rows.select("category", "letter", F.explode(F.sequence(lo, hi)).cast("int").alias("major"), (F.col("minor") if "minor" in ranges.columns else F.lit(None).cast("string")).alias("_minor"))
+    # a code meets the ranges of its letter and major; a range with a minor holds the minors that begin so
+    return codes.join(rows, ["letter", "major"]).where("_minor IS NULL OR startswith(coalesce(minor, ''), _minor)" if "minor" in codes.columns else "_minor IS NULL").drop("_minor")
 
 
-def membership(hits: DataFrame, asked: DataFrame, included_any: Column) -> DataFrame:
-    """(code, category, answer) from claims (code, category, role, accepted) that hold a code.
+def membership(codes: DataFrame, asked: DataFrame, claims: DataFrame, ranges: DataFrame) -> DataFrame:
+    """(code, category, answer): whether a category holds a code, as true, false or unknown.
 
-    No inclusion of the category: unknown.  An accepted exclusion that holds the code: false.  A claim
-    not accepted: unknown.  Else whether an inclusion holds it.
+    codes (code, letter, major, minor), asked (category), claims (category, role include or exclude,
+    target, accepted), current and in force; a target is a code set of ranges (target, lo_letter,
+    lo_major, hi_letter, hi_major, minor) or another category.  Categories are unfolded along their
+    claims to paths, and answered from the ends of the paths back: no inclusion is unknown; an accepted
+    exclusion that holds the code is false; any claim that is not accepted, leads back into its own
+    path or to nothing known, or is unknown itself, makes the answer unknown; else it is whether an
+    inclusion holds the code.
     """
-    by = hits.groupBy("code", "category").agg(
-        F.bool_or((F.col("role") == "exclude") & F.col("accepted")).alias("out"),
-        F.bool_or((F.col("role") == "include") & F.col("accepted")).alias("in"),
-        F.bool_or(~F.col("accepted")).alias("unsure"),
-    )
-    no = F.lit(False)
-    answer = F.when(~included_any, "unknown").when(F.coalesce("out", no), "false").when(F.coalesce("unsure", no), "unknown").when(F.coalesce("in", no), "true").otherwise("false")
-    return asked.join(by, ["code", "category"], "left").select("code", "category", answer.alias("answer"))
+    sets = ranges.select("target").distinct()
+    claims = claims.select(F.col("category").alias("node"), "role", "target", "accepted")
+    known = claims.select(F.col("node").alias("target")).distinct()
+    claims = claims.join(sets.withColumn("_set", F.lit(True)), "target", "left").join(known.withColumn("_cat", F.lit(True)), "target", "left")
+    claims = cut(claims.select("node", "role", "target", "accepted", F.coalesce("_set", F.lit(False)).alias("leaf"), F.coalesce("_cat", F.lit(False)).alias("inner")))
+    nodes = [cut(asked.select(F.col("category").alias("root")).distinct().select("root", F.array("root").alias("path"), F.col("root").alias("node")))]
+    while True:
+        inner = nodes[-1].join(claims.where("accepted AND inner"), "node").where(~F.array_contains("path", F.col("target")))
+        step = cut(inner.select("root", F.array_append("path", F.col("target")).alias("path"), F.col("target").alias("node"), F.col("path").alias("above"), F.col("role").alias("above_role")))
+        if step.isEmpty():
+            break
+        nodes.append(step)
+    hits = cut(codes_in_ranges(codes, ranges.withColumnRenamed("target", "category")).select("code", F.col("category").alias("target")).distinct())
+    below = None
+    for level in reversed(nodes):
+        at = level.join(claims, "node", "left")
+        loop = F.col("inner") & F.array_contains("path", F.col("target"))
+        fixed = at.groupBy("path").agg(F.count_if(F.col("role") == "include").alias("n_in"), F.bool_or(F.coalesce(~F.col("accepted") | loop | ~(F.col("leaf") | F.col("inner")), F.lit(False))).alias("open"))
+        say = at.where("accepted AND leaf").join(hits, "target").select("path", "code", "role", F.lit("true").alias("v"))
+        if below is not None:
+            say = say.unionByName(below)
+        told = say.groupBy("path", "code").agg(*[F.bool_or((F.col("role") == r) & (F.col("v") == v)).alias(f"{r}_{v}") for r in ("include", "exclude") for v in ("true", "unknown")])
+        every = fixed.join(codes.select("code").distinct())  # the answers asked for: every code of every path
+        yes = lambda c: F.coalesce(c, F.lit(False))
+        answer = F.when(F.col("n_in") == 0, "unknown").when(yes("exclude_true"), "false").when(F.col("open") | yes("include_unknown") | yes("exclude_unknown"), "unknown").when(yes("include_true"), "true").otherwise("false")
+        done = every.join(told, ["path", "code"], "left").select("path", "code", answer.alias("v"))
+        if level is nodes[0]:
+            return level.select("path", F.col("node").alias("category")).join(done, "path").select("code", "category", F.col("v").alias("answer"))
+        below = level.select("path", "above", "above_role").join(done, "path").select(F.col("above").alias("path"), "code", F.col("above_role").alias("role"), "v")
 
 
 def first_reason(*conditions: tuple[str, Column]) -> Column:
@@ -61,6 +89,16 @@ def orphans(child: DataFrame, parent: DataFrame, fk: str, pk: str) -> DataFrame:
     return child.where(F.col(fk).isNotNull()).join(parent.select(F.col(pk).alias(fk)), fk, "left_anti")
 
 
+def release_changes(old: DataFrame, new: DataFrame, key: str, version: str, reasons: DataFrame | None = None) -> DataFrame:
+    """(key, change, before, after, reason): versions that a release added, corrected or removed; reasons (version, reason) are those of corrections."""
+    a, b = old.select(key, F.col(version).alias("before")), new.select(key, F.col(version).alias("after"))
+    what = F.when(F.col("before").isNull(), "added").when(F.col("after").isNull(), "removed").when(F.col("before") != F.col("after"), "corrected")
+    both = a.join(b, key, "full_outer").withColumn("change", what).where("change IS NOT NULL")
+    if reasons is not None:
+        both = both.join(reasons.select(F.col(version).alias("after"), F.col("reason").alias("_r")), "after", "left").withColumn("reason", F.when(F.col("change") == "corrected", F.col("_r")))
+    return both.select(key, "change", "before", "after", *(["reason"] if reasons is not None else []))
+
+
 def diff(old: DataFrame, new: DataFrame, key: str, digest: str) -> DataFrame:
     """(key, change): added, removed or corrected rows of two snapshots."""
     a, b = old.select(F.col(key), F.col(digest).alias("_a")), new.select(F.col(key), F.col(digest).alias("_b"))
@@ -82,11 +120,16 @@ def notices_for(requests: DataFrame, notices: DataFrame) -> DataFrame:
     return requests.join(found, "request", "left").withColumn("allowed", F.col("notices").isNull())
 
 
-def freeze(rows: DataFrame, release: str, member: str, digest: Column, buckets: int = 1024) -> DataFrame:
-    """(release, members, content_sha256): a hash over the sorted member hashes, in buckets of ids so no release is gathered whole."""
-    each = rows.select(release, member, digest.alias("_d"), F.pmod(F.crc32(F.col(member).cast("string").cast("binary")), F.lit(buckets)).alias("_b"))
-    part = each.groupBy(release, "_b").agg(F.count("*").alias("_n"), F.sha2(F.array_join(F.array_sort(F.collect_list("_d")), ""), 256).alias("_h"))
-    return part.groupBy(release).agg(F.sum("_n").alias("members"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_b", "_h"))), lambda x: x["_h"]), ""), 256).alias("content_sha256"))
+def freeze(rows: DataFrame, release: str, member: str, digest: Column, digits: int = 2) -> DataFrame:
+    """(release, members, content_sha256): a hash over the sorted (id, row hash) of a release's members.
+
+    Members are dealt to buckets by the first hex digits of the hash of their id; a bucket's hash is that
+    of its sorted members, the release's that of its sorted buckets.  More digits keep buckets small.
+    """
+    text = F.coalesce(F.col(member).cast("string"), F.lit(""))
+    each = rows.select(release, F.concat_ws("\u001f", text, digest).alias("_d"), F.substring(F.sha2(text, 256), 1, digits).alias("_b"))
+    part = each.groupBy(release, "_b").agg(F.count("*").alias("_n"), F.sha2(F.array_join(F.array_sort(F.collect_list("_d")), "\u001e"), 256).alias("_h"))
+    return part.groupBy(release).agg(F.sum("_n").alias("members"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_b", "_h"))), lambda x: F.concat(x["_b"], x["_h"])), "\u001e"), 256).alias("content_sha256"))
 
 
 def scope_relation(pairs: DataFrame, answers: DataFrame) -> DataFrame:

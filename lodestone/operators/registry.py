@@ -47,10 +47,16 @@ def chain_breaks(ledger: DataFrame, by: list[str], seq: str, digest: str, previo
     return rows.withColumn("reason", why).where("reason IS NOT NULL").drop("__seq", "__digest")
 
 
-def forks(rows: DataFrame, target: str, by: str) -> DataFrame:
-    """Targets that more than one row supersedes, with those rows."""
+def forks(rows: DataFrame, target: str, by: str, conflicts: DataFrame | None = None) -> DataFrame:
+    """Targets that more than one row supersedes, with those rows; none that one of the conflicts (listed ARRAY) lists whole."""
     found = rows.where(F.col(target).isNotNull()).groupBy(target).agg(F.array_sort(F.collect_set(by)).alias("successors"))
-    return found.where(F.size("successors") > 1)
+    found = found.where(F.size("successors") > 1)
+    if conflicts is None:
+        return found
+    # a conflict that lists all successors lists the first
+    listed = conflicts.select(F.explode("listed").alias("_first"), "listed").distinct()
+    known = found.withColumn("_first", F.element_at("successors", 1)).join(listed, "_first").where(F.size(F.array_except("successors", "listed")) == 0)
+    return found.join(known.select(target), target, "left_anti")
 
 
 def outside_vocabulary(rows: DataFrame, column: str, codes: DataFrame, code: str) -> DataFrame:
@@ -64,10 +70,8 @@ def page_after(rows: DataFrame, key: str, after, size: int) -> DataFrame:
 
 
 def has_amount(text: Column, amount: Column) -> Column:
-    """Whether a text holds the amount as a whole number, plain or with thousands separated by commas."""
-    plain, comma = amount.cast("string"), F.format_number(amount, 0)
-    spelt = F.concat(F.lit(r"(?:^|[^0-9,.])(?:"), plain, F.lit("|"), comma, F.lit(r")(?:$|[^0-9,.]|[,.](?:$|[^0-9]))"))
-    return F.regexp_like(text, spelt)
+    """Whether a text holds the amount, thousands separated by commas, with no digit, comma or full stop beside it."""
+    return F.regexp_like(text, F.concat(F.lit(r"(?<![\d,.])"), F.format_number(amount, 0), F.lit(r"(?![\d,.])")))
 
 
 def dependents(changed: DataFrame, conclusions: DataFrame, key: str, refs: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Ledger totals: reservations, settlements, caps and their checkpoints."""
+"""Ledger totals: reservations, settlements, admissions, caps and their checkpoints."""
 
 from __future__ import annotations
 
@@ -6,17 +6,49 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def usage(records: DataFrame, by: list[str]) -> DataFrame:
-    """used per group: a settled reservation counts the smaller of reserved and greatest settlement, an open one in full.
+def settle(records: DataFrame, dims: list[str]) -> DataFrame:
+    """Reservations and usage from before the ledger, with what each counts and whether it is still open.
 
-    records (kind, seq, reservation_seq, amount, and the group columns).
+    records (kind, seq, reservation_seq, run, and the dimensions).  A reservation counts the smaller of
+    itself and the greatest settlement by its own run, an open one in full; the rest counts as it is.
     """
-    settled = records.where("kind = 'settlement'").groupBy(F.col("reservation_seq").alias("seq")).agg(F.max("amount").alias("settled"))
-    kept = records.where("kind = 'reservation'").join(settled, "seq", "left").withColumn("used", F.least(F.col("amount"), F.col("settled")))
-    direct = records.where("kind = 'pre_ledger_usage'").withColumn("settled", F.lit(None).cast("bigint")).withColumn("used", F.col("amount"))
-    return kept.unionByName(direct, allowMissingColumns=True).groupBy(*by).agg(F.sum("used").cast("bigint").alias("used"), F.count("*").alias("n"), F.sum(F.when(F.col("settled").isNull() & (F.col("kind") == "reservation"), 1).otherwise(0)).cast("bigint").alias("open"))
+    top = [F.max(d).alias(f"_{d}") for d in dims]
+    done = records.where("kind = 'settlement'").groupBy(F.col("reservation_seq").alias("seq"), "run").agg(*top, F.lit(True).alias("_done"))
+    kept = records.where("kind IN ('reservation', 'pre_ledger_usage')").join(done, ["seq", "run"], "left")
+    own = F.col("kind") == "reservation"
+    used = {d: F.when(own & F.col("_done"), F.least(F.coalesce(d, F.lit(0)), F.coalesce(f"_{d}", F.lit(0)))).otherwise(F.coalesce(d, F.lit(0))) for d in dims}
+    return kept.withColumns(used).withColumn("open", own & F.col("_done").isNull()).drop("_done", *[f"_{d}" for d in dims])
 
 
-def merge_totals(base: DataFrame, delta: DataFrame, by: list[str]) -> DataFrame:
-    """A checkpoint's totals and those of the records since, as one."""
-    return base.unionByName(delta).groupBy(*by).agg(F.sum("used").alias("used"), F.sum("n").alias("n"), F.sum("open").alias("open"))
+def usage(records: DataFrame, by: list[str], dims: list[str], admissions: DataFrame | None = None, limits: dict[str, int] | None = None) -> DataFrame:
+    """Totals of every dimension, n and open per group.
+
+    admissions (run and the group columns) whose run never settled anything count at the limits.
+    """
+    rows = settle(records, dims).select(*by, *dims, F.lit(1).alias("n"), F.col("open").cast("int").alias("open"))
+    if admissions is not None:
+        runs = records.where("kind = 'settlement'").select("run").distinct()
+        idle = admissions.join(runs, "run", "left_anti")
+        rows = rows.unionByName(idle.select(*by, *[F.lit((limits or {}).get(d, 0)).cast("bigint").alias(d) for d in dims], F.lit(0).alias("n"), F.lit(0).alias("open")))
+    return rows.groupBy(*by).agg(*[F.sum(d).cast("bigint").alias(d) for d in dims], F.sum("n").cast("bigint").alias("n"), F.sum("open").cast("bigint").alias("open"))
+
+
+def checkpoint(records: DataFrame, by: list[str], dims: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(totals of what is settled, the open reservations whole): what a ledger's older records come to."""
+    rows = settle(records, dims)
+    totals = rows.where("NOT open").groupBy(*by).agg(*[F.sum(d).cast("bigint").alias(d) for d in dims], F.count("*").alias("n"))
+    opened = records.join(rows.where("open").select("seq", "run"), ["seq", "run"], "left_semi").where("kind = 'reservation'")
+    return totals, opened
+
+
+def resume(totals: DataFrame, opened: DataFrame, newer: DataFrame, by: list[str], dims: list[str]) -> DataFrame:
+    """usage over a checkpoint and the records since, equal to usage over all: an open reservation may still be settled.
+
+    Settlements of reservations that neither are open nor came since are the checkpoint's already.
+    """
+    live = opened.unionByName(newer.where("kind <> 'settlement'"), allowMissingColumns=True)
+    late = newer.where("kind = 'settlement'").join(live.where("kind = 'reservation'").select(F.col("seq").alias("reservation_seq")).distinct(), "reservation_seq", "left_semi")
+    rest = usage(live.unionByName(late, allowMissingColumns=True), by, dims)
+    both = totals.withColumn("open", F.lit(0).cast("bigint")).unionByName(rest)
+    return both.groupBy(*by).agg(*[F.sum(c).cast("bigint").alias(c) for c in [*dims, "n", "open"]])
+
