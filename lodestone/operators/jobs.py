@@ -11,6 +11,7 @@ from urllib.parse import urljoin, urlsplit, urlunsplit
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.functions.text import article_path, clean_link, clause_id, squeeze
 
@@ -112,7 +113,7 @@ class _Visible(HTMLParser):
         self.handle_data(" ")
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _visible(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for part in pages:
         out = []
@@ -258,13 +259,13 @@ def segment_pages(pages: DataFrame, specs: DataFrame, doc: str = "doc", page: st
     return met, clash
 
 
-def clause_rows(lines: DataFrame, segment: str, page: str, text: str, edition: str) -> DataFrame:
-    """Heading lines as clauses: lines (segment, page, n, text) with path, slug and clause id; other lines are dropped."""
+def clause_rows(lines: DataFrame, segment: str, page: str, text: str, edition: str, keep: list[str] | None = None) -> DataFrame:
+    """Heading lines as clauses: lines (segment, page, text and the columns to keep) with path, slug and clause id; other lines are dropped."""
     rows = lines.withColumn("_a", article_path(F.col(text))).where("_a IS NOT NULL")
-    return rows.select(segment, page, F.col("_a.printed").alias("path"), F.col("_a.slug").alias("slug"), clause_id(F.col(segment), F.col("_a.slug"), F.col(page), F.lit(edition)).alias("clause"))
+    return rows.select(*(keep or []), segment, page, F.col("_a.printed").alias("path"), F.col("_a.slug").alias("slug"), clause_id(F.col(segment), F.col("_a.slug"), F.col(page), F.lit(edition)).alias("clause"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 

@@ -32,7 +32,7 @@ def codes_in_ranges(codes: DataFrame, ranges: DataFrame) -> DataFrame:
     rows = ranges.where((F.col("lo_letter") < F.col("hi_letter")) | ((F.col("lo_letter") == F.col("hi_letter")) & (F.col("lo_major") <= F.col("hi_major"))))
     rows = rows.withColumn("letter", F.explode(letters))
     lo, hi = F.when(F.col("letter") == F.col("lo_letter"), F.col("lo_major")).otherwise(0), F.when(F.col("letter") == F.col("hi_letter"), F.col("hi_major")).otherwise(99)
-    rows = rows.select("category", "letter", F.explode(F.sequence(lo, hi)).cast("int").alias("major"), (F.col("minor") if "minor" in ranges.columns else F.lit(None).cast("string")).alias("_minor"))
+    rows = rows.select("category", "letter", F.explode(F.sequence(lo.cast("int"), hi.cast("int"))).alias("major"), (F.col("minor") if "minor" in ranges.columns else F.lit(None).cast("string")).alias("_minor"))
     # a code meets the ranges of its letter and major; a range with a minor holds the minors that begin so
     return codes.join(rows, ["letter", "major"]).where("_minor IS NULL OR startswith(coalesce(minor, ''), _minor)" if "minor" in codes.columns else "_minor IS NULL").drop("_minor")
 

@@ -9,7 +9,12 @@ from lodestone.functions import rules
 from lodestone.functions import text as X
 from lodestone.operators import jobs
 
-K, N = F.col("o_orderkey"), F.col("o_custkey")
+def K():
+    return F.col("o_orderkey")
+
+
+def N():
+    return F.col("o_custkey")
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN NULL WHEN o_orderkey % 7 = 2 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS day, CASE WHEN o_orderkey % 3 <> 1 THEN o_custkey * 100 + o_orderkey % 100 END AS num, CASE WHEN o_orderkey % 3 <> 1 THEN 100 END AS den,
@@ -17,10 +22,10 @@ K, N = F.col("o_orderkey"), F.col("o_custkey")
 def parsed_texts(spark, sf_dir):
     """Dates, rates, codes and instants written from orders, some of them wrongly."""
     day = F.to_date("o_orderdate").cast("string")
-    date = F.when(K % 5 == 0, "2025-02-30").when(K % 7 == 2, F.concat(day, F.lit(" "))).otherwise(day)
-    rate = F.concat(N.cast("string"), F.when(K % 3 == 1, ".").otherwise(F.concat(F.lit("."), F.lpad((K % 100).cast("string"), 2, "0"))))
-    code = F.concat(F.char(65 + N % 26), F.lpad((N % 100).cast("string"), 2, "0"), F.when(K % 4 == 0, F.concat(F.lit("."), (N % 1000).cast("string"))).when(K % 4 == 3, ".").otherwise(""))
-    instant = F.concat(day, F.when(K % 6 == 0, "T23:59:59Z").when(K % 6 == 1, "T24:00:00Z").when(K % 6 == 2, "t01:02:03.5+09:00").when(K % 6 == 3, "T00:00:00-00:30").when(K % 6 == 4, "T10:00:00").otherwise("T10:00:00.123456z"))
+    date = F.when(K() % 5 == 0, "2025-02-30").when(K() % 7 == 2, F.concat(day, F.lit(" "))).otherwise(day)
+    rate = F.concat(N().cast("string"), F.when(K() % 3 == 1, ".").otherwise(F.concat(F.lit("."), F.lpad((K() % 100).cast("string"), 2, "0"))))
+    code = F.concat(F.char(65 + N() % 26), F.lpad((N() % 100).cast("string"), 2, "0"), F.when(K() % 4 == 0, F.concat(F.lit("."), (N() % 1000).cast("string"))).when(K() % 4 == 3, ".").otherwise(""))
+    instant = F.concat(day, F.when(K() % 6 == 0, "T23:59:59Z").when(K() % 6 == 1, "T24:00:00Z").when(K() % 6 == 2, "t01:02:03.5+09:00").when(K() % 6 == 3, "T00:00:00-00:30").when(K() % 6 == 4, "T10:00:00").otherwise("T10:00:00.123456z"))
     df = read(spark, sf_dir, "orders").select("o_orderkey", X.parse_date(date).alias("day"), X.parse_rate(rate).alias("r"), X.parse_code(code).alias("c"), X.is_rfc3339(instant).alias("instant"))
     return df.select("o_orderkey", "day", F.col("r.num").alias("num"), F.col("r.den").alias("den"), "c.letter", "c.major", "c.minor", "instant")
 
@@ -33,17 +38,17 @@ SELECT o_orderkey, CASE WHEN w <> 0 AND w % 10000 = 0 THEN format('{{:,}}', w //
  array_to_string(list_sort(list_value(w, 15000)), ',') AS money, o_orderkey || '%,3개월,' || o_orderkey % 90 || '세' AS units, CASE o_orderkey % 4 WHEN 0 THEN 'large_unit' WHEN 1 THEN 'currency_sign' WHEN 2 THEN 'spelt_number' ELSE 'bare_unit' END AS forbidden FROM m""")
 def money_texts(spark, sf_dir):
     """Amounts written out and read back, units, and the notations that are not allowed."""
-    w = F.round("o_totalprice").cast("bigint") * F.when(K % 3 == 0, 10000).otherwise(1)
-    line = F.concat(F.lit("보험료 "), X.format_krw(w), F.lit(" 또는 1.5 만 원, "), K.cast("string"), F.lit(" % / 3개월 / "), (K % 90).cast("string"), F.lit(" 세"))
-    odd = F.when(K % 4 == 0, "3억").when(K % 4 == 1, "₩100").when(K % 4 == 2, "백 만원").otherwise("월 5만 ")
+    w = F.round("o_totalprice").cast("bigint") * F.when(K() % 3 == 0, 10000).otherwise(1)
+    line = F.concat(F.lit("보험료 "), X.format_krw(w), F.lit(" 또는 1.5 만 원, "), K().cast("string"), F.lit(" % / 3개월 / "), (K() % 90).cast("string"), F.lit(" 세"))
+    odd = F.when(K() % 4 == 0, "3억").when(K() % 4 == 1, "₩100").when(K() % 4 == 2, "백 만원").otherwise("월 5만 ")
     return read(spark, sf_dir, "orders").withColumn("w", w).withColumn("line", line).select("o_orderkey", X.format_krw(F.col("w")).alias("krw"), X.man_display(F.col("w")).alias("man"), F.array_join(X.money_tokens(F.col("line")).cast("array<string>"), ",").alias("money"), F.array_join(X.unit_tokens(F.regexp_replace("line", ".*원, ", "")), ",").alias("units"), F.array_join(X.forbidden_money(odd), ",").alias("forbidden"))
 
 
 @query("SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'article-' || o_custkey WHEN 1 THEN 'article-' || o_custkey || '-2' WHEN 2 THEN 'article-' || o_custkey END AS slug, CASE WHEN o_orderkey % 5 < 3 THEN 'clause:seg:' || substr(sha256(o_custkey::VARCHAR), 1, 12) || ':p1-9:terms:seg-1/article-' || o_custkey || CASE WHEN o_orderkey % 5 = 1 THEN '-2' ELSE '' END || '#p3:x@1' END AS clause FROM orders")
 def article_paths(spark, sf_dir):
     """Heading lines, one of five kinds each, as slugs and clause ids."""
-    n = N.cast("string")
-    line = F.when(K % 5 == 0, F.concat(F.lit("제 "), n, F.lit("조 (목적)"))).when(K % 5 == 1, F.concat(F.lit("제"), n, F.lit("조의 2(기간)"))).when(K % 5 == 2, F.concat(F.lit("Article "), n)).when(K % 5 == 3, F.concat(F.lit("Article "), n, F.lit(" applies"))).otherwise(F.concat(F.lit(" 제"), n, F.lit("조")))
+    n = N().cast("string")
+    line = F.when(K() % 5 == 0, F.concat(F.lit("제 "), n, F.lit("조 (목적)"))).when(K() % 5 == 1, F.concat(F.lit("제"), n, F.lit("조의 2(기간)"))).when(K() % 5 == 2, F.concat(F.lit("Article "), n)).when(K() % 5 == 3, F.concat(F.lit("Article "), n, F.lit(" applies"))).otherwise(F.concat(F.lit(" 제"), n, F.lit("조")))
     slug = X.article_path(line)["slug"]
     sid = X.segment_id(F.sha2(n, 256), F.lit(1), F.lit(9), F.lit("terms"), F.lit("seg-1"))
     return read(spark, sf_dir, "orders").select("o_orderkey", slug.alias("slug"), X.clause_id(sid, slug, F.lit(3), F.lit("x@1")).alias("clause"))
@@ -88,7 +93,7 @@ def squeezed(spark, sf_dir):
 @query("WITH c AS (SELECT o_orderkey, o_custkey AS u, CAST(o_orderdate AS DATE) AS d FROM orders) SELECT o_orderkey, sha256('day=' || d || chr(31) || 'user=' || u) AS digest FROM c")
 def input_hash(spark, sf_dir):
     """The hash of a request's typed inputs in name order."""
-    return read(spark, sf_dir, "orders").select("o_orderkey", rules.row_hash(user=N, day=F.to_date("o_orderdate")).alias("digest"))
+    return read(spark, sf_dir, "orders").select("o_orderkey", rules.row_hash(user=N(), day=F.to_date("o_orderdate")).alias("digest"))
 
 
 @query("""WITH c AS (SELECT l_returnflag, CAST(round(l_extendedprice) AS BIGINT) AS a, CAST(round(l_tax * 100000) AS BIGINT) AS b, CAST(l_linenumber AS BIGINT) AS n FROM lineitem)

@@ -1,19 +1,28 @@
-"""Structured Streaming jobs over files of observations; each equals its batch form."""
+"""Structured Streaming jobs over the caller's streams; each equals its batch form.
+
+Per key, rows are folded in order within a micro-batch and the state goes on to the next.  No job has a
+watermark that drops rows unless the caller asks for one.
+"""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def scratch(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="lodestone-")
+    """A new folder below the shared one; on one machine that names none, below a folder of our own."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        base = tempfile.mkdtemp(prefix="lodestone-")
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
@@ -24,42 +33,125 @@ def files(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name[:-1]}[{name[-1]}].parquet")
 
 
-def drain(df: DataFrame, mode: str, write) -> None:
-    query = df.writeStream.outputMode(mode).option("checkpointLocation", scratch(df.sparkSession)).trigger(availableNow=True).foreachBatch(write).start()
+def drain(df: DataFrame, mode: str, write: Callable | None = None) -> str:
+    """Run a stream over all that is there; by default every batch is appended, with its number, to the folder returned."""
+    out = scratch(df.sparkSession)
+    put = write or (lambda rows, i: rows.withColumn("batch", F.lit(i)).write.mode("append").parquet(out))
+    query = df.writeStream.outputMode(mode).option("checkpointLocation", scratch(df.sparkSession)).trigger(availableNow=True).foreachBatch(put).start()
     query.awaitTermination()
+    return out
+
+
+def latest(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
+    """The last update of every key that a drained stream wrote."""
+    by = Window.partitionBy(*keys).orderBy(F.desc("batch"))
+    return spark.read.parquet(out).withColumn("_r", F.row_number().over(by)).where("_r = 1").drop("_r", "batch")
+
+
+def fold(obs: DataFrame, keys: list[str], order: list[str], start: tuple, step: Callable, state: str, out: str) -> DataFrame:
+    """Rows emitted by step(state, row) -> (state, rows), over the rows of a key in order; None stands for NULL in the state."""
+    names = [c.split()[0] for c in out.split(", ")]
+
+    def run(key, parts: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
+        now, done = (kept.get if kept.exists else start), []
+        for row in pd.concat(list(parts)).sort_values(order).itertuples(index=False):
+            now, rows = step(now, row)
+            done += rows
+        kept.update(now)
+        yield pd.DataFrame(done, columns=names)
+
+    return obs.groupBy(*keys).applyInPandasWithState(run, out, state, "append", GroupStateTimeout.NoTimeout)
+
+
+def changes(obs: DataFrame, keys: list[str], order: list[str], id_: str) -> DataFrame:
+    """(id, decision) of observations (id, status with 0 for a failure, digest, retained): each against the last hash stored before it."""
+
+    def step(state, r):
+        digest, kept = state
+        if r.status == 304 and digest is not None and kept:
+            return state, [(getattr(r, id_), "unchanged")]
+        if r.status != 200 or r.digest is None:
+            return state, [(getattr(r, id_), "invalid")]
+        what = "new" if digest is None else "unchanged_same_hash" if digest == r.digest else "changed"
+        return (r.digest, bool(r.retained)), [(getattr(r, id_), what)]
+
+    return fold(obs, keys, order, (None, False), step, "digest string, retained boolean", f"{id_} long, decision string")
+
+
+def failure_alerts(obs: DataFrame, keys: list[str], order: list[str], id_: str) -> DataFrame:
+    """(id) of the third failure in a row of observations (id, failed); a success starts anew."""
+
+    def step(state, r):
+        n = state[0] + 1 if r.failed else 0
+        return (n,), [(getattr(r, id_),)] if n == 3 else []
+
+    return fold(obs, keys, order, (0,), step, "failures int", f"{id_} long")
 
 
-def daily_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(user_id, day, n, used) by tumbling one-day windows; every update of a window is written, the latest read."""
-    out = scratch(spark)
-    e = files(spark, sf_dir, "events").withColumn("used", F.round(F.col("value") * 100).cast("bigint")).withColumn("ts", F.col("ts").cast("timestamp"))
-    daily = e.withWatermark("ts", "400 days").groupBy("user_id", F.window("ts", "1 day").alias("w")).agg(F.count("*").alias("n"), F.sum("used").alias("used"))
-    drain(daily.select("user_id", F.to_date("w.start").alias("day"), "n", "used"), "update", lambda df, i: df.withColumn("batch", F.lit(i)).write.mode("append").parquet(out))
-    latest = Window.partitionBy("user_id", "day").orderBy(F.desc("batch"))
-    return spark.read.parquet(out).withColumn("_r", F.row_number().over(latest)).where("_r = 1").drop("_r", "batch")
+def late_rows(obs: DataFrame, keys: list[str], order: list[str], at: str, id_: str) -> DataFrame:
+    """(id) of rows that are not later, by the whole number `at`, than one of their key that came before."""
 
+    def step(state, r):
+        now = int(getattr(r, at))
+        return (max(state[0], now),), [(getattr(r, id_),)] if now <= state[0] else []
 
-def crawl_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(user_id, event_type, digest, verified, seen): state per source kept in the state store, its last value read back."""
-    out = scratch(spark)
-    e = files(spark, sf_dir, "events")
-    status = F.when(F.col("event_id") % 4 == 0, F.lit(0)).when(F.col("event_id") % 9 == 0, 304).otherwise(200)
-    obs = e.select("event_id", "user_id", "event_type", status.alias("status"), (F.floor("value") % 5).cast("string").alias("digest"))
+    return fold(obs, keys, order, (-(2**62),), step, "latest long", f"{id_} long")
+
+
+def state_updates(obs: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """(keys.., digest, verified, seen) after every micro-batch that has rows of a key: observations (keys, order, status with 0 for a failure, digest)."""
+    out = ", ".join([*(f"{k} {obs.schema[k].dataType.simpleString()}" for k in keys), "digest string, verified long, seen long"])
 
     def keep(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         digest, stored, verified, seen = state.get if state.exists else (None, -1, -1, -1)
         for part in parts:
             ok = part[part["status"] == 200]
-            if len(ok) and int(ok["event_id"].max()) > stored:
-                last = ok.loc[ok["event_id"].idxmax()]
-                digest, stored = last["digest"], int(last["event_id"])
-            good = part[part["status"] > 0]["event_id"]
-            verified, seen = max([verified, *map(int, good)]), max([seen, *map(int, part["event_id"])])
+            if len(ok) and int(ok[order].max()) > stored:
+                last = ok.loc[ok[order].idxmax()]
+                digest, stored = last["digest"], int(last[order])
+            verified = max([verified, *map(int, part[part["status"].isin([200, 304])][order])])
+            seen = max([seen, *map(int, part[order])])
         state.update((digest, stored, verified, seen))
-        yield pd.DataFrame({"user_id": [key[0]], "event_type": [key[1]], "digest": [digest], "verified": [verified], "seen": [seen]})
+        yield pd.DataFrame({**{k: [v] for k, v in zip(keys, key, strict=True)}, "digest": [digest], "verified": [verified], "seen": [seen]})
+
+    return obs.groupBy(*keys).applyInPandasWithState(keep, out, "digest string, stored long, verified long, seen long", "update", GroupStateTimeout.NoTimeout)
+
+
+def daily(rows: DataFrame, keys: list[str], at: str, value: Column, watermark: str | None = None) -> DataFrame:
+    """(keys.., day, n, used) by tumbling one-day windows; a watermark, if given, bounds the state and drops what is later."""
+    rows = rows.withColumn("_at", F.col(at).cast("timestamp")).withColumn("_v", value)
+    rows = rows.withWatermark("_at", watermark) if watermark else rows
+    return rows.groupBy(*keys, F.window("_at", "1 day").alias("_w")).agg(F.count("*").alias("n"), F.sum("_v").alias("used")).select(*keys, F.to_date("_w.start").alias("day"), "n", "used")
+
+
+def distinct_observations(obs: DataFrame, on: list[str], at: str | None = None, within: str | None = None) -> DataFrame:
+    """Observations without identical repeats; within a watermark on `at` if one is given, over all time otherwise."""
+    if within:
+        return obs.withWatermark(at, within).dropDuplicatesWithinWatermark(on)
+    return obs.dropDuplicates(on)
+
+
+def allowed_writes(writes: DataFrame, deletions: DataFrame, person: str) -> DataFrame:
+    """The rows of a stream whose person has no deletion under way, by the table as it is at every batch."""
+    return writes.join(deletions.select(F.col(person)).distinct(), person, "left_anti")
+
+
+def stale(status: DataFrame, keys: list[str], at: str) -> DataFrame:
+    """(keys.., last) after every micro-batch: when a key was last heard of, in whole seconds; `last` more than a limit ago is stale."""
+    return status.groupBy(*keys).agg(F.max(F.unix_timestamp(F.col(at).cast("timestamp"))).alias("last"))
+
+
+def guarded_append(stored: Callable[[], DataFrame], append: Callable[[DataFrame], None], id_: str, digest: str) -> Callable:
+    """A foreachBatch function that appends what is new and refuses a batch that would change what an id stands for."""
+
+    def put(rows: DataFrame, i: int) -> None:
+        rows = rows.persist()
+        known = stored().select(F.col(id_), F.col(digest).alias("_old"))
+        met = rows.join(known, id_, "left")
+        if not met.where(F.col("_old").isNotNull() & (F.col("_old") != F.col(digest))).isEmpty():
+            rows.unpersist()
+            raise ValueError(f"batch {i} changes stored rows")
+        append(met.where("_old IS NULL").drop("_old"))
+        rows.unpersist()
 
-    kept = obs.groupBy("user_id", "event_type").applyInPandasWithState(keep, "user_id long, event_type string, digest string, verified long, seen long", "digest string, stored long, verified long, seen long", "update", GroupStateTimeout.NoTimeout)
-    drain(kept, "update", lambda df, i: df.withColumn("batch", F.lit(i)).write.mode("append").parquet(out))
-    latest = Window.partitionBy("user_id", "event_type").orderBy(F.desc("batch"))
-    done = spark.read.parquet(out).withColumn("_r", F.row_number().over(latest)).where("_r = 1").drop("_r", "batch")
-    return done.withColumn("verified", F.nullif("verified", F.lit(-1)))
+    return put
