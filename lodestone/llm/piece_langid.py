@@ -17,12 +17,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import crc_mod, trimmed
+from lodestone.llm.common import crc_mod, give_back, trimmed
 
 _WORD = re.compile(r"[^\W\d_]+")
 MARK = "▁"
 #: Positions between two rescalings of the forward values, and word cells worked on at once.
-STEP, CELLS = 16, 400_000
+STEP, CELLS = 16, 100_000
 _K = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -196,7 +196,7 @@ def chosen(docs: DataFrame, sample: int, lang: str, doc_id: str, parts: int = 25
     return some.withColumn("r", rank).where(F.col("r") <= sample).select("i", "l").distinct()
 
 
-def train(docs: DataFrame, sample: int = 400, word_limit: int = 200_000, path: str | None = None, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> PieceModel | None:
+def train(docs: DataFrame, sample: int = 400, word_limit: int = 60_000, path: str | None = None, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> PieceModel | None:
     """A model from at most `sample` documents of each language, first by the hash of their id; None without labelled text.
 
     Rows with a null lang are left out.  The words are counted by Spark; of each language the `word_limit`
@@ -206,12 +206,21 @@ def train(docs: DataFrame, sample: int = 400, word_limit: int = 200_000, path: s
     words = own.select("l", F.explode(F.regexp_extract_all(F.lower("t"), F.lit(r"\p{L}+"), F.lit(0))).alias("w"))
     counts = words.groupBy("l", "w").agg(F.count("*").cast("double").alias("n"))
     often = F.row_number().over(Window.partitionBy("l").orderBy(F.desc("n"), "w"))
-    seen = counts.withColumn("r", often).where(F.col("r") <= word_limit).drop("r").toPandas()
-    if seen.empty:
+    seen = counts.withColumn("r", often).where(F.col("r") <= word_limit).select(F.col("l").cast("string").alias("l"), "w", "n").toArrow()
+    if not seen.num_rows:
         return None
-    table = seen.pivot(index="w", columns="l", values="n").fillna(0.0).sort_index()
-    model = PieceModel(vocabulary(path), [str(c) for c in table.columns])
-    model.train(table.index.tolist(), table.to_numpy())
+    langs = sorted(set(seen["l"].to_pylist()))
+    names = seen["w"].unique().to_pylist()
+    names.sort()
+    row, column = {w: i for i, w in enumerate(names)}, {x: i for i, x in enumerate(langs)}
+    freq = np.zeros((len(names), len(langs)))
+    for part in seen.to_batches():
+        freq[[row[w] for w in part["w"].to_pylist()], [column[x] for x in part["l"].to_pylist()]] = part["n"].to_numpy()
+    del seen, row
+    model = PieceModel(vocabulary(path), langs)
+    model.train(names, freq)
+    del names, freq
+    give_back()
     return model
 
 
