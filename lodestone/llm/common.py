@@ -42,12 +42,17 @@ def scratch_dir(spark: SparkSession) -> str:
     return found
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write df as Parquet to the shared folder and read it back."""
+def stored(df: DataFrame) -> str:
+    """The path of a new scratch table in the shared folder that holds df as Parquet."""
     path = f"{scratch_dir(df.sparkSession).rstrip('/')}/lodestone-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _WRITTEN.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return path
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut the lineage: write df as Parquet to the shared folder and read it back."""
+    return df.sparkSession.read.schema(df.schema).parquet(stored(df))
 
 
 #: Scratch tables of this process that are still there.

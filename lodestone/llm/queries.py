@@ -73,7 +73,13 @@ def op10_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary_packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_piece_langid, op2_toxicity_cnn, op3_chat_format, op4_url_filter, op5_dart_minhash, op6_impact_search, op7_block_labeller, op8_source_mix, op9_itq_links, op10_binary_packing)}
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm import merkle_manifest
+
+    return merkle_manifest.manifest(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_piece_langid, op2_toxicity_cnn, op3_chat_format, op4_url_filter, op5_dart_minhash, op6_impact_search, op7_block_labeller, op8_source_mix, op9_itq_links, op10_binary_packing, op13_merkle_manifest)}
 
 SQL: dict[str, str] = {
     "op3_chat_format": r"""
@@ -110,4 +116,31 @@ reach AS (
 c AS (SELECT node, min(seen) AS component_id FROM reach GROUP BY node)
 SELECT v.vec_id, (SELECT count(*) FROM l WHERE l.u = v.vec_id) AS n_links, c.component_id, v.vec_id = c.component_id AS kept
 FROM v JOIN c ON c.node = v.vec_id""",
+    "op13_merkle_manifest": """
+WITH RECURSIVE crc AS (
+  SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, b: xor(c >> 1, (c & 1) * 3988292384)) ORDER BY i) AS step FROM range(256) r(i)),
+d AS (
+  SELECT doc_id, lang, sha256(coalesce(strlen((doc_id)::VARCHAR) || ':' || (doc_id)::VARCHAR, '-') || coalesce(strlen((source)::VARCHAR) || ':' || (source)::VARCHAR, '-') || coalesce(strlen((lang)::VARCHAR) || ':' || (lang)::VARCHAR, '-') || coalesce(strlen((n_chars)::VARCHAR) || ':' || (n_chars)::VARCHAR, '-') || coalesce(strlen((text)::VARCHAR) || ':' || (text)::VARCHAR, '-')) AS leaf, sha256(coalesce(strlen((doc_id)::VARCHAR) || ':' || (doc_id)::VARCHAR, '-') || coalesce(strlen((source)::VARCHAR) || ':' || (source)::VARCHAR, '-') || coalesce(strlen((lang)::VARCHAR) || ':' || (lang)::VARCHAR, '-') || coalesce(strlen((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1)::VARCHAR, '-') || coalesce(strlen((text)::VARCHAR) || ':' || (text)::VARCHAR, '-')) AS touched,
+    xor(list_reduce([4294967295] || list_transform(string_split(coalesce(doc_id::VARCHAR, ''), ''), lambda x: ascii(x)::BIGINT), lambda c, b: xor(c >> 8, step[(xor(c, b) & 255) + 1])), 4294967295) % 7 = 0 AS tampered
+  FROM documents, crc),
+leaves AS (
+  SELECT *, row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM d WINDOW w AS (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf)),
+t AS (
+  SELECT lang, 0 AS level, pos, n, leaf AS h FROM leaves
+  UNION ALL SELECT lang, level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM t WHERE n > 1 GROUP BY lang, level, n, pos // 2),
+s AS (
+  SELECT lang, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM t WHERE n = 1),
+u AS (
+  SELECT 0 AS level, pos, n, h FROM s
+  UNION ALL SELECT level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM u WHERE n > 1 GROUP BY level, n, pos // 2),
+a AS (
+  SELECT lang, pos AS id, 0 AS level, pos, n, CASE WHEN tampered THEN touched ELSE leaf END AS fold, '' AS proof FROM leaves
+  UNION ALL SELECT a.lang, id, a.level + 1, a.pos // 2, (a.n + 1) // 2, CASE WHEN a.pos % 2 = 1 THEN sha256(t.h || fold) ELSE sha256(fold || coalesce(t.h, '')) END, proof || coalesce(t.h, '')
+  FROM a LEFT JOIN t ON t.lang IS NOT DISTINCT FROM a.lang AND t.level = a.level AND t.pos = xor(a.pos, 1) WHERE a.n > 1),
+b AS (
+  SELECT a.lang, id, 0 AS level, s.pos, s.n, fold, proof FROM a JOIN s ON a.n = 1 AND s.lang IS NOT DISTINCT FROM a.lang
+  UNION ALL SELECT lang, id, b.level + 1, b.pos // 2, (b.n + 1) // 2, CASE WHEN b.pos % 2 = 1 THEN sha256(u.h || fold) ELSE sha256(fold || coalesce(u.h, '')) END, proof || coalesce(u.h, '')
+  FROM b LEFT JOIN u ON u.level = b.level AND u.pos = xor(b.pos, 1) WHERE b.n > 1)
+SELECT doc_id, leaf, s.h AS subroot, u.h AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = u.h AS verified
+FROM leaves l JOIN b ON b.n = 1 AND b.id = l.pos AND b.lang IS NOT DISTINCT FROM l.lang JOIN s ON s.lang IS NOT DISTINCT FROM l.lang JOIN u ON u.n = 1""",
 }
