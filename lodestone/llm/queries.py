@@ -73,13 +73,19 @@ def op10_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary_packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op12_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm import compression_bands
+
+    return compression_bands.judge(table(spark, sf_dir, "documents"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm import merkle_manifest
 
     return merkle_manifest.manifest(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_piece_langid, op2_toxicity_cnn, op3_chat_format, op4_url_filter, op5_dart_minhash, op6_impact_search, op7_block_labeller, op8_source_mix, op9_itq_links, op10_binary_packing, op13_merkle_manifest)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_piece_langid, op2_toxicity_cnn, op3_chat_format, op4_url_filter, op5_dart_minhash, op6_impact_search, op7_block_labeller, op8_source_mix, op9_itq_links, op10_binary_packing, op12_compression_bands, op13_merkle_manifest)}
 
 SQL: dict[str, str] = {
     "op3_chat_format": r"""
