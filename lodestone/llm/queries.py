@@ -73,6 +73,12 @@ def op10_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary_packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_mask_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm import mask_ranking
+
+    return mask_ranking.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm import compression_bands
 
@@ -85,7 +91,7 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest.manifest(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_piece_langid, op2_toxicity_cnn, op3_chat_format, op4_url_filter, op5_dart_minhash, op6_impact_search, op7_block_labeller, op8_source_mix, op9_itq_links, op10_binary_packing, op12_compression_bands, op13_merkle_manifest)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_piece_langid, op2_toxicity_cnn, op3_chat_format, op4_url_filter, op5_dart_minhash, op6_impact_search, op7_block_labeller, op8_source_mix, op9_itq_links, op10_binary_packing, op11_mask_ranking, op12_compression_bands, op13_merkle_manifest)}
 
 SQL: dict[str, str] = {
     "op3_chat_format": r"""
@@ -122,6 +128,18 @@ reach AS (
 c AS (SELECT node, min(seen) AS component_id FROM reach GROUP BY node)
 SELECT v.vec_id, (SELECT count(*) FROM l WHERE l.u = v.vec_id) AS n_links, c.component_id, v.vec_id = c.component_id AS kept
 FROM v JOIN c ON c.node = v.vec_id""",
+    "op11_mask_ranking": r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS row, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+docs AS (SELECT doc_id, row, len(terms) AS n, terms FROM d WHERE len(terms) > 0),
+total AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_terms FROM docs),
+held AS (SELECT row, doc_id, n, term, count(*) AS tf FROM (SELECT row, doc_id, n, unnest(terms) AS term FROM docs) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM held, total GROUP BY term),
+gain AS (SELECT row, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * n_docs) // n_terms)))) AS gain FROM held JOIN w USING (term), total),
+asked AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+s AS (SELECT item_id, row, any_value(doc_id) AS doc_id, sum(gain)::BIGINT AS score FROM asked JOIN gain USING (term) GROUP BY item_id, row HAVING sum(gain) > 0),
+r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank, doc_id, score FROM s)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 50""",
     "op13_merkle_manifest": """
 WITH RECURSIVE crc AS (
   SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, b: xor(c >> 1, (c & 1) * 3988292384)) ORDER BY i) AS step FROM range(256) r(i)),
