@@ -318,19 +318,17 @@ def crawl_state(spark, sf_dir):
 
 @query(STATE)
 def crawl_state_stream(spark, sf_dir):
-    """The same state kept by a stateful stream over the event files."""
-    e = streams.files(spark, sf_dir, "events")
-    status = F.when(F.col("event_id") % 4 == 0, 0).when(F.col("event_id") % 9 == 0, 304).otherwise(200)
-    obs = e.select("event_id", "user_id", "event_type", status.alias("status"), (F.floor("value") % 5).cast("string").alias("digest"))
-    out = streams.drain(streams.state_updates(obs, ["user_id", "event_type"], "event_id"), "update")
-    return streams.latest(spark, out, ["user_id", "event_type"]).withColumn("verified", F.nullif("verified", F.lit(-1).cast("bigint")))
+    """The same state kept by a streaming aggregate over events that come in three batches."""
+    obs = observations(spark, sf_dir).withColumn("status", F.coalesce("status", F.lit(0)))
+    out = streams.replay(obs, F.col("event_id"), lambda rows: streams.state_updates(rows, ["user_id", "event_type"], "event_id"), "update")
+    return streams.latest(spark, out, ["user_id", "event_type"])
 
 
 @query("SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS used FROM events GROUP BY 1, 2")
 def usage_stream(spark, sf_dir):
     """Daily totals per user kept by a windowed stream."""
-    used = streams.daily(streams.files(spark, sf_dir, "events"), ["user_id"], "ts", F.round(F.col("value") * 100).cast("bigint"))
-    return streams.latest(spark, streams.drain(used, "update"), ["user_id", "day"])
+    job = lambda rows: streams.daily(rows, ["user_id"], "ts", F.round(F.col("value") * 100).cast("bigint"))
+    return streams.latest(spark, streams.replay(read(spark, sf_dir, "events"), F.unix_micros(F.col("ts").cast("timestamp")), job, "update"), ["user_id", "day"])
 
 
 @query("SELECT user_id, max(ts) FILTER (event_type <> 'error') AS last_success, max(ts) FILTER (event_type = 'error') AS last_failure, count(*) AS n FROM events GROUP BY 1")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestone.catalog import _SQL, CASES, OBS, cases, observations, query, read
+from lodestone.catalog import _SQL, CASES, DIMS, OBS, _usage, cases, ledger, observations, query, read
 from lodestone.functions import rules as R
 from lodestone.operators import evaluation, graph, jobs
 from lodestone.operators.knowledge import latest_assumptions
@@ -13,51 +13,74 @@ from lodestone.streaming import streams
 
 
 def watched(spark, sf_dir):
-    """The stream of events as observations; failures have status 0."""
-    e = streams.files(spark, sf_dir, "events")
+    """Events as observations; failures have status 0."""
     i = F.col("event_id")
-    return e.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", F.when(i % 4 == 0, 0).when(i % 9 == 0, 304).otherwise(200).alias("status"), (F.floor("value") % 5).cast("string").alias("digest"), (i % 3 != 1).alias("retained"), F.col("event_type").isin("error", "signup", "view").alias("failed"))
+    return read(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", F.when(i % 4 == 0, 0).when(i % 9 == 0, 304).otherwise(200).alias("status"), (F.floor("value") % 5).cast("string").alias("digest"), (i % 3 != 1).alias("retained"), F.col("event_type").isin("error", "signup", "view").alias("failed"))
+
+
+def came(spark, rows, job, mode="append", parts=3, order=None):
+    """The output of a job over rows that come in batches in the order of their instants."""
+    out = streams.replay(rows, order if order is not None else F.unix_micros(F.col("ts").cast("timestamp")), job, mode, parts)
+    return spark.read.parquet(out).drop("batch")
 
 
 @query(_SQL["change_decisions"])
 def change_stream(spark, sf_dir):
-    out = streams.drain(streams.changes(watched(spark, sf_dir), ["user_id", "event_type"], ["ts", "event_id"], "event_id"), "append")
-    return spark.read.parquet(out).drop("batch")
+    return came(spark, watched(spark, sf_dir), lambda obs: streams.changes(obs, ["user_id", "event_type"], ["ts", "event_id"], "event_id"))
 
 
 @query(_SQL["third_failure_alerts"])
 def failure_alerts_stream(spark, sf_dir):
-    out = streams.drain(streams.failure_alerts(watched(spark, sf_dir), ["user_id"], ["ts", "event_id"], "event_id"), "append")
-    return spark.read.parquet(out).drop("batch")
+    return came(spark, watched(spark, sf_dir), lambda obs: streams.failure_alerts(obs, ["user_id"], ["ts", "event_id"], "event_id"))
 
 
 @query(_SQL["out_of_order"])
 def late_rows_stream(spark, sf_dir):
     """Rows in a shuffled order of arrival that are not later than one of their user before them."""
     obs = watched(spark, sf_dir).select("event_id", "user_id", (F.col("event_id") * 7919 % 10007).alias("arrived"), F.unix_micros("ts").alias("at"))
-    out = streams.drain(streams.late_rows(obs, ["user_id"], ["arrived", "event_id"], "at", "event_id"), "append")
-    return spark.read.parquet(out).drop("batch")
+    return came(spark, obs, lambda rows: streams.late_rows(rows, ["user_id"], ["arrived", "event_id"], "at", "event_id"), order=F.col("arrived"))
 
 
 @query("SELECT user_id, event_type, count(DISTINCT CAST(CAST(floor(value) AS BIGINT) % 5 AS VARCHAR)) AS n FROM events GROUP BY 1, 2")
 def distinct_stream(spark, sf_dir):
     """Observations of a user and event type without repeats of the same digest."""
-    out = streams.drain(streams.distinct_observations(watched(spark, sf_dir).select("user_id", "event_type", "digest"), ["user_id", "event_type", "digest"]), "append")
-    return spark.read.parquet(out).groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    said = ["user_id", "event_type", "digest"]
+    return came(spark, watched(spark, sf_dir), lambda obs: streams.distinct_observations(obs.select(*said), said)).groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+
+
+BEGUN = F.expr("event_type = 'signup' AND event_id % 10 = 0")
+
+
+@query("""WITH d AS (SELECT user_id, min(ts) AS begun FROM events WHERE event_type = 'signup' AND event_id % 10 = 0 GROUP BY 1),
+w AS (SELECT event_id, e.user_id, ts, coalesce(ts >= begun, FALSE) AS refused FROM events e LEFT JOIN d USING (user_id) WHERE NOT (event_type = 'signup' AND event_id % 10 = 0))
+SELECT event_id, user_id, refused, CASE WHEN refused THEN row_number() OVER (PARTITION BY user_id, refused ORDER BY ts, event_id) END AS late_no FROM w""")
+def late_writes_stream(spark, sf_dir):
+    """Writes beside a stream of deletions, both cut into batches: what comes after a user's deletion began is refused and counted."""
+
+    def job(rows):
+        return streams.late_writes(rows.where(~BEGUN).select("event_id", "user_id", "ts"), rows.where(BEGUN).select("user_id", "ts"), "user_id", "ts")
+
+    return came(spark, watched(spark, sf_dir), job).select("event_id", "user_id", "refused", "late_no")
 
 
 @query("SELECT event_id, user_id FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 2000)")
 def late_write_filter(spark, sf_dir):
     """Events of users, as customers, of whom no deletion has begun."""
     gone = read(spark, sf_dir, "customer").where("c_acctbal < 2000").select(F.col("c_custkey").alias("user_id"))
-    out = streams.drain(streams.allowed_writes(streams.files(spark, sf_dir, "events").select("event_id", "user_id"), gone, "user_id"), "append")
-    return spark.read.parquet(out).select("event_id", "user_id")
+    return came(spark, watched(spark, sf_dir), lambda rows: streams.allowed_writes(rows.select("event_id", "user_id"), gone, "user_id")).select("event_id", "user_id")
+
+
+@query("""WITH l AS (SELECT user_id, ts AS last, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS news, max(ts) OVER () AS now FROM events)
+SELECT user_id, last FROM l WHERE epoch_us(news) - epoch_us(last) > 129600000000 OR (news IS NULL AND epoch_ms(now) - epoch_ms(last) > 129600000)""")
+def silence_alerts(spark, sf_dir):
+    """Every silence of a user of more than 36 hours, raised by a timer of event time or by the news that ended it."""
+    return came(spark, watched(spark, sf_dir), lambda rows: streams.silence_alerts(rows, ["user_id"], "ts"), parts=5)
 
 
 @query("WITH l AS (SELECT user_id, CAST(floor(epoch(max(ts))) AS BIGINT) AS last FROM events GROUP BY 1) SELECT user_id, last, (SELECT max(last) FROM l) - last > 129600 AS stale FROM l")
 def stale_heartbeat(spark, sf_dir):
     """Users not heard of in the 36 hours before the newest event."""
-    out = streams.drain(streams.stale(streams.files(spark, sf_dir, "events"), ["user_id"], "ts"), "update")
+    out = streams.replay(watched(spark, sf_dir), F.unix_micros("ts"), lambda rows: streams.stale(rows, ["user_id"], "ts"), "update")
     last = streams.latest(spark, out, ["user_id"])
     return last.join(F.broadcast(last.agg(F.max("last").alias("now")))).select("user_id", "last", (F.col("now") - F.col("last") > 129_600).alias("stale"))
 
@@ -65,13 +88,26 @@ def stale_heartbeat(spark, sf_dir):
 @query("SELECT event_id, sha256(event_type || event_id) AS digest FROM events")
 def append_guard(spark, sf_dir):
     """The stream of events appended twice under the guard: the second time adds nothing, as nothing has changed."""
-    rows = streams.files(spark, sf_dir, "events").select("event_id", F.sha2(F.concat("event_type", F.col("event_id").cast("string")), 256).alias("digest"))
+    rows = read(spark, sf_dir, "events").select("event_id", F.sha2(F.concat("event_type", F.col("event_id").cast("string")), 256).alias("digest"))
     path = streams.scratch(spark)
-    spark.createDataFrame([], "event_id long, digest string").write.parquet(path)
-    put = streams.guarded_append(lambda: spark.read.parquet(path), lambda new: new.write.mode("append").parquet(path), "event_id", "digest")
-    for _ in range(2):
-        streams.drain(rows, "append", put)
-    return spark.read.parquet(path)
+    spark.createDataFrame([], "event_id long, digest string").write.parquet(f"{path}/batch=-1")
+    both = rows.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("again"))
+    streams.replay(both, F.col("again"), lambda r: r.select("event_id", "digest"), "append", 2, streams.guarded_append(path, "event_id", "digest"))
+    return spark.read.parquet(path).select("event_id", "digest")
+
+
+MONTHS = _usage("UNION ALL SELECT user_id, day, 700, 9, 0, 0 FROM l WHERE seq % 4 = 0 AND seq NOT IN (SELECT run FROM l WHERE kind = 'settlement')")
+
+
+@query(f"SELECT user_id, CAST(date_trunc('month', day) AS DATE) AS month, CAST(sum(up) AS BIGINT) AS up, CAST(sum(down) AS BIGINT) AS down, CAST(sum(n) AS BIGINT) AS n, CAST(sum(open) AS BIGINT) AS open FROM ({MONTHS}) GROUP BY 1, 2")
+def usage_ledger_stream(spark, sf_dir):
+    """Months of a ledger that comes in five batches in a shuffled order, so that settlements come before and after their reservations; every fourth record's run was admitted."""
+    rows, by = ledger(spark, sf_dir), ["user_id", "day"]
+    order = F.abs(F.xxhash64("seq")) % 1_000_000
+    streams.replay(rows, order, lambda r: streams.ledger_changes(r, by, DIMS), "append", 5, streams.summed(by, one := streams.scratch(spark)))
+    admitted = rows.where("seq % 4 = 0").select(F.lit("admission").alias("kind"), F.col("seq").alias("run"), *by).unionByName(rows.where("kind = 'settlement'").select("kind", "run", *by))
+    streams.replay(admitted, F.abs(F.xxhash64("run", "kind")) % 1_000_000, lambda r: streams.admission_changes(r, by, DIMS, {"up": 700, "down": 9}), "append", 5, streams.summed(by, two := streams.scratch(spark)))
+    return streams.rolled_up([spark.read.parquet(p).drop("batch") for p in (one, two)], {"user_id": F.col("user_id"), "month": F.trunc("day", "month")})
 
 
 @query(f"SELECT user_id, event_type, ts, count(DISTINCT digest) AS payloads FROM ({OBS.replace('ts,', 'date_trunc(\'hour\', ts) AS ts,', 1)}) GROUP BY 1, 2, 3 HAVING count(DISTINCT digest) > 1")

@@ -6,14 +6,17 @@ watermark that drops rows unless the caller asks for one.
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 
 def scratch(spark: SparkSession) -> str:
@@ -33,15 +36,40 @@ def files(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name[:-1]}[{name[-1]}].parquet")
 
 
-def drain(df: DataFrame, mode: str, write: Callable | None = None) -> str:
-    """Run a stream over all that is there; by default every batch is appended, with its number, to the folder returned."""
-    out = scratch(df.sparkSession)
-    put = write or (lambda rows, i: rows.withColumn("batch", F.lit(i)).write.mode("append").parquet(out))
-    query = df.writeStream.outputMode(mode).option("checkpointLocation", scratch(df.sparkSession)).trigger(availableNow=True).foreachBatch(put).start()
+def drain(df: DataFrame, mode: str, write: Callable | None = None, out: str | None = None, checkpoint: str | None = None) -> str:
+    """Run a stream over all that is there and return the folder of its output, a part `batch=<number>` for each micro-batch.
+
+    A micro-batch that runs again after a failure replaces its part.  With the checkpoint of an earlier
+    call the stream goes on where that one ended.
+    """
+    out = out or scratch(df.sparkSession)
+    if write is None:
+        df.sparkSession.createDataFrame([], df.schema).write.mode("overwrite").parquet(f"{out}/batch=-1")
+    put = write or (lambda rows, i: rows.write.mode("overwrite").parquet(f"{out}/batch={i}"))
+    query = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint or scratch(df.sparkSession)).trigger(availableNow=True).foreachBatch(put).start()
     query.awaitTermination()
     return out
 
 
+def replay(rows: DataFrame, order: Column, job: Callable[[DataFrame], DataFrame], mode: str, parts: int = 3, write: Callable | None = None) -> str:
+    """Run a streaming job over a table as if its rows had come in `parts` batches in order, with a restart after each; returns the folder of the output.
+
+    `order` is a whole number; rows are cut at its approximate quantiles and equal ones stay together, so each
+    batch is later than all before it.  The job's state goes from run to run by its checkpoint.
+    """
+    spark = rows.sparkSession
+    numbered = rows.withColumn("_order", order.cast("long"))
+    cuts = sorted(set(numbered.approxQuantile("_order", [(i + 1) / parts for i in range(parts - 1)], 0.01))) if parts > 1 else []
+    folder, checkpoint, out = scratch(spark), scratch(spark), scratch(spark)
+    at = F.coalesce(F.col("_order"), F.lit(-(2**62)))
+    for i, (low, high) in enumerate(zip([None, *cuts], [*cuts, None], strict=True)):
+        own = numbered if low is None else numbered.where(at > int(low))
+        own = own if high is None else own.where(at <= int(high))
+        own.drop("_order").write.parquet(f"{folder}/{i}")
+        drain(job(spark.readStream.schema(rows.schema).parquet(f"{folder}/*")), mode, write, out, checkpoint)
+    return out
+
+
 def latest(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
     """The last update of every key that a drained stream wrote."""
     by = Window.partitionBy(*keys).orderBy(F.desc("batch"))
@@ -100,21 +128,8 @@ def late_rows(obs: DataFrame, keys: list[str], order: list[str], at: str, id_: s
 
 def state_updates(obs: DataFrame, keys: list[str], order: str) -> DataFrame:
     """(keys.., digest, verified, seen) after every micro-batch that has rows of a key: observations (keys, order, status with 0 for a failure, digest)."""
-    out = ", ".join([*(f"{k} {obs.schema[k].dataType.simpleString()}" for k in keys), "digest string, verified long, seen long"])
-
-    def keep(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        digest, stored, verified, seen = state.get if state.exists else (None, -1, -1, -1)
-        for part in parts:
-            ok = part[part["status"] == 200]
-            if len(ok) and int(ok[order].max()) > stored:
-                last = ok.loc[ok[order].idxmax()]
-                digest, stored = last["digest"], int(last[order])
-            verified = max([verified, *map(int, part[part["status"].isin([200, 304])][order])])
-            seen = max([seen, *map(int, part[order])])
-        state.update((digest, stored, verified, seen))
-        yield pd.DataFrame({**{k: [v] for k, v in zip(keys, key, strict=True)}, "digest": [digest], "verified": [verified], "seen": [seen]})
-
-    return obs.groupBy(*keys).applyInPandasWithState(keep, out, "digest string, stored long, verified long, seen long", "update", GroupStateTimeout.NoTimeout)
+    at, ok = F.col(order), F.col("status") == 200
+    return obs.groupBy(*keys).agg(F.max_by("digest", F.when(ok, at)).alias("digest"), F.max(F.when(F.col("status").isin(200, 304), at)).alias("verified"), F.max(at).alias("seen"))
 
 
 def daily(rows: DataFrame, keys: list[str], at: str, value: Column, watermark: str | None = None) -> DataFrame:
@@ -136,22 +151,197 @@ def allowed_writes(writes: DataFrame, deletions: DataFrame, person: str) -> Data
     return writes.join(deletions.select(F.col(person)).distinct(), person, "left_anti")
 
 
+def late_writes(writes: DataFrame, deletions: DataFrame, person: str, at: str) -> DataFrame:
+    """(the columns of writes, refused, late_no) of a stream of writes beside one of deletions (person, at).
+
+    A write is refused once its person's deletion has begun: in an earlier micro-batch, or in its own by
+    `at`, an equal instant included.  Deletions are kept as state per person, with the number of writes refused
+    so far, which late_no counts on; a write without a person meets no deletion.  Rows of a person in a micro-batch
+    are ordered by `at` in one worker.
+    """
+    kind = writes.schema
+    whole = F.to_json(F.struct(*writes.columns), {"ignoreNullFields": "false"})
+    key = F.col(person).cast("string").alias("_who")
+    time = F.unix_micros(F.col(at).cast("timestamp")).alias("_at")
+    rows = writes.where(F.col(person).isNotNull()).select(key, time, whole.alias("_row")).unionByName(deletions.where(F.col(person).isNotNull()).select(key, time, F.lit(None).cast("string").alias("_row")))
+
+    def run(who, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        begun, late = state.get if state.exists else (False, 0)
+        told = []
+        for row, _, _ in sorted(((r, t, r is not None) for p in parts for t, r in zip(p["_at"], p["_row"], strict=True)), key=lambda x: (x[1], x[2])):
+            if row is None:
+                begun = True
+            else:
+                late += begun
+                told.append((row, begun, late if begun else -1))
+        state.update((begun, late))
+        yield pd.DataFrame(told, columns=["_row", "refused", "late_no"])
+
+    judged = rows.groupBy("_who").applyInPandasWithState(run, "_row string, refused boolean, late_no long", "begun boolean, late long", "append", GroupStateTimeout.NoTimeout)
+    nobody = writes.where(F.col(person).isNull()).select(whole.alias("_row"), F.lit(False).alias("refused"), F.lit(-1).cast("long").alias("late_no"))
+    told = judged.unionByName(nobody)
+    return told.select(F.from_json("_row", kind).alias("_r"), "refused", F.nullif("late_no", F.lit(-1).cast("long")).alias("late_no")).select("_r.*", "refused", "late_no")
+
+
+def apart(out: str) -> Callable:
+    """A foreachBatch function for late_writes: accepted and refused rows to tables of their own below `out`, a part for each micro-batch."""
+
+    def put(rows: DataFrame, i: int) -> None:
+        rows = rows.persist()
+        for name, own in (("accepted", rows.where("NOT refused").drop("refused", "late_no")), ("refused", rows.where("refused").drop("refused"))):
+            own.write.mode("overwrite").parquet(f"{out}/{name}/batch={i}")
+        rows.unpersist()
+
+    return put
+
+
+def silence_alerts(beats: DataFrame, keys: list[str], at: str, limit: int = 129_600, delay: str = "0 seconds") -> DataFrame:
+    """(keys.., last) once for every silence of a key: when it was last heard of before `limit` seconds passed without news.
+
+    A timer of event time runs for every key and raises the alert as soon as the watermark, the newest `at` of all keys
+    less the delay, is past it; news sets it anew.  A silence that only the news after it shows is told then.
+    News of a null instant is none; what is older than the watermark is left out, as the stream has passed it.
+    """
+    rows = beats.where(F.col(at).isNotNull()).select(*keys, F.col(at).cast("timestamp").alias("_at"), F.unix_micros(F.col(at).cast("timestamp")).alias("_us")).withWatermark("_at", delay)
+    out = ", ".join([*(f"{k} {beats.schema[k].dataType.simpleString()}" for k in keys), "last_us long"])
+
+    def run(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, told = state.get if state.exists else (None, False)
+        alerts = []
+        if state.hasTimedOut:
+            alerts, told = [last], True
+        else:
+            heard = np.sort(np.concatenate([p["_us"].to_numpy(np.int64) for p in parts]))
+            heard = heard if last is None else heard[heard > last]
+            if len(heard):
+                before = np.r_[heard[0] if last is None else last, heard[:-1]]
+                silent = heard - before > limit * 1_000_000
+                silent[0] &= not told
+                alerts, last, told = before[silent].tolist(), int(heard[-1]), False
+        due = last // 1000 + limit * 1000
+        if not told and due < state.getCurrentWatermarkMs():
+            alerts, told = [*alerts, last], True
+        state.update((last, told))
+        if not told:
+            state.setTimeoutTimestamp(due)
+        yield pd.DataFrame({**{k: [v] * len(alerts) for k, v in zip(keys, key, strict=True)}, "last_us": alerts})
+
+    found = rows.groupBy(*keys).applyInPandasWithState(run, out, "last long, told boolean", "append", GroupStateTimeout.EventTimeTimeout)
+    return found.select(*keys, F.timestamp_micros("last_us").alias("last"))
+
+
+def _packed(rows: DataFrame, by: list[str]) -> Column:
+    return F.to_json(F.struct(*by), {"ignoreNullFields": "false"}).alias("_by")
+
+
+def _unpacked(changes: DataFrame, kind, by: list[str], dims: list[str]) -> DataFrame:
+    group = F.from_json("_by", StructType([kind[b] for b in by])).alias("_g")
+    return changes.select(group, *dims, "n", "open", "rows").select("_g.*", *dims, "n", "open", "rows")
+
+
+def ledger_changes(records: DataFrame, by: list[str], dims: list[str]) -> DataFrame:
+    """(by.., dims.., n, open, rows) by which every micro-batch of a ledger changes its totals, as signed numbers.
+
+    records (kind, seq, reservation_seq, run, by.., dims..).  A reservation is kept as state until its own run
+    settles it, and later settlements may raise what it counts; a settlement may come before its
+    reservation.  What counts is as in `usage.settle`; a reservation's (seq, run) is its own, a repeat is dropped.
+    """
+    amount = [F.coalesce(F.col(d), F.lit(0)).cast("long").alias(d) for d in dims]
+    own = records.where("kind IN ('reservation', 'settlement') AND run IS NOT NULL")
+    own = own.select(F.when(F.col("kind") == "settlement", F.col("reservation_seq")).otherwise(F.col("seq")).alias("_seq"), F.col("run").cast("string").alias("_run"), (F.col("kind") == "reservation").alias("_held"), _packed(records, by), *amount).where("_seq IS NOT NULL")
+    plain = records.where("kind = 'pre_ledger_usage' OR (kind = 'reservation' AND (run IS NULL OR seq IS NULL))").select(_packed(records, by), *amount, F.lit(1).cast("long").alias("n"), (F.col("kind") == "reservation").cast("long").alias("open"), F.lit(1).cast("long").alias("rows"))
+    names = ["_by", *dims, "n", "open", "rows"]
+
+    def run(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        by_, held, most, done = (None, None, [0] * len(dims), False) if not state.exists else (lambda s: (s[0], list(s[1]) if s[1] is not None else None, list(s[2]), s[3]))(state.get)
+        counts = lambda: [0] * len(dims) if held is None else [min(a, b) for a, b in zip(held, most, strict=True)] if done else held
+        before, was_held, was_open = counts(), held is not None, held is not None and not done
+        for p in parts:
+            for is_held, who, *amounts in zip(p["_held"], p["_by"], *(p[d] for d in dims), strict=True):
+                if is_held:
+                    by_, held = (who, [int(a) for a in amounts]) if held is None else (by_, held)
+                else:
+                    most, done = [max(a, int(b)) for a, b in zip(most, amounts, strict=True)], True
+        state.update((by_, held, most, done))
+        if held is not None:
+            change = [a - b for a, b in zip(counts(), before, strict=True)]
+            told = [by_, *change, int(not was_held), int(not done) - int(was_open), int(not was_held)]
+            if any(told[1:]):
+                yield pd.DataFrame([told], columns=names)
+
+    kinds = "_by string, " + ", ".join(f"{d} long" for d in dims) + ", n long, open long, rows long"
+    settled = own.groupBy("_seq", "_run").applyInPandasWithState(run, kinds, "by string, held array<long>, most array<long>, done boolean", "append", GroupStateTimeout.NoTimeout)
+    return _unpacked(settled.unionByName(plain), records.schema, by, dims)
+
+
+def admission_changes(events: DataFrame, by: list[str], dims: list[str], limits: dict[str, int]) -> DataFrame:
+    """As ledger_changes, for events (kind admission or settlement, run, by..): an admission counts at the limits until its run settles anything."""
+    rows = events.where("kind IN ('admission', 'settlement') AND run IS NOT NULL").select(F.col("run").cast("string").alias("_run"), (F.col("kind") == "admission").alias("_in"), _packed(events, by))
+    names = ["_by", *dims, "n", "open", "rows"]
+
+    def run(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        done, waiting = (lambda s: (s[0], list(s[1])))(state.get) if state.exists else (False, [])
+        new, settled = [], done
+        for p in parts:
+            for is_in, who in zip(p["_in"], p["_by"], strict=True):
+                if is_in:
+                    new.append(who)
+                else:
+                    settled = True
+        told = [] if settled else [(who, 1) for who in new]
+        if settled and not done:
+            told += [(who, -1) for who in waiting]
+        state.update((settled, [] if settled else waiting + new))
+        if told:
+            yield pd.DataFrame([(who, *(sign * limits.get(d, 0) for d in dims), 0, 0, sign) for who, sign in told], columns=names)
+
+    kinds = "_by string, " + ", ".join(f"{d} long" for d in dims) + ", n long, open long, rows long"
+    return _unpacked(rows.groupBy("_run").applyInPandasWithState(run, kinds, "done boolean, waiting array<string>", "append", GroupStateTimeout.NoTimeout), events.schema, by, dims)
+
+
+def summed(by: list[str], out: str) -> Callable:
+    """A foreachBatch function that keeps every micro-batch's changes as sums by group, below `out`."""
+
+    def put(rows: DataFrame, i: int) -> None:
+        rows.groupBy(*by).agg(*[F.sum(c).alias(c) for c in rows.columns if c not in by]).write.mode("overwrite").parquet(f"{out}/batch={i}")
+
+    return put
+
+
+def rolled_up(changes: list[DataFrame], by: dict[str, Column]) -> DataFrame:
+    """Totals of changes by coarser groups, such as months of days; groups that hold nothing any more are left out."""
+    rows = functools.reduce(DataFrame.unionByName, changes)
+    values = [c for c in rows.columns if rows.schema[c].dataType.simpleString() == "bigint" and c not in by]
+    return rows.groupBy(*[c.alias(k) for k, c in by.items()]).agg(*[F.sum(c).cast("bigint").alias(c) for c in values]).where("rows > 0").drop("rows")
+
+
 def stale(status: DataFrame, keys: list[str], at: str) -> DataFrame:
     """(keys.., last) after every micro-batch: when a key was last heard of, in whole seconds; `last` more than a limit ago is stale."""
     return status.groupBy(*keys).agg(F.max(F.unix_timestamp(F.col(at).cast("timestamp"))).alias("last"))
 
 
-def guarded_append(stored: Callable[[], DataFrame], append: Callable[[DataFrame], None], id_: str, digest: str) -> Callable:
-    """A foreachBatch function that appends what is new and refuses a batch that would change what an id stands for."""
+def guarded_append(path: str, id_: str, digest: str) -> Callable:
+    """A foreachBatch function that appends rows new by id to the table at path and refuses a batch that would change what an id stands for.
+
+    A batch is refused whole if one of its ids has two digests, in it or beside what is stored, or if an id or a
+    digest is null.  Identical repeats are dropped.  A batch's rows are the part `batch=<number>`, which a
+    batch that runs again replaces, so it is appended once.
+    """
 
     def put(rows: DataFrame, i: int) -> None:
-        rows = rows.persist()
-        known = stored().select(F.col(id_), F.col(digest).alias("_old"))
-        met = rows.join(known, id_, "left")
-        if not met.where(F.col("_old").isNotNull() & (F.col("_old") != F.col(digest))).isEmpty():
+        rows = rows.dropDuplicates().persist()
+        try:
+            if not rows.where(F.col(id_).isNull() | F.col(digest).isNull()).isEmpty():
+                raise ValueError(f"batch {i} has a row without {id_} or {digest}")
+            if not rows.groupBy(id_).agg(F.count_distinct(digest).alias("_n")).where("_n > 1").isEmpty():
+                raise ValueError(f"batch {i} says two things of one {id_}")
+            stored = rows.sparkSession.read.parquet(path)
+            known = stored.where(F.col("batch") != i).select(F.col(id_), F.col(digest).alias("_old"))
+            met = rows.join(known, id_, "left")
+            if not met.where(F.col("_old").isNotNull() & ~F.col("_old").eqNullSafe(F.col(digest))).isEmpty():
+                raise ValueError(f"batch {i} changes stored rows")
+            met.where("_old IS NULL").drop("_old").write.mode("overwrite").parquet(f"{path}/batch={i}")
+        finally:
             rows.unpersist()
-            raise ValueError(f"batch {i} changes stored rows")
-        append(met.where("_old IS NULL").drop("_old"))
-        rows.unpersist()
 
     return put
