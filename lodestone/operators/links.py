@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.operators.graph import cut
+from lodestone.operators.graph import Growing, Scratch, strong_components
 from lodestone.operators.history import valid_on
 
 
@@ -37,46 +37,102 @@ def codes_in_ranges(codes: DataFrame, ranges: DataFrame) -> DataFrame:
     return codes.join(rows, ["letter", "major"]).where("_minor IS NULL OR startswith(coalesce(minor, ''), _minor)" if "minor" in codes.columns else "_minor IS NULL").drop("_minor")
 
 
+def answers(codes: DataFrame, asked: DataFrame, claims: DataFrame, ranges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What `membership` says, without a row for every pair: (category, base), the answer for codes that no range below
+    the category holds, and (category, code, answer) of the codes that some range holds.
+
+    A category is answered once, from the ends of the claims back, and all that lead to it use that
+    answer.  Where categories lead back to themselves, and only among those, a category is answered along each simple path
+    inside the circle, as an answer there depends on where it was asked from.
+    """
+    scratch = Scratch(claims.sparkSession)
+    sets = ranges.select("target").distinct()
+    told = claims.select(F.col("category").alias("node"), "role", "target", "accepted")
+    known = told.select(F.col("node").alias("target")).distinct()
+    told = told.join(sets.withColumn("_set", F.lit(True)), "target", "left").join(known.withColumn("_cat", F.lit(True)), "target", "left")
+    leaf = F.coalesce("_set", F.lit(False))
+    told = scratch.keep(told.select("node", "role", "target", F.coalesce("accepted", F.lit(False)).alias("accepted"), leaf.alias("leaf"), (~leaf & F.coalesce("_cat", F.lit(False))).alias("inner")))
+    hits = scratch.keep(codes_in_ranges(codes, ranges.withColumnRenamed("target", "category")).select("code", F.col("category").alias("target")).distinct())
+    # a unit is a category where it is asked: alone, or after others of its circle
+    every = asked.select(F.col("category").alias("node")).union(told.select("node")).where("node IS NOT NULL").distinct()
+    units = scratch.keep(every.select(F.array("node").alias("unit"), "node", F.lit(0).alias("loops_in"), F.lit(0).alias("loops_ex")))
+    inner = told.where("accepted AND inner").select("node", "role", "target")
+    ways = scratch.keep(inner.select(F.array("node").alias("unit"), "role", F.array("target").alias("below")))
+    kind = units.schema["node"].dataType.simpleString()
+    base = Growing(scratch, f"unit array<{kind}>, base string")
+    some = Growing(scratch, f"unit array<{kind}>, code {hits.schema['code'].dataType.simpleString()}, answer string")
+    fixed = scratch.keep(told.groupBy("node").agg(F.count_if(F.col("role") == "include").alias("n_in"), *[F.count_if((F.col("role") == r) & (~F.col("accepted") | ~(F.col("leaf") | F.col("inner")))).alias(f"open_{r[:2]}") for r in ("include", "exclude")]))
+    todo, parted = units, False
+    while not todo.isEmpty():
+        waiting = ways.join(todo.select(F.col("unit").alias("below")), "below", "left_semi").select("unit").distinct()
+        ready = scratch.keep(todo.join(waiting, "unit", "left_anti"))
+        if ready.isEmpty():
+            if parted:
+                raise ValueError("circles remain")
+            todo, ways, parted = *_circles(scratch, todo, inner, ways), True
+            continue
+        mine = ways.join(ready.select("unit"), "unit", "left_semi")
+        b = mine.join(base.rows().withColumnRenamed("unit", "below"), "below")
+        count = lambda who, v: F.count_if((F.col("role") == who) & (F.col("base") == v))
+        sums = b.groupBy("unit").agg(*[count(r, v).alias(f"{r[:2]}_{v}") for r in ("include", "exclude") for v in ("true", "unknown")])
+        zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+        whole = ready.join(fixed, "node", "left").join(sums, "unit", "left")
+        cells = [zero("n_in").alias("n_in"), zero("in_true").alias("in_true"), zero("ex_true").alias("ex_true"), (zero("in_unknown") + zero("open_in") + F.col("loops_in")).alias("in_unknown"), (zero("ex_unknown") + zero("open_ex") + F.col("loops_ex")).alias("ex_unknown")]
+        whole = scratch.keep(whole.select("unit", "node", *cells))
+        # what the codes known below change in those sums: a claim's answer for the code instead of its base
+        own = ready.select("unit", "node").join(told.where("accepted AND leaf"), "node").join(hits, "target").select("unit", "code", "role", F.lit("true").alias("v"), F.lit("false").alias("base"))
+        below = mine.join(some.rows().withColumnsRenamed({"unit": "below", "answer": "v"}), "below").join(base.rows().withColumnRenamed("unit", "below"), "below").select("unit", "code", "role", "v", "base")
+        step = lambda r, v: F.count_if((F.col("role") == r) & (F.col("v") == v)) - F.count_if((F.col("role") == r) & (F.col("base") == v))
+        delta = own.unionAll(below).groupBy("unit", "code").agg(*[step(r, v).alias(f"d_{r[:2]}_{v}") for r in ("include", "exclude") for v in ("true", "unknown")])
+        each = delta.join(whole, "unit")
+        value = lambda d: F.when(F.col("n_in") == 0, "unknown").when(F.col("ex_true") + d("ex_true") > 0, "false").when(F.col("in_unknown") + F.col("ex_unknown") + d("in_unknown") + d("ex_unknown") > 0, "unknown").when(F.col("in_true") + d("in_true") > 0, "true").otherwise("false")
+        plain = value(lambda c: F.lit(0))
+        some.add(each.select("unit", "code", value(lambda c: F.col(f"d_{c}")).alias("answer"), plain.alias("_b")).where("answer <> _b").drop("_b"))
+        base.add(whole.select("unit", plain.alias("base")))
+        now = scratch.keep(todo.join(ready.select("unit"), "unit", "left_anti"))
+        scratch.drop(ready, whole, *([todo] if todo is not units else []))
+        todo = now
+    wanted = asked.select(F.col("category")).where("category IS NOT NULL").distinct()
+    of = lambda rows: rows.where(F.size("unit") == 1).withColumn("category", F.get("unit", F.lit(0))).drop("unit").join(wanted, "category", "left_semi")
+    return of(base.rows()).select("category", "base"), of(some.rows()).select("category", "code", "answer")
+
+
+def _circles(scratch: Scratch, todo: DataFrame, inner: DataFrame, ways: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Units and ways with every circle among those to be answered unfolded into its simple paths."""
+    open_ = todo.select("node")
+    rest = inner.join(open_, "node", "left_semi").join(open_.withColumnRenamed("node", "target"), "target", "left_semi")
+    comps = strong_components(rest.select(F.col("node").alias("src"), F.col("target").alias("dst")))
+    at = comps.select("node", "component").join(inner, "node").join(comps.select(F.col("node").alias("target"), F.col("component").alias("_c")), "target", "left")
+    inside = scratch.keep(at.select("node", "role", "target", F.coalesce(F.col("component") == F.col("_c"), F.lit(False)).alias("same")))
+    kind = todo.schema["node"].dataType.simpleString()
+    paths = Growing(scratch, f"unit array<{kind}>, node {kind}")
+    new = paths.add(todo.join(comps, "node", "left_semi").select("unit", "node"))
+    while not new.isEmpty():
+        go = new.join(inside.where("same"), "node").where(~F.array_contains("unit", F.col("target")))
+        new = paths.add(go.select(F.array_append("unit", F.col("target")).alias("unit"), F.col("target").alias("node")).distinct())
+    on = paths.rows().join(inside, "node")
+    back = F.col("same") & F.array_contains("unit", F.col("target"))
+    loops = on.where(back).groupBy("unit").agg(F.count_if(F.col("role") == "include").alias("loops_in"), F.count_if(F.col("role") == "exclude").alias("loops_ex"))
+    there = paths.rows().join(loops, "unit", "left").select("unit", "node", F.coalesce("loops_in", F.lit(0)).cast("int").alias("loops_in"), F.coalesce("loops_ex", F.lit(0)).cast("int").alias("loops_ex"))
+    units = scratch.keep(todo.join(comps, "node", "left_anti").select("unit", "node", "loops_in", "loops_ex").unionAll(there))
+    lead = on.where(~back).select("unit", "role", F.when(F.col("same"), F.array_append("unit", F.col("target"))).otherwise(F.array("target")).alias("below"))
+    plain = ways.join(comps.select(F.array("node").alias("unit")), "unit", "left_anti").select("unit", "role", "below")
+    return units, scratch.keep(plain.unionAll(lead))
+
+
 def membership(codes: DataFrame, asked: DataFrame, claims: DataFrame, ranges: DataFrame) -> DataFrame:
-    """(code, category, answer): whether a category holds a code, as true, false or unknown.
+    """(code, category, answer): whether a category holds a code, as true, false or unknown, of every code and asked category.
 
     codes (code, letter, major, minor), asked (category), claims (category, role include or exclude,
     target, accepted), current and in force; a target is a code set of ranges (target, lo_letter,
-    lo_major, hi_letter, hi_major, minor) or another category.  Categories are unfolded along their
-    claims to paths, and answered from the ends of the paths back: no inclusion is unknown; an accepted
-    exclusion that holds the code is false; any claim that is not accepted, leads back into its own
-    path or to nothing known, or is unknown itself, makes the answer unknown; else it is whether an
+    lo_major, hi_letter, hi_major, minor) or another category.  No inclusion is unknown; an accepted
+    exclusion that holds the code is false; any claim that is not accepted, leads back to a category it was asked
+    through or to nothing known, or is unknown itself, makes the answer unknown; else it is whether an
     inclusion holds the code.
     """
-    sets = ranges.select("target").distinct()
-    claims = claims.select(F.col("category").alias("node"), "role", "target", "accepted")
-    known = claims.select(F.col("node").alias("target")).distinct()
-    claims = claims.join(sets.withColumn("_set", F.lit(True)), "target", "left").join(known.withColumn("_cat", F.lit(True)), "target", "left")
-    claims = cut(claims.select("node", "role", "target", "accepted", F.coalesce("_set", F.lit(False)).alias("leaf"), F.coalesce("_cat", F.lit(False)).alias("inner")))
-    nodes = [cut(asked.select(F.col("category").alias("root")).distinct().select("root", F.array("root").alias("path"), F.col("root").alias("node")))]
-    while True:
-        inner = nodes[-1].join(claims.where("accepted AND inner"), "node").where(~F.array_contains("path", F.col("target")))
-        step = cut(inner.select("root", F.array_append("path", F.col("target")).alias("path"), F.col("target").alias("node"), F.col("path").alias("above"), F.col("role").alias("above_role")))
-        if step.isEmpty():
-            break
-        nodes.append(step)
-    hits = cut(codes_in_ranges(codes, ranges.withColumnRenamed("target", "category")).select("code", F.col("category").alias("target")).distinct())
-    below = None
-    for level in reversed(nodes):
-        at = level.join(claims, "node", "left")
-        loop = F.col("inner") & F.array_contains("path", F.col("target"))
-        fixed = at.groupBy("path").agg(F.count_if(F.col("role") == "include").alias("n_in"), F.bool_or(F.coalesce(~F.col("accepted") | loop | ~(F.col("leaf") | F.col("inner")), F.lit(False))).alias("open"))
-        say = at.where("accepted AND leaf").join(hits, "target").select("path", "code", "role", F.lit("true").alias("v"))
-        if below is not None:
-            say = say.unionByName(below)
-        told = say.groupBy("path", "code").agg(*[F.bool_or((F.col("role") == r) & (F.col("v") == v)).alias(f"{r}_{v}") for r in ("include", "exclude") for v in ("true", "unknown")])
-        every = fixed.join(codes.select("code").distinct())  # the answers asked for: every code of every path
-        yes = lambda c: F.coalesce(c, F.lit(False))
-        answer = F.when(F.col("n_in") == 0, "unknown").when(yes("exclude_true"), "false").when(F.col("open") | yes("include_unknown") | yes("exclude_unknown"), "unknown").when(yes("include_true"), "true").otherwise("false")
-        done = every.join(told, ["path", "code"], "left").select("path", "code", answer.alias("v"))
-        if level is nodes[0]:
-            return level.select("path", F.col("node").alias("category")).join(done, "path").select("code", "category", F.col("v").alias("answer"))
-        below = level.select("path", "above", "above_role").join(done, "path").select(F.col("above").alias("path"), "code", F.col("above_role").alias("role"), "v")
+    base, some = answers(codes, asked, claims, ranges)
+    every = codes.select("code").distinct().join(base)  # the answers asked for
+    return every.join(some, ["category", "code"], "left").select("code", "category", F.coalesce("answer", "base").alias("answer"))
 
 
 def first_reason(*conditions: tuple[str, Column]) -> Column:
