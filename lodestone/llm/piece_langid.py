@@ -14,10 +14,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import crc_mod, give_back, trimmed
+from lodestone.llm.common import crc_mod, give_back, materialize, trimmed
 
 _WORD = re.compile(r"[^\W\d_]+")
 MARK = "▁"
@@ -162,25 +163,37 @@ class PieceModel:
         return out
 
     def train(self, words: list[str], freq: np.ndarray, turns: int = 4, prior: float = 300.0) -> None:
-        """EM over word counts by language; pieces that a language lacks keep a share of the pooled probability."""
+        """EM over word counts by language, here and now."""
         for _ in range(turns):
-            count = np.zeros_like(self.prob)
-            for k, codes, sizes in self._batches(words):
-                spans: list = []
-                alpha, _, factor = self.forward(codes, sizes, spans)
-                beta = np.zeros_like(alpha)
-                beta[np.arange(len(k)), sizes] = 1.0 / alpha[np.arange(len(k)), sizes]
-                for i, j, at, rows in reversed(spans):
-                    step = beta[at, j] * self.prob[rows]
-                    crossed = j - j % self.step
-                    if crossed > i and crossed in factor:
-                        step /= factor[crossed][at]
-                    beta[at, i] += step
-                    np.add.at(count, rows, alpha[at, i] * step * freq[k[at]])
-            count[0] = 0.0
-            pooled = count.sum(axis=1, keepdims=True) + 1e-3 * self.single[:, None]
-            pooled /= pooled.sum()
-            self.prob = (count + prior * pooled) / (count.sum(axis=0, keepdims=True) + prior)
+            self.maximise(self.expected(words, freq), prior)
+        self.prune()
+
+    def expected(self, words: list[str], freq: np.ndarray) -> np.ndarray:
+        """How often each piece is expected in the words, by language: the E step over some of the words."""
+        count = np.zeros_like(self.prob)
+        for k, codes, sizes in self._batches(words):
+            spans: list = []
+            alpha, _, factor = self.forward(codes, sizes, spans)
+            beta = np.zeros_like(alpha)
+            beta[np.arange(len(k)), sizes] = 1.0 / alpha[np.arange(len(k)), sizes]
+            for i, j, at, rows in reversed(spans):
+                step = beta[at, j] * self.prob[rows]
+                crossed = j - j % self.step
+                if crossed > i and crossed in factor:
+                    step /= factor[crossed][at]
+                beta[at, i] += step
+                np.add.at(count, rows, alpha[at, i] * step * freq[k[at]])
+        return count
+
+    def maximise(self, count: np.ndarray, prior: float = 300.0) -> None:
+        """The M step; pieces that a language lacks keep a share of the pooled probability."""
+        count[0] = 0.0
+        pooled = count.sum(axis=1, keepdims=True) + 1e-3 * self.single[:, None]
+        pooled /= pooled.sum()
+        self.prob = (count + prior * pooled) / (count.sum(axis=0, keepdims=True) + prior)
+
+    def prune(self) -> None:
+        """Forget the pieces that no language uses."""
         kept = [i for i in range(2, len(self.prob)) if self.prob[i].max() > 1e-12 or self.single[i]]
         prob = self.prob[[0, 1, *kept]]
         self._index([self.pieces[i - 2] for i in kept])
@@ -196,30 +209,42 @@ def chosen(docs: DataFrame, sample: int, lang: str, doc_id: str, parts: int = 25
     return some.withColumn("r", rank).where(F.col("r") <= sample).select("i", "l").distinct()
 
 
-def train(docs: DataFrame, sample: int = 400, word_limit: int = 60_000, path: str | None = None, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> PieceModel | None:
+def train(docs: DataFrame, sample: int = 400, turns: int = 4, parts: int = 16, path: str | None = None, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> PieceModel | None:
     """A model from at most `sample` documents of each language, first by the hash of their id; None without labelled text.
 
-    Rows with a null lang are left out.  The words are counted by Spark; of each language the `word_limit`
-    most frequent, ties by the word, reach the driver, so its memory is bounded however long the texts are.
+    Rows with a null lang are left out.  All words of the chosen rows are counted and learned from: a turn of EM
+    is a Spark job in which each part of the words gives the expected counts of pieces; their sums, a number a
+    piece and language, are all that reaches the driver.  Counts are summed as whole numbers, so the order of tasks doesn't matter.
     """
-    own = docs.select(F.col(doc_id).alias("i"), F.col(lang).alias("l"), F.col(text).alias("t")).join(F.broadcast(chosen(docs, sample, lang, doc_id)), ["i", "l"], "left_semi")
+    own = docs.select(F.col(doc_id).alias("i"), F.col(lang).cast("string").alias("l"), F.col(text).alias("t")).join(F.broadcast(chosen(docs, sample, lang, doc_id).withColumn("l", F.col("l").cast("string"))), ["i", "l"], "left_semi")
     words = own.select("l", F.explode(F.regexp_extract_all(F.lower("t"), F.lit(r"\p{L}+"), F.lit(0))).alias("w"))
-    counts = words.groupBy("l", "w").agg(F.count("*").cast("double").alias("n"))
-    often = F.row_number().over(Window.partitionBy("l").orderBy(F.desc("n"), "w"))
-    seen = counts.withColumn("r", often).where(F.col("r") <= word_limit).select(F.col("l").cast("string").alias("l"), "w", "n").toArrow()
-    if not seen.num_rows:
+    counts = materialize(words.groupBy("l", "w").agg(F.count("*").cast("double").alias("n")).repartition(parts, "w"))
+    langs = sorted(r[0] for r in counts.select("l").distinct().collect())
+    if not langs:
         return None
-    langs = sorted(set(seen["l"].to_pylist()))
-    names = seen["w"].unique().to_pylist()
-    names.sort()
-    row, column = {w: i for i, w in enumerate(names)}, {x: i for i, x in enumerate(langs)}
-    freq = np.zeros((len(names), len(langs)))
-    for part in seen.to_batches():
-        freq[[row[w] for w in part["w"].to_pylist()], [column[x] for x in part["l"].to_pylist()]] = part["n"].to_numpy()
-    del seen, row
     model = PieceModel(vocabulary(path), langs)
-    model.train(names, freq)
-    del names, freq
+    column, whole = {x: i for i, x in enumerate(langs)}, float(1 << 20)
+
+    def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:  # a word of several languages may be in several batches
+            if batch.num_rows:
+                names, at = np.unique(np.array(batch["w"].to_pylist(), object), return_inverse=True)
+                freq = np.zeros((len(names), len(langs)))
+                freq[at, [column[x] for x in batch["l"].to_pylist()]] = batch["n"].to_numpy()
+                some = model.expected(names.tolist(), freq)
+                total = some if total is None else total + some
+        if total is not None:
+            piece, of = np.nonzero(np.rint(total * whole))
+            yield pa.RecordBatch.from_arrays([pa.array(piece, pa.int32()), pa.array(of, pa.int32()), pa.array(np.rint(total[piece, of] * whole).astype(np.int64))], names=["piece", "of", "c"])
+        give_back()
+
+    for _ in range(turns):
+        seen = counts.mapInArrow(expect, "piece int, of int, c long").groupBy("piece", "of").agg(F.sum("c").alias("c")).toArrow()
+        count = np.zeros_like(model.prob)
+        count[seen["piece"].to_numpy(), seen["of"].to_numpy()] = seen["c"].to_numpy() / whole
+        model.maximise(count)
+    model.prune()
     give_back()
     return model
 
