@@ -79,12 +79,37 @@ def tags(html: str):
         at = end
 
 
+class Step:
+    """An open element on a path: its tokens and the step above it, which its neighbours share."""
+
+    __slots__ = ("above", "tokens")
+
+    def __init__(self, above: Step | None, tokens: tuple[str, ...]):
+        self.above, self.tokens = above, tokens
+
+    def path(self) -> tuple[str, ...]:
+        parts, at = [], self
+        while at is not None:
+            parts.append(at.tokens)
+            at = at.above
+        return tuple(t for ts in reversed(parts) for t in ts)
+
+
+TOP = Step(None, ())
+
+
 def blocks(html: str | None) -> list[tuple[str, tuple[str, ...], int]]:
     """(text, path tokens, characters inside links) of every non-empty leaf block, in page order."""
-    out: list[tuple[str, tuple[str, ...], int]] = []
+    return [(text, step.path(), linked) for text, step, linked in leaves(html)]
+
+
+def leaves(html: str | None) -> list[tuple[str, Step, int]]:
+    """The blocks with their paths as steps, which share what lies above: linear in the page however deep it is nested."""
+    out: list[tuple[str, Step, int]] = []
     if not html:
         return out
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[tuple[str, Step]] = []
+    opened: dict[str, int] = {}  # how many elements of a name are open
     parts: list[str] = []
     silent = link = linked = at = depth = 0  # depth: how much of the stack the block's path has
 
@@ -92,7 +117,8 @@ def blocks(html: str | None) -> list[tuple[str, tuple[str, ...], int]]:
         nonlocal linked
         text = " ".join("".join(parts).split())
         if text:
-            out.append((text, tuple(t for _, ts in stack[:depth] for t in ts), min(linked, len(text))))
+            at_ = min(depth, len(stack))
+            out.append((text, stack[at_ - 1][1] if at_ else TOP, min(linked, len(text))))
         parts.clear()
         linked = 0
 
@@ -108,6 +134,7 @@ def blocks(html: str | None) -> list[tuple[str, tuple[str, ...], int]]:
         for name, _ in stack[n:]:
             silent -= name in SILENT
             link -= name == "a"
+            opened[name] -= 1
         del stack[n:]
 
     scan, skip = tags(html), None
@@ -129,28 +156,28 @@ def blocks(html: str | None) -> list[tuple[str, tuple[str, ...], int]]:
         if block:
             flush()
         if closing:
-            for n in range(len(stack) - 1, -1, -1):
+            for n in range(len(stack) - 1, -1, -1) if opened.get(name) else ():
                 if stack[n][0] == name:
                     drop(n)
                     break
                 if not block and stack[n][0] in BLOCKS:
                     break  # an inline end tag closes nothing beyond its block
         elif name not in VOID:
-            if block and name not in ("button", "label", "option"):
+            if block and name not in ("button", "label", "option") and opened.get("p"):
                 for n in range(len(stack) - 1, -1, -1):  # a block-level tag ends an open paragraph
                     if stack[n][0] == "p":
                         drop(n)
                         break
                     if stack[n][0] in BLOCKS:
                         break
-            if name == "body":
+            if name == "body" and opened.get("head"):
                 for n, (k, _) in enumerate(stack):
                     if k == "head":
                         drop(n)
                         break
             if name in ENDS:
                 ended, within = (x.split() for x in ENDS[name])
-                for n in range(len(stack) - 1, -1, -1):
+                for n in range(len(stack) - 1, -1, -1) if any(map(opened.get, ended)) else ():
                     if stack[n][0] in ended:
                         drop(n)
                         break
@@ -163,7 +190,8 @@ def blocks(html: str | None) -> list[tuple[str, tuple[str, ...], int]]:
                 for word in re.split(r"[\s_]+|(?<=[a-z])-|(?<=[a-z])(?=[A-Z])", a or b or c):
                     if word:
                         tokens.append(f"{key.lower()}={word.lower()}")
-            stack.append((name, tuple(tokens)))
+            stack.append((name, Step(stack[-1][1] if stack else None, tuple(tokens))))
+            opened[name] = opened.get(name, 0) + 1
             silent += name in SILENT
             link += name == "a"
             if name in RAW:
@@ -211,10 +239,32 @@ class Features:
                 self.word[w] = zlib.crc32(w.encode("utf-8", "replace")) % WORDS
         return np.fromiter(map(self.word.__getitem__, found), np.int64, len(found))
 
+    def sums(self, page, table):
+        """The rows of a table that each block's path has, summed: along the steps, each of which is added up once."""
+        done: dict[int, tuple[np.ndarray, str | None]] = {}
+        for _, step, _ in page:
+            way = []
+            while step is not None and id(step) not in done:
+                way.append(step)
+                step = step.above
+            total, last = done[id(step)] if step is not None else (np.zeros(table.shape[1], np.float32), None)
+            for step in reversed(way):
+                if step.tokens:
+                    before = (last,) if last is not None else ()
+                    total = total + table[self.paths(before + step.tokens)].sum(axis=0) - (table[self.paths(before)].sum(axis=0) if before else 0)
+                    last = step.tokens[-1]
+                done[id(step)] = total, last
+        none = table[self.paths(())].sum(axis=0)
+        return [done[id(step)][0] if done[id(step)][1] is not None else none for _, step, _ in page]
+
+    def page(self, page, table):
+        """The features of a page's leaves, for a model with that table of path vectors."""
+        return [self.block((text, way.astype(np.float32), linked), i, len(page)) for i, ((text, _, linked), way) in enumerate(zip(page, self.sums(page, table), strict=True))]
+
     def block(self, b, i, n):
         text, path, linked = b
         w = self.words(text)
-        return self.paths(path), w, np.array([np.log1p(len(text)) / 8, np.log1p(len(w)) / 6, linked / max(1, len(text)), text[-1:] in ".!?…", i / max(1, n)], np.float32)
+        return path if isinstance(path, np.ndarray) else self.paths(path), w, np.array([np.log1p(len(text)) / 8, np.log1p(len(w)) / 6, linked / max(1, len(text)), text[-1:] in ".!?…", i / max(1, n)], np.float32)
 
 
 def sigmoid(x):
@@ -242,7 +292,7 @@ class Labeller:
         x, mask = np.zeros((len(pages), t, dim + wdim + 5), np.float32), np.zeros((len(pages), t), np.float32)
         for i, page in enumerate(pages):
             for j, (paths, words, numbers) in enumerate(page):
-                x[i, j, :dim] = self.p["path"][paths].sum(axis=0)
+                x[i, j, :dim] = paths if paths.dtype == np.float32 else self.p["path"][paths].sum(axis=0)
                 if len(words):
                     x[i, j, dim : dim + wdim] = np.bincount(words, minlength=WORDS) @ self.p["word"] / len(words) if len(words) > 4000 else self.p["word"][words].mean(axis=0)
                 x[i, j, dim + wdim :] = numbers
@@ -375,15 +425,43 @@ def varied(page, pool, rng: random.Random):
     return [b[:3] for b in out], [b[3] for b in out]
 
 
+def slice_of(html: str, key: int, most: int) -> list[tuple[str, tuple[str, ...], int]]:
+    """Neighbouring blocks of a page, from a place that the key tells, with at most `most` characters of texts and paths; all blocks where they fit.
+
+    A block of more than a tenth of that is taken in pieces, as blocks of their own.
+    """
+    part = max(1, most // 10)
+    page = [(text[lo : lo + part], step, min(linked, part)) for text, step, linked in leaves(html) for lo in range(0, len(text), part)]
+    sizes = [len(text) for text, _, _ in page]
+    at = 0 if sum(sizes) <= most else key % len(page)
+    out, left = [], most
+    for text, step, linked in page[at:] + page[:at] if at else page:
+        path = step.path()
+        left -= len(text) + sum(map(len, path))
+        if left < 0:
+            break
+        out.append((text, path, linked))
+    return out
+
+
 def train(pages: DataFrame, sample: int = 300, epochs: int = 16, window: int = 40, longest: int = 200_000, html: str = "html", page_id: str = "page_id", seed: int = 9) -> Labeller:
-    """A labeller from at most `sample` pages, of at most `longest` characters, first by the hash of their id, each cut into windows of `window` blocks.
+    """A labeller from at most `sample` pages, first by the hash of their id, each cut into windows of `window` blocks.
 
-    Of rows that share an id the least html is used.
+    Tasks read the pages whole; of each, blocks with at most `longest` characters of text and path reach the driver, so what it
+    learns from is bounded, and a page's length doesn't matter.  Of rows that share an id the least html is used.
     """
-    pages = pages.select(page_id, html).where(F.length(html) <= longest)
+    pages = pages.select(page_id, html)
     chosen = pages.where(F.col(page_id).isNotNull() & F.col(html).isNotNull()).select(F.col(page_id).alias("i")).distinct().orderBy(F.xxhash64("i"), "i").limit(sample)
-    rows = pages.select(F.col(page_id).alias("i"), F.col(html).alias("t")).join(F.broadcast(chosen), "i").groupBy("i").agg(F.min("t").alias("t")).orderBy("i").toPandas()
-    read = [b for b in map(blocks, rows["t"]) if b]
+    rows = pages.select(F.col(page_id).alias("i"), F.col(html).alias("t")).join(F.broadcast(chosen), "i").groupBy("i").agg(F.min("t").alias("t")).select("i", F.pmod(F.xxhash64("i"), F.lit(2**31)).alias("key"), "t")
+
+    def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            read = [slice_of(t, int(k), longest) for t, k in zip(batch["t"], batch["key"], strict=True)]
+            yield pd.DataFrame({"i": batch["i"], "b": [[{"text": t, "path": list(p), "linked": n} for t, p, n in page] for page in read]})
+
+    kind = pages.schema[page_id].dataType.simpleString()
+    cut = rows.mapInPandas(parts, f"i {kind}, b array<struct<text: string, path: array<string>, linked: int>>").collect()
+    read = [[(b.text, tuple(b.path), b.linked) for b in r.b] for r in sorted(cut, key=lambda r: r.i) if r.b]
     model, rng, features = Labeller(), random.Random(seed), Features()
     pool = [b[0] for p in read for b in p] or ["menu"]
     if not any(rule_label(b[1]) == 1 for p in read for b in p):  # nothing to learn from: pages of the same texts in known containers
@@ -411,8 +489,8 @@ def main_text(html: Column, model: Labeller) -> Column:
         for batch in batches:
             out: list[str] = []
             for lo in range(0, len(batch), 256):
-                read = [blocks(h) for h in batch.iloc[lo : lo + 256]]
-                keep = model.label([[features.block(b, i, len(p)) for i, b in enumerate(p)] for p in read])
+                read = [leaves(h) for h in batch.iloc[lo : lo + 256]]
+                keep = model.label([features.page(p, model.p["path"]) for p in read])
                 out += ["\n".join(b[0] for b, k in zip(p, ks, strict=True) if k) for p, ks in zip(read, keep, strict=True)]
             yield pd.Series(out, dtype=object)
 
