@@ -34,6 +34,12 @@ def fit_rotations(x: np.ndarray, bits: int, turns: int = 25, seed: int = 5) -> t
     return mean, np.concatenate(parts, axis=1)[:, :bits]
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Vectors with their greatest component moved near 1 by a power of two, so that no square over- or underflows and no bit is lost."""
+    _, power = np.frexp(np.abs(x).max(axis=1, keepdims=True, initial=0.0))
+    return np.ldexp(x, -power)
+
+
 def plan(n: int, threshold: float, miss: float, bucket: int = 256):
     """(width, tables of a width) for n rows: a bit of two vectors at the threshold agrees with probability 1 - angle / pi."""
     agree = 1.0 - math.acos(threshold) / math.pi
@@ -51,7 +57,7 @@ def links(vectors: DataFrame, threshold: float = 0.9, tables: int | None = None,
     Equal vectors are one class that is looked up once; its members are linked with one another and
     share its links.  Buckets are split into blocks, a task holds two blocks, and a pair counts in
     the first table that brings it together, so links are counted without being written out.
-    Vectors that are null, zero, or hold null or non-finite values link with nothing; vectors of
+    Vectors of any finite length are told apart by their angle alone.  Vectors that are null, zero, or hold null or non-finite values link with nothing; vectors of
     different lengths neither.  Repeated ids are one row, by their least vector.  Rows with a null id are
     left out; an empty table gives no rows; other columns, whatever their names, are ignored.
     """
@@ -68,7 +74,7 @@ def links(vectors: DataFrame, threshold: float = 0.9, tables: int | None = None,
     models = {}
     for (d,) in classes.select(F.size("x")).distinct().collect():  # a handful of vector lengths
         some = classes.where(F.size("x") == d).orderBy(F.xxhash64("class"), "class").limit(sample).select("x").toPandas()["x"]
-        s = np.array(some.tolist(), dtype=np.float64).reshape(-1, d)
+        s = scaled(np.array(some.tolist(), dtype=np.float64).reshape(-1, d))
         models[d] = fit_rotations(s / np.linalg.norm(s, axis=1, keepdims=True), bits)
     place = 1 << np.arange(width)
 
@@ -78,7 +84,7 @@ def links(vectors: DataFrame, threshold: float = 0.9, tables: int | None = None,
                 mean, turn = models[d]
                 for lo in range(0, len(g), 512):
                     some = g.iloc[lo : lo + 512]
-                    y = np.array(some["x"].tolist(), dtype=np.float64)
+                    y = scaled(np.array(some["x"].tolist(), dtype=np.float64))
                     y /= np.linalg.norm(y, axis=1, keepdims=True)
                     keys = (((y - mean) @ turn >= 0).reshape(len(some), tables, width) @ place).astype(np.int32)
                     yield pd.DataFrame({"class": some["class"], "m": some["m"], "x": some["x"], "keys": list(keys)})
@@ -90,10 +96,10 @@ def links(vectors: DataFrame, threshold: float = 0.9, tables: int | None = None,
     mates = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda y: F.least("b", y) * F.col("blocks") + F.greatest("b", y)))
     posted = posted.select("d", "t", "key", mates.alias("part"), "b", "class").join(coded, "class")
 
-    def compare(key, g: pd.DataFrame) -> pd.DataFrame:
+    def compare(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         t = key[1]
         g = g.sort_values("class")
-        x = np.array(g["x"].tolist(), dtype=np.float64)
+        x = scaled(np.array(g["x"].tolist(), dtype=np.float64))
         norm = np.sqrt((x * x).sum(axis=1))
         keys, ids, m, b = np.array(g["keys"].tolist()), g["class"].to_numpy(), g["m"].to_numpy(), g["b"].to_numpy()
         two = len(np.unique(b)) > 1
