@@ -139,7 +139,8 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, shard: int = 8192, se
 
     Candidates are all rows but the query's own id; ties go to smaller ids; fewer rows than k are all
     returned.  Vectors that are null, or hold null or non-finite values, take no part; vectors of
-    different lengths are only compared with their like.  Repeated ids with equal vectors are one row.
+    different lengths are only compared with their like.  Rows that share an id are candidates of their own to others
+    and none to each other; a query's id that repeats asks once for each of its rows, for one list.
     Scores that could leave 64 bits are an error.  An empty table gives no rows; other columns of the
     table, whatever their names, are ignored.
 
@@ -147,7 +148,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, shard: int = 8192, se
     queries.  At most `seeds` rows, first by the hash of their id, reach the driver; they only bound
     the search from below, and are candidates in their shards like any row.
     """
-    rows = materialize(quantise(vectors, vector=vector, vec_id=vec_id).withColumn("len", F.size("x")).dropDuplicates(["vec", "x"]))
+    rows = materialize(quantise(vectors, vector=vector, vec_id=vec_id).withColumn("len", F.size("x")))
     shards = max(1, -(-rows.count() // shard))
     some = rows.orderBy(F.xxhash64("vec"), "vec", "x").limit(seeds).toPandas()
     known = {int(n): (g["vec"].to_numpy(), _matrix(g["x"])) for n, g in some.groupby("len")}
@@ -162,7 +163,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, shard: int = 8192, se
                 if n in index:
                     for i, s in zip(*(c.tolist() for c in index[n].search(g["vec"].to_numpy(), _matrix(g["x"]), np.full(len(g), NEVER), k)[::2]), strict=True):
                         best.setdefault(i, []).append(s)
-                yield pd.DataFrame({"len": n, "vec": g["vec"], "x": g["x"], "at_least": [best[i][k - 1] if len(best.get(i, ())) >= k else NEVER for i in g["vec"]]})
+                yield pd.DataFrame({"len": n, "vec": g["vec"], "x": g["x"], "at_least": [sorted(best[i], reverse=True)[k - 1] if len(best.get(i, ())) >= k else NEVER for i in g["vec"]]})
 
     asks = rows.where(F.pmod("vec", F.lit(every)) == 0)
     asks = materialize(asks.select("len", "vec", "x").mapInPandas(seeded, kind))
