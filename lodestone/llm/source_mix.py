@@ -53,12 +53,12 @@ GOLDEN = int(0.6180339887498949 * 2**62) | 1
 
 
 def golden_point(n: Column) -> Column:
-    """The n-th golden-ratio point on [0, 2^32): the top bits of n * GOLDEN modulo 2^62, which repeats after 2^62 points."""
+    """The n-th golden-ratio point on [0, 2^62): n * GOLDEN modulo 2^62, which repeats after 2^62 points."""
     half = 2**31
     g0, g1 = F.lit(GOLDEN % half), F.lit(GOLDEN // half)
-    n0, n1 = F.pmod(n, F.lit(half)), F.floor(n / half).cast("long")
+    n0, n1 = F.pmod(n, F.lit(half)), F.shiftright(n, 31)
     middle = F.pmod(n0 * g1 + n1 * g0, F.lit(half))
-    return F.shiftright((n0 * g0 + middle * F.lit(half)).bitwiseAND(F.lit(half * half - 1)), 30)
+    return (n0 * g0 + middle * F.lit(half)).bitwiseAND(F.lit(half * half - 1))
 
 
 def _running(df: DataFrame, key: list[str], part: str, order: list, value: str, out: str) -> DataFrame:
@@ -94,14 +94,14 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, limit: float = L
     wanted = float(plan.agg(F.sum("slots")).first()[0] or 0.0)
     slots = math.ceil(wanted)
 
-    # cumulative shares of the sources on [0, 2^32)
+    # cumulative shares of the sources on [0, 2^62), as fine as a double tells
     up = Window.orderBy(F.col("source").asc_nulls_last())
-    edge = lambda x: F.round(x / max(wanted, 1e-300) * float(2**32)).cast("long")
+    edge = lambda x: F.least(F.floor(x / max(wanted, 1e-300) * float(2**62)).cast("long"), F.lit(2**62))
     shares = plan.withColumn("hi", edge(F.sum("slots").over(up.rowsBetween(Window.unboundedPreceding, 0)))).withColumn("lo", edge(F.coalesce(F.sum("slots").over(up.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))).where("hi > lo")
     # a point meets its source through a grid of cells, so the number of sources is not bounded by a broadcast
-    cell = 2**22
-    shares = shares.select("source", "source_size", F.col("block").alias("words"), "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / cell), F.floor((F.col("hi") - 1) / cell))).alias("cell"))
-    drawn = docs.sparkSession.range(slots).withColumn("p", golden_point(F.col("id"))).withColumn("cell", F.floor(F.col("p") / cell))
+    cell = 52
+    shares = shares.select("source", "source_size", F.col("block").alias("words"), "lo", "hi", F.explode(F.sequence(F.shiftright("lo", cell), F.shiftright(F.col("hi") - 1, cell))).alias("cell"))
+    drawn = docs.sparkSession.range(slots).withColumn("p", golden_point(F.col("id"))).withColumn("cell", F.shiftright("p", cell))
     drawn = drawn.join(shares, "cell").where("p >= lo and p < hi").select("source", "source_size", "words", "id", F.floor(F.col("id") / 8192).alias("chunk"), F.lit(1).alias("one"))
     ranked = _running(drawn, ["source"], "chunk", ["id"], "one", "rank")
     blocks = F.ceil(F.col("source_size") / F.col("words"))
