@@ -120,17 +120,21 @@ def components(edges: DataFrame) -> DataFrame:
     node's neighbourhood is gathered in one place.  Self links, repeats and nulls add nothing; an
     empty input gives an empty result.
     """
+    spark = edges.sparkSession
     e = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct()
-    e = materialize(e)
+    kind, at = e.schema, stored(e)
+    e = spark.read.schema(kind).parquet(at)
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        large = materialize(large)
+        middle = stored(large)
+        large = spark.read.schema(kind).parquet(middle)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        e = materialize(small.where("u > v").distinct())
-        drop(edges.sparkSession, _WRITTEN[-3:-1])  # what the round began with and its middle
+        end = stored(small.where("u > v").distinct())
+        drop(spark, [at, middle])
+        at, e = end, spark.read.schema(kind).parquet(end)
         several = e.groupBy("u").count().where("count > 1")
         if several.isEmpty() and e.join(e.select(F.col("u").alias("v")).distinct(), "v", "left_semi").isEmpty():
             break
