@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestone.catalog import _SQL, CASES, DIMS, OBS, _usage, cases, ledger, observations, query, read
 from lodestone.functions import rules as R
-from lodestone.operators import evaluation, graph, jobs
+from lodestone.operators import evaluation, graph, jobs, pages
 from lodestone.operators.knowledge import latest_assumptions
 from lodestone.plans import knowledge as K
 from lodestone.streaming import streams
@@ -219,7 +220,7 @@ def source_change(spark, sf_dir):
     """Pages fetched again: as they were, with a comment and a script added, or with a word; every fifth was hashed under another rule."""
     i = F.col("page_id")
     p = read(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("p"), i.cast("string")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
-    seen = lambda html: F.sha2(jobs.visible_text(html, F.lit("x.example")), 256)
+    seen = lambda html: F.sha2(pages.visible_text(html, F.lit("x.example")), 256)
     new = F.when(i % 3 == 0, F.col("html")).when(i % 3 == 1, F.concat("html", F.lit("<!-- later --><script>var n = 1</script>"))).otherwise(F.concat("html", F.lit("<p>more</p>")))
     now = p.withColumn("new", new).select("url", F.when(i % 7 != 0, F.sha2("new", 256)).alias("sha256"), seen(F.col("new")).alias("content_sha256"))
     before = p.select("url", F.sha2("html", 256).alias("sha256"), seen(F.col("html")).alias("content_sha256"), F.when(i % 5 == 0, "older").otherwise(jobs.RULE).alias("rule"))
@@ -233,6 +234,28 @@ def discover_links(spark, sf_dir):
     return got.groupBy("page_id", "status").agg(F.count("target").cast("int").alias("targets"))
 
 
+@query("""WITH c AS (SELECT o_custkey AS root, count(*) AS n, CAST(ceil(count(*) / 2) AS BIGINT) AS k FROM orders GROUP BY 1)
+SELECT root, CASE WHEN root % 7 = 3 AND k >= 2 THEN 'structure_changed' WHEN root % 13 = 4 THEN 'blocked' WHEN root % 11 = 5 AND k = 1 THEN 'structure_changed' WHEN k > 10 THEN 'structure_changed' ELSE 'complete' END AS status,
+ CASE WHEN root % 7 = 3 AND k >= 2 THEN 'missing_expected_structure' WHEN root % 13 = 4 THEN 'access_blocked' WHEN root % 11 = 5 AND k = 1 THEN 'invalid_next_page' WHEN k > 10 THEN 'pagination_limit' END AS reason,
+ CASE WHEN root % 7 = 3 AND k >= 2 THEN 2 WHEN root % 13 = 4 THEN 1 WHEN k > 10 THEN 10 ELSE k END AS pages, CASE WHEN root % 7 = 3 AND k >= 2 THEN 2 WHEN root % 13 = 4 THEN 0 WHEN root % 11 = 5 AND k = 1 THEN 0 WHEN k > 10 THEN 20 ELSE n END AS documents FROM c""")
+def follow_pages(spark, sf_dir):
+    """Customers' orders as documents, two a listing page: some second pages have lost their container, some first ones refuse, some last ones lead back to the first."""
+    by = Window.partitionBy("root").orderBy("o_orderkey")
+    o = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("root"), "o_orderkey")
+    o = o.withColumn("p", F.floor((F.row_number().over(by) + 1) / 2).cast("int"))
+    anchor = F.concat(F.lit('<li><a href="../doc/'), F.col("o_orderkey"), F.lit('.pdf?v=1#top">Order '), F.col("o_orderkey"), F.lit("</a></li>"))
+    page = o.groupBy("root", "p").agg(F.array_join(F.sort_array(F.collect_list(anchor)), "").alias("own")).withColumn("last", F.col("p") == F.max("p").over(Window.partitionBy("root")))
+    r = F.col("root")
+    address = lambda p: F.concat(F.lit("https://h.example/list/"), r, F.lit("/"), p)
+    broken, refused = (r % 7 == 3) & (F.col("p") == 2), (r % 13 == 4) & (F.col("p") == 1) & ~((r % 7 == 3) & ~F.col("last"))
+    box = F.concat(F.when(broken, "<div id=other>").otherwise("<div id=documents>"), F.lit("<ul>"), F.col("own"), F.lit("</ul></div>"))
+    to = F.when(~F.col("last"), F.col("p") + 1).when(r % 11 == 5, F.lit(1))
+    onward = F.when(to.isNotNull(), F.concat(F.lit('<a rel="nofollow next" href="'), F.concat(F.lit("/list/"), r, F.lit("/"), to), F.lit('">more</a>'))).otherwise("")
+    html = F.concat(F.lit("<html><title>List</title>"), F.when(refused, "<h1>Access <b>denied</b></h1>").otherwise(""), box, onward, F.lit("<a href='https://u:p@h.example/x.pdf'>x</a></html>"))
+    listed = pages.listings(page.select(r, address(F.col("p")).alias("url"), html.alias("html")), key="root")
+    return pages.follow_pages(page.where("p = 1").select("root", address(F.lit(1)).alias("url")), listed.drop("root"))
+
+
 @query("SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'age' ELSE 'age,sex' END AS matched, CASE WHEN p_size % 3 = 0 THEN 'sex' ELSE '' END AS mismatched, CASE WHEN p_size % 2 = 0 THEN 'plan' ELSE '' END AS not_in_source FROM part WHERE p_size % 2 = 0 UNION ALL SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'age,plan' ELSE 'age,plan,sex' END, CASE WHEN p_size % 3 = 0 THEN 'sex' ELSE '' END, '' FROM part WHERE p_size % 2 <> 0")
 def condition_match(spark, sf_dir):
     n = F.col("p_size")

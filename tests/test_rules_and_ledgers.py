@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import rules as R
 from lodestone.functions import text as X
-from lodestone.operators import evaluation, graph, jobs, links, usage
+from lodestone.operators import evaluation, graph, jobs, links, pages, usage
 from lodestone.sources import files
 
 
@@ -116,7 +116,7 @@ def test_links_keep_what_identifies_a_document(spark):
 def test_visible_text(spark):
     page = '<title>T</title><style>x</style><p>one<!-- no -->two <a href="/y?jsessionid=1&b=2">go</a></p><script>var a</script><b onclick="f(1)">&amp;</b>'
     df = spark.createDataFrame([(page,), (None,), ("",)], "h string")
-    assert [r.v for r in df.select(jobs.visible_text(F.col("h"), F.lit("a.com")).alias("v")).collect()] == ["T one two [link:/y?b=2] go [onclick:f(1)] &", "", ""]
+    assert [r.v for r in df.select(pages.visible_text(F.col("h"), F.lit("a.com")).alias("v")).collect()] == ["T one two [link:/y?b=2] go [onclick:f(1)] &", "", ""]
 
 
 def test_passages_end_at_pages_and_omissions(spark):
@@ -127,8 +127,8 @@ def test_passages_end_at_pages_and_omissions(spark):
 
 def test_links_of_one_container(spark):
     html = '<div class="list x"><a href="/a.pdf">A</a><a href="/a.pdf#p">again</a><a href="http://other.org/b.pdf">B</a><a href="/c.txt">C</a></div><a href="/d.pdf">D</a>'
-    pages = spark.createDataFrame([(1, "http://h.org/x/", html), (2, "http://h.org/", "<p>"), (3, "http://h.org/", '<div class=list></div>')], "page_id long, url string, html string")
-    got = jobs.discover_links(pages, "div", "list", r"\.pdf$", ("h.org",)).collect()
+    rows = spark.createDataFrame([(1, "http://h.org/x/", html), (2, "http://h.org/", "<p>"), (3, "http://h.org/", '<div class=list></div>')], "page_id long, url string, html string")
+    got = jobs.discover_links(rows, "div", "list", r"\.pdf$", ("h.org",)).collect()
     assert [(r.page_id, r.status, r.target, r.text) for r in got] == [(1, "complete", "http://h.org/a.pdf", "A"), (2, "structure_changed", None, None), (3, "empty_ok", None, None)]
 
 
