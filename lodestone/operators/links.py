@@ -59,42 +59,42 @@ def answers(codes: DataFrame, asked: DataFrame, claims: DataFrame, ranges: DataF
     inner = told.where("accepted AND inner").select("node", "role", "target")
     ways = scratch.keep(inner.select(F.array("node").alias("unit"), "role", F.array("target").alias("below")))
     kind = units.schema["node"].dataType.simpleString()
-    base = Growing(scratch, f"unit array<{kind}>, base string")
+    cells = ("n_in", "in_true", "ex_true", "in_unknown", "ex_unknown")
+    base = Growing(scratch, f"unit array<{kind}>, {', '.join(f'{c} long' for c in cells)}, base string")
     some = Growing(scratch, f"unit array<{kind}>, code {hits.schema['code'].dataType.simpleString()}, answer string")
     fixed = scratch.keep(told.groupBy("node").agg(F.count_if(F.col("role") == "include").alias("n_in"), *[F.count_if((F.col("role") == r) & (~F.col("accepted") | ~(F.col("leaf") | F.col("inner")))).alias(f"open_{r[:2]}") for r in ("include", "exclude")]))
-    todo, parted = units, False
-    while not todo.isEmpty():
-        waiting = ways.join(todo.select(F.col("unit").alias("below")), "below", "left_semi").select("unit").distinct()
-        ready = scratch.keep(todo.join(waiting, "unit", "left_anti"))
-        if ready.isEmpty():
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    value = lambda d: F.when(F.col("n_in") == 0, "unknown").when(F.col("ex_true") + d("ex_true") > 0, "false").when(F.col("in_unknown") + F.col("ex_unknown") + d("in_unknown") + d("ex_unknown") > 0, "unknown").when(F.col("in_true") + d("in_true") > 0, "true").otherwise("false")
+    left, parted = units.count(), False
+    while left:
+        done = base.rows().select(F.col("unit").alias("below"), F.col("base").alias("b"))
+        todo = units.join(base.rows().select("unit"), "unit", "left_anti")
+        waiting = ways.join(done, "below", "left_anti").select("unit").distinct()
+        mine = ways.join(done, "below")
+        count = lambda who, v: F.count_if((F.col("role") == who) & (F.col("b") == v))
+        sums = mine.groupBy("unit").agg(*[count(r, v).alias(f"{r[:2]}_{v}") for r in ("include", "exclude") for v in ("true", "unknown")])
+        ready = todo.join(waiting, "unit", "left_anti").join(fixed, "node", "left").join(sums, "unit", "left")
+        ready = ready.select("unit", zero("n_in").alias("n_in"), zero("in_true").alias("in_true"), zero("ex_true").alias("ex_true"), (zero("in_unknown") + zero("open_in") + F.col("loops_in")).alias("in_unknown"), (zero("ex_unknown") + zero("open_ex") + F.col("loops_ex")).alias("ex_unknown"))
+        whole = base.add(ready.withColumn("base", value(lambda c: F.lit(0))))
+        n = whole.count()
+        left -= n
+        if not n:
             if parted:
                 raise ValueError("circles remain")
-            todo, ways, parted = *_circles(scratch, todo, inner, ways), True
+            units, ways, parted = *_circles(scratch, todo, inner, ways), True
+            left = units.count()
             continue
-        mine = ways.join(ready.select("unit"), "unit", "left_semi")
-        b = mine.join(base.rows().withColumnRenamed("unit", "below"), "below")
-        count = lambda who, v: F.count_if((F.col("role") == who) & (F.col("base") == v))
-        sums = b.groupBy("unit").agg(*[count(r, v).alias(f"{r[:2]}_{v}") for r in ("include", "exclude") for v in ("true", "unknown")])
-        zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-        whole = ready.join(fixed, "node", "left").join(sums, "unit", "left")
-        cells = [zero("n_in").alias("n_in"), zero("in_true").alias("in_true"), zero("ex_true").alias("ex_true"), (zero("in_unknown") + zero("open_in") + F.col("loops_in")).alias("in_unknown"), (zero("ex_unknown") + zero("open_ex") + F.col("loops_ex")).alias("ex_unknown")]
-        whole = scratch.keep(whole.select("unit", "node", *cells))
         # what the codes known below change in those sums: a claim's answer for the code instead of its base
-        own = ready.select("unit", "node").join(told.where("accepted AND leaf"), "node").join(hits, "target").select("unit", "code", "role", F.lit("true").alias("v"), F.lit("false").alias("base"))
-        below = mine.join(some.rows().withColumnsRenamed({"unit": "below", "answer": "v"}), "below").join(base.rows().withColumnRenamed("unit", "below"), "below").select("unit", "code", "role", "v", "base")
-        step = lambda r, v: F.count_if((F.col("role") == r) & (F.col("v") == v)) - F.count_if((F.col("role") == r) & (F.col("base") == v))
+        own = whole.select("unit", F.element_at("unit", -1).alias("node")).join(told.where("accepted AND leaf"), "node").join(hits, "target").select("unit", "code", "role", F.lit("true").alias("v"), F.lit("false").alias("b"))
+        below = mine.join(whole.select("unit"), "unit", "left_semi").join(some.rows().withColumnsRenamed({"unit": "below", "answer": "v"}), "below").select("unit", "code", "role", "v", "b")
+        step = lambda r, v: F.count_if((F.col("role") == r) & (F.col("v") == v)) - F.count_if((F.col("role") == r) & (F.col("b") == v))
         delta = own.unionAll(below).groupBy("unit", "code").agg(*[step(r, v).alias(f"d_{r[:2]}_{v}") for r in ("include", "exclude") for v in ("true", "unknown")])
         each = delta.join(whole, "unit")
-        value = lambda d: F.when(F.col("n_in") == 0, "unknown").when(F.col("ex_true") + d("ex_true") > 0, "false").when(F.col("in_unknown") + F.col("ex_unknown") + d("in_unknown") + d("ex_unknown") > 0, "unknown").when(F.col("in_true") + d("in_true") > 0, "true").otherwise("false")
-        plain = value(lambda c: F.lit(0))
-        some.add(each.select("unit", "code", value(lambda c: F.col(f"d_{c}")).alias("answer"), plain.alias("_b")).where("answer <> _b").drop("_b"))
-        base.add(whole.select("unit", plain.alias("base")))
-        now = scratch.keep(todo.join(ready.select("unit"), "unit", "left_anti"))
-        scratch.drop(ready, whole, *([todo] if todo is not units else []))
-        todo = now
+        some.add(each.select("unit", "code", value(lambda c: F.col(f"d_{c}")).alias("answer"), "base").where("answer <> base").drop("base"))
+    base_rows = base.rows().select("unit", "base")
     wanted = asked.select(F.col("category")).where("category IS NOT NULL").distinct()
     of = lambda rows: rows.where(F.size("unit") == 1).withColumn("category", F.get("unit", F.lit(0))).drop("unit").join(wanted, "category", "left_semi")
-    return of(base.rows()).select("category", "base"), of(some.rows()).select("category", "code", "answer")
+    return of(base_rows).select("category", "base"), of(some.rows()).select("category", "code", "answer")
 
 
 def _circles(scratch: Scratch, todo: DataFrame, inner: DataFrame, ways: DataFrame) -> tuple[DataFrame, DataFrame]:
