@@ -5,12 +5,69 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators.graph import Scratch
+
 
 def valid_on(start: Column, end: Column, day: Column) -> Column:
     """Inclusive on both ends; an open end is always valid."""
     return (start.isNull() | (start <= day)) & (end.isNull() | (day <= end))
 
 
+def in_force(rows: DataFrame, versions: DataFrame, key: str, day: str, start: str = "valid_from", end: str = "valid_to", days: int = 64) -> DataFrame:
+    """rows joined to the versions of their key that are valid on their day; rows without one, or without a day, are left out.
+
+    A version stands in every bin of `days` days that it touches, so the join is an equality of key and bin: a key with many
+    versions meets only those about a row's day, and a key with many rows is split by their days.  Open ends are
+    taken to the first and last day asked for.
+    """
+    bin_ = lambda d: F.floor(F.unix_date(d.cast("date")) / days).cast("int")
+    asked = rows.withColumn("_bin", bin_(F.col(day)))
+    ends = asked.agg(F.min("_bin").alias("_lo"), F.max("_bin").alias("_hi"))  # one row
+    first, last = F.greatest(F.coalesce(bin_(F.col(start)), F.col("_lo")), F.col("_lo")), F.least(F.coalesce(bin_(F.col(end)), F.col("_hi")), F.col("_hi"))
+    spread = versions.join(F.broadcast(ends)).withColumn("_first", first).withColumn("_last", last).where("_first <= _last")
+    spread = spread.withColumn("_bin", F.explode(F.sequence("_first", "_last"))).drop("_first", "_last", "_lo", "_hi")
+    return asked.join(spread, [key, "_bin"]).where(valid_on(F.col(start), F.col(end), F.col(day))).drop("_bin")
+
+
+def ranged(rows: DataFrame, key: list[str], order: list[str], at_most: int = 100_000) -> DataFrame:
+    """rows with `_part`, the number of their range by (key, order), as a table: about `at_most` rows a range, however many a key has."""
+    scratch = Scratch(rows.sparkSession)
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = rows.count()
+    parts = max(1, min(least, -(-n // 1000)), -(-n // at_most))
+    return scratch.keep(rows.repartitionByRange(parts, *key, *order).withColumn("_part", F.spark_partition_id()))
+
+
+def before(rows: DataFrame, key: list[str], order: list[str], last: dict[str, Column] | None = None, total: dict[str, Column] | None = None, most: dict[str, Column] | None = None, previous: dict[str, Column] | None = None) -> DataFrame:
+    """rows of `ranged` with columns over the rows of their key before them: the last value that isn't null, the sum (0 without rows), the greatest value, the value of the row just before.
+
+    In two levels: within each range, and over what every earlier range hands on, a row a range and key; so no
+    task holds more than a range, and the rows that a key hands on.
+    """
+    values = {f"_l_{n}": c for n, c in (last or {}).items()} | {f"_t_{n}": c for n, c in (total or {}).items()} | {f"_m_{n}": c for n, c in (most or {}).items()} | {f"_p_{n}": c for n, c in (previous or {}).items()}
+    keep = rows.columns
+    rows = rows.withColumns(values)
+    own = Window.partitionBy("_part", *key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    at = F.struct(*order)
+    there = rows.groupBy("_part", *key).agg(
+        *[F.max_by(f"_l_{n}", F.when(F.col(f"_l_{n}").isNotNull(), at)).alias(f"_l_{n}") for n in last or {}],
+        *[F.sum(f"_t_{n}").alias(f"_t_{n}") for n in total or {}],
+        *[F.max(f"_m_{n}").alias(f"_m_{n}") for n in most or {}],
+        *[F.max_by(F.struct(F.col(f"_p_{n}").alias("v")), at).alias(f"_p_{n}") for n in previous or {}],
+    )
+    on = Window.partitionBy(*key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    told = {"l": lambda c, w: F.last(c, ignorenulls=True).over(w), "t": lambda c, w: F.sum(c).over(w), "m": lambda c, w: F.max(c).over(w), "p": lambda c, w: F.last(c).over(w)}
+    handed = there.select(F.col("_part").alias("_q"), *[F.col(k).alias(f"_k_{k}") for k in key], *[told[n[1]](n, on).alias(f"_on{n}") for n in values])
+    within = rows.select(*keep, *[told[n[1]](F.struct(F.col(n).alias("v")) if n[1] == "p" else n, own).alias(n) for n in values])
+    same = F.col("_part") == F.col("_q")
+    for k in key:
+        same &= F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    met = within.join(handed, same, "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    out = {"l": lambda n: F.coalesce(n, f"_on{n}"), "t": lambda n: zero(n) + zero(f"_on{n}"), "m": lambda n: F.greatest(n, f"_on{n}"), "p": lambda n: F.coalesce(n, f"_on{n}")["v"]}
+    return met.select(*keep, *[out[n[1]](n).alias(n[3:]) for n in values])
+
+
 def current(rows: DataFrame, id_: str, supersedes: str) -> DataFrame:
     """Rows that no row supersedes."""
     return rows.join(rows.select(F.col(supersedes).alias(id_)).where(F.col(id_).isNotNull()), id_, "left_anti")
@@ -31,20 +88,20 @@ def chain_breaks(rows: DataFrame, key: str, version: str, id_: str, supersedes:
 
 def change_decisions(obs: DataFrame, key: list[str], order: list[str], status: str, digest: str, retained: str | None = None) -> DataFrame:
     """new, changed, unchanged_same_hash, unchanged (304) or invalid, against the last hash stored before; a 304 needs its original retained."""
-    good = F.when(F.col(status) == 200, F.col(digest))
-    by = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    before = F.last(good, ignorenulls=True).over(by)
-    there = F.lit(True) if retained is None else F.coalesce(F.last(F.when(F.col(status) == 200, F.col(retained)), ignorenulls=True).over(by), F.lit(False))
-    what = F.when((F.col(status) == 304) & before.isNotNull() & there, "unchanged").when((F.col(status) != 200) | F.col(status).isNull() | F.col(digest).isNull(), "invalid").when(before.isNull(), "new").when(before == F.col(digest), "unchanged_same_hash").otherwise("changed")
-    return obs.withColumn("decision", what)
+    got = F.col(status) == 200
+    seen = before(ranged(obs, key, order), key, order, last={"_stored": F.when(got, F.col(digest)), "_kept": F.when(got, F.lit(True) if retained is None else F.col(retained))})
+    stored, there = F.col("_stored"), F.lit(True) if retained is None else F.coalesce("_kept", F.lit(False))
+    what = F.when((F.col(status) == 304) & stored.isNotNull() & there, "unchanged").when((F.col(status) != 200) | F.col(status).isNull() | F.col(digest).isNull(), "invalid").when(stored.isNull(), "new").when(stored == F.col(digest), "unchanged_same_hash").otherwise("changed")
+    return seen.withColumn("decision", what).drop("_stored", "_kept", "_part")
 
 
 def failure_runs(obs: DataFrame, key: list[str], order: list[str], failed: Column) -> DataFrame:
     """failures: how many observations failed since the last success, this one included; alert on exactly the third."""
-    by = Window.partitionBy(*key).orderBy(*order)
-    island = obs.withColumn("_f", failed.cast("int")).withColumn("_island", F.sum(1 - F.col("_f")).over(by))
-    runs = island.withColumn("failures", F.sum("_f").over(Window.partitionBy(*key, "_island").orderBy(*order)).cast("bigint"))
-    return runs.withColumn("alert", (F.col("_f") == 1) & (F.col("failures") == 3)).drop("_f", "_island")
+    rows = ranged(obs.withColumn("_f", F.coalesce(failed.cast("int"), F.lit(0))), key, order)
+    all_ = before(rows, key, order, total={"_n": F.col("_f")}).withColumn("_n", F.col("_n") + F.col("_f"))
+    runs = before(all_, key, order, last={"_at": F.when(F.col("_f") == 0, F.col("_n"))})
+    runs = runs.withColumn("failures", F.when(F.col("_f") == 0, 0).otherwise(F.col("_n") - F.coalesce("_at", F.lit(0))).cast("bigint"))
+    return runs.withColumn("alert", (F.col("_f") == 1) & (F.col("failures") == 3)).drop("_f", "_n", "_at", "_part")
 
 
 def crawl_state(obs: DataFrame, key: list[str], order: Column, status: str, digest: str) -> DataFrame:
@@ -59,13 +116,13 @@ def crawl_state(obs: DataFrame, key: list[str], order: Column, status: str, dige
 
 def running_before(rows: DataFrame, key: list[str], order: list[str], value: str, out: str) -> DataFrame:
     """The sum of a key's rows before each row."""
-    return rows.withColumn(out, F.coalesce(F.sum(value).over(Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return before(ranged(rows, key, order), key, order, total={out: F.col(value)}).drop("_part")
 
 
 def out_of_order(obs: DataFrame, key: list[str], arrived: str, at: str) -> DataFrame:
     """Observations that are not later than the latest one that arrived before."""
-    before = F.max(at).over(Window.partitionBy(*key).orderBy(arrived).rowsBetween(Window.unboundedPreceding, -1))
-    return obs.withColumn("latest_before", before).where(F.col(at) <= F.col("latest_before"))
+    seen = before(ranged(obs, key, [arrived]), key, [arrived], most={"latest_before": F.col(at)})
+    return seen.where(F.col(at) <= F.col("latest_before")).drop("_part")
 
 
 def full_check_due(asked: DataFrame, state: DataFrame, key: list[str], now: Column, every_s: int) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.functions.text import article_path, clause_id, squeeze
+from lodestone.operators.history import in_force
 from lodestone.operators.pages import http_url
 
 #: The rule by which pages' contents are hashed now: the text of `pages.visible_text`.
@@ -66,8 +67,9 @@ def amount_sources(lines: DataFrame, sources: dict[str, DataFrame]) -> DataFrame
 
 def lookup(requests: DataFrame, table: DataFrame, key: str, day: str) -> DataFrame:
     """requests with the value of the table (key, valid_from, valid_to, value) in force on their day; several in force are an error, none NULL."""
-    met = requests.join(table.withColumnRenamed(key, "_k"), (F.col(key) == F.col("_k")) & (F.col(day) >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col(day) <= F.col("valid_to"))), "left")
-    n = met.groupBy(*requests.columns).agg(F.count("value").alias("_n"), F.min("value").alias("value"))
+    n = in_force(requests, table, key, day).groupBy(*requests.columns).agg(F.count("value").alias("_n"), F.min("value").alias("value"))
+    none = requests.distinct().withColumn("_n", F.lit(0).cast("bigint")).withColumn("value", F.lit(None).cast(table.schema["value"].dataType))
+    n = n.unionByName(none).groupBy(*requests.columns).agg(F.max("_n").alias("_n"), F.min("value").alias("value"))
     return n.withColumn("error", F.when(F.col("_n") > 1, "several_in_force")).withColumn("value", F.when(F.col("_n") <= 1, F.col("value"))).drop("_n")
 
 

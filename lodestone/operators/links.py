@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.operators.graph import Growing, Scratch, strong_components
-from lodestone.operators.history import valid_on
+from lodestone.operators.history import in_force
 
 
 def select_config(requests: DataFrame, candidates: DataFrame, assertions: DataFrame) -> DataFrame:
@@ -16,7 +16,7 @@ def select_config(requests: DataFrame, candidates: DataFrame, assertions: DataFr
 
     requests (request, day), candidates (request, config), assertions (config, valid_from, valid_to).
     """
-    live = candidates.join(requests, "request").join(assertions, "config").where(valid_on(F.col("valid_from"), F.col("valid_to"), F.col("day")))
+    live = in_force(candidates.join(requests, "request"), assertions, "config", "day")
     found = live.groupBy("request").agg(F.count_distinct("config").alias("n"), F.min("config").alias("only"))
     n = F.coalesce("n", F.lit(0))
     outcome = F.when(n == 0, "no_uses_edition").when(n == 1, "selected").otherwise("multiple_candidates")

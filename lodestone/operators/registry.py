@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.operators.history import before, ranged
+
 
 def latest(log: DataFrame, keys: list[str], order: list[str], values: list[str]) -> DataFrame:
     """The values of the last row of each key; an aggregate, so partial results are combined before the shuffle."""
@@ -40,8 +42,7 @@ def headroom(used: DataFrame, caps: DataFrame, on: str, alert: tuple[int, int] =
 
 def chain_breaks(ledger: DataFrame, by: list[str], seq: str, digest: str, previous: str) -> DataFrame:
     """Records whose number does not follow the one before or whose previous hash is not that record's hash; the first of a key must state none."""
-    w = Window.partitionBy(*by).orderBy(seq)
-    rows = ledger.withColumn("__seq", F.lag(seq).over(w)).withColumn("__digest", F.lag(digest).over(w))
+    rows = before(ranged(ledger, by, [seq]), by, [seq], previous={"__seq": F.col(seq), "__digest": F.col(digest)}).drop("_part")
     gap = F.col("__seq").isNotNull() & (F.col(seq) != F.col("__seq") + 1)
     why = F.when(gap, "sequence_gap").when(~F.col(previous).eqNullSafe(F.col("__digest")), "hash_differs")
     return rows.withColumn("reason", why).where("reason IS NOT NULL").drop("__seq", "__digest")

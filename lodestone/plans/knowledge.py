@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestone.catalog import query, read
+from lodestone.catalog import _SQL, private_id_scan_all, query, read, scope_relation
 from lodestone.operators import graph, knowledge, links
 from lodestone.operators.graph import cut
 
@@ -312,3 +312,18 @@ def check_manifest(spark, sf_dir):
     sorted_ = F.array_sort(F.collect_set("o_orderkey"))
     manifest = o.groupBy(F.col("o_custkey").alias("release")).agg(F.when(F.first("o_custkey") % 3 == 0, sorted_).otherwise(F.reverse(sorted_)).alias("members")).withColumn("production", F.col("release") % 2 == 0)
     return knowledge.check_manifest(manifest, o.where("o_orderkey % 9 <> 8").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 7 == 0).alias("fixture")))
+
+
+@query(f"""WITH {LIVE}, rel AS (SELECT concat('cat:', a) AS a, concat('cat:', b) AS b, relation FROM ({_SQL['scope_relation']})), w AS (SELECT id, value, accepted, coalesce(relation, 'not_comparable') AS relation FROM live LEFT JOIN rel ON a = subject AND b = object WHERE predicate = 'scope_relation' AND object IS NOT NULL)
+SELECT 'K12' AS code, id AS subject, CASE WHEN relation = 'not_comparable' THEN 'accepted_without_comparison' ELSE 'computed ' || relation END AS message FROM w WHERE CASE WHEN relation = 'not_comparable' THEN accepted ELSE relation IS DISTINCT FROM value END""")
+def check_scope_claims(spark, sf_dir):
+    """K12: claimed relations of categories against those computed over all codes; categories that are no region's can't be compared."""
+    name = lambda c: F.concat(F.lit("cat:"), F.col(c).cast("string")).alias(c)
+    return knowledge.check_scope_claims(live_of(spark, sf_dir), scope_relation(spark, sf_dir).select(name("a"), name("b"), "relation"))
+
+
+@query(f"SELECT 'K8' AS code, CASE WHEN doc_id IS NULL THEN 'conv:' || conv_id || ':' || turn ELSE 'doc:' || doc_id END AS subject, 'private_id' AS message FROM ({_SQL['private_id_scan_all']})")
+def check_private(spark, sf_dir):
+    """K8: turns and documents whose text holds a private id."""
+    subject = F.when(F.col("doc_id").isNull(), F.concat_ws(":", F.lit("conv"), "conv_id", "turn")).otherwise(F.concat_ws(":", F.lit("doc"), "doc_id"))
+    return private_id_scan_all(spark, sf_dir).select(F.lit("K8").alias("code"), subject.alias("subject"), F.lit("private_id").alias("message"))
