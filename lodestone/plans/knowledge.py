@@ -8,8 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestone.catalog import _SQL, private_id_scan_all, query, read, scope_relation
-from lodestone.operators import graph, knowledge, links
+from lodestone.catalog import _SQL, doc_hash, private_id_scan_all, query, read, scope_relation
+from lodestone.operators import graph, knowledge, links, releases
 from lodestone.operators.graph import cut
 
 PREDICATES = ("uses_edition", "realizes", "in_edition", "implemented_by", "uses_definition", "includes_codes", "applies_to", "application_scope_complete", "same_benefit_as", "scope_relation", "has_condition", "same_duration_as")
@@ -327,3 +327,35 @@ def check_private(spark, sf_dir):
     """K8: turns and documents whose text holds a private id."""
     subject = F.when(F.col("doc_id").isNull(), F.concat_ws(":", F.lit("conv"), "conv_id", "turn")).otherwise(F.concat_ws(":", F.lit("doc"), "doc_id"))
     return private_id_scan_all(spark, sf_dir).select(F.lit("K8").alias("code"), subject.alias("subject"), F.lit("private_id").alias("message"))
+
+
+def _levels(top: int) -> str:
+    """The nodes of prefixes from `top` digits down, written out."""
+    return "".join(f""",
+ t{n} AS (SELECT release, substr(prefix, 1, {n}) AS prefix, depth, sha256(string_agg(prefix || chr(31) || h, chr(30) ORDER BY prefix)) AS h, sum(n) AS n FROM t{n + 1} GROUP BY 1, 2, 3 UNION ALL SELECT * FROM leaf WHERE length(prefix) = {n})""" for n in range(top - 1, -1, -1))
+
+
+@query(f"""WITH m AS (SELECT source AS release, '=documents' || chr(31) || coalesce('=' || doc_id, '-') AS k, sha256(coalesce(text, chr(0)) || '|' || coalesce(lang, chr(0))) AS d FROM documents),
+ z AS (SELECT release, CASE WHEN count(*) <= 16 THEN 0 WHEN count(*) <= 256 THEN 1 WHEN count(*) <= 4096 THEN 2 ELSE 3 END AS depth FROM m GROUP BY 1),
+ leaf AS (SELECT release, substr(sha256(k), 1, depth) AS prefix, depth, sha256(string_agg(k || chr(31) || '=' || d, chr(30) ORDER BY sha256(k))) AS h, count(*) AS n FROM m JOIN z USING (release) GROUP BY 1, 2, 3),
+ t3 AS (SELECT * FROM leaf WHERE length(prefix) = 3){_levels(3)}
+SELECT release, CAST(n AS BIGINT) AS members, depth, h AS members_sha256, sha256(h || chr(30) || sha256('')) AS content_sha256 FROM t0""")
+def release_tree(spark, sf_dir):
+    """Every source's documents as a release, hashed as a tree of as many levels as it needs for 16 members a leaf."""
+    rows = read(spark, sf_dir, "documents").select(F.col("source").alias("release"), F.lit("documents").alias("section"), F.col("doc_id").alias("id"), doc_hash().alias("digest"))
+    nodes = releases.tree(rows, 16)
+    return releases.frozen(nodes).join(nodes.where("prefix = '' AND tree = 'members'").select("release", "depth"), "release").select("release", "members", "depth", "members_sha256", "content_sha256")
+
+
+@query("""WITH d AS (SELECT source, doc_id FROM documents), r AS (SELECT source, count(*) FILTER (doc_id % 131 = 4) AS lost, count(*) FILTER (doc_id % 173 = 3) AS changed, count(*) FILTER (doc_id % 199 = 8) AS ruled FROM d GROUP BY 1)
+SELECT 'K15' AS code, doc_id::VARCHAR AS subject, 'missing_member' AS message FROM d WHERE doc_id % 131 = 4
+UNION ALL SELECT 'K15', source, CASE WHEN ruled > 0 THEN 'rule_hash_differs' ELSE 'content_hash_differs' END FROM r WHERE ruled > 0 OR lost > 0 OR changed > 0""")
+def check_release_tree(spark, sf_dir):
+    """K15: sources as frozen releases with a rule file for every document, against a store that lost some documents, changed some and some rule files."""
+    i, d = F.col("doc_id"), read(spark, sf_dir, "documents")
+    member = lambda changed: d.select(F.col("source").alias("release"), F.lit("documents").alias("section"), i.cast("string").alias("id"), F.sha2(F.concat(F.coalesce("text", F.lit("")), F.when(changed, "x").otherwise("")), 256).alias("digest"))
+    rule = lambda changed: d.select(F.col("source").alias("release"), F.lit(releases.RULES).alias("section"), F.concat(F.lit("rules/"), i, F.lit(".json")).alias("id"), F.sha2(F.concat(i.cast("string"), F.when(changed, "x").otherwise("")), 256).alias("digest"))
+    no = F.lit(False)
+    before = member(no).unionByName(rule(no))
+    now = member(i % 173 == 3).where("CAST(id AS BIGINT) % 131 <> 4").unionByName(rule(i % 199 == 8)).drop("release")
+    return releases.integrity(releases.tree(before, 16), before, now)
