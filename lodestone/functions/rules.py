@@ -285,6 +285,79 @@ def max_over(items: Column) -> Column:
     return F.when(~F.exists(items, lambda x: x["krw"].isNull()), total)
 
 
+#: What a declared input may be.
+INPUT_KINDS = ("boolean", "integer", "money", "date", "string", "classes")
+CLASSES = "array<struct<class string, krw bigint>>"
+MOST_CLASSES = 1000
+
+
+def _typed(v: Column, kind: str) -> tuple[Column, Column, Column]:
+    """(value, whether it is of the kind, whether it says that nothing is known) of a JSON value that isn't null."""
+    is_ = lambda v, *names: F.schema_of_variant(v).rlike(rf"\A(?:{'|'.join(names)})")
+    get = lambda v, path, to: F.try_variant_get(v, path, to)
+    no = F.lit(False)
+    if kind == "boolean":
+        return get(v, "$", "boolean"), is_(v, "BOOLEAN"), no
+    if kind in ("integer", "money"):
+        n = get(v, "$", "bigint")
+        return n, is_(v, "BIGINT") & (n.isNotNull() if kind == "integer" else F.coalesce(n >= 0, no)), no
+    if kind == "date":
+        text = F.when(is_(v, "STRING"), get(v, "$", "string"))
+        d = F.when(text.rlike(r"\A\d{4}-\d{2}-\d{2}\z"), F.try_to_date(text, "yyyy-MM-dd"))
+        return d, F.coalesce(in_calendar(d), no), no
+    if kind == "string":
+        return get(v, "$", "string"), is_(v, "STRING"), no
+    if kind != "classes":
+        raise ValueError(f"{kind} is none of {INPUT_KINDS}")
+    none_ = F.to_json(v) == F.lit('{"confirmed_empty":true}')
+    rows = F.when(is_(v, "ARRAY"), get(v, "$", "array<variant>"))
+
+    def sound(e: Column) -> Column:
+        name, krw_ = get(e, "$.class", "variant"), get(e, "$.krw", "variant")
+        named = F.coalesce(is_(name, "STRING") & (F.trim(get(name, "$", "string")) != ""), no)
+        paid = F.coalesce(is_(krw_, "VOID") | (is_(krw_, "BIGINT") & (get(krw_, "$", "bigint") >= 0)), no)
+        return is_(e, "OBJECT") & (F.size(F.json_object_keys(F.to_json(e))) == 2) & named & paid
+
+    fits = F.coalesce((F.size(rows) <= MOST_CLASSES) & F.forall(rows, sound), no)
+    value = F.transform(rows, lambda e: F.struct(get(e, "$.class", "string").alias("class"), get(e, "$.krw", "bigint").alias("krw")))
+    return F.when(none_, F.array().cast(CLASSES)).otherwise(value), none_ | fits, F.coalesce(F.size(rows) == 0, no)
+
+
+def typed_inputs(df: DataFrame, inputs: str, declared: dict[str, str]) -> tuple[DataFrame, dict[str, Val]]:
+    """df with the declared inputs (name to kind) of a JSON object, and each as a value.
+
+    An input that is absent or null is unknown; so is an empty list of classes, unless it is given as
+    {"confirmed_empty": true}.  A case is in error, in all its inputs, if it is no object (inputs_not_object), names an
+    input that isn't declared (undeclared:NAME), or one is not of its kind (wrong_type:NAME); the first by name.  A list holds at most
+    1,000 {class, krw}, krw a whole number from 0 or null.
+    """
+    whole = "_inputs"
+    df = df.withColumn(whole, F.try_parse_json(inputs))
+    shaped = F.coalesce(F.schema_of_variant(whole).startswith("OBJECT"), F.lit(False))
+    names = sorted(declared)
+    beyond = F.array_sort(F.array_except(F.json_object_keys(F.col(inputs)), F.array(*map(F.lit, names)).cast("array<string>")))
+    wrong, values = none(), {}
+    for name in reversed(names):
+        v = F.when(shaped, F.try_variant_get(F.col(whole), f"$['{name}']", "variant"))
+        there = v.isNotNull() & ~F.coalesce(F.schema_of_variant(v) == "VOID", F.lit(True))
+        value, fits, open_ = _typed(v, declared[name])
+        wrong = F.when(there & ~open_ & ~fits, f"wrong_type:{name}").otherwise(wrong)
+        values[name] = F.when(there & ~open_ & fits, value)
+    error = F.when(~shaped, "inputs_not_object").when(F.size(beyond) > 0, F.concat(F.lit("undeclared:"), F.get(beyond, F.lit(0)))).otherwise(wrong)
+    df = df.withColumn("_error", error).withColumns({f"_in_{n}": v for n, v in values.items()})
+    out = {n: Val(F.when(F.col("_error").isNull(), F.col(f"_in_{n}")), F.when(F.col("_error").isNull() & F.col(f"_in_{n}").isNull(), F.array(F.lit(n))).otherwise(no_causes()), F.col("_error")) for n in names}
+    return df.drop(whole), out
+
+
+def max_over_list(items: Val, name: str) -> Amount:
+    """max_over of a list of classes; an amount that isn't known leaves the whole unknown, by the list's name; beyond 64 bits is an error."""
+    total = max_over(items.value)
+    open_ = items.value.isNotNull() & F.exists(items.value, lambda x: x["krw"].isNull())
+    missing = F.when(F.coalesce(open_, F.lit(False)), F.array(F.lit(name))).otherwise(items.missing)
+    error = F.coalesce(items.error, F.when(items.value.isNotNull() & ~open_ & total.isNull(), F.lit("overflow")))
+    return Amount(total, total, missing, no_causes(), error)
+
+
 def max_over_rows(rows: DataFrame, case: str, kind: str, krw: str) -> DataFrame:
     """(case, total): max_over of rows (case, class, amount) by two aggregates, each combined before its shuffle."""
     best = rows.groupBy(case, kind).agg(F.max(krw).alias("_top"), F.count_if(F.col(krw).isNull()).alias("_open"))

@@ -381,6 +381,24 @@ def quality_metrics(spark, sf_dir):
     return rows.groupBy(F.col("s_nationkey").alias("org")).agg(F.count_if(F.col("l_quantity") > 5).alias("numerator"), F.count("*").alias("denominator"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY l_quantity)").alias("p50"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY l_quantity)").alias("p95"))
 
 
+@query("""WITH i AS (SELECT l_orderkey, l_returnflag AS class, CASE WHEN l_orderkey % 12 = 5 AND l_linenumber = 1 THEN NULL WHEN l_orderkey % 12 = 3 AND l_linenumber = 1 THEN -1 ELSE CAST(round(l_extendedprice) AS BIGINT) END AS krw FROM lineitem),
+ t AS (SELECT l_orderkey, class, max(krw) AS top, min(krw) < 0 AS wrong, bool_or(krw IS NULL) AS open_ FROM i GROUP BY 1, 2), s AS (SELECT l_orderkey, bool_or(coalesce(wrong, FALSE)) AS wrong, bool_or(open_) AS open_, CASE WHEN NOT bool_or(open_) THEN CAST(sum(top) AS BIGINT) END AS total FROM t GROUP BY 1)
+SELECT l_orderkey AS request, CASE WHEN k = 2 THEN 'inputs_not_object' WHEN k = 4 THEN 'undeclared:extra' WHEN wrong THEN 'wrong_type:items' WHEN k = 6 THEN 'wrong_type:day' END AS error,
+ CASE WHEN k = 1 THEN 0 WHEN k IN (0, 2, 4, 6, 7) OR wrong THEN NULL ELSE total END AS total, CASE WHEN k IN (0, 7) OR open_ THEN 'items' ELSE '' END AS missing FROM (SELECT *, l_orderkey % 12 AS k FROM s)""")
+def list_inputs(spark, sf_dir):
+    """Orders as cases whose inputs come as JSON, a list of classes and amounts among them: empty, confirmed empty, null, wrong, undeclared, of unknown amount, or whole."""
+    k, first = F.col("l_orderkey") % 12, F.col("l_linenumber") == 1
+    amount = F.when((k == 5) & first, None).when((k == 3) & first, -1).otherwise(F.round("l_extendedprice").cast("bigint"))
+    item = F.concat(F.lit('{"class":"'), "l_returnflag", F.lit('","krw":'), F.coalesce(amount.cast("string"), F.lit("null")), F.lit("}"))
+    cases_ = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.concat(F.lit("["), F.array_join(F.sort_array(F.collect_list(item)), ","), F.lit("]")).alias("items"))
+    items = F.when(k == 0, "[]").when(k == 1, '{"confirmed_empty": true}').when(k == 7, "null").otherwise(F.col("items"))
+    day = F.when(k == 6, "2026-02-30").otherwise("2026-02-28")
+    text = F.when(k == 2, "[1]").otherwise(F.concat(F.lit('{"items":'), items, F.lit(',"day":"'), day, F.lit('"'), F.when(k == 4, ',"extra":1').otherwise(""), F.lit("}")))
+    rows, given = R.typed_inputs(cases_.select(F.col("l_orderkey").alias("request"), text.alias("inputs")), "inputs", {"items": "classes", "day": "date"})
+    total = R.max_over_list(given["items"], "items")
+    return rows.select("request", total.error.alias("error"), total.lo.alias("total"), F.array_join(total.missing, ",").alias("missing"))
+
+
 @query("SELECT s_nationkey AS org, count(*) AS n, CAST(quantile_disc(l_quantity, 0.5) AS DOUBLE) AS p50, CAST(quantile_disc(l_quantity, 0.95) AS DOUBLE) AS p95 FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1")
 def latency_quantiles(spark, sf_dir):
     """Percentiles of an organisation from sketches kept by day, merged over months; exact here, as an organisation has fewer values than the sketch holds."""
