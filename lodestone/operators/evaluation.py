@@ -70,11 +70,14 @@ def evaluate_requests(requests: DataFrame, chain: DataFrame, broken: DataFrame,
     """(request, blocked_by, display, result.., ): each request gated, linked, judged and evaluated; no rule runs on a blocked one.
 
     requests (request, day, ..) with their facts as columns; chain (request, outcome) as it is shown;
-    broken (message) findings of the release's integrity, any of which blocks all; rule(df) gives (df,
-    eligible, amount).  A row's error stays with the row.
+    broken (message) findings of the release's integrity, any of which blocks all, or, with a column release there
+    and in the requests, all of that release; rule(df) gives (df, eligible, amount).  A row's error stays with the row.
     """
-    findings = F.broadcast(broken.agg((F.count("*") > 0).alias("_broken")))
-    rows = requests.join(chain.select("request", "outcome"), "request", "left").join(findings)
+    rows = requests.join(chain.select("request", "outcome"), "request", "left")
+    if "release" in broken.columns and "release" in requests.columns:
+        rows = rows.join(broken.select("release").distinct().withColumn("_broken", F.lit(True)), "release", "left").withColumn("_broken", F.coalesce("_broken", F.lit(False)))
+    else:
+        rows = rows.join(F.broadcast(broken.agg((F.count("*") > 0).alias("_broken"))))
     date = R.in_calendar(F.col("day").try_cast("date"))
     gate = F.when(F.col("_broken"), "release_broken").when(~F.coalesce(date, F.lit(False)), "bad_date").when(F.col("outcome") != "linked", F.col("outcome")).when(F.col("outcome").isNull(), "no_uses_edition")
     rows = rows.withColumn("blocked_by", gate).drop("_broken")

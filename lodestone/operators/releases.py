@@ -76,7 +76,7 @@ def differing(before: DataFrame, now: DataFrame) -> DataFrame:
 
 
 def integrity(nodes: DataFrame, listed: DataFrame, stored: DataFrame) -> DataFrame:
-    """(code, subject, message), K15: what a frozen release's members have become.
+    """(code, subject, message, release), K15: what a frozen release's members have become.
 
     nodes: its frozen trees; listed (release, section, id): its members and rule files; stored (section, id, digest): what is there
     now.  A listed member that isn't stored is missing_member; a release whose rule files differ is
@@ -84,10 +84,10 @@ def integrity(nodes: DataFrame, listed: DataFrame, stored: DataFrame) -> DataFra
     """
     have = stored.select(F.col("section").alias("_s"), F.col("id").alias("_i"), "digest", F.lit(True).alias("_here"))
     met = listed.select("release", "section", "id").distinct().join(have, (F.col("section") == F.col("_s")) & (F.col("id") == F.col("_i")), "left")
-    missing = met.where(F.col("_here").isNull() & (F.col("section") != RULES)).select(F.lit("K15").alias("code"), F.col("id").cast("string").alias("subject"), F.lit("missing_member").alias("message"))
+    missing = met.where(F.col("_here").isNull() & (F.col("section") != RULES)).select(F.lit("K15").alias("code"), F.col("id").cast("string").alias("subject"), F.lit("missing_member").alias("message"), "release")
     now = tree(met.where((F.col("section") == RULES) | F.col("_here")).select("release", "section", "id", "digest"), depths=nodes.where("prefix = ''").select("release", "tree", "depth"))
     a, b = frozen(nodes), frozen(now).select(F.col("release").alias("_r"), F.col("rules_sha256").alias("_rules"), F.col("content_sha256").alias("_content"))
     both = a.join(b, F.col("release").eqNullSafe(F.col("_r")), "left")
     empty = F.sha2(F.lit(""), 256)
     why = F.when(F.coalesce("_rules", empty) != F.col("rules_sha256"), "rule_hash_differs").when(~F.coalesce(F.col("_content") == F.col("content_sha256"), F.lit(False)), "content_hash_differs")
-    return missing.unionByName(both.withColumn("message", why).where("message IS NOT NULL").select(F.lit("K15").alias("code"), F.col("release").cast("string").alias("subject"), "message"))
+    return missing.unionByName(both.withColumn("message", why).where("message IS NOT NULL").select(F.lit("K15").alias("code"), F.col("release").cast("string").alias("subject"), "message", "release"))

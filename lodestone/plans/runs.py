@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.catalog import _SQL, CASES, DIMS, OBS, _usage, cases, ledger, observations, query, read
 from lodestone.functions import rules as R
-from lodestone.operators import evaluation, graph, jobs, pages, sketches
+from lodestone.operators import evaluation, graph, jobs, pages, releases, sketches
 from lodestone.operators.knowledge import latest_assumptions
 from lodestone.plans import knowledge as K
 from lodestone.streaming import streams
@@ -160,6 +160,33 @@ def evaluate_requests(spark, sf_dir):
     return done.select("request", "blocked_by", "display", F.col("p.kind").alias("kind"), F.col("p.min_krw").alias("paid"), F.array_join("p.missing", ",").alias("missing"))
 
 
+@query(f"""WITH RECURSIVE {K.CHAIN}, mem AS ({_SQL['membership']}), r0 AS (SELECT o_orderkey AS request, o_custkey % 5 AS release, CASE WHEN o_orderkey % 101 = 7 THEN '2300-01-01' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS day, l.ship AS event, CAST(round(o_totalprice) AS BIGINT) AS amount, chr(CAST(65 + o_custkey % 26 AS INT)) || lpad(CAST(o_custkey % 50 + 1 AS VARCHAR), 2, '0') AS code
+ FROM orders LEFT JOIN (SELECT l_orderkey, CASE WHEN l_orderkey % 4 <> 3 THEN CAST(max(l_shipdate) AS DATE) END AS ship FROM lineitem GROUP BY 1) l ON l_orderkey = o_orderkey),
+ g AS (SELECT r0.*, CASE WHEN release IN (1, 3) THEN 'release_broken' WHEN r0.day > '2199-12-31' THEN 'bad_date' WHEN chain.outcome = 'simulate_blocked' THEN 'link_unapproved' WHEN chain.outcome <> 'linked' THEN chain.outcome END AS blocked_by, CASE mem.answer WHEN 'true' THEN TRUE WHEN 'false' THEN FALSE END AS covered FROM r0 JOIN chain USING (request) LEFT JOIN mem ON mem.code = r0.code AND 'cat:' || mem.category = chain.category),
+ e AS (SELECT *, CASE WHEN blocked_by IS NULL THEN covered AND event >= CAST(day AS DATE) + 90 END AS ok, CASE WHEN blocked_by IS NULL THEN CASE WHEN event < CAST(day AS DATE) + 180 THEN amount // 2 WHEN event IS NOT NULL THEN amount END END AS pay FROM g)
+SELECT request, blocked_by, CASE WHEN blocked_by IS NOT NULL THEN 'hold' WHEN ok IS NULL THEN 'input_missing' ELSE 'shown' END AS display, CASE WHEN blocked_by IS NULL THEN CASE WHEN ok IS NULL THEN 'undetermined' WHEN ok THEN 'payable' ELSE 'not_payable' END END AS kind, CASE WHEN ok IS NULL OR ok THEN pay END AS paid FROM e""")
+def evaluate_end_to_end(spark, sf_dir):
+    """Orders as requests of five releases: the integrity of each release, the date, the link to a rule and its category, and only then the rule."""
+    from lodestone.catalog import membership
+
+    k, i = F.col("o_orderkey"), F.col("doc_id")
+    ship = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.to_date(F.max("l_shipdate")).alias("ship"))
+    o = read(spark, sf_dir, "orders").join(ship, k == F.col("l_orderkey"), "left")
+    code = F.concat(F.char(65 + F.col("o_custkey") % 26), F.lpad((F.col("o_custkey") % 50 + 1).cast("string"), 2, "0"))
+    linked = graph.cut(K.chain(spark, sf_dir))
+    requests = o.select(k.alias("request"), (F.col("o_custkey") % 5).alias("release"), F.when(k % 101 == 7, "2300-01-01").otherwise(F.to_date("o_orderdate").cast("string")).alias("day"), F.when(k % 4 != 3, F.col("ship")).cast("string").alias("event"), F.round("o_totalprice").cast("bigint").alias("amount"), code.alias("code"))
+    requests = requests.join(linked.select("request", F.col("category").alias("_c")), "request").withColumn("category", F.col("_c")).drop("_c")
+    # a release's documents and rule files as they were frozen, and the store, that lost a tenth of one release and edited rules of another
+    d = read(spark, sf_dir, "documents").select((i % 5).alias("release"), i)
+    rows = lambda section, digest: d.select("release", F.lit(section).alias("section"), i.cast("string").alias("id"), digest.alias("digest"))
+    frozen = rows("documents", i.cast("string")).unionByName(rows(releases.RULES, i.cast("string")))
+    stored = rows("documents", i.cast("string")).where("release <> 1 OR id NOT LIKE '%1'").unionByName(rows(releases.RULES, F.when(i % 5 == 3, F.concat(i.cast("string"), F.lit("x"))).otherwise(i.cast("string"))))
+    findings = releases.integrity(releases.tree(frozen), frozen, stored.drop("release"))
+    answers = membership(spark, sf_dir).withColumn("category", F.concat(F.lit("cat:"), "category"))
+    done = evaluation.evaluate_requests(requests, K.knowledge.resolve_request(linked), findings, {"covered": ("ontology", graph.cut(answers))}, waiting_rule())
+    return done.select("request", "blocked_by", "display", F.col("p.kind").alias("kind"), F.col("p.min_krw").alias("paid"))
+
+
 @query(f"""WITH c AS ({CASES}), x AS (SELECT *, CASE WHEN qty > 25 THEN TRUE WHEN qty > 10 THEN FALSE END AS covered FROM c), p AS (SELECT l_orderkey, l_linenumber, l_returnflag, covered AND event >= contract + 90 AS a, covered AND event >= contract + 60 AS b FROM x)
 SELECT l_returnflag, count(*) AS n FROM p WHERE a IS DISTINCT FROM b GROUP BY 1""")
 def shadow_compare(spark, sf_dir):
