@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.catalog import _SQL, CASES, DIMS, OBS, _usage, cases, ledger, observations, query, read
@@ -160,30 +162,59 @@ def evaluate_requests(spark, sf_dir):
     return done.select("request", "blocked_by", "display", F.col("p.kind").alias("kind"), F.col("p.min_krw").alias("paid"), F.array_join("p.missing", ",").alias("missing"))
 
 
-@query(f"""WITH RECURSIVE {K.CHAIN}, mem AS ({_SQL['membership']}), r0 AS (SELECT o_orderkey AS request, o_custkey % 5 AS release, CASE WHEN o_orderkey % 101 = 7 THEN '2300-01-01' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS day, l.ship AS event, CAST(round(o_totalprice) AS BIGINT) AS amount, chr(CAST(65 + o_custkey % 26 AS INT)) || lpad(CAST(o_custkey % 50 + 1 AS VARCHAR), 2, '0') AS code
- FROM orders LEFT JOIN (SELECT l_orderkey, CASE WHEN l_orderkey % 4 <> 3 THEN CAST(max(l_shipdate) AS DATE) END AS ship FROM lineitem GROUP BY 1) l ON l_orderkey = o_orderkey),
- g AS (SELECT r0.*, CASE WHEN release IN (1, 3) THEN 'release_broken' WHEN r0.day > '2199-12-31' THEN 'bad_date' WHEN chain.outcome = 'simulate_blocked' THEN 'link_unapproved' WHEN chain.outcome <> 'linked' THEN chain.outcome END AS blocked_by, CASE mem.answer WHEN 'true' THEN TRUE WHEN 'false' THEN FALSE END AS covered FROM r0 JOIN chain USING (request) LEFT JOIN mem ON mem.code = r0.code AND 'cat:' || mem.category = chain.category),
+def linked_claims(spark, sf_dir):
+    """Suppliers as sales configurations with an edition, a coverage and a rule of their own, some links of which are unapproved, ended or held."""
+    s = F.col("s_suppkey")
+    rows = read(spark, sf_dir, "supplier").select(s.cast("string").alias("s"), s)
+    text = lambda c: F.lit(c).cast("string")
+
+    def claim(predicate, subject, object_, accepted, criticality="C2", valid_to=None, rule_path=None):
+        name = lambda kind: F.concat(F.lit(kind), "s") if isinstance(kind, str) else kind
+        day = F.lit(None).cast("date")
+        return rows.select(F.concat(F.lit(f"{predicate}:"), "s").alias("id"), F.lit(predicate).alias("predicate"), name(subject).alias("subject"), name(object_).alias("object") if object_ is not None else text(None).alias("object"), text(None).alias("value"), F.lit(criticality).alias("criticality"), accepted.alias("accepted"), day.alias("valid_from"), (day if valid_to is None else valid_to).alias("valid_to"), (text(None) if rule_path is None else rule_path).alias("rule_path"), F.lit(None).cast("array<string>").alias("covers_editions"))
+
+    yes = F.lit(True)
+    parts = (
+        claim("uses_edition", "sc:", "ed:", s % 11 != 3, valid_to=F.when(s % 7 == 2, F.lit("1995-12-31").cast("date"))),
+        claim("in_edition", "cov:", "ed:", s % 13 != 5),
+        claim("uses_definition", "cov:", F.concat(F.lit("cat:"), (s % 5).cast("string")), yes),
+        claim("implemented_by", "cov:", None, s % 17 != 6, rule_path=F.concat(F.lit("rules/"), "s", F.lit(".json"))),
+        claim("has_condition", "cov:", "cond:", s % 19 != 4, criticality="C0"),
+    )
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query(f"""WITH mem AS ({_SQL['membership']}), r0 AS (SELECT o_orderkey AS request, o_custkey % 25 AS release, CAST(o_orderdate AS DATE) AS asked, coalesce(l.s, 1) AS s, CASE WHEN o_orderkey % 101 = 7 THEN '2300-01-01' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS day, l.ship AS event, CAST(round(o_totalprice) AS BIGINT) AS amount, chr(CAST(65 + o_custkey % 26 AS INT)) || lpad(CAST(o_custkey % 50 + 1 AS VARCHAR), 2, '0') AS code
+ FROM orders LEFT JOIN (SELECT l_orderkey, min(l_suppkey) AS s, CASE WHEN l_orderkey % 4 <> 3 THEN CAST(max(l_shipdate) AS DATE) END AS ship FROM lineitem GROUP BY 1) l ON l_orderkey = o_orderkey),
+ chain AS (SELECT *, CASE WHEN s_suppkey IS NULL OR (s % 7 = 2 AND asked > DATE '1995-12-31') THEN 'no_uses_edition' WHEN s % 11 = 3 THEN 'link_unapproved' WHEN s % 13 = 5 THEN 'cov_not_in_edition' WHEN s % 23 = 7 THEN 'edition_identity_unconfirmed' WHEN s % 19 = 4 THEN 'link_unapproved' WHEN s % 17 = 6 THEN 'no_rule' ELSE 'linked' END AS outcome FROM r0 LEFT JOIN supplier ON s_suppkey = s),
+ g AS (SELECT c.*, CASE WHEN release IN (1, 3) THEN 'release_broken' WHEN day > '2199-12-31' THEN 'bad_date' WHEN outcome <> 'linked' THEN outcome END AS blocked_by, CASE mem.answer WHEN 'true' THEN TRUE WHEN 'false' THEN FALSE END AS covered FROM chain c LEFT JOIN mem ON mem.code = c.code AND mem.category = s % 5),
  e AS (SELECT *, CASE WHEN blocked_by IS NULL THEN covered AND event >= CAST(day AS DATE) + 90 END AS ok, CASE WHEN blocked_by IS NULL THEN CASE WHEN event < CAST(day AS DATE) + 180 THEN amount // 2 WHEN event IS NOT NULL THEN amount END END AS pay FROM g)
 SELECT request, blocked_by, CASE WHEN blocked_by IS NOT NULL THEN 'hold' WHEN ok IS NULL THEN 'input_missing' ELSE 'shown' END AS display, CASE WHEN blocked_by IS NULL THEN CASE WHEN ok IS NULL THEN 'undetermined' WHEN ok THEN 'payable' ELSE 'not_payable' END END AS kind, CASE WHEN ok IS NULL OR ok THEN pay END AS paid FROM e""")
 def evaluate_end_to_end(spark, sf_dir):
-    """Orders as requests of five releases: the integrity of each release, the date, the link to a rule and its category, and only then the rule."""
+    """Orders as requests of releases: the integrity of each release, the date, the link to a rule and its category, and only then the rule."""
     from lodestone.catalog import membership
 
     k, i = F.col("o_orderkey"), F.col("doc_id")
-    ship = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.to_date(F.max("l_shipdate")).alias("ship"))
-    o = read(spark, sf_dir, "orders").join(ship, k == F.col("l_orderkey"), "left")
+    li = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.to_date(F.max("l_shipdate")).alias("ship"), F.min("l_suppkey").alias("supp"))
+    o = read(spark, sf_dir, "orders").join(li, k == F.col("l_orderkey"), "left").withColumn("s", F.coalesce("supp", F.lit(1)).cast("string"))
     code = F.concat(F.char(65 + F.col("o_custkey") % 26), F.lpad((F.col("o_custkey") % 50 + 1).cast("string"), 2, "0"))
-    linked = graph.cut(K.chain(spark, sf_dir))
-    requests = o.select(k.alias("request"), (F.col("o_custkey") % 5).alias("release"), F.when(k % 101 == 7, "2300-01-01").otherwise(F.to_date("o_orderdate").cast("string")).alias("day"), F.when(k % 4 != 3, F.col("ship")).cast("string").alias("event"), F.round("o_totalprice").cast("bigint").alias("amount"), code.alias("code"))
-    requests = requests.join(linked.select("request", F.col("category").alias("_c")), "request").withColumn("category", F.col("_c")).drop("_c")
-    # a release's documents and rule files as they were frozen, and the store, that lost a tenth of one release and edited rules of another
-    d = read(spark, sf_dir, "documents").select((i % 5).alias("release"), i)
+    live = graph.cut(linked_claims(spark, sf_dir))
+    categories = read(spark, sf_dir, "region").select(F.concat(F.lit("cat:"), F.col("r_regionkey").cast("string")).alias("node"))
+    none = spark.createDataFrame([], "listed array<string>, state string")
+    allowed = K.knowledge.simulate_allowed(live, K.knowledge.coverage_scope(live, categories), none)
+    confirmed = read(spark, sf_dir, "supplier").where("s_suppkey % 23 <> 7").select(F.concat(F.lit("ed:"), F.col("s_suppkey").cast("string")).alias("edition"))
+    asked = o.select(k.alias("request"), F.to_date("o_orderdate").alias("day"), F.concat(F.lit("cov:"), "s").alias("coverage"))
+    linked = graph.cut(K.knowledge.resolve_request(K.knowledge.resolve_chain(asked, o.select(k.alias("request"), F.concat(F.lit("sc:"), "s").alias("config")), live, confirmed, allowed)))
+    requests = o.select(k.alias("request"), (F.col("o_custkey") % 25).alias("release"), F.when(k % 101 == 7, "2300-01-01").otherwise(F.to_date("o_orderdate").cast("string")).alias("day"), F.when(k % 4 != 3, F.col("ship")).cast("string").alias("event"), F.round("o_totalprice").cast("bigint").alias("amount"), code.alias("code"))
+    requests = requests.join(linked.select("request", "category"), "request")
+    # a release's documents and rule files as they were frozen, and the store, that lost some documents of one release and edited rules of another
+    d = read(spark, sf_dir, "documents").select((i % 25).alias("release"), i)
     rows = lambda section, digest: d.select("release", F.lit(section).alias("section"), i.cast("string").alias("id"), digest.alias("digest"))
     frozen = rows("documents", i.cast("string")).unionByName(rows(releases.RULES, i.cast("string")))
-    stored = rows("documents", i.cast("string")).where("release <> 1 OR id NOT LIKE '%1'").unionByName(rows(releases.RULES, F.when(i % 5 == 3, F.concat(i.cast("string"), F.lit("x"))).otherwise(i.cast("string"))))
+    stored = rows("documents", i.cast("string")).where("release <> 1 OR id NOT LIKE '%1'").unionByName(rows(releases.RULES, F.when(i % 25 == 3, F.concat(i.cast("string"), F.lit("x"))).otherwise(i.cast("string"))))
     findings = releases.integrity(releases.tree(frozen), frozen, stored.drop("release"))
     answers = membership(spark, sf_dir).withColumn("category", F.concat(F.lit("cat:"), "category"))
-    done = evaluation.evaluate_requests(requests, K.knowledge.resolve_request(linked), findings, {"covered": ("ontology", graph.cut(answers))}, waiting_rule())
+    done = evaluation.evaluate_requests(requests, linked, findings, {"covered": ("ontology", graph.cut(answers))}, waiting_rule())
     return done.select("request", "blocked_by", "display", F.col("p.kind").alias("kind"), F.col("p.min_krw").alias("paid"))
 
 
