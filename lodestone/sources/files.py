@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 REJECTED = "_rejected"
 
@@ -28,9 +29,20 @@ def listing(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_registry(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """(rows, rejected lines) of a CSV with a header: a line that lacks cells, has too many or does not fit the schema is rejected whole."""
-    rows = spark.read.csv(path, schema=f"{schema}, {REJECTED} string", header=True, mode="PERMISSIVE", columnNameOfCorruptRecord=REJECTED, enforceSchema=True).cache()
-    return rows.where(F.col(REJECTED).isNull()).drop(REJECTED), rows.where(F.col(REJECTED).isNotNull()).select(F.col(REJECTED).alias("line"))
+    """(rows, rejected (line, reason)) of CSV files with a header each.
+
+    A file whose header does not name the schema's columns in their order is rejected whole, told by its header (reason header);
+    a line that lacks cells, has too many or does not fit the schema is rejected (reason cells).  Blank lines are none.
+    """
+    at = F.monotonically_increasing_id()  # lines of a file ascend, and its first block begins at 0
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), at.alias("n"))
+    head = lines.where("start = 0").groupBy("file").agg(F.min("n").alias("first"), F.min_by("value", "n").alias("head"))
+    names = F.transform(F.split("head", ","), lambda c: F.regexp_replace(F.trim(c), r'^\ufeff?"?|"?$', ""))
+    fits = names == F.array(*[F.lit(f.name) for f in StructType.fromDDL(schema)])
+    own = lines.join(head.withColumn("fits", fits), "file").where("value <> ''")
+    read = own.where("fits AND n <> first").select("value", F.from_csv("value", f"{schema}, {REJECTED} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": REJECTED}).alias("r"))
+    bad = read.where(f"r.{REJECTED} IS NOT NULL").select(F.col("value").alias("line"), F.lit("cells").alias("reason"))
+    return read.where(f"r.{REJECTED} IS NULL").select("r.*").drop(REJECTED), head.where(~fits).select(F.col("head").alias("line"), F.lit("header").alias("reason")).union(bad)
 
 
 def read_criteria(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:

@@ -156,3 +156,12 @@ def test_cycles_between_cycles(spark):
     edges = spark.createDataFrame([(1, 2), (2, 1), (2, 3), (3, 4), (4, 5), (5, 4), (5, 6), (0, 1), (7, 7)], "src long, dst long")
     assert {r.node for r in graph.on_cycles(edges).collect()} == {1, 2, 4, 5, 7}
     assert graph.on_cycles(edges.where("src < dst")).count() == 0
+
+
+def test_registries_with_wrong_headers_are_rejected(spark, tmp_path):
+    texts = {"a": "id,name,n\n1,x,2\n2,y\n3,z,w\n\n4,\"q,r\",5\n5,a,6,7", "b": "wrong,columns,here\n9,x,2", "c": "\"id\", name ,n\n7,x,", "d": "name,id,n\nx,8,2", "e": "id,name\n1,x"}
+    for name, text in texts.items():
+        (tmp_path / f"{name}.csv").write_text(text)
+    kept, rejected = files.read_registry(spark, str(tmp_path), "id bigint, name string, n int")
+    assert sorted(tuple(r) for r in kept.collect()) == [(1, "x", 2), (4, "q,r", 5), (7, "x", None)]
+    assert sorted(tuple(r) for r in rejected.collect()) == [("2,y", "cells"), ("3,z,w", "cells"), ("5,a,6,7", "cells"), ("id,name", "header"), ("name,id,n", "header"), ("wrong,columns,here", "header")]
