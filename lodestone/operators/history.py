@@ -104,6 +104,17 @@ def failure_runs(obs: DataFrame, key: list[str], order: list[str], failed: Colum
     return runs.withColumn("alert", (F.col("_f") == 1) & (F.col("failures") == 3)).drop("_f", "_n", "_at", "_part")
 
 
+def due_state(obs: DataFrame, key: list[str], at: str, status: str, due: str) -> DataFrame:
+    """(key.., last_success, last_failure, next_due): when a key was last fetched (200 or 304), last failed, and is to be fetched again: as its newest observation says, at once if that says nothing."""
+    ok = F.coalesce(F.col(status).isin(200, 304), F.lit(False))
+    return obs.groupBy(*key).agg(F.max(F.when(ok, F.col(at))).alias("last_success"), F.max(F.when(~ok, F.col(at))).alias("last_failure"), F.max_by(F.coalesce(due, at), at).alias("next_due"))
+
+
+def source_status(state: DataFrame, source: list[str]) -> DataFrame:
+    """(source.., last_success, last_failure, next_due) of sources from the states of their pages: the newest, the newest and the earliest."""
+    return state.groupBy(*source).agg(F.max("last_success").alias("last_success"), F.max("last_failure").alias("last_failure"), F.min("next_due").alias("next_due"))
+
+
 def crawl_state(obs: DataFrame, key: list[str], order: Column, status: str, digest: str) -> DataFrame:
     """One row per key: the hash and order of the last 200, of the last 200 or 304, and of the last observation."""
     ok = F.col(status) == 200

@@ -162,10 +162,10 @@ def diff(old: DataFrame, new: DataFrame, key: str, digest: str) -> DataFrame:
     return a.join(b, key, "full_outer").select(key, what.alias("change")).where("change is not null")
 
 
-def verify_copy(expected: DataFrame, actual: DataFrame, key: str, digest: str) -> DataFrame:
-    """(key, status): byte_identical, missing, hash_mismatch or extra."""
-    a, b = expected.select(F.col(key), F.col(digest).alias("_a")), actual.select(F.col(key), F.col(digest).alias("_b"))
-    status = F.when(F.col("_b").isNull(), "missing").when(F.col("_a").isNull(), "extra").when(F.col("_a") == F.col("_b"), "byte_identical").otherwise("hash_mismatch")
+def verify_copy(expected: DataFrame, actual: DataFrame, key: str, digest: str, addressed: str = "objects/sha256/") -> DataFrame:
+    """(key, status): byte_identical, missing, hash_mismatch or extra; a key below `addressed` must end in the hash of its content."""
+    a, b, named = expected.select(F.col(key), F.col(digest).alias("_a")), actual.select(F.col(key), F.col(digest).alias("_b")), F.col(key).cast("string")
+    status = F.when(F.col("_b").isNull(), "missing").when(F.col("_a").isNull(), "extra").when((F.col("_a") == F.col("_b")) & (~named.startswith(addressed) | (F.substring_index(named, "/", -1) == F.col("_b"))), "byte_identical").otherwise("hash_mismatch")
     return a.join(b, key, "full_outer").select(key, status.alias("status"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -52,3 +52,14 @@ def resume(totals: DataFrame, opened: DataFrame, newer: DataFrame, by: list[str]
     both = totals.withColumn("open", F.lit(0).cast("bigint")).unionByName(rest)
     return both.groupBy(*by).agg(*[F.sum(c).cast("bigint").alias(c) for c in [*dims, "n", "open"]])
 
+
+def call_costs(calls: DataFrame, at: str, user: str, cost: Column, monthly: int, daily: int) -> DataFrame:
+    """(month, user, day, calls, cost, reached) of calls: a row for each month and one for each user and day, the other columns null; reached against the cap of its kind.
+
+    Calls without a user count to their month alone.  Both kinds come from one pass.
+    """
+    rows = calls.select(F.trunc(at, "month").alias("month"), F.col(user).alias("user"), F.to_date(at).alias("day"), cost.cast("bigint").alias("_c"))
+    sets = rows.groupingSets([[F.col("month")], [F.col("user"), F.col("day")]], "month", "user", "day")
+    of_user = F.grouping("user") == 0
+    out = sets.agg(F.count("*").alias("calls"), F.sum("_c").alias("cost"), of_user.alias("_own"))
+    return out.where("NOT _own OR user IS NOT NULL").withColumn("reached", F.col("cost") >= F.when(F.col("_own"), daily).otherwise(monthly)).drop("_own")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.catalog import _SQL, CASES, DIMS, OBS, _usage, cases, ledger, observations, query, read
 from lodestone.functions import rules as R
-from lodestone.operators import evaluation, graph, jobs, pages, releases, sketches
+from lodestone.operators import evaluation, graph, history, jobs, pages, releases, sketches, usage
 from lodestone.operators.knowledge import latest_assumptions
 from lodestone.plans import knowledge as K
 from lodestone.streaming import streams
@@ -457,6 +457,25 @@ def list_inputs(spark, sf_dir):
     return rows.select("request", total.error.alias("error"), total.lo.alias("total"), F.array_join(total.missing, ",").alias("missing"))
 
 
+@query("""WITH c AS (SELECT CAST(date_trunc('month', ts) AS DATE) AS month, CASE WHEN event_id % 8 <> 3 THEN user_id END AS user, CAST(ts AS DATE) AS day, CAST(round(value * 100) AS BIGINT) AS c FROM events)
+SELECT month, NULL AS user, NULL AS day, count(*) AS calls, CAST(sum(c) AS BIGINT) AS cost, sum(c) >= 1000000 AS reached FROM c GROUP BY 1 UNION ALL SELECT NULL, user, day, count(*), CAST(sum(c) AS BIGINT), sum(c) >= 5000 FROM c WHERE user IS NOT NULL GROUP BY 2, 3""")
+def call_costs(spark, sf_dir):
+    """Events as model calls, every eighth without a user: costs by month and by user and day, against the caps of both."""
+    calls = read(spark, sf_dir, "events").withColumn("who", F.when(F.col("event_id") % 8 != 3, F.col("user_id")))
+    return usage.call_costs(calls, "ts", "who", F.round(F.col("value") * 100).cast("bigint"), 1_000_000, 5000)
+
+
+@query("""WITH o AS (SELECT user_id, event_type, epoch_us(ts) AS t, event_id % 4 <> 0 AS ok, coalesce(CASE WHEN event_id % 5 <> 0 THEN epoch_us(ts) + event_id % 7 * 3600000000 END, epoch_us(ts)) AS due FROM events),
+s AS (SELECT user_id, event_type, max(t) FILTER (ok) AS good, max(t) FILTER (NOT ok) AS bad, arg_max(due, t) AS due FROM o GROUP BY 1, 2)
+SELECT user_id, max(good) AS last_success, max(bad) AS last_failure, min(due) AS next_due FROM s GROUP BY 1""")
+def source_due(spark, sf_dir):
+    """Users as sources of pages by event type: last success and failure, and when the first of their pages is due again."""
+    i = F.col("event_id")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    obs = read(spark, sf_dir, "events").select("user_id", "event_type", at.alias("at"), F.when(i % 4 != 0, F.when(i % 9 == 0, 304).otherwise(200)).alias("status"), F.when(i % 5 != 0, at + i % 7 * 3_600_000_000).alias("due"))
+    return history.source_status(history.due_state(obs, ["user_id", "event_type"], "at", "status", "due"), ["user_id"])
+
+
 @query("SELECT s_nationkey AS org, count(*) AS n, CAST(quantile_disc(l_quantity, 0.5) AS DOUBLE) AS p50, CAST(quantile_disc(l_quantity, 0.95) AS DOUBLE) AS p95 FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1")
 def latency_quantiles(spark, sf_dir):
     """Percentiles of an organisation from sketches kept by day, merged over months; exact here, as an organisation has fewer values than the sketch holds."""

@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import history, links
+from lodestone.operators import history, links, usage
 
 
 def test_scope_relation_names_every_case(spark):
@@ -32,3 +32,24 @@ def test_gap_summary_counts_what_is_new_and_refuses_a_shrunken_log(spark):
     assert {(r.s, r.total, r.new) for r in history.gap_summary(gaps, done, "s").collect()} == {("a", 2, 1), ("b", 1, 1)}
     with pytest.raises(Exception, match="behind the published count"):
         history.gap_summary(gaps, spark.createDataFrame([("b", 2)], "s string, count long"), "s").collect()
+
+
+def test_next_dues_of_pages_and_sources(spark):
+    rows = [("s", "p", 1, 200, 9), ("s", "p", 3, 304, None), ("s", "p", 2, None, 50), ("s", "q", 5, 500, 7), ("t", "r", 4, 200, 40)]
+    state = history.due_state(spark.createDataFrame(rows, "s string, p string, at long, status int, due long"), ["s", "p"], "at", "status", "due")
+    assert {tuple(r) for r in state.collect()} == {("s", "p", 3, 2, 3), ("s", "q", None, 5, 7), ("t", "r", 4, None, 40)}
+    assert {tuple(r) for r in history.source_status(state, ["s"]).collect()} == {("s", 3, 5, 3), ("t", 4, None, 40)}
+
+
+def test_costs_by_month_and_by_user_and_day(spark):
+    rows = [("2026-01-01 10:00:00", "u", 60), ("2026-01-01 11:00:00", "u", 40), ("2026-01-02 01:00:00", "u", 1), ("2026-01-31 01:00:00", None, 99), ("2026-02-01 00:00:00", "v", 100)]
+    calls = spark.createDataFrame(rows, "t string, who string, c int").withColumn("t", F.col("t").cast("timestamp"))
+    got = {(str(r.month) if r.month else None, r.user, str(r.day) if r.day else None): (r.calls, r.cost, r.reached) for r in usage.call_costs(calls, "t", "who", F.col("c"), 200, 100).collect()}
+    assert got == {("2026-01-01", None, None): (4, 200, True), ("2026-02-01", None, None): (1, 100, False), (None, "u", "2026-01-01"): (2, 100, True), (None, "u", "2026-01-02"): (1, 1, False), (None, "v", "2026-02-01"): (1, 100, True)}
+
+
+def test_content_addressed_keys_must_be_their_hash(spark):
+    want = [("a", "h1"), ("objects/sha256/h1", "h1"), ("objects/sha256/h2", "h3"), ("gone", "x"), ("b", "y")]
+    have = [("a", "h1"), ("objects/sha256/h1", "h1"), ("objects/sha256/h2", "h3"), ("b", "z"), ("more", "m")]
+    got = links.verify_copy(spark.createDataFrame(want, "k string, d string"), spark.createDataFrame(have, "k string, d string"), "k", "d")
+    assert {r.k: r.status for r in got.collect()} == {"a": "byte_identical", "objects/sha256/h1": "byte_identical", "objects/sha256/h2": "hash_mismatch", "gone": "missing", "b": "hash_mismatch", "more": "extra"}
