@@ -199,6 +199,11 @@ def _unfold(depth: int) -> str:
 @query(f"{CLAIMED}{_unfold(5)} SELECT code, path[1] AS category, CASE v WHEN TRUE THEN 'true' WHEN FALSE THEN 'false' ELSE 'unknown' END AS answer FROM w0")
 def membership(spark, sf_dir):
     """Which regions' categories hold a code: nations are claims on ranges across letters, or on another region's category, some in circles."""
+    return links.membership(*categories(spark, sf_dir)).select("code", F.substring("category", 5, 9).cast("int").alias("category"), "answer")
+
+
+def categories(spark, sf_dir):
+    """(codes, asked, claims, ranges) of regions as categories."""
     k, r = F.col("n_nationkey"), F.col("n_regionkey")
     nation = read(spark, sf_dir, "nation")
     name = lambda kind, i: F.concat(F.lit(kind), i.cast("string"))
@@ -207,7 +212,7 @@ def membership(spark, sf_dir):
     ranges = nation.select(name("set:", k).alias("target"), F.char(65 + k % 26).alias("lo_letter"), (k * 3 % 60).alias("lo_major"), F.char(F.least(F.lit(90), 65 + k % 26 + r % 3)).alias("hi_letter"), (k * 3 % 60 + 30).alias("hi_major"))
     codes = read(spark, sf_dir, "part").select(F.char(65 + F.col("p_partkey") % 26).alias("letter"), F.col("p_size").alias("major")).distinct().withColumn("code", F.concat("letter", F.lpad(F.col("major").cast("string"), 2, "0")))
     asked = read(spark, sf_dir, "region").select(name("cat:", F.col("r_regionkey")).alias("category"))
-    return links.membership(codes, asked, claims, ranges).select("code", F.substring("category", 5, 9).cast("int").alias("category"), "answer")
+    return codes, asked, claims, ranges
 
 
 @query("""WITH RECURSIVE e AS (SELECT s_suppkey AS src, s_suppkey // 3 AS dst FROM supplier WHERE s_suppkey > 0),
@@ -604,7 +609,10 @@ def scope_relation(spark, sf_dir):
     """How the code sets of every two regions lie to each other, over all codes in use."""
     r = read(spark, sf_dir, "region").select(F.col("r_regionkey").alias("a"))
     pairs = r.join(r.withColumnRenamed("a", "b"), F.col("a") != F.col("b"))
-    return links.scope_relation(pairs, membership(spark, sf_dir))
+    codes, asked, claims, ranges = categories(spark, sf_dir)
+    named = pairs.select(*[F.concat(F.lit("cat:"), F.col(c).cast("string")).alias(c) for c in ("a", "b")])
+    found = links.scope_relations(named, codes, *links.answers(codes, asked, claims, ranges))
+    return found.select(*[F.substring(c, 5, 9).cast("int").alias(c) for c in ("a", "b")], "relation")
 
 
 @query("""WITH v AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS version, o_orderpriority AS reason FROM orders), a AS (SELECT o_custkey, arg_max(o_orderkey, version) AS before FROM v WHERE version < 4 AND o_custkey % 9 <> 1 GROUP BY 1), b AS (SELECT o_custkey, arg_max(o_orderkey, version) AS after FROM v WHERE o_custkey % 7 <> 2 GROUP BY 1)

@@ -202,5 +202,24 @@ def scope_relation(pairs: DataFrame, answers: DataFrame) -> DataFrame:
     return pairs.join(seen, ["a", "b"], "left").select("a", "b", relation.alias("relation"))
 
 
+def scope_relations(pairs: DataFrame, codes: DataFrame, base: DataFrame, some: DataFrame) -> DataFrame:
+    """(a, b, relation) as `scope_relation` gives it, from the answers in the form of `answers`: a pair meets only the codes that a range below one of its two holds, the rest are counted."""
+    side = lambda c, out: pairs.join(some.select(F.col("category").alias(c), "code", F.col("answer").alias(out)), c)
+    none = F.lit(None).cast("string")
+    met = side("a", "_x").select("a", "b", "code", "_x", none.alias("_y")).union(side("b", "_y").select("a", "b", "code", none, "_y"))
+    met = met.groupBy("a", "b", "code").agg(F.max("_x").alias("_x"), F.max("_y").alias("_y"))
+    of = lambda c: base.select(F.col("category").alias(c), F.col("base").alias(f"_base_{c}"))
+    known = pairs.distinct().join(of("a"), "a", "left").join(of("b"), "b", "left")
+    met = met.join(known, ["a", "b"]).withColumn("_x", F.coalesce("_x", "_base_a")).withColumn("_y", F.coalesce("_y", "_base_b"))
+    says = {"_unknown": lambda x, y: (x == "unknown") | (y == "unknown"), "_both": lambda x, y: (x == "true") & (y == "true"), "_a": lambda x, y: (x == "true") & (y != "true"), "_b": lambda x, y: (y == "true") & (x != "true")}
+    seen = met.groupBy("a", "b").agg(F.count("*").alias("_met"), *[F.count_if(f(F.col("_x"), F.col("_y"))).alias(n) for n, f in says.items()])
+    whole = known.join(seen, ["a", "b"], "left").join(F.broadcast(codes.agg(F.count_distinct("code").alias("_codes"))))  # one row
+    rest = F.col("_codes") - F.coalesce("_met", F.lit(0))
+    whole = whole.withColumns({n: F.coalesce(n, F.lit(0)) + F.when(F.coalesce(f(F.col("_base_a"), F.col("_base_b")), F.lit(False)), rest).otherwise(0) for n, f in says.items()})
+    open_ = (F.col("_codes") == 0) | F.col("_base_a").isNull() | F.col("_base_b").isNull() | (F.col("_unknown") > 0)
+    relation = F.when(open_, "not_comparable").when((F.col("_a") == 0) & (F.col("_b") == 0), "same_scope").when(F.col("_a") == 0, "narrower").when(F.col("_b") == 0, "broader").when(F.col("_both") > 0, "overlaps").otherwise("disjoint")
+    return pairs.join(whole.select("a", "b", relation.alias("relation")), ["a", "b"]).select("a", "b", "relation")
+
+
 def status_counts(report: DataFrame, status: str = "status") -> DataFrame:
     return report.groupBy(status).agg(F.count("*").alias("n"))

@@ -1,6 +1,7 @@
 """Scope relations, full checks and gap counts on small tables."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -53,3 +54,18 @@ def test_content_addressed_keys_must_be_their_hash(spark):
     have = [("a", "h1"), ("objects/sha256/h1", "h1"), ("objects/sha256/h2", "h3"), ("b", "z"), ("more", "m")]
     got = links.verify_copy(spark.createDataFrame(want, "k string, d string"), spark.createDataFrame(have, "k string, d string"), "k", "d")
     assert {r.k: r.status for r in got.collect()} == {"a": "byte_identical", "objects/sha256/h1": "byte_identical", "objects/sha256/h2": "hash_mismatch", "gone": "missing", "b": "hash_mismatch", "more": "extra"}
+
+
+def test_relations_from_few_answers_equal_those_from_all(spark):
+    rng = random.Random(11)
+    cats, codes = [f"c{i}" for i in range(8)], [f"x{i}" for i in range(12)]
+    base = {c: rng.choice(["true", "false", "false", "false", "unknown"]) for c in cats}
+    some = {(c, x): v for c in cats for x in rng.sample(codes, rng.choice([0, 3, 6, 12])) if (v := rng.choice(["true", "true", "false"])) != base[c]}
+    answers = [(x, c, some.get((c, x), base[c])) for c in cats for x in codes]
+    pairs = spark.createDataFrame([(a, b) for a in [*cats, "none"] for b in cats if a != b], "a string, b string")
+    whole = links.scope_relation(pairs, spark.createDataFrame(answers, "code string, category string, answer string"))
+    few = links.scope_relations(pairs, spark.createDataFrame([(x,) for x in codes], "code string"), spark.createDataFrame(list(base.items()), "category string, base string"), spark.createDataFrame([(*k, v) for k, v in some.items()], "category string, code string, answer string"))
+    got = {tuple(r) for r in few.collect()}
+    assert got == {tuple(r) for r in whole.collect()} and len({r[2] for r in got}) >= 4
+    nothing = links.scope_relations(pairs, spark.createDataFrame([], "code string"), spark.createDataFrame(list(base.items()), "category string, base string"), spark.createDataFrame([], "category string, code string, answer string"))
+    assert {r.relation for r in nothing.collect()} == {"not_comparable"}
