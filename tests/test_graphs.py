@@ -1,5 +1,6 @@
 """Circles and nested categories against plain searches on small graphs, and on shapes that grow."""
 
+import os
 import random
 
 import pytest
@@ -32,7 +33,7 @@ def components(spark, edges):
     return sorted(tuple(r) for r in graph.strong_components(spark.createDataFrame(edges, "src long, dst long")).collect())
 
 
-@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("seed", range(3))
 def test_components_of_random_graphs(spark, seed):
     rng = random.Random(seed)
     n, m = rng.choice([(12, 14), (40, 44), (60, 200), (30, 25)])
@@ -41,22 +42,23 @@ def test_components_of_random_graphs(spark, seed):
 
 
 def test_rings_chains_and_what_hangs_on_them(spark):
-    ring = [(i, (i + 1) % 300) for i in range(300)]
-    chain = [(i, i + 1) for i in range(300, 700)]
-    handles = [(5, 1000), (1000, 1001), (1001, 9), (1001, 300), (700, 2000), (2000, 2001), (2001, 2000), (3000, 3000), (None, 1), (1, None), (2000, 2001)]
+    ring = [(i, (i + 1) % 150) for i in range(150)]
+    chain = [(i, i + 1) for i in range(300, 500)]
+    handles = [(5, 1000), (1000, 1001), (1001, 9), (1001, 300), (500, 2000), (2000, 2001), (2001, 2000), (3000, 3000), (None, 1), (1, None), (2000, 2001)]
     # 5 -> 1000 -> 1001 -> 9 leads back over the ring, so both are on it
-    want = sorted([(i, 0) for i in [*range(300), 1000, 1001]] + [(2000, 2000), (2001, 2000), (3000, 3000)])
+    want = sorted([(i, 0) for i in [*range(150), 1000, 1001]] + [(2000, 2000), (2001, 2000), (3000, 3000)])
     assert components(spark, ring + chain + handles) == want
     assert components(spark, chain) == [] and components(spark, []) == []
 
 
-def test_a_component_of_a_hundred_thousand_nodes(spark):
-    n = 100_000
-    edges = spark.range(n).selectExpr("explode(array(struct(id AS src, (id * 7919 + 13) % 100000 AS dst), struct(id AS src, abs(xxhash64(id)) % 100000 AS dst))) AS e").select("e.src", "e.dst")
+def test_a_component_of_many_nodes(spark):
+    """20,000 nodes here; 100,000 by LODESTONE_TEST_NODES."""
+    n = int(os.environ.get("LODESTONE_TEST_NODES", "20000"))
+    edges = spark.range(n).selectExpr(f"explode(array(struct(id AS src, (id * 7919 + 13) % {n} AS dst), struct(id AS src, abs(xxhash64(id)) % {n} AS dst))) AS e").select("e.src", "e.dst")
     edges = edges.union(spark.range(n, n + 500).selectExpr("id AS src", "id + 1 AS dst"))
     got = graph.strong_components(edges)
     sizes = {r.component: r["count"] for r in got.groupBy("component").count().collect()}
-    assert max(sizes.values()) > 80_000 and got.where(f"node >= {n}").isEmpty()
+    assert max(sizes.values()) > 0.8 * n and got.where(f"node >= {n}").isEmpty()
     assert got.count() == got.select("node").distinct().count()
 
 
