@@ -253,6 +253,19 @@ def _compare(bands: int, rows: int, threshold: float, weighting: str):
     return run
 
 
+def _perhaps(rows: DataFrame, wanted: DataFrame, slots: int = 1 << 26) -> DataFrame:
+    """The rows whose doc is among those wanted, and few others, told by bitmaps of hashed ids that go to every task (8 MB at most).
+
+    A join that shuffles the rows then need not shuffle all of their texts; if the bitmaps are full, it shuffles all, as it would anyway.
+    """
+    slot = F.pmod(F.xxhash64("doc"), F.lit(slots)) + 1
+    maps = wanted.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
+    place = F.bitmap_bit_position(slot)
+    byte = F.conv(F.hex(F.substr("bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    met = rows.join(F.broadcast(maps), F.bitmap_bucket_number(slot) == F.col("at"))
+    return met.where(F.getbit(byte, (place % 8).cast("int")) == 1).select(*rows.columns)
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, weighting: str = "set", block: int = 2000, salts: int = 16, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per document: doc_id, class_id, component_id, kept.
 
@@ -288,7 +301,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRE
     keyed = reps.select("doc", F.explode("bands").alias("key"))
     crowded = keyed.groupBy("key").agg(F.count("*").alias("m"), F.min("doc").alias("leader")).where("m > 1")
     buckets = materialize(keyed.join(crowded, "key"))
-    texts = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text")).join(buckets.select("doc").distinct(), "doc", "left_semi")
+    met = buckets.select("doc").distinct()
+    texts = _perhaps(docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text")), met).join(met, "doc", "left_semi")
     # of an id that repeats, the text whose signature was taken
     sets = _sets(texts, words, weighting).join(reps.select("doc", "fp1", "fp2"), ["doc", "fp1", "fp2"], "left_semi")
     sets = materialize(sets.groupBy("doc").agg(F.min(F.struct("hashes", "counts")).alias("s")).select("doc", "s.hashes", "s.counts"))
