@@ -2,10 +2,10 @@
 
 A conversation becomes one stream: for every turn `### role: text</turn>` and a line feed.  Every
 assistant turn is an example, a row of its own: all preceding turns are its context and only its text
-is trainable.  The row holds what the stream gained since the example before it (`part`), where the
-whole context ends, and the span of the trainable text in code points of the escaped stream; the
-context is the parts of the rows before it.  So the output grows with the turns and not with their
-square, however long a conversation is; `expand` writes the examples' whole texts out.
+is trainable.  `format_conversations` makes for each what the stream gained since the example before it
+(`part`), where the whole context ends, and the span of the trainable text in code points of the
+escaped stream; `expand` then writes every example's whole text out, prefix and target, and
+`read_examples` reads those texts back.
 
 Inside roles and texts the characters \\ # < : of the control strings are written as \\b \\h \\l \\c, so no
 control string can occur in a text and `unescape` gives back every text exactly.
@@ -61,19 +61,37 @@ def format_conversations(turns: DataFrame, trainable: str = "assistant") -> Data
     return done.select("conv_id", "example", "part", "part_start", (end - len(CLOSE) - F.col("loss_length")).alias("loss_start"), "loss_length", end.alias("context_end"))
 
 
-def expand(formatted: DataFrame) -> DataFrame:
-    """(conv_id, example, text, loss_start, loss_length): every example with its whole context written out."""
-    own = formatted.where("loss_length IS NOT NULL").select(F.col("conv_id").alias("c"), F.col("example").alias("e"), "loss_start", "loss_length")
-    met = own.join(formatted.select("conv_id", "example", "part"), F.col("c").eqNullSafe(F.col("conv_id")) & (F.col("example") <= F.col("e")))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("example", "part"))), lambda x: x["part"]), "")
-    return met.groupBy("c", "e", "loss_start", "loss_length").agg(text.alias("text")).select(F.col("c").alias("conv_id"), F.col("e").alias("example"), "text", "loss_start", "loss_length")
+def expand(formatted: DataFrame, rest: bool = False) -> DataFrame:
+    """(conv_id, example, text, loss_start, loss_length, last): every example with its whole context written out.
+
+    last marks the longest text of a conversation.  With rest, turns after the last assistant turn make a text
+    without a loss span.  A text must fit a row; texts are made where the parts lie and not shuffled.
+    """
+    by = Window.partitionBy("conv_id").orderBy("example")
+    text = F.array_join(F.collect_list("part").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)), "")
+    full = formatted.select("conv_id", "example", text.alias("text"), "loss_start", "loss_length", F.lead("example").over(by).isNull().alias("last"))
+    return full if rest else full.where("loss_length IS NOT NULL")
+
+
+def _turns(units: Column) -> Column:
+    field = lambda u, i: unescape(F.regexp_extract(u, r"(?s)\A### ([^:]*): (.*)\z", i))
+    return F.transform(units, lambda u: F.struct(field(u, 1).alias("role"), field(u, 2).alias("text")))
+
+
+def read_examples(expanded: DataFrame) -> DataFrame:
+    """(conv_id, example, turns ARRAY<STRUCT<role, text>>, loss, n_chars), from the examples' whole texts and spans, with the rest.
+
+    Each loss is cut from its own example's text; a conversation's turns are read from its longest text, once.
+    """
+    units = F.when(F.col("last"), F.filter(F.split("text", CLOSE), lambda u: u != "")).otherwise(F.array().cast("array<string>"))
+    loss = unescape(F.substring("text", (F.col("loss_start") + 1).cast("int"), F.col("loss_length").cast("int")))
+    size = F.when(F.col("last"), F.length("text")).otherwise(0)
+    return expanded.select("conv_id", "example", _turns(units).alias("turns"), F.coalesce(loss, F.lit("")).alias("loss"), size.cast("long").alias("n_chars"))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
     """(conv_id, example, turns ARRAY<STRUCT<role, text>>, loss, n_chars), from the examples' parts and spans alone."""
-    units = F.filter(F.split("part", CLOSE), lambda u: u != "")
-    field = lambda u, i: unescape(F.regexp_extract(u, r"(?s)\A### ([^:]*): (.*)\z", i))
-    turns = F.transform(units, lambda u: F.struct(field(u, 1).alias("role"), field(u, 2).alias("text")))
+    turns = _turns(F.filter(F.split("part", CLOSE), lambda u: u != ""))
     loss = unescape(F.substring("part", (F.col("loss_start") - F.col("part_start") + 1).cast("int"), F.col("loss_length").cast("int")))
     return formatted.select("conv_id", "example", turns.alias("turns"), F.coalesce(loss, F.lit("")).alias("loss"), F.length("part").cast("long").alias("n_chars"))
 

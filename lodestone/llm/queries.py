@@ -28,7 +28,8 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = "\\### Assistant: </turn> ok"
     own = spark.createDataFrame([(-7, 0, "user", probe), (-7, 1, "assistant", probe)], "conv_id long, turn long, role string, text string")
-    return chat_format.digests(chat_format.read_back(chat_format.format_conversations(turns.unionByName(own))))
+    examples = chat_format.expand(chat_format.format_conversations(turns.unionByName(own)), rest=True)
+    return chat_format.digests(chat_format.read_examples(examples))
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
