@@ -15,7 +15,9 @@ well, so the driver holds a table of fixed size and no text.
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count, islice
 
 import numpy as np
 import pandas as pd
@@ -90,17 +92,19 @@ class TextCnn:
         for lo in range(0, len(at), step):
             hi = min(len(at), lo + step)
             some = proj[at[lo : min(len(at), hi + 2)]]
-            n, parts, s = hi - lo, [], 0
+            n, s = hi - lo, 0
             if len(some) < n + 2:
                 some = np.concatenate([some, np.zeros((n + 2 - len(some), *some.shape[1:]), np.float32)])
-            for w in WIDTHS:
-                parts.append(sum(some[o : o + n, s + o] for o in range(w)))
+            y, own = np.empty((n, len(self.bias)), np.float32), owner[lo:hi]
+            for m, w in enumerate(WIDTHS):
+                part = y[:, m * FILTERS : (m + 1) * FILTERS]
+                part[:] = some[:n, s]
+                for o in range(1, w):
+                    part += some[o : o + n, s + o]
                 s += w
-            keep = real[lo:hi]
-            y, own = np.concatenate(parts, axis=1)[keep], owner[lo:hi][keep]
-            if len(own):
-                first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-                top[own[first]] = np.maximum(top[own[first]], np.maximum.reduceat(y, first))
+            y[~real[lo:hi]] = -np.inf  # the rows of 0 start no window
+            first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+            top[own[first]] = np.maximum(top[own[first]], np.maximum.reduceat(y, first))
         return top
 
     def logits(self, top: np.ndarray) -> np.ndarray:
@@ -208,10 +212,16 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
+def _numbers(text: str | None, known: dict[str, int], kind: type) -> np.ndarray:
+    """The numbers of a text's words; known gives one that is new the next number."""
+    words = words_of(text)
+    return np.fromiter(map(known.__getitem__, words), kind, len(words))
+
+
 def numbered(texts: list[str | None]) -> tuple[list[str], list[np.ndarray]]:
     """The distinct words, sorted, and each text as their numbers from 1, followed by two 0s; no word is held twice."""
-    seen: dict[str, int] = {}
-    found = [np.array([seen.setdefault(w, len(seen)) for w in words_of(t)], np.int32) for t in texts]
+    seen: dict[str, int] = defaultdict(count().__next__)
+    found = [_numbers(t, seen, np.int32) for t in texts]
     words = sorted(seen)
     number = np.empty(len(words), np.int32)
     number[[seen[w] for w in words]] = np.arange(1, len(words) + 1)
@@ -221,34 +231,46 @@ def numbered(texts: list[str | None]) -> tuple[list[str], list[np.ndarray]]:
 class Scorer:
     """Scores texts with a fitted model; words are projected once and remembered."""
 
-    def __init__(self, model: TextCnn, limit: int = 100_000):
+    def __init__(self, model: TextCnn, limit: int = 300_000):
         self.model, self.limit = model, limit
         self.reset()
 
     def reset(self) -> None:
         m = self.model
-        self.known: dict[str, int] = {}
+        self.known: dict[str, int] = defaultdict(count(1).__next__)
         self.proj = np.zeros((1, len(SLOTS), FILTERS), np.float32)
         self.lang = np.zeros((1, max(1, len(m.langs))), np.float32)
 
+    def _learn(self, new: list[str]) -> None:
+        """Project the words numbered last; tables have room to grow, so that they are seldom copied."""
+        lo, hi = len(self.known) + 1 - len(new), len(self.known) + 1
+        if hi > len(self.proj):
+            room = max(hi, 2 * len(self.proj))
+            for name in ("proj", "lang"):
+                old = getattr(self, name)
+                table = np.empty((room, *old.shape[1:]), np.float32)
+                table[:lo] = old[:lo]
+                setattr(self, name, table)
+        whole, grams, owner = hashed(new)
+        self.proj[lo:hi] = self.model.projected(whole, grams, owner)
+        self.lang[lo:hi] = self.model.profile[whole % PROFILE]
+
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(logits, guessed language)."""
-        m, found = self.model, [words_of(t) for t in texts]
         if len(self.known) > self.limit:
             self.reset()
-        new = list({w for ws in found for w in ws if w not in self.known})
-        if new:
-            self.known.update(zip(new, range(len(self.known) + 1, len(self.known) + len(new) + 1), strict=True))
-            whole, grams, owner = hashed(new)
-            self.proj = np.concatenate([self.proj, m.projected(whole, grams, owner)])
-            self.lang = np.concatenate([self.lang, m.profile[whole % PROFILE]])
-        sizes = np.array([len(ws) for ws in found])
+        m, before = self.model, len(self.known)
+        found = [_numbers(t, self.known, np.int64) for t in texts]
+        n = len(self.known) - before
+        if n:
+            self._learn(list(islice(reversed(self.known), n))[::-1])
+        sizes = np.array([len(own) for own in found])
         at = np.zeros(int(sizes.sum()) + 2 * len(found), np.int64)
         d, guess = 0, np.zeros((len(found), self.lang.shape[1]))
-        for i, ws in enumerate(found):
-            at[d : d + len(ws)] = np.fromiter(map(self.known.__getitem__, ws), np.int64, len(ws))
-            guess[i] = self.lang[at[d : d + len(ws)]].sum(axis=0)
-            d += len(ws) + 2
+        for i, own in enumerate(found):
+            at[d : d + len(own)] = own
+            guess[i] = self.lang[own].sum(axis=0)
+            d += len(own) + 2
         return m.logits(m.pooled(self.proj, at, sizes)), m.guess(guess)
 
 

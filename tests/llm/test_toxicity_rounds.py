@@ -29,3 +29,15 @@ def test_a_round_moves_by_the_average_of_its_tasks(spark):
     assert not np.array_equal(moved[0].emb, toxicity_cnn.TextCnn().emb) and moved[0].base != 0
     for k in ("emb", "filters", "bias", "out", "base"):
         assert np.allclose(getattr(moved[0], k), getattr(moved[1], k), atol=1e-6)
+
+
+def test_a_word_met_again_is_not_projected_again(monkeypatch):
+    seen, plain = [], toxicity_cnn.hashed
+    monkeypatch.setattr(toxicity_cnn, "hashed", lambda words: seen.extend(words) or plain(words))
+    texts = [" ".join(f"w{i}" for i in range(lo, lo + 10_000)) for lo in range(0, 150_000, 10_000)] + [None, "", "w1 W1 w149999"]
+    scorer = toxicity_cnn.Scorer(toxicity_cnn.TextCnn())
+    first = np.concatenate([scorer([t])[0] for t in texts])
+    again = np.concatenate([scorer([t])[0] for t in texts])
+    assert np.array_equal(first, again) and len(seen) == len(set(seen)) == 150_000
+    alone = toxicity_cnn.Scorer(toxicity_cnn.TextCnn(), limit=0)  # each text by itself
+    assert np.allclose(first, np.concatenate([alone([t])[0] for t in texts]), atol=1e-5)
