@@ -266,6 +266,14 @@ def _perhaps(rows: DataFrame, wanted: DataFrame, slots: int = 1 << 26) -> DataFr
     return met.where(F.getbit(byte, (place % 8).cast("int")) == 1).select(*rows.columns)
 
 
+def _met(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows whose doc is among those wanted, each once.
+
+    The join is an inner one: Spark moves a semi join below that with the bitmaps, and would shuffle all rows first.
+    """
+    return _perhaps(rows, wanted).join(wanted.distinct(), "doc")
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, weighting: str = "set", block: int = 2000, salts: int = 16, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per document: doc_id, class_id, component_id, kept.
 
@@ -301,8 +309,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRE
     keyed = reps.select("doc", F.explode("bands").alias("key"))
     crowded = keyed.groupBy("key").agg(F.count("*").alias("m"), F.min("doc").alias("leader")).where("m > 1")
     buckets = materialize(keyed.join(crowded, "key"))
-    met = buckets.select("doc").distinct()
-    texts = _perhaps(docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text")), met).join(met, "doc", "left_semi")
+    met = buckets.select("doc")
+    texts = _met(docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text")), met)
     # of an id that repeats, the text whose signature was taken
     sets = _sets(texts, words, weighting).join(reps.select("doc", "fp1", "fp2"), ["doc", "fp1", "fp2"], "left_semi")
     sets = materialize(sets.groupBy("doc").agg(F.min(F.struct("hashes", "counts")).alias("s")).select("doc", "s.hashes", "s.counts"))
