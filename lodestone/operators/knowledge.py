@@ -61,7 +61,7 @@ def coverage_scope(live: DataFrame, categories: DataFrame) -> DataFrame:
     """(coverage, node): a coverage, its definitions and the tree of categories (node) below them."""
     links = claims_of(live, "uses_definition").union(claims_of(live, "includes_codes")).union(claims_of(live, "excludes_codes")).where("object IS NOT NULL")
     inner = links.where("predicate <> 'uses_definition'").join(categories.select(F.col("node").alias("object")), "object", "left_semi").select(F.col("subject").alias("src"), F.col("object").alias("dst"))
-    first = links.where("predicate = 'uses_definition'").select(F.col("subject").alias("coverage"), F.col("object").alias("root"))
+    first = links.where("predicate = 'uses_definition'").select(F.col("subject").alias("coverage"), F.col("object").alias("root")).distinct()
     below = closure(inner, first.select("root").distinct()).select("root", "node")
     own = live.select("subject").where("subject LIKE 'cov:%'").distinct().select(F.col("subject").alias("coverage"), F.col("subject").alias("node"))
     return own.union(first.join(below, "root").select("coverage", "node")).distinct()
@@ -178,9 +178,13 @@ def scope_edges(live: DataFrame) -> DataFrame:
 def check_rules(live: DataFrame, scope: DataFrame, rule_refs: DataFrame) -> DataFrame:
     """K9: an accepted rule cites nothing beyond the C0 bases of its coverage's scope; rule_refs (rule_path, refs ARRAY), refs NULL where none can be read."""
     ruled = claims_of(live, "implemented_by", True).select("id", F.col("subject").alias("coverage"), "rule_path")
+    rows = ruled.join(rule_refs.withColumn("_file", F.lit(True)), "rule_path", "left")
+    # only what is cited is looked for, so no coverage meets all the bases below it
+    cited = rows.select("coverage", F.explode("refs").alias("target")).distinct()
     basis = live.where("upper(criticality) = 'C0' AND accepted").select(F.col("subject").alias("node"), F.explode("evidence").alias("e")).where("e.role = 'basis'").select("node", F.col("e.target").alias("target"))
-    basis = scope.join(basis, "node").groupBy("coverage").agg(F.collect_set("target").alias("basis"))
-    rows = ruled.join(rule_refs.withColumn("_file", F.lit(True)), "rule_path", "left").join(basis, "coverage", "left")
+    basis = basis.join(cited.select("target").distinct(), "target", "left_semi").distinct()
+    based = cited.join(scope, "coverage").join(basis, ["node", "target"]).groupBy("coverage").agg(F.collect_set("target").alias("basis"))
+    rows = rows.join(based, "coverage", "left")
     beyond = F.array_except("refs", F.coalesce("basis", F.expr("cast(array() as array<string>)")))
     why = F.when(F.col("rule_path").isNull(), "no_rule_path").when(F.col("_file").isNull(), "no_rule_file").when(F.col("refs").isNull(), "no_refs").when(F.size(beyond) > 0, F.concat(F.lit("beyond "), F.array_join(F.array_sort(beyond), ",")))
     return _found(rows.withColumn("why", why).where("why IS NOT NULL"), "K9", "id", F.col("why"))

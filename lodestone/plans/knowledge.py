@@ -47,8 +47,9 @@ def base(spark, sf_dir):
     return o.selectExpr("o_orderkey AS k", "o_orderkey div 12 AS m", "o_custkey AS cust", "coalesce(p, 0) AS part", "coalesce(s, 0) AS supp", "to_date(o_orderdate) AS day")
 
 
-def claims(spark, sf_dir):
-    rows = base(spark, sf_dir).selectExpr(*_columns(CLAIM))
+def claims(spark, sf_dir, numbers=None):
+    """All claims, read off the numbers of base or of a table of them."""
+    rows = (base(spark, sf_dir) if numbers is None else numbers).selectExpr(*_columns(CLAIM))
     evidence = F.concat(F.array(F.struct(F.lit("basis").alias("role"), F.col("basis").alias("target"))), F.when(F.col("observed"), F.array(F.struct(F.lit("observation").alias("role"), F.col("subject").alias("target")))).otherwise(F.expr("cast(array() as array<struct<role string, target string>>)")))
     return rows.withColumn("evidence", evidence).drop("basis", "observed")
 
@@ -91,8 +92,16 @@ def clauses(spark, sf_dir):
 TERMS = f"{LIVE}, {SEGMENTS}, tied AS (SELECT subject, arg_max(object, id) AS edition FROM live WHERE predicate = 'realizes' AND accepted AND object IS NOT NULL GROUP BY 1), terms AS (SELECT concat('clause:', p_partkey) AS clause, edition FROM part JOIN seg ON segment = concat('seg:', p_partkey % 600) JOIN tied ON subject = segment WHERE doc_role <> 'summary')"
 
 
-def live_of(spark, sf_dir):
-    return cut(knowledge.live_claims(claims(spark, sf_dir)))
+def kept(df):
+    """df as a table in the shared folder."""
+    return graph.Scratch(df.sparkSession).keep(df)
+
+
+def live_of(spark, sf_dir, numbers=None):
+    """The live claims, read off a table of their numbers, which take less room than their texts."""
+    numbers = kept(base(spark, sf_dir)) if numbers is None else numbers
+    named = numbers.selectExpr("*", *[c for c in _columns(CLAIM) if c.endswith((" AS id", " AS supersedes"))])
+    return claims(spark, sf_dir, kept(knowledge.live_claims(named).select(*numbers.columns)))
 
 
 @query(f"WITH {TERMS} SELECT clause, edition FROM terms")
@@ -178,9 +187,9 @@ CHAIN = f"""{STATUS}, {ALLOWED},
 
 
 def chain(spark, sf_dir):
-    live = live_of(spark, sf_dir)
-    b = base(spark, sf_dir)
-    requests = cut(b.select(F.col("k").alias("request"), "day", F.concat(F.lit("cov:"), (F.col("part") % 600).cast("string")).alias("coverage"), "cust"))
+    b = kept(base(spark, sf_dir))
+    live = live_of(spark, sf_dir, b)
+    requests = b.select(F.col("k").alias("request"), "day", F.concat(F.lit("cov:"), (F.col("part") % 600).cast("string")).alias("coverage"), "cust")
     config = lambda n: F.concat(F.lit("sc:"), ((F.col("cust") + n) % 600).cast("string")).alias("config")
     candidates = requests.select("request", config(0)).union(requests.where("request % 25 = 0").select("request", config(1)))
     status, _ = status_of(spark, sf_dir, live)
