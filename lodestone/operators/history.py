@@ -13,22 +13,37 @@ def valid_on(start: Column, end: Column, day: Column) -> Column:
     return (start.isNull() | (start <= day)) & (end.isNull() | (day <= end))
 
 
-def in_force(rows: DataFrame, versions: DataFrame, key: str, day: str, start: str = "valid_from", end: str = "valid_to", days: int = 64) -> DataFrame:
+def in_force(rows: DataFrame, versions: DataFrame, key: str, day: str, start: str = "valid_from", end: str = "valid_to", days: int = 64, span: tuple[Column, Column] | None = None) -> DataFrame:
     """rows joined to the versions of their key that are valid on their day; rows without one, or without a day, are left out.
 
     A version stands in every bin of `days` days that it touches, so the join is an equality of key and bin: a key with many
     versions meets only those about a row's day, and a key with many rows is split by their days.  Open ends are
-    taken to the first and last day asked for.
+    taken to the first and last day asked for, which are found in the rows unless `span` has them.
     """
     bin_ = lambda d: F.floor(F.unix_date(d.cast("date")) / days).cast("int")
     asked = rows.withColumn("_bin", bin_(F.col(day)))
-    ends = asked.agg(F.min("_bin").alias("_lo"), F.max("_bin").alias("_hi"))  # one row
+    ends = asked.agg(F.min("_bin").alias("_lo"), F.max("_bin").alias("_hi")) if span is None else rows.sparkSession.range(1).select(bin_(span[0]).alias("_lo"), bin_(span[1]).alias("_hi"))  # one row
     first, last = F.greatest(F.coalesce(bin_(F.col(start)), F.col("_lo")), F.col("_lo")), F.least(F.coalesce(bin_(F.col(end)), F.col("_hi")), F.col("_hi"))
     spread = versions.join(F.broadcast(ends)).withColumn("_first", first).withColumn("_last", last).where("_first <= _last")
     spread = spread.withColumn("_bin", F.explode(F.sequence("_first", "_last"))).drop("_first", "_last", "_lo", "_hi")
     return asked.join(spread, [key, "_bin"]).where(valid_on(F.col(start), F.col(end), F.col(day))).drop("_bin")
 
 
+def merged(rows: DataFrame, key: list[str], start: str = "valid_from", end: str = "valid_to") -> DataFrame:
+    """(key.., start, end): the days that a key's rows cover, both ends given and included, as few stretches as can be; a key comes down to a row a day at most before they are put in order."""
+    ends = rows.where(F.col(start) <= F.col(end)).groupBy(*key, start).agg(F.max(end).alias(end))
+    by = Window.partitionBy(*key).orderBy(start)
+    so_far = F.max(end).over(by.rowsBetween(Window.unboundedPreceding, -1))
+    runs = ends.withColumn("_new", (so_far.isNull() | (F.col(start) > F.date_add(so_far, 1))).cast("int")).withColumn("_run", F.sum("_new").over(by))
+    return runs.groupBy(*key, "_run").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_run")
+
+
+def between_changes(rows: DataFrame, key: str, start: str, end: str, since: str, until: str) -> DataFrame:
+    """(key, since, until): the stretches of days in which the same of a key's rows hold, both ends given and included."""
+    days = rows.select(key, F.explode(F.array(F.col(start), F.date_add(end, 1))).alias(since)).distinct()
+    return days.withColumn(until, F.date_sub(F.lead(since).over(Window.partitionBy(key).orderBy(since)), 1)).where(F.col(until).isNotNull())
+
+
 def ranged(rows: DataFrame, key: list[str], order: list[str], at_most: int = 100_000) -> DataFrame:
     """rows with `_part`, the number of their range by (key, order), as a table: about `at_most` rows a range, however many a key has."""
     scratch = Scratch(rows.sparkSession)

@@ -12,8 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.operators.graph import closure, cut
-from lodestone.operators.history import current, valid_on
+from lodestone.operators.graph import Scratch, closure
+from lodestone.operators.history import between_changes, current, in_force, merged
 from lodestone.operators.links import first_reason
 
 #: Roles of documents that hold terms, claims about structure, anchors and duration units.
@@ -74,7 +74,8 @@ def simulate_allowed(live: DataFrame, scope: DataFrame, conflicts: DataFrame) ->
     count unless resolved and when they list a claim about the coverage itself.
     """
     held = live.where("upper(criticality) = 'C0' AND NOT accepted").select(F.col("subject").alias("node"), "id")
-    held = scope.join(held, "node").groupBy("coverage").agg(F.count_distinct("id").alias("held"))
+    held = held.groupBy("node").agg(F.count_distinct("id").alias("_n"))  # a claim is about one node, so nodes' counts add up
+    held = scope.select("coverage", "node").distinct().join(held, "node").groupBy("coverage").agg(F.sum("_n").alias("held"))
     ruled = claims_of(live, "implemented_by", True).select(F.col("subject").alias("coverage")).distinct().withColumn("_ruled", F.lit(True))
     open_ = conflicts.where("state IS NULL OR state <> 'resolved'").select(F.explode("listed").alias("id")).distinct()
     about = live.join(open_, "id").select(F.col("subject").alias("coverage")).distinct().withColumn("_conflict", F.lit(True))
@@ -89,25 +90,40 @@ def resolve_chain(requests: DataFrame, candidates: DataFrame, live: DataFrame, c
     requests (request, day, coverage), candidates (request, config), live claims, confirmed (edition),
     allowed as from simulate_allowed.  Nothing depends on the order of rows.
     """
-    use = claims_of(live, "uses_edition").select(F.col("subject").alias("config"), F.col("object").alias("edition"), "accepted", "valid_from", "valid_to")
-    hits = cut(candidates.distinct().join(requests, "request").join(use, "config").where(valid_on(F.col("valid_from"), F.col("valid_to"), F.col("day"))).select("request", "coverage", "config", "edition", "accepted"))
-    used = hits.groupBy("request").agg(F.count_distinct("config").alias("configs"), F.min("config").alias("config"), F.bool_or(F.col("edition").isNull()).alias("scope_open"), F.bool_or(~F.col("accepted")).alias("unaccepted"), F.collect_set("edition").alias("editions"))
-    there = claims_of(live, "in_edition", True).where("object IS NOT NULL").select(F.col("subject").alias("coverage"), F.col("object").alias("edition")).distinct()
-    met = hits.join(there, ["coverage", "edition"]).groupBy("request").agg(F.count_distinct("edition").alias("found"), F.min("edition").alias("edition"), F.bool_or(~F.col("accepted")).alias("link_open"))
+    scratch = Scratch(live.sparkSession)
+    lo, hi = requests.agg(*[F.coalesce(F.unix_date(f(F.col("day").cast("date"))), F.lit(0)) for f in (F.min, F.max)]).first()
+    dayless, first, last = (F.date_from_unix_date(F.lit(n)) for n in (lo - 1, lo, hi))  # a request without a day meets what is open on both ends
+    span = (dayless, last)
+    # what a configuration uses changes on few days: its claims are merged, and a request meets the one state of its day
+    start = F.when(F.col("valid_from").isNull() & F.col("valid_to").isNull(), dayless).otherwise(F.greatest(F.col("valid_from").cast("date"), first))
+    use = claims_of(live, "uses_edition").select(F.col("subject").alias("config"), F.col("object").alias("edition"), "accepted", start.alias("valid_from"), F.least(F.col("valid_to").cast("date"), last).alias("valid_to"))
+    use = scratch.keep(merged(use, ["config", "edition", "accepted"]))
+    changes = between_changes(use, "config", "valid_from", "valid_to", "since", "until")
+    states = in_force(changes, use, "config", "since", span=span).groupBy("config", "since", "until")
+    states = scratch.keep(states.agg(F.bool_or(F.col("edition").isNull()).alias("scope_open"), F.bool_or(~F.col("accepted")).alias("unaccepted"), F.collect_set("edition").alias("editions"), F.collect_set(F.when(~F.col("accepted"), F.col("edition"))).alias("loose")))
+    asked = candidates.select("request", "config").join(requests.select("request", F.coalesce(F.col("day").cast("date"), dayless).alias("day")), "request")
+    hits = in_force(asked, states.select("config", "since", "until", "scope_open", "unaccepted", (F.size("editions") > 1).alias("others")), "config", "day", "since", "until", span=span)
+    used = hits.groupBy("request").agg((F.min("config") != F.max("config")).alias("many"), F.min("config").alias("config"), F.min("since").alias("since"), *[F.bool_or(c).alias(c) for c in ("scope_open", "unaccepted", "others")])
+    told = scratch.keep(requests.select("request", "coverage").join(used, "request", "left"))
+    # with no configuration or several, or an open scope, the outcome is clear; only the rest meet editions and coverages
+    clear = F.coalesce(F.col("config").isNull() | F.col("many") | F.col("scope_open"), F.lit(False))
+    there = claims_of(live, "in_edition", True).where("object IS NOT NULL").groupBy(F.col("subject").alias("coverage")).agg(F.collect_set("object").alias("there"))
     applies = claims_of(live, "applies_to").where("object IS NOT NULL").groupBy(F.col("object").alias("coverage")).agg(F.bool_or(~F.col("accepted")).alias("pending"), F.collect_set("subject").alias("applies_from"))
     rule = claims_of(live, "implemented_by", True).groupBy(F.col("subject").alias("coverage")).agg(F.min(F.struct("id", "rule_path", "covers_editions")).alias("rule"))
     category = claims_of(live, "uses_definition").groupBy(F.col("subject").alias("coverage")).agg(F.min(F.struct("id", "object")).alias("d")).select("coverage", F.col("d.object").alias("category"))
     whole = claims_of(live, "application_scope_complete", True).where("value = 'true'").select(F.col("subject").alias("config")).distinct().withColumn("complete", F.lit(True))
-    rows = requests.join(used, "request", "left").join(met, "request", "left")
+    rows = told.where(~clear).join(states.select("config", "since", "editions", "loose"), ["config", "since"]).join(there, "coverage", "left")
+    met = F.array_intersect("editions", "there")
+    rows = rows.select("request", "coverage", "config", "many", "scope_open", "unaccepted", "others", F.when(F.size(met) > 0, F.size(met)).alias("found"), F.array_min(met).alias("edition"), F.arrays_overlap("loose", "there").alias("link_open"))
     for side, on in ((confirmed.select("edition").distinct().withColumn("known", F.lit(True)), "edition"), (applies, "coverage"), (rule, "coverage"), (category, "coverage"), (whole, "config"), (allowed, "coverage")):
         rows = rows.join(side, on, "left")
+    rows = rows.unionByName(told.where(clear).drop("since"), allowMissingColumns=True)
     covers = F.coalesce("rule.covers_editions", F.array("edition"))
-    others = F.size("editions") > 1
     no = lambda c: F.coalesce(c, F.lit(False))
     only_rule = no(F.col("no_rule")) & (F.col("held") == 0) & ~F.col("in_conflict")
     outcome = first_reason(
-        ("no_uses_edition", F.col("configs").isNull()),
-        ("multiple_candidates", F.col("configs") > 1),
+        ("no_uses_edition", F.col("config").isNull()),
+        ("multiple_candidates", F.col("many")),
         ("scope_unknown", F.col("scope_open")),
         ("link_unapproved", F.col("found").isNull() & F.col("unaccepted")),
         ("cov_not_in_edition", F.col("found").isNull()),
@@ -116,7 +132,7 @@ def resolve_chain(requests: DataFrame, candidates: DataFrame, live: DataFrame, c
         ("edition_identity_unconfirmed", F.col("known").isNull()),
         ("application_scope_unverified", F.col("pending")),
         ("applies_from_other_edition_unmodeled", F.size(F.array_except("applies_from", covers)) > 0),
-        ("application_scope_unverified", others & F.col("complete").isNull()),
+        ("application_scope_unverified", F.col("others") & F.col("complete").isNull()),
         ("no_rule", F.coalesce(only_rule, F.lit(True)) & ~no(F.col("allowed"))),
         ("simulate_blocked", ~no(F.col("allowed"))),
         ("no_rule", F.col("rule.rule_path").isNull()),
@@ -138,8 +154,9 @@ def _found(rows: DataFrame, code: str, subject: str | Column, message: str | Col
 
 def check_evidence(live: DataFrame, terms: DataFrame) -> DataFrame:
     """K1: an accepted C0 claim about structure needs an observation, any other a basis in a clause of an edition.  K2: same_benefit_as needs bases in two editions."""
-    basis = live.select("id", F.explode_outer("evidence").alias("e")).where("e.role = 'basis'").join(terms, F.col("e.target") == F.col("clause")).groupBy("id").agg(F.count_distinct("edition").alias("editions"))
-    rows = live.join(basis, "id", "left").withColumn("editions", F.coalesce("editions", F.lit(0)))
+    asked = live.where("(upper(criticality) = 'C0' AND accepted) OR predicate = 'same_benefit_as'")
+    basis = asked.select("id", F.explode_outer("evidence").alias("e")).where("e.role = 'basis'").join(terms, F.col("e.target") == F.col("clause")).groupBy("id").agg(F.count_distinct("edition").alias("editions"))
+    rows = asked.join(basis, "id", "left").withColumn("editions", F.coalesce("editions", F.lit(0)))
     c0 = rows.where("upper(criticality) = 'C0' AND accepted")
     seen = F.coalesce(F.exists("evidence", lambda e: e["role"] == "observation"), F.lit(False))
     bare = c0.where(F.col("predicate").isin(*STRUCTURAL) & ~seen)
