@@ -6,6 +6,8 @@ dealt to fewer entities, its subject and object.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import functions as F
 
 from lodestone.catalog import _SQL, doc_hash, private_id_scan_all, query, read, scope_relation
@@ -97,6 +99,37 @@ def kept(df):
     return graph.Scratch(df.sparkSession).keep(df)
 
 
+class Store:
+    """What checks of one store read, each made when it is first asked for and once for all of them."""
+
+    def __init__(self, spark, sf_dir):
+        self.at = spark, sf_dir
+
+    @cached_property
+    def numbers(self):
+        return kept(base(*self.at))
+
+    @cached_property
+    def claims(self):
+        return claims(*self.at, self.numbers)
+
+    @cached_property
+    def live(self):
+        return live_of(*self.at, self.numbers)
+
+    @cached_property
+    def terms(self):
+        return kept(knowledge.terms_clauses(clauses(*self.at), segments(*self.at), self.live))
+
+    @cached_property
+    def scope(self):
+        return scope_of(*self.at, self.live)
+
+    @cached_property
+    def allowed(self):
+        return knowledge.simulate_allowed(self.live, self.scope, conflicts(*self.at))
+
+
 def live_of(spark, sf_dir, numbers=None):
     """The live claims, read off a table of their numbers, which take less room than their texts."""
     numbers = kept(base(spark, sf_dir)) if numbers is None else numbers
@@ -160,8 +193,7 @@ ALLOWED = f"""{SCOPE}, {CONFLICTS}, allow AS (SELECT coverage, (SELECT count(DIS
 
 @query(f"WITH RECURSIVE {LIVE}, {ALLOWED} SELECT coverage, held, no_rule, in_conflict, held = 0 AND NOT no_rule AND NOT in_conflict AS allowed FROM allow")
 def simulate_allowed(spark, sf_dir):
-    live = live_of(spark, sf_dir)
-    return knowledge.simulate_allowed(live, scope_of(spark, sf_dir, live), conflicts(spark, sf_dir))
+    return Store(spark, sf_dir).allowed
 
 
 CHAIN = f"""{STATUS}, {ALLOWED},
@@ -187,14 +219,13 @@ CHAIN = f"""{STATUS}, {ALLOWED},
 
 
 def chain(spark, sf_dir):
-    b = kept(base(spark, sf_dir))
-    live = live_of(spark, sf_dir, b)
+    store = Store(spark, sf_dir)
+    live, b = store.live, store.numbers
     requests = b.select(F.col("k").alias("request"), "day", F.concat(F.lit("cov:"), (F.col("part") % 600).cast("string")).alias("coverage"), "cust")
     config = lambda n: F.concat(F.lit("sc:"), ((F.col("cust") + n) % 600).cast("string")).alias("config")
     candidates = requests.select("request", config(0)).union(requests.where("request % 25 = 0").select("request", config(1)))
     status, _ = status_of(spark, sf_dir, live)
-    allowed = knowledge.simulate_allowed(live, scope_of(spark, sf_dir, live), conflicts(spark, sf_dir))
-    return knowledge.resolve_chain(requests.drop("cust"), candidates, live, status.where("state = 'confirmed'"), allowed)
+    return knowledge.resolve_chain(requests.drop("cust"), candidates, live, status.where("state = 'confirmed'"), store.allowed)
 
 
 @query(f"WITH RECURSIVE {CHAIN} SELECT request, outcome, CASE WHEN outcome = 'linked' THEN config END AS config, CASE WHEN outcome = 'linked' THEN edition END AS edition, CASE WHEN outcome = 'linked' THEN category END AS category, CASE WHEN outcome = 'linked' THEN rule_claim END AS rule_claim, CASE WHEN outcome = 'linked' THEN rule_path END AS rule_path FROM chain")
@@ -212,10 +243,10 @@ def resolve_request(spark, sf_dir):
 SELECT 'K1' AS code, id AS subject, CASE WHEN predicate IN ('in_edition', 'uses_edition', 'realizes') THEN 'no_observation' ELSE 'no_basis' END AS message FROM live JOIN n USING (id)
  WHERE criticality = 'C0' AND accepted AND CASE WHEN predicate IN ('in_edition', 'uses_edition', 'realizes') THEN NOT observed ELSE n = 0 END
 UNION ALL SELECT 'K2', id, 'needs_two_editions' FROM live JOIN n USING (id) WHERE predicate = 'same_benefit_as' AND n < 2""")
-def check_evidence(spark, sf_dir):
+def check_evidence(spark, sf_dir, store=None):
     """K1 and K2."""
-    live = live_of(spark, sf_dir)
-    return knowledge.check_evidence(live, knowledge.terms_clauses(clauses(spark, sf_dir), segments(spark, sf_dir), live))
+    store = store or Store(spark, sf_dir)
+    return knowledge.check_evidence(store.live, store.terms)
 
 
 NODES = """node AS (SELECT concat('set:', n_nationkey) AS node, 'CodeSet' AS class, CASE WHEN n_nationkey % 4 <> 1 THEN 'kcd' END AS code_system, CASE WHEN n_nationkey % 7 <> 2 THEN '8' END AS edition, n_name AS effective, CASE WHEN n_nationkey % 5 <> 3 THEN 'x' END AS judged_as_of, NULL AS anchor, NULL AS unit, NULL AS kind, NULL AS text, 0 AS targets FROM nation
@@ -237,16 +268,17 @@ SELECT 'K3' AS code, node AS subject, 'lacks ' || f AS message FROM (SELECT node
 UNION ALL SELECT 'K5', id, 'ends_before_start' FROM a WHERE valid_from > valid_to UNION ALL SELECT 'K5', node, 'unknown_anchor' FROM node WHERE anchor = 'moon' UNION ALL SELECT 'K6', node, 'unknown_unit' FROM node WHERE unit = 'week'
 UNION ALL SELECT 'K6', id, 'units_differ' FROM live JOIN node x ON x.node = subject JOIN node y ON y.node = object WHERE predicate = 'same_duration_as' AND x.unit <> y.unit
 UNION ALL SELECT 'K7', id, 'no_target' FROM live JOIN node ON node = object WHERE predicate = 'has_condition' AND value_state = 'observed' AND kind = 'reduction' AND text <> 'none' AND targets = 0""")
-def check_nodes(spark, sf_dir):
+def check_nodes(spark, sf_dir, store=None):
     """K3, K5, K6 and K7."""
-    return knowledge.check_nodes(nodes(spark, sf_dir), claims(spark, sf_dir), live_of(spark, sf_dir), ("contract_date", "diagnosis_date"))
+    store = store or Store(spark, sf_dir)
+    return knowledge.check_nodes(nodes(spark, sf_dir), store.claims, store.live, ("contract_date", "diagnosis_date"))
 
 
 @query(f"""WITH RECURSIVE {LIVE}, e AS (SELECT DISTINCT CASE value WHEN 'narrower' THEN subject ELSE object END AS src, CASE value WHEN 'narrower' THEN object ELSE subject END AS dst FROM live WHERE predicate = 'scope_relation' AND value <> 'same_scope'),
  t AS (SELECT src AS root, dst AS node FROM e UNION SELECT root, dst FROM t JOIN e ON node = src) SELECT root AS node FROM t WHERE root = node""")
-def check_scope_cycles(spark, sf_dir):
+def check_scope_cycles(spark, sf_dir, store=None):
     """K4."""
-    return graph.on_cycles(knowledge.scope_edges(live_of(spark, sf_dir)))
+    return graph.on_cycles(knowledge.scope_edges((store or Store(spark, sf_dir)).live))
 
 
 REFS = "refs AS (SELECT concat('rules/r', r, '.json') AS rule_path, list_value(concat('clause:', r * 3), concat('clause:', r * 5)) AS refs FROM (SELECT DISTINCT s_suppkey % 39 AS r FROM supplier))"
@@ -255,26 +287,25 @@ REFS = "refs AS (SELECT concat('rules/r', r, '.json') AS rule_path, list_value(c
 @query(f"""WITH RECURSIVE {LIVE}, {SCOPE}, {REFS}, bs AS (SELECT coverage, list(DISTINCT basis) AS bases FROM scope JOIN live ON subject = node WHERE criticality = 'C0' AND accepted GROUP BY 1),
  w AS (SELECT id, subject, l.rule_path, refs, list_filter(refs, lambda x: NOT list_contains(coalesce(bases, []), x)) AS beyond FROM live l LEFT JOIN refs ON refs.rule_path = l.rule_path LEFT JOIN bs ON bs.coverage = l.subject WHERE predicate = 'implemented_by' AND accepted)
 SELECT 'K9' AS code, id AS subject, CASE WHEN rule_path IS NULL THEN 'no_rule_path' WHEN refs IS NULL THEN 'no_rule_file' ELSE 'beyond ' || array_to_string(list_sort(list_distinct(beyond)), ',') END AS message FROM w WHERE rule_path IS NULL OR refs IS NULL OR len(beyond) > 0""")
-def check_rules(spark, sf_dir):
+def check_rules(spark, sf_dir, store=None):
     """K9."""
-    live, r = live_of(spark, sf_dir), F.col("s_suppkey") % 39
+    store, r = store or Store(spark, sf_dir), F.col("s_suppkey") % 39
     clause = lambda n: F.concat(F.lit("clause:"), n.cast("string"))
     refs = read(spark, sf_dir, "supplier").select(F.concat(F.lit("rules/r"), r.cast("string"), F.lit(".json")).alias("rule_path"), F.array(clause(r * 3), clause(r * 5)).alias("refs")).distinct()
-    return knowledge.check_rules(live, scope_of(spark, sf_dir, live), refs)
+    return knowledge.check_rules(store.live, store.scope, refs)
 
 
 @query(f"WITH {BASE}, a AS (SELECT {_duck(CLAIM)} FROM b), {CONFLICTS}, f AS (SELECT supersedes AS t, min(id) AS i, max(id) AS j FROM a WHERE supersedes IS NOT NULL GROUP BY 1 HAVING count(DISTINCT id) > 1) SELECT 'K10' AS code, t AS subject, 'fork' AS message FROM f WHERE NOT EXISTS (SELECT 1 FROM conflict c WHERE (c.x, c.y) IN ((i, j), (j, i)))")
-def check_forks(spark, sf_dir):
+def check_forks(spark, sf_dir, store=None):
     """K10."""
-    return knowledge.check_forks(claims(spark, sf_dir), conflicts(spark, sf_dir))
+    return knowledge.check_forks(store.claims if store else claims(spark, sf_dir), conflicts(spark, sf_dir))
 
 
 @query(f"WITH RECURSIVE {LIVE}, {ALLOWED} SELECT DISTINCT 'K11' AS code, concat('cov:', p_partkey % 600) AS subject, 'not_allowed' AS message FROM part LEFT JOIN allow ON coverage = concat('cov:', p_partkey % 600) WHERE p_partkey % 600 % 3 = 0 AND (coverage IS NULL OR held > 0 OR no_rule OR in_conflict)")
-def check_enabled(spark, sf_dir):
+def check_enabled(spark, sf_dir, store=None):
     """K11, every third coverage being declared enabled."""
-    live = live_of(spark, sf_dir)
     declared = read(spark, sf_dir, "part").where("p_partkey % 600 % 3 = 0").select(F.concat(F.lit("cov:"), (F.col("p_partkey") % 600).cast("string")).alias("coverage"), F.lit("enabled").alias("capability")).distinct()
-    return knowledge.check_enabled(declared, knowledge.simulate_allowed(live, scope_of(spark, sf_dir, live), conflicts(spark, sf_dir)))
+    return knowledge.check_enabled(declared, (store or Store(spark, sf_dir)).allowed)
 
 
 @query("""WITH p AS (SELECT p_partkey, unnest(list_value(CASE WHEN p_size % 5 = 0 THEN 'conditions' END, CASE WHEN p_size % 7 = 0 THEN 'package_binding' END, CASE WHEN p_size % 11 = 0 THEN 'as_of' END)) AS f FROM part WHERE p_partkey % 2 = 0) SELECT 'K13' AS code, p_partkey AS subject, 'lacks ' || f AS message FROM p WHERE f IS NOT NULL""")
@@ -286,21 +317,21 @@ def check_prices(spark, sf_dir):
 
 
 @query(f"""WITH {TERMS} SELECT 'K14' AS code, id AS subject, CASE WHEN sha256 IS NULL THEN 'no_fingerprint' WHEN NOT observed THEN 'no_observation' ELSE 'not_reviewed' END AS message FROM live LEFT JOIN seg ON segment = subject WHERE predicate = 'realizes' AND accepted AND (sha256 IS NULL OR NOT observed OR decided_by = 'import')""")
-def check_realized(spark, sf_dir):
+def check_realized(spark, sf_dir, store=None):
     """K14."""
-    return knowledge.check_realized(live_of(spark, sf_dir), segments(spark, sf_dir))
+    return knowledge.check_realized((store or Store(spark, sf_dir)).live, segments(spark, sf_dir))
 
 
 @query(f"WITH {STATUS} SELECT 'K16' AS code, id AS subject, kind AS message FROM bad UNION ALL SELECT 'K16', edition, 'uncovered ' || n_missing FROM st WHERE accepted > 0 AND n_missing > 0")
-def check_editions(spark, sf_dir):
+def check_editions(spark, sf_dir, store=None):
     """K16."""
-    return knowledge.check_editions(*status_of(spark, sf_dir, live_of(spark, sf_dir)))
+    return knowledge.check_editions(*status_of(spark, sf_dir, (store or Store(spark, sf_dir)).live))
 
 
 @query(f"WITH {BASE}, a AS (SELECT {_duck(CLAIM)} FROM b) SELECT 'KP' AS code, id AS subject, CASE WHEN origin = 'fixture' THEN 'fixture' ELSE 'fixture_assumption' END AS message FROM a WHERE accepted AND (origin = 'fixture' OR decided_by = 'fixture_assumption')")
-def check_service(spark, sf_dir):
+def check_service(spark, sf_dir, store=None):
     """KP."""
-    return knowledge.check_service(claims(spark, sf_dir))
+    return knowledge.check_service(store.claims if store else claims(spark, sf_dir))
 
 
 @query("""WITH s AS (SELECT doc_id AS id, sha256(coalesce(text, '')) AS d FROM documents WHERE doc_id % 13 <> 4), l AS (SELECT doc_id AS id, sha256(coalesce(text, '') || CASE WHEN doc_id % 17 = 3 THEN 'x' ELSE '' END) AS d FROM documents)
@@ -325,10 +356,10 @@ def check_manifest(spark, sf_dir):
 
 @query(f"""WITH {LIVE}, rel AS (SELECT concat('cat:', a) AS a, concat('cat:', b) AS b, relation FROM ({_SQL['scope_relation']})), w AS (SELECT id, value, accepted, coalesce(relation, 'not_comparable') AS relation FROM live LEFT JOIN rel ON a = subject AND b = object WHERE predicate = 'scope_relation' AND object IS NOT NULL)
 SELECT 'K12' AS code, id AS subject, CASE WHEN relation = 'not_comparable' THEN 'accepted_without_comparison' ELSE 'computed ' || relation END AS message FROM w WHERE CASE WHEN relation = 'not_comparable' THEN accepted ELSE relation IS DISTINCT FROM value END""")
-def check_scope_claims(spark, sf_dir):
+def check_scope_claims(spark, sf_dir, store=None):
     """K12: claimed relations of categories against those computed over all codes; categories that are no region's can't be compared."""
     name = lambda c: F.concat(F.lit("cat:"), F.col(c).cast("string")).alias(c)
-    return knowledge.check_scope_claims(live_of(spark, sf_dir), scope_relation(spark, sf_dir).select(name("a"), name("b"), "relation"))
+    return knowledge.check_scope_claims((store or Store(spark, sf_dir)).live, scope_relation(spark, sf_dir).select(name("a"), name("b"), "relation"))
 
 
 @query(f"SELECT 'K8' AS code, CASE WHEN doc_id IS NULL THEN 'conv:' || conv_id || ':' || turn ELSE 'doc:' || doc_id END AS subject, 'private_id' AS message FROM ({_SQL['private_id_scan_all']})")

@@ -131,10 +131,11 @@ def screen_numbers(spark, sf_dir):
 @query(" UNION ALL ".join(f"SELECT code, subject::VARCHAR AS subject, message FROM ({_SQL[n]})" for n in ("check_release", "check_evidence", "check_nodes", "check_rules", "check_forks", "check_enabled", "check_prices", "check_realized", "check_editions", "check_service", "check_manifest", "check_private", "check_scope_claims")) + f" UNION ALL SELECT 'K4', node, 'cycle' FROM ({_SQL['check_scope_cycles']})")
 def violations(spark, sf_dir):
     """All checks, K1 to K16, KP and KM, as one frame."""
-    checks = (K.check_release, K.check_evidence, K.check_nodes, K.check_rules, K.check_forks, K.check_enabled, K.check_prices, K.check_realized, K.check_editions, K.check_service, K.check_manifest, K.check_private, K.check_scope_claims)
-    out = K.check_scope_cycles(spark, sf_dir).select(F.lit("K4").alias("code"), F.col("node").alias("subject"), F.lit("cycle").alias("message"))
-    for check in checks:
-        out = out.union(check(spark, sf_dir).select("code", F.col("subject").cast("string"), "message"))
+    store = K.Store(spark, sf_dir)
+    of_claims = (K.check_evidence, K.check_nodes, K.check_rules, K.check_forks, K.check_enabled, K.check_realized, K.check_editions, K.check_service, K.check_scope_claims)
+    out = K.check_scope_cycles(spark, sf_dir, store).select(F.lit("K4").alias("code"), F.col("node").alias("subject"), F.lit("cycle").alias("message"))
+    for found in (*(check(spark, sf_dir, store) for check in of_claims), *(check(spark, sf_dir) for check in (K.check_release, K.check_prices, K.check_manifest, K.check_private))):
+        out = out.union(found.select("code", F.col("subject").cast("string"), "message"))
     return out
 
 

@@ -5,6 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from lodestone import catalog
 from lodestone.operators import knowledge
 
 CLAIM = "id string, predicate string, subject string, object string, value string, criticality string, accepted boolean, decided_by string, covers string, valid_from date, valid_to date, rule_path string, covers_editions array<string>, evidence array<struct<role string, target string>>"
@@ -118,3 +119,15 @@ def test_a_request_meets_the_state_of_its_day_and_not_every_claim(spark):
     chain = knowledge.resolve_chain(requests, requests.select("request", F.lit("sc:1").alias("config")), spark.createDataFrame(rows, CLAIM), spark.createDataFrame([("ed:1",)], "edition string"), none)
     assert {r.outcome for r in chain.collect()} == {"application_scope_unverified"}
     assert most_rows(chain) < n * claims / 10
+
+
+def test_all_checks_read_one_table_of_claims(spark, monkeypatch):
+    violations = catalog.queries()["violations"]
+    from lodestone.plans import knowledge as plans
+
+    read, base = [], plans.base
+    monkeypatch.setattr(plans, "base", lambda *at: read.append(at) or base(*at))
+    monkeypatch.setattr(plans.graph, "on_cycles", lambda edges: edges.select(F.col("src").alias("node")))  # many small jobs, not of interest here
+    monkeypatch.setattr(plans, "scope_relation", lambda spark, _: spark.createDataFrame([], "a int, b int, relation string"))
+    violations(spark, "/root/testdata/sf0.001")
+    assert len(read) == 1
