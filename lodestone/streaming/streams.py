@@ -7,6 +7,7 @@ watermark that drops rows unless the caller asks for one.
 from __future__ import annotations
 
 import functools
+import json
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -76,19 +77,31 @@ def latest(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
     return spark.read.parquet(out).withColumn("_r", F.row_number().over(by)).where("_r = 1").drop("_r", "batch")
 
 
-def fold(obs: DataFrame, keys: list[str], order: list[str], start: tuple, step: Callable, state: str, out: str) -> DataFrame:
-    """Rows emitted by step(state, row) -> (state, rows), over the rows of a key in order; None stands for NULL in the state."""
-    names = [c.split()[0] for c in out.split(", ")]
+def _packed(rows: DataFrame, by: list[str]) -> Column:
+    """The named columns as one text."""
+    return F.to_json(F.struct(*by), {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"})
+
 
-    def run(key, parts: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
-        now, done = (kept.get if kept.exists else start), []
-        for row in pd.concat(list(parts)).sort_values(order).itertuples(index=False):
-            now, rows = step(now, row)
-            done += rows
-        kept.update(now)
+def fold(obs: DataFrame, keys: list[str], order: list[str], columns: list[str], start: tuple, step: Callable, out: str, buckets: int = 1024) -> DataFrame:
+    """Rows emitted by step(state, row) -> (state, rows), over the rows of a key in order; a row has the named columns, a state what JSON holds.
+
+    Keys are dealt to buckets by their hash.  The keys of a bucket are folded in one call and kept as one text, so a key costs
+    no call of its own; a call holds a bucket's rows of one micro-batch.  A stream keeps its number of buckets.
+    """
+    names = [c.split()[0] for c in out.split(", ")]
+    key = _packed(obs, keys).alias("_key")
+    rows = obs.select(key, *dict.fromkeys([*order, *columns])).withColumn("_bucket", F.pmod(F.xxhash64("_key"), F.lit(buckets)))
+
+    def run(_, parts: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
+        states, done = json.loads(kept.get[0]) if kept.exists else {}, []
+        rows = pd.concat(list(parts)).sort_values(order)
+        for who, row in zip(rows["_key"], rows[columns].itertuples(index=False), strict=True):
+            states[who], told = step(states.get(who, start), row)
+            done += told
+        kept.update((json.dumps(states),))
         yield pd.DataFrame(done, columns=names)
 
-    return obs.groupBy(*keys).applyInPandasWithState(run, out, state, "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("_bucket").applyInPandasWithState(run, out, "kept string", "append", GroupStateTimeout.NoTimeout)
 
 
 def changes(obs: DataFrame, keys: list[str], order: list[str], id_: str) -> DataFrame:
@@ -103,7 +116,7 @@ def changes(obs: DataFrame, keys: list[str], order: list[str], id_: str) -> Data
         what = "new" if digest is None else "unchanged_same_hash" if digest == r.digest else "changed"
         return (r.digest, bool(r.retained)), [(getattr(r, id_), what)]
 
-    return fold(obs, keys, order, (None, False), step, "digest string, retained boolean", f"{id_} long, decision string")
+    return fold(obs, keys, order, [id_, "status", "digest", "retained"], (None, False), step, f"{id_} long, decision string")
 
 
 def failure_alerts(obs: DataFrame, keys: list[str], order: list[str], id_: str) -> DataFrame:
@@ -113,7 +126,7 @@ def failure_alerts(obs: DataFrame, keys: list[str], order: list[str], id_: str)
         n = state[0] + 1 if r.failed else 0
         return (n,), [(getattr(r, id_),)] if n == 3 else []
 
-    return fold(obs, keys, order, (0,), step, "failures int", f"{id_} long")
+    return fold(obs, keys, order, [id_, "failed"], (0,), step, f"{id_} long")
 
 
 def late_rows(obs: DataFrame, keys: list[str], order: list[str], at: str, id_: str) -> DataFrame:
@@ -123,7 +136,7 @@ def late_rows(obs: DataFrame, keys: list[str], order: list[str], at: str, id_: s
         now = int(getattr(r, at))
         return (max(state[0], now),), [(getattr(r, id_),)] if now <= state[0] else []
 
-    return fold(obs, keys, order, (-(2**62),), step, "latest long", f"{id_} long")
+    return fold(obs, keys, order, [id_, at], (-(2**62),), step, f"{id_} long")
 
 
 def state_updates(obs: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -230,10 +243,6 @@ def silence_alerts(beats: DataFrame, keys: list[str], at: str, limit: int = 129_
     return found.select(*keys, F.timestamp_micros("last_us").alias("last"))
 
 
-def _packed(rows: DataFrame, by: list[str]) -> Column:
-    return F.to_json(F.struct(*by), {"ignoreNullFields": "false"}).alias("_by")
-
-
 def _unpacked(changes: DataFrame, kind, by: list[str], dims: list[str]) -> DataFrame:
     group = F.from_json("_by", StructType([kind[b] for b in by])).alias("_g")
     return changes.select(group, *dims, "n", "open", "rows").select("_g.*", *dims, "n", "open", "rows")
@@ -248,8 +257,8 @@ def ledger_changes(records: DataFrame, by: list[str], dims: list[str]) -> DataFr
     """
     amount = [F.coalesce(F.col(d), F.lit(0)).cast("long").alias(d) for d in dims]
     own = records.where("kind IN ('reservation', 'settlement') AND run IS NOT NULL")
-    own = own.select(F.when(F.col("kind") == "settlement", F.col("reservation_seq")).otherwise(F.col("seq")).alias("_seq"), F.col("run").cast("string").alias("_run"), (F.col("kind") == "reservation").alias("_held"), _packed(records, by), *amount).where("_seq IS NOT NULL")
-    plain = records.where("kind = 'pre_ledger_usage' OR (kind = 'reservation' AND (run IS NULL OR seq IS NULL))").select(_packed(records, by), *amount, F.lit(1).cast("long").alias("n"), (F.col("kind") == "reservation").cast("long").alias("open"), F.lit(1).cast("long").alias("rows"))
+    own = own.select(F.when(F.col("kind") == "settlement", F.col("reservation_seq")).otherwise(F.col("seq")).alias("_seq"), F.col("run").cast("string").alias("_run"), (F.col("kind") == "reservation").alias("_held"), _packed(records, by).alias("_by"), *amount).where("_seq IS NOT NULL")
+    plain = records.where("kind = 'pre_ledger_usage' OR (kind = 'reservation' AND (run IS NULL OR seq IS NULL))").select(_packed(records, by).alias("_by"), *amount, F.lit(1).cast("long").alias("n"), (F.col("kind") == "reservation").cast("long").alias("open"), F.lit(1).cast("long").alias("rows"))
     names = ["_by", *dims, "n", "open", "rows"]
 
     def run(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -276,7 +285,7 @@ def ledger_changes(records: DataFrame, by: list[str], dims: list[str]) -> DataFr
 
 def admission_changes(events: DataFrame, by: list[str], dims: list[str], limits: dict[str, int]) -> DataFrame:
     """As ledger_changes, for events (kind admission or settlement, run, by..): an admission counts at the limits until its run settles anything."""
-    rows = events.where("kind IN ('admission', 'settlement') AND run IS NOT NULL").select(F.col("run").cast("string").alias("_run"), (F.col("kind") == "admission").alias("_in"), _packed(events, by))
+    rows = events.where("kind IN ('admission', 'settlement') AND run IS NOT NULL").select(F.col("run").cast("string").alias("_run"), (F.col("kind") == "admission").alias("_in"), _packed(events, by).alias("_by"))
     names = ["_by", *dims, "n", "open", "rows"]
 
     def run(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
