@@ -17,7 +17,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import StructType
 
 
 def scratch(spark: SparkSession) -> str:
@@ -243,76 +242,87 @@ def silence_alerts(beats: DataFrame, keys: list[str], at: str, limit: int = 129_
     return found.select(*keys, F.timestamp_micros("last_us").alias("last"))
 
 
-def _unpacked(changes: DataFrame, kind, by: list[str], dims: list[str]) -> DataFrame:
-    group = F.from_json("_by", StructType([kind[b] for b in by])).alias("_g")
-    return changes.select(group, *dims, "n", "open", "rows").select("_g.*", *dims, "n", "open", "rows")
-
-
 def ledger_changes(records: DataFrame, by: list[str], dims: list[str]) -> DataFrame:
-    """(by.., dims.., n, open, rows) by which every micro-batch of a ledger changes its totals, as signed numbers.
+    """(by.., dims.., n, open, rows, and which reservation it is about) of a ledger's records, from which `summed` tells how every micro-batch changes the totals.
 
-    records (kind, seq, reservation_seq, run, by.., dims..).  A reservation is kept as state until its own run
+    records (kind, seq, reservation_seq, run, by.., dims..).  A reservation counts in full until its own run
     settles it, and later settlements may raise what it counts; a settlement may come before its
     reservation.  What counts is as in `usage.settle`; a reservation's (seq, run) is its own, a repeat is dropped.
     """
     amount = [F.coalesce(F.col(d), F.lit(0)).cast("long").alias(d) for d in dims]
-    own = records.where("kind IN ('reservation', 'settlement') AND run IS NOT NULL")
-    own = own.select(F.when(F.col("kind") == "settlement", F.col("reservation_seq")).otherwise(F.col("seq")).alias("_seq"), F.col("run").cast("string").alias("_run"), (F.col("kind") == "reservation").alias("_held"), _packed(records, by).alias("_by"), *amount).where("_seq IS NOT NULL")
-    plain = records.where("kind = 'pre_ledger_usage' OR (kind = 'reservation' AND (run IS NULL OR seq IS NULL))").select(_packed(records, by).alias("_by"), *amount, F.lit(1).cast("long").alias("n"), (F.col("kind") == "reservation").cast("long").alias("open"), F.lit(1).cast("long").alias("rows"))
-    names = ["_by", *dims, "n", "open", "rows"]
-
-    def run(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        by_, held, most, done = (None, None, [0] * len(dims), False) if not state.exists else (lambda s: (s[0], list(s[1]) if s[1] is not None else None, list(s[2]), s[3]))(state.get)
-        counts = lambda: [0] * len(dims) if held is None else [min(a, b) for a, b in zip(held, most, strict=True)] if done else held
-        before, was_held, was_open = counts(), held is not None, held is not None and not done
-        for p in parts:
-            for is_held, who, *amounts in zip(p["_held"], p["_by"], *(p[d] for d in dims), strict=True):
-                if is_held:
-                    by_, held = (who, [int(a) for a in amounts]) if held is None else (by_, held)
-                else:
-                    most, done = [max(a, int(b)) for a, b in zip(most, amounts, strict=True)], True
-        state.update((by_, held, most, done))
-        if held is not None:
-            change = [a - b for a, b in zip(counts(), before, strict=True)]
-            told = [by_, *change, int(not was_held), int(not done) - int(was_open), int(not was_held)]
-            if any(told[1:]):
-                yield pd.DataFrame([told], columns=names)
-
-    kinds = "_by string, " + ", ".join(f"{d} long" for d in dims) + ", n long, open long, rows long"
-    settled = own.groupBy("_seq", "_run").applyInPandasWithState(run, kinds, "by string, held array<long>, most array<long>, done boolean", "append", GroupStateTimeout.NoTimeout)
-    return _unpacked(settled.unionByName(plain), records.schema, by, dims)
+    count = lambda c, n: c.cast("long").alias(n)
+    held = F.col("kind") == "reservation"
+    seq = F.when(held, F.col("seq")).otherwise(F.col("reservation_seq"))
+    own = records.where("kind IN ('reservation', 'settlement') AND run IS NOT NULL").where(seq.isNotNull())
+    own = own.select(*by, *amount, *[count(F.lit(0), c) for c in ("n", "open", "rows")], seq.alias("_seq"), F.col("run").cast("string").alias("_run"), held.alias("_held"))
+    plain = records.where("kind = 'pre_ledger_usage' OR (kind = 'reservation' AND (run IS NULL OR seq IS NULL))")
+    return own.unionByName(plain.select(*by, *amount, count(F.lit(1), "n"), count(held, "open"), count(F.lit(1), "rows")), allowMissingColumns=True)
 
 
 def admission_changes(events: DataFrame, by: list[str], dims: list[str], limits: dict[str, int]) -> DataFrame:
     """As ledger_changes, for events (kind admission or settlement, run, by..): an admission counts at the limits until its run settles anything."""
-    rows = events.where("kind IN ('admission', 'settlement') AND run IS NOT NULL").select(F.col("run").cast("string").alias("_run"), (F.col("kind") == "admission").alias("_in"), _packed(events, by).alias("_by"))
-    names = ["_by", *dims, "n", "open", "rows"]
+    rows = events.where("kind IN ('admission', 'settlement') AND run IS NOT NULL")
+    held = F.col("kind") == "admission"
+    count = lambda n, c: F.when(held, n).otherwise(0).cast("long").alias(c)
+    return rows.select(*by, *[count(limits.get(d, 0), d) for d in dims], count(0, "n"), count(0, "open"), count(1, "rows"), F.col("run").cast("string").alias("_run"), held.alias("_held"))
 
-    def run(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        done, waiting = (lambda s: (s[0], list(s[1])))(state.get) if state.exists else (False, [])
-        new, settled = [], done
-        for p in parts:
-            for is_in, who in zip(p["_in"], p["_by"], strict=True):
-                if is_in:
-                    new.append(who)
-                else:
-                    settled = True
-        told = [] if settled else [(who, 1) for who in new]
-        if settled and not done:
-            told += [(who, -1) for who in waiting]
-        state.update((settled, [] if settled else waiting + new))
-        if told:
-            yield pd.DataFrame([(who, *(sign * limits.get(d, 0) for d in dims), 0, 0, sign) for who, sign in told], columns=names)
-
-    kinds = "_by string, " + ", ".join(f"{d} long" for d in dims) + ", n long, open long, rows long"
-    return _unpacked(rows.groupBy("_run").applyInPandasWithState(run, kinds, "done boolean, waiting array<string>", "append", GroupStateTimeout.NoTimeout), events.schema, by, dims)
+
+def _of_reservations(rows: DataFrame, by: list[str], values: list[str]) -> tuple[DataFrame, Callable]:
+    """A micro-batch's rows by reservation, to be kept, and the changes of totals from what is kept (with batch) at a micro-batch."""
+    dims = [c for c in values if c not in ("n", "open", "rows")]
+    own = rows.where("_run IS NOT NULL").groupBy("_seq", "_run").agg(F.min(F.when(F.col("_held"), F.struct(*by, *dims))).alias("_own"), *[F.max(F.when(~F.col("_held"), F.col(d))).alias(f"_most_{d}") for d in dims], F.bool_or(~F.col("_held")).alias("_done"))
+
+    def changes(kept: DataFrame, i: int) -> DataFrame:
+        earlier = F.col("batch") < i
+        sides = {"_a": F.lit(True), "_b": earlier}  # after and before
+        told = kept.groupBy("_seq", "_run").agg(
+            F.bool_or(~earlier).alias("_now"),
+            *[F.min_by("_own", F.when(F.col("_own").isNotNull() & when, F.col("batch"))).alias(f"_own{s}") for s, when in sides.items()],
+            *[F.max(F.when(when, F.col(f"_most_{d}"))).alias(f"_most_{d}{s}") for d in dims for s, when in sides.items()],
+            *[F.coalesce(F.bool_or(F.when(when, F.col("_done"))), F.lit(False)).alias(f"_done{s}") for s, when in sides.items()],
+        )
+
+        def counts(d: str, s: str) -> Column:
+            amount = F.col(f"_own{s}")[d]
+            return F.when(F.col(f"_own{s}").isNull(), 0).when(F.col(f"_done{s}"), F.least(amount, F.greatest(F.col(f"_most_{d}{s}"), F.lit(0)))).otherwise(amount)
+
+        there = lambda s: F.col(f"_own{s}").isNotNull()
+        open_ = lambda s: (there(s) & ~F.col(f"_done{s}")).cast("long")
+        new = (there("_a").cast("long") - there("_b").cast("long")).alias
+        told = told.where("_now AND _own_a IS NOT NULL")
+        return told.select(*[F.col("_own_a")[b].alias(b) for b in by], *[(counts(d, "_a") - counts(d, "_b")).alias(d) for d in dims], new("n"), (open_("_a") - open_("_b")).alias("open"), new("rows"))
+
+    return own, changes
+
+
+def _of_admissions(rows: DataFrame, by: list[str], values: list[str]) -> tuple[DataFrame, Callable]:
+    """As _of_reservations, for the admissions and settlements of runs."""
+    own = rows.groupBy("_run", *[F.when(F.col("_held"), F.col(b)).alias(b) for b in by]).agg(*[F.sum(c).alias(c) for c in values], F.bool_or(~F.col("_held")).alias("_done"))
+
+    def changes(kept: DataFrame, i: int) -> DataFrame:
+        earlier, run = F.col("batch") < i, Window.partitionBy("_run")
+        told = kept.groupBy("_run", *by).agg(*[F.sum(c).alias(c) for c in values], *[F.coalesce(F.sum(F.when(earlier, F.col(c))), F.lit(0)).alias(f"_b_{c}") for c in values], F.bool_or("_done").alias("_done"), F.coalesce(F.bool_or(earlier & F.col("_done")), F.lit(False)).alias("_done_b"), F.bool_or(~earlier).alias("_now"))
+        told = told.withColumns({c: F.bool_or(c).over(run) for c in ("_done", "_done_b", "_now")}).where("_now AND NOT _done_b")
+        return told.select(*by, *[(F.when(F.col("_done"), 0).otherwise(F.col(c)) - F.col(f"_b_{c}")).alias(c) for c in values]).where(" OR ".join(f"`{c}` <> 0" for c in values))
+
+    return own, changes
 
 
 def summed(by: list[str], out: str) -> Callable:
-    """A foreachBatch function that keeps every micro-batch's changes as sums by group, below `out`."""
+    """A foreachBatch function that keeps by how much every micro-batch of a ledger changes its totals, as signed sums by group, below `out`.
+
+    What reservations and runs have come to is kept beside it, a part `batch=<number>` for each micro-batch, so the state is a
+    table in the shared folder and not in anyone's memory; a micro-batch that runs again replaces both its parts.
+    """
 
     def put(rows: DataFrame, i: int) -> None:
-        rows.groupBy(*by).agg(*[F.sum(c).alias(c) for c in rows.columns if c not in by]).write.mode("overwrite").parquet(f"{out}/batch={i}")
+        values = [c for c in rows.columns if c not in by and not c.startswith("_")]
+        if "_run" in rows.columns:
+            own, changes = (_of_reservations if "_seq" in rows.columns else _of_admissions)(rows, by, values)
+            own.write.mode("overwrite").parquet(f"{out}-kept/batch={i}")
+            kept = rows.sparkSession.read.parquet(f"{out}-kept").where(F.col("batch") <= i)
+            rows = rows.where("_run IS NULL").select(*by, *values).unionByName(changes(kept, i))
+        rows.groupBy(*by).agg(*[F.sum(c).alias(c) for c in values]).write.mode("overwrite").parquet(f"{out}/batch={i}")
 
     return put
 
